@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, fingerprints, language, repeats, scoring, simhash
+from . import bpe, embeddings, fingerprints, language, mixing, pii, repeats, scoring, sharding, simhash
 from .common import read_table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read_table(spark, sf_dir, "documents"))
+
+
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(read_table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,10 @@ def op4_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(read_table(spark, sf_dir, "documents"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read_table(spark, sf_dir, "documents"))
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
 
@@ -40,8 +48,12 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fingerprint, op3_simhash, op4_scoring, op6_repeats, op7_bpe, op8_language, op9_embeddings)}
+    return {f.__name__: f for f in (op1_pii, op2_fingerprint, op3_simhash, op4_scoring, op5_sharding, op6_repeats, op7_bpe, op8_language, op9_embeddings, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
