@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -87,6 +88,9 @@ class Encoder:
         blank[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
         #: Those among them at which the pretokenizer cuts as well, whatever stands around.
         self.outer = self.never & ~blank[:, None] & blank[None, :]
+        #: Whether a space or a line end after any solid byte is a marked pair, and where texts need a closer look.
+        self.simple = bool(self.outer[~blank][:, [10, 32]].all())
+        self.unclear = re.compile(rb"[\x09-\x0d\x1c-\x20][\x09-\x0d\x1c-\x20]|[\xc2\xe1\xe2\xe3][\x80-\xbf]{1,2}[ \n]|\0")
         self.fragments, self.words = Known(self._fragment), Known(self._word)
         self.pattern = regex.compile(PATTERN)
         self.marks = regex.compile("|".join(regex.escape(s.decode()) for s in self.special)) if self.special else None
@@ -133,13 +137,19 @@ class Encoder:
         return tuple(chain.from_iterable(self._merged(word[i:j]) for i, j in zip(at, at[1:])))
 
     def _fragment(self, fragment: bytes) -> tuple[int, ...]:
+        if fragment.isascii() and (fragment[1:] or fragment).isalpha() and (fragment[0] == 32 or fragment[:1].isalpha()):
+            return self._word(fragment)  # the pattern takes it whole
         found = [self.words[w.encode()] for w in self.pattern.findall(fragment.decode())]
         return found[0] if len(found) == 1 else tuple(chain.from_iterable(found))
 
     def _plain(self, text: bytes) -> list[int]:
-        v = np.frombuffer(text, dtype=np.uint8)
-        if not len(v):
+        if not text:
             return []
+        if self.simple and not self.unclear.search(text):
+            # each space and line end follows a solid byte: cut before them all
+            parts = text.replace(b" ", b"\0 ").replace(b"\n", b"\0\n").split(b"\0")
+            return list(chain.from_iterable(map(self.fragments.__getitem__, parts if parts[0] else parts[1:])))
+        v = np.frombuffer(text, dtype=np.uint8)
         hit = self.outer[v[:-1], v[1:]]
         # a blank beyond ASCII may end in this byte; the cut is left out there
         if (v >= 128).any():

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-BLOCK, SHARD, PASSES, BUCKETS, ROUNDS = 64, 4096, 3, 1024, 20
+BLOCK, SHARD, PASSES, BUCKETS, ROUNDS = 128, 4096, 3, 1024, 12
 
 
 def words_in(text: Column) -> Column:

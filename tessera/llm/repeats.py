@@ -122,7 +122,7 @@ def multikey_order(*columns: np.ndarray) -> np.ndarray:
 def _runs(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for part, blobs in slices(batches, "text", 2 << 20):
+        for part, blobs in slices(batches, "text", 256 << 10):
             # two copies of a text tell as much as more: each of its strings is repeated
             at = []
             for i, k in enumerate(part.column(0).to_pylist()):
