@@ -11,7 +11,7 @@ sorted (about one in eighty), and still every repeat is found:
    on in equal regions: all strings of these runs are repeated. Equal grams with unequal regions: the ends
    of a repeated passage, one run of each region is compared byte by byte in step 3. The range partitioning
    keeps equal (leading bytes, gram hash) in one bucket, so that no comparison is lost at a boundary;
-   a task sends at most two copies of one text, so that large groups of copies stay small.
+   a task sends a region that it holds twice as one row, so that very common passages stay small.
 3. The few runs at ends of passages fetch their bytes, are sorted by gram and distance from the anchor, and
    strings that occur twice are marked.
 4. Marked strings are merged into spans per text and cut out.
@@ -122,19 +122,42 @@ def multikey_order(*columns: np.ndarray) -> np.ndarray:
 def _runs(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for part, blobs in slices(batches, "text", 256 << 10):
+        for part, blobs in slices(batches, "text"):
             # two copies of a text tell as much as more: each of its strings is repeated
             at = []
             for i, k in enumerate(part.column(0).to_pylist()):
                 seen[k] += 1
                 if seen[k] <= 2:
                     at.append(i)
-            sizes = np.array([len(blobs[i]) for i in at], dtype=np.int64)
-            text, *columns = anchors(np.frombuffer(b"".join(blobs[i] for i in at), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes, length)
-            if len(text):
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.array(at)[text])), *map(pa.array, columns)], names=["k", "p", "a", "b", "lead", "gram", "region"])
+            found, begin = [], 0
+            while begin < len(at):  # blocks that stay in the processor's cache
+                stop, size = begin, 0
+                while stop < len(at) and size < 256 << 10:
+                    size += len(blobs[at[stop]])
+                    stop += 1
+                sizes = np.array([len(blobs[i]) for i in at[begin:stop]], dtype=np.int64)
+                text, *columns = anchors(np.frombuffer(b"".join(blobs[i] for i in at[begin:stop]), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes, length)
+                found.append((np.array(at[begin:stop], dtype=np.int64)[text], *columns))
+                begin = stop
+            if not found or not sum(len(f[0]) for f in found):
+                continue
+            text, p, a, b, lead, gram, region = map(np.concatenate, zip(*found))
+            # a region that these texts hold twice is settled here: its runs go on as such, merged where one
+            # follows another, and one row stands for them in the comparison
+            _, first, inverse, count = np.unique(region, return_index=True, return_inverse=True, return_counts=True)
+            whole = count[inverse] >= 2
+            w = np.flatnonzero(whole)
+            if len(w):
+                new = np.concatenate(([True], (text[w][1:] != text[w][:-1]) | (a[w][1:] != b[w][:-1] + 1)))
+                head, tail = w[new], w[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(w) - 1]))]
+                spread = _mix(head.astype(np.uint64) + region[head].view(np.uint64)).view(np.int64)
+                yield self_rows(part, text[head], p[head], a[head], b[tail], spread, spread, spread, np.full(len(head), 9, np.int8))
+            yield self_rows(part, text[first], p[first], a[first], b[first], lead[first], gram[first], region[first], np.minimum(count, 2).astype(np.int8))
+
+    def self_rows(part: pa.RecordBatch, text: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), *map(pa.array, columns)], names=["k", "p", "a", "b", "lead", "gram", "region", "n"])
 
-    return texts.select("k", "text").mapInArrow(run, "k binary, p int, a int, b int, lead long, gram long, region long")
+    return texts.select("k", "text").mapInArrow(run, "k binary, p int, a int, b int, lead long, gram long, region long, n byte")
 
 
 def _compare(bucket: DataFrame) -> DataFrame:
@@ -146,21 +169,27 @@ def _compare(bucket: DataFrame) -> DataFrame:
         if not whole:
             return
         t = pa.Table.from_batches(whole).combine_chunks()
-        lead, gram, region = (t.column(c).to_numpy() for c in ("lead", "gram", "region"))
+        settled = t.column("n").to_numpy() == 9
+        yield from rows(t.filter(pa.array(settled)), True)
+        t = t.filter(pa.array(~settled)).combine_chunks()
+        if not len(t):
+            return
+        lead, gram, region, n = (t.column(c).to_numpy() for c in ("lead", "gram", "region", "n"))
         order = multikey_order(lead.view(np.uint64), gram, region)
         lead, gram, region = lead[order], gram[order], region[order]
         new_gram = np.concatenate(([True], (lead[1:] != lead[:-1]) | (gram[1:] != gram[:-1])))
         new_region = new_gram | np.concatenate(([True], region[1:] != region[:-1]))
         at = np.flatnonzero(new_region)
-        total = np.diff(np.concatenate((at, [len(gram)])))
-        whole_run = np.repeat(total >= 2, total)
+        whole_run = np.repeat(np.add.reduceat(n[order].astype(np.int64), at) >= 2, np.diff(np.concatenate((at, [len(gram)]))))
         # one run of each region where a gram has several
         first = np.flatnonzero(new_gram)
         several = np.repeat(np.add.reduceat(new_region.astype(np.int64), first) >= 2, np.diff(np.concatenate((first, [len(gram)]))))
         for mask, flag in ((whole_run, True), (several & new_region, False)):
-            found = t.take(pa.array(order[mask]))
-            for b in found.combine_chunks().to_batches(max_chunksize=20_000):
-                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("k", "p", "a", "b", "gram")] + [pa.array([flag] * b.num_rows)], names=["k", "p", "a", "b", "gram", "whole"])
+            yield from rows(t.take(pa.array(order[mask])), flag)
+
+    def rows(found: pa.Table, flag: bool) -> Iterator[pa.RecordBatch]:
+        for b in found.combine_chunks().to_batches(max_chunksize=20_000):
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("k", "p", "a", "b", "gram")] + [pa.array([flag] * b.num_rows)], names=["k", "p", "a", "b", "gram", "whole"])
 
     return bucket.mapInArrow(run, "k binary, p int, a int, b int, gram long, whole boolean")
 
