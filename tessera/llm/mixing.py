@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, partitions
 
 BLOCK, SHARD, PASSES, BUCKETS, ROUNDS = 128, 4096, 3, 1024, 12
 
@@ -107,6 +107,8 @@ def draws(goal: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
 def taken_blocks(drawn: DataFrame, block: int = BLOCK) -> DataFrame:
     """Rows (source, shard, k, epoch, index): which block fills each slot."""
     n = F.ceil(F.col("source_size") / block)
+    # few rows make many: they are dealt out first, and Spark is kept from taking the result for small
+    drawn = drawn.repartition(partitions(drawn.sparkSession), "source", "shard")
     slots = drawn.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
     slots = slots.withColumn("epoch", F.floor(F.col("k") / F.col("n"))).where(F.col("epoch") < PASSES)
     return slots.select("source", "shard", "k", "epoch", permuted(F.pmod(F.col("k"), F.col("n")), F.col("n"), F.coalesce("source", F.lit("\n")), F.col("epoch")).alias("index"))
@@ -114,7 +116,8 @@ def taken_blocks(drawn: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def _parts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents with their place in the streams; targets; blocks taken of each source with their epochs."""
-    sized = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
+    uid = F.col("__uid") if "__uid" in docs.columns else F.monotonically_increasing_id()
+    sized = docs.select(uid.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
     placed = cut(streams(sized), "streams")
     goal = cut(targets(placed.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     blocks = taken_blocks(draws(goal)).groupBy("source", "index").agg(F.collect_list("epoch").alias("epochs"))  # PASSES at most
@@ -126,7 +129,7 @@ def _pieces(placed: DataFrame, blocks: DataFrame) -> DataFrame:
     the document."""
     end = F.col("start") + F.col("size")
     spans = placed.where("size > 0").select("uid", "size", "start", "source", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((end - 1) / BLOCK))).alias("index"))
-    joined = spans.join(blocks.select(F.col("source").alias("s"), F.col("index").alias("i"), "epochs"), (F.coalesce("source", F.lit("\n")) == F.coalesce("s", F.lit("\n"))) & (F.col("index") == F.col("i")))
+    joined = spans.join(blocks.select(F.col("source").alias("s"), F.col("index").alias("i"), "epochs").hint("merge"), (F.coalesce("source", F.lit("\n")) == F.coalesce("s", F.lit("\n"))) & (F.col("index") == F.col("i")))
     begin = F.greatest(F.col("start"), F.col("index") * BLOCK) - F.col("start")
     stop = F.least(end, (F.col("index") + 1) * BLOCK) - F.col("start")
     return joined.select("uid", "size", begin.alias("from"), stop.alias("upto"), "epochs")
@@ -136,7 +139,7 @@ def mix(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken) of every document."""
     placed, goal, blocks = _parts(docs)
     taken = _pieces(placed, blocks).groupBy("uid").agg(F.sum((F.col("upto") - F.col("from")) * F.size("epochs")).alias("taken"))
-    rows = placed.join(taken, "uid", "left").join(F.broadcast(goal.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
+    rows = placed.join(taken.hint("merge"), "uid", "left").join(F.broadcast(goal.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -144,13 +147,13 @@ def mixture(docs: DataFrame) -> DataFrame:
     """The mixture as documents: a row for each document and pass that takes words of it, with the columns
     of ``docs``. The text is whole where all of it is taken, else the taken stretches, joined by line ends;
     n_chars, if there is one, is counted anew."""
-    placed, _, blocks = _parts(docs)
+    keyed = cut(docs.withColumn("__uid", F.monotonically_increasing_id()), "keyed")  # numbered once, whatever is read again
+    placed, _, blocks = _parts(keyed)
     pieces = _pieces(placed, blocks).select("uid", "size", "from", "upto", F.explode("epochs").alias("epoch"))
     passes = pieces.groupBy("uid", "epoch").agg(F.first("size").alias("size"), F.sum(F.col("upto") - F.col("from")).alias("words"), F.sort_array(F.collect_list(F.struct("from", "upto"))).alias("at"))
     passes = passes.withColumn("at", F.when(F.col("words") < F.col("size"), F.col("at"))).select("uid", F.struct("epoch", "at").alias("pass"))
     passes = passes.groupBy("uid").agg(F.sort_array(F.collect_list("pass")).alias("passes"))  # PASSES at most
-    keyed = docs.withColumn("__uid", F.monotonically_increasing_id())
-    joined = keyed.join(passes, keyed["__uid"] == passes["uid"]).withColumn("__pass", F.explode("passes"))
+    joined = keyed.join(passes.hint("merge"), keyed["__uid"] == passes["uid"]).withColumn("__pass", F.explode("passes"))
     words = F.regexp_extract_all(F.col("text"), F.lit("[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+"), F.lit(0))
     stretches = F.transform(F.col("__pass.at"), lambda x: F.rtrim(F.array_join(F.slice(words, (x["from"] + 1).cast("int"), (x["upto"] - x["from"]).cast("int")), "")))
     text = F.when(F.col("__pass.at").isNull(), F.col("text")).otherwise(F.array_join(stretches, "\n"))
