@@ -11,15 +11,14 @@ from ..operators.timeseries import price_index
 from ..sources.analogue import CUTOFF, M12, M36, M60, Reports
 from .register import plan
 
-_WHOLE = Window.partitionBy()
-
 
 def _at(df: DataFrame, month: str = CUTOFF) -> DataFrame:
     return df.where(F.col("dt") == F.lit(month).cast("date"))
 
 
 def _share(c: str):
-    return F.round(F.col(c) / F.nullif(F.sum(c).over(_WHOLE), F.lit(0.0)), 6)
+    """Share of the total; for aggregated tables of few rows, as its window has one partition."""
+    return F.round(F.col(c) / F.nullif(F.sum(c).over(Window.partitionBy()), F.lit(0.0)), 6)
 
 
 _SERIES_SQL = """SELECT s.dt, count(*) AS n, count(*) FILTER (tp='Fundo') AS n_fund, count(*) FILTER (tp='Classe') AS n_class, round(sum(pl),2) AS pl, round(sum(dc_risk),2) AS dc_risk,
@@ -81,7 +80,9 @@ def provider_ranking_by_role(r: Reports) -> DataFrame:
 
 @plan(f"SELECT cnpj, pl, share FROM (SELECT cnpj, pl, round(pl/nullif(sum(pl) OVER (),0),6) AS share FROM sane WHERE dt='{CUTOFF}') ORDER BY pl DESC, cnpj LIMIT 30")
 def top_vehicles(r: Reports) -> DataFrame:
-    return _at(r.sane).select("cnpj", "pl", _share("pl").alias("share")).orderBy(F.desc("pl"), "cnpj").limit(30)
+    own = _at(r.sane).select("cnpj", "pl")
+    total = own.agg(F.nullif(F.sum("pl"), F.lit(0.0)).alias("total"))
+    return own.orderBy(F.desc("pl"), "cnpj").limit(30).crossJoin(F.broadcast(total)).select("cnpj", "pl", F.round(F.col("pl") / F.col("total"), 6).alias("share"))
 
 
 def _hhi_sql(value: str, clip: bool) -> str:
