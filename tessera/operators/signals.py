@@ -37,21 +37,47 @@ SIGNALS = [
     Signal("QA-03", "prov / nullif(inad, 0)", "inad >= 1e4", "inad >= 1e4", "pct", 0.10, False, 6, 3, False),
     Signal("QA-04", "CASE WHEN base > 0 THEN CASE WHEN inad = 0 THEN 1.0 ELSE 0.0 END END", "dc > 0 AND pr_max IS NOT NULL", "dc >= 4.28e5 AND pr_max >= 50", "ocorrencia", 1.0, True, 6, 3, False),
     Signal("QA-05", "inad_long / nullif(inad, 0)", "inad >= 1e4", "inad >= 1e4", "pct", 0.90, True, 3, 3, False),
+    Signal("QA-06", "CASE WHEN dc_risk > 0 THEN perform / dc_risk END", "dc_risk > 0", "dc_risk >= 5e4", "pct", 0.1, False, 1, 1, True, "dc_risk > 0 AND perform > 0"),
     Signal("ES-01", "coalesce(v_sub, 0) / nullif(v_tot, 0)", "v_sen > 0 AND v_sub > 0", "pl >= 5e4", "pct", 0.05, False, 6, 3, False),
     Signal("ES-02", "d_subord_12", "v_sen > 0 AND v_sub > 0 AND d_subord_12 IS NOT NULL", "pl >= 5e4", "pct", 0.05, False, 6, 2, False),
     Signal("ES-03", "CASE WHEN v_sen > 0 AND inad > 0 THEN CASE WHEN coalesce(v_sub, 0) < inad - prov THEN 1.0 ELSE 0.0 END END", "v_sen > 0 AND inad - prov >= 1e4", "inad - prov >= 1e4 AND v_sen > 0", "ocorrencia", 1.0, True, 10, 2, False, "v_sen > 0 AND v_sub IS NOT NULL AND inad > 0"),
     Signal("ES-04", "CASE WHEN pl <= 0 THEN 1.0 WHEN pl > 0 THEN 0.0 END", "obs", "TRUE", "ocorrencia", 1.0, True, 10, 1, True),
+    Signal("ES-05", "rent_min", "v_sen > 0", "pl >= 5e4", "pct", 0.05, False, 6, 2, True),
     Signal("CN-01", "pr_max", "pr_max IS NOT NULL", "dc >= 5e4", "pct", 0.90, True, 3, 3, True),
     Signal("CN-02", "hhi_ced", "hhi_ced IS NOT NULL", "dc >= 5e4", "pct", 0.90, True, 3, 3, False),
     Signal("CN-03", "n_hold", "n_hold IS NOT NULL", "pl >= 1.56e5", "fixo", 2.0, False, 3, 3, True),
+    Signal("CN-04", "sg_max / nullif(sg_sum, 0)", "sg_sum > 0", "dc >= 2e5", "fixo", 0.999, True, 1, 3, False),
+    Signal("CN-05", "quotas / nullif(total, 0)", "total > 0", "pl >= 5e4", "pct", 0.95, True, 1, 3, True),
+    Signal("GV-01", "CASE WHEN interest = 'S' AND exclusive = 'N' AND n_hold >= 10 THEN 1.0 ELSE 0.0 END", "interest IS NOT NULL AND exclusive IS NOT NULL", "pl >= 5e4", "ocorrencia", 1.0, True, 6, 3, True, "interest IS NOT NULL AND exclusive IS NOT NULL AND n_hold IS NOT NULL"),
+    Signal("GV-02", "same_party", "same_party IS NOT NULL", "pl >= 5e4", "ocorrencia", 1.0, True, 3, 3, True),
+    Signal("GV-03", "new_admin", "new_admin IS NOT NULL", "pl >= 5e4", "ocorrencia", 1.0, True, 1, 1, True),
+    Signal("GV-04", "measure", "name IS NOT NULL", "TRUE", "ocorrencia", 1.0, True, 6, 1, True),
+    Signal("GV-05", "no_provider", "no_provider IS NOT NULL", "pl >= 5e4", "ocorrencia", 1.0, True, 3, 3, True),
+    Signal("DI-01", "CASE WHEN coalesce(pr_sum, 0) > 100.5 OR coalesce(n_bad, 0) > 0 THEN 1.0 ELSE 0.0 END", "n_ced IS NOT NULL", "dc >= 5e4", "ocorrencia", 1.0, True, 3, 1, True),
     Signal("DI-02", "abs(dc - base) / nullif(dc, 0)", "dc >= 5e4", "dc >= 5e4", "pct", 0.95, True, 3, 3, False),
     Signal("DI-03", "CASE WHEN dc >= 2e5 THEN CASE WHEN pr_max IS NULL THEN 1.0 ELSE 0.0 END END", "dc >= 2e5", "dc >= 2e5", "ocorrencia", 1.0, True, 1, 3, True),
     Signal("DI-04", "abs(v_tot - pl) / nullif(pl, 0)", "pl > 0 AND v_tot IS NOT NULL", "pl >= 1e4", "pct", 0.99, True, 3, 2, False),
     Signal("DI-05", "gaps", "obs", "pl >= 1e4", "fixo", 1.0, True, 3, 1, True),
+    Signal("DI-06", "same", "book > 0", "book >= 1e4", "fixo", 3.0, True, 3, 1, True, "book IS NOT NULL"),
+    Signal("DI-07", "(coalesce(dc, 0) + coalesce(in_court, 0)) / nullif(book, 0)", "book > 0", "book >= 1e4", "fixo", 1.005, True, 6, 1, False),
+    Signal("JR-01", "CASE WHEN in_court > 0 THEN in_court END", "in_court > 0", "in_court >= 5e3", "ocorrencia", 1.0, True, 6, 2, True),
+    Signal("JR-02", "sg_court / nullif(sg_sum, 0)", "sg_sum > 0", "sg_sum >= 5e4", "pct", 0.9, True, 1, 3, True),
+    Signal("JR-03", "rated_low / nullif(rated, 0)", "dc >= 5e4 AND rated > 0", "dc >= 5e4", "pct", 0.95, True, 6, 3, True, "rated > 0"),
+    Signal("JR-04", "closing", "closing IS NOT NULL", "pl >= 1e4", "ocorrencia", 1.0, True, 6, 1, True),
+    Signal("JR-05", "CASE WHEN pl > 0 AND tax_debt > 0 THEN tax_debt / pl END", "pl > 0 AND tax_debt > 0", "pl >= 1e4", "fixo", 0.01, True, 3, 2, True),
+    Signal("IC-01", "CASE WHEN book > 1.005 * total OR pl > 1.005 * total THEN 1.0 ELSE 0.0 END", "total > 0", "total >= 1e4", "ocorrencia", 1.0, True, 10, 1, False, "total > 0 AND pl IS NOT NULL AND book IS NOT NULL"),
+    Signal("IC-02", "rent_max", "v_sen > 0", "pl >= 5e4", "pct", 0.99, True, 6, 2, True),
+    Signal("IC-03", "CASE WHEN rent_min > 0 AND tx >= 0.1319 AND prov <= 0 THEN 1.0 ELSE 0.0 END", "v_sen > 0 AND tx IS NOT NULL AND inad > 0", "inad >= 1e4", "ocorrencia", 1.0, True, 6, 2, False, "v_sen > 0 AND tx IS NOT NULL AND rent_min IS NOT NULL AND inad > 0"),
     Signal("IC-04", "var_m", "pl_1 >= 1e4", "pl_1 >= 1e4", "pct", 0.01, False, 6, 1, False),
     Signal("IC-05", "pl / nullif(pl_12, 0) - 1", "pl_12 >= 1e4", "pl_12 >= 1e4 AND pl >= 1e5", "pct", 0.98, True, 3, 2, False),
+    Signal("IC-06", "shift_12", "shift_12 IS NOT NULL", "pl >= 1e5", "pct", 0.98, True, 3, 2, False),
     Signal("PO-01", "aq_12m / nullif(med_12, 0)", "aq_12m / nullif(med_12, 0) IS NOT NULL", "med_12 >= 5e4", "pct", 0.98, True, 3, 2, False),
     Signal("PO-02", "roll_12m / nullif(med_12, 0)", "roll_12m / nullif(med_12, 0) IS NOT NULL", "med_12 >= 5e4", "pct", 0.95, True, 6, 2, False),
+    Signal("PO-03", "related_12m / nullif(med_12, 0)", "related_12m / nullif(med_12, 0) IS NOT NULL", "med_12 >= 1e4", "fixo", 0.01, True, 6, 1, True),
+    Signal("PO-04", "sold / nullif(sold_book, 0)", "sold / nullif(sold_book, 0) IS NOT NULL", "sold >= 1e3", "fixo", 0.5, False, 3, 1, True),
+    Signal("PO-05", "coalesce(pr_person, 0)", "pr_max IS NOT NULL", "dc >= 1e4", "fixo", 20.0, True, 3, 3, True),
+    Signal("PO-06", "poor_12m / nullif(med_12, 0)", "poor_12m / nullif(med_12, 0) IS NOT NULL", "med_12 >= 1e4", "pct", 0.99, True, 1, 2, True),
+    Signal("PO-07", "CASE WHEN form = 'ABERTO' AND pl > 0 AND (liq0 IS NOT NULL OR liq30 IS NOT NULL) THEN (coalesce(liq0, 0) + coalesce(liq30, 0)) / pl END", "form = 'ABERTO' AND pl > 0", "pl >= 1e4", "fixo", 0.0, False, 6, 2, True, "form IS NOT NULL AND pl > 0 AND (liq0 IS NOT NULL OR liq30 IS NOT NULL)"),
 ]
 
 
@@ -80,13 +106,20 @@ def fired(long: DataFrame, limits: DataFrame, signals: list[Signal]) -> DataFram
     return long.join(F.broadcast(limits.select("id", "lim")), "id").withColumn("fired", F.coalesce(F.col("evaluable") & F.col("grp") & F.col("material") & hit, F.lit(False)))
 
 
-def score(at_cutoff: DataFrame, streaks: DataFrame, signals: list[Signal]) -> DataFrame:
-    """Weighted share of fired and persistent signals among the evaluable, and the coverage."""
-    meta = at_cutoff.sparkSession.createDataFrame([(s.id, s.weight, s.months, s.observed) for s in signals], "id string, weight int, months int, observed boolean")
-    j = at_cutoff.join(streaks, ["cnpj", "id"], "left").join(F.broadcast(meta), "id")
-    hit = F.col("fired") & (F.coalesce("streak", F.lit(0)) >= F.col("months"))
+def settled(fired: DataFrame, cutoff: str) -> DataFrame:
+    """(cnpj, id, fired, evaluable, streak): the state at the cutoff and the months in a row up to it that fired,
+    in one aggregation over the dense grid of months."""
+    end = F.lit(cutoff).cast("date")
+    now = fired.where(F.col("dt") <= end).groupBy("cnpj", "id").agg(*[F.max(F.when(F.col("dt") == end, F.col(c))).alias(c) for c in ("fired", "evaluable")], F.max(F.when(~F.coalesce("fired", F.lit(False)), F.col("dt"))).alias("stop"), F.count("*").alias("months"))
+    return now.select("cnpj", "id", "fired", "evaluable", F.coalesce(F.months_between(end, F.col("stop")).cast("long"), F.col("months")).alias("streak"))
+
+
+def score(now: DataFrame, signals: list[Signal]) -> DataFrame:
+    """Weighted share of fired and persistent signals among the evaluable, and the coverage; ``now`` as settled gives it."""
+    meta = now.sparkSession.createDataFrame([(s.id, s.weight, s.months) for s in signals], "id string, weight int, months int")
+    hit = F.col("fired") & (F.col("streak") >= F.col("months"))
     weight = F.sum(F.when(F.col("evaluable"), F.col("weight")))
-    return j.groupBy("cnpj").agg(F.round(100.0 * F.coalesce(F.sum(F.when(hit, F.col("weight"))), F.lit(0)) / F.nullif(weight, F.lit(0)), 2).alias("score"), F.round(100.0 * F.count_if("evaluable") / F.count("*"), 2).alias("coverage"), F.count_if(hit).alias("n_fired"))
+    return now.join(F.broadcast(meta), "id").groupBy("cnpj").agg(F.round(100.0 * F.coalesce(F.sum(F.when(hit, F.col("weight"))), F.lit(0)) / F.nullif(weight, F.lit(0)), 2).alias("score"), F.round(100.0 * F.count_if("evaluable") / F.count("*"), 2).alias("coverage"), F.count_if(hit).alias("n_fired"))
 
 
 def bands(scores: DataFrame) -> DataFrame:

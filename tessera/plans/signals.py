@@ -13,23 +13,75 @@ from .register import plan
 _IDS = S.SIGNALS
 
 
+#: What the smaller report tables hold, as sums over a vehicle's lines of a month; the same text for Spark and DuckDB.
+_TABS = {
+    "perform": "round(sum(v) FILTER (WHERE flag = 'N' AND ln = 1), 2)",
+    "rent_min": "min(round(100 * tax - 1, 6)) FILTER (WHERE flag = 'N')",
+    "rent_max": "max(round(100 * tax - 1, 6)) FILTER (WHERE flag = 'N')",
+    **{f"seg{i}": f"coalesce(round(sum(v) FILTER (WHERE ln = {i}), 2), 0.0)" for i in range(1, 8)},
+    "quotas": "coalesce(round(sum(v) FILTER (WHERE ln BETWEEN 5 AND 6), 2), 0.0)",
+    "total": "round(sum(v) FILTER (WHERE ln <= 6), 2)",
+    "book": "round(sum(v), 2)",
+    "lots": "floor(sum(qty) / 400)",
+    "in_court": "round(sum(v) FILTER (WHERE ln = 7 AND flag = 'R'), 2)",
+    "sg_court": "coalesce(round(sum(v) FILTER (WHERE ln >= 6), 2), 0.0)",
+    "rated_low": "coalesce(round(sum(v) FILTER (WHERE tax >= 0.05), 2), 0.0)",
+    "rated": "round(sum(v), 2)",
+    "tax_debt": "round(sum(v * tax) FILTER (WHERE tax >= 0.08), 2)",
+    "admin_code": "min(l_orderkey) % 5",
+    "related": "round(sum(v) FILTER (WHERE ln = 4 AND flag = 'A'), 2)",
+    "sold": "round(sum(v) FILTER (WHERE ln = 3 AND flag = 'R'), 2)",
+    "sold_book": "round(sum(v * (1 + 15 * tax)) FILTER (WHERE ln = 3 AND flag = 'R'), 2)",
+    "poor": "round(sum(v) FILTER (WHERE flag = 'A' AND qty < 10), 2)",
+    "liq0": "round(sum(v) FILTER (WHERE ln = 1 AND flag = 'A'), 2)",
+    "liq30": "round(sum(v) FILTER (WHERE ln = 2 AND flag = 'A'), 2)",
+}
+_TABS_SQL = ", ".join(f"{e} AS {n}" for n, e in _TABS.items())
+
+#: What the registry tells of a vehicle.
+_ROLES = {
+    "name": "name",
+    "form": "CASE WHEN gestor % 2 = 0 THEN 'ABERTO' ELSE 'FECHADO' END",
+    "interest": "CASE WHEN name LIKE '%1' THEN 'S' ELSE 'N' END",
+    "exclusive": "CASE WHEN bal > 5000 THEN 'S' ELSE 'N' END",
+    "same_party": "CASE WHEN gestor = length(admin) - 4 THEN 1.0 ELSE 0.0 END",
+    "measure": "CASE WHEN name LIKE '%7' THEN 1.0 ELSE 0.0 END",
+    "no_provider": "CASE WHEN nullif(region, 'ASIA') IS NULL THEN 1.0 ELSE 0.0 END",
+    "closing": "CASE WHEN bal < 0 THEN 1.0 ELSE 0.0 END",
+}
+_ROLES_SQL = ", ".join(f"{e} AS {n}" for n, e in _ROLES.items())
+
+#: Each row's own derivations.
+_OWN = {"sg_max": "greatest(seg1, seg2, seg3, seg4, seg5, seg6, seg7)", "sg_sum": "seg1 + seg2 + seg3 + seg4 + seg5 + seg6 + seg7"}
+_OWN_SQL = ", ".join(f"{e} AS {n}" for n, e in _OWN.items())
+
+
 def _wide(r: Reports) -> DataFrame:
     own = F.col("dt").between(F.lit(GRID_FROM).cast("date"), F.lit(CUTOFF).cast("date"))
     grid = T.interior_gaps(T.densify(r.sane.where(own).select("cnpj", "dt", "pl"), r.lines.where(own).select("dt").distinct()))
-    ced = r.assignors.where("pos <= 9 AND val % 5 < 4").groupBy("cnpj", "dt").agg(F.max("pr").alias("pr_max"), F.sum(F.col("pr") * F.col("pr")).alias("hhi_ced"))
+    ced = r.assignors.where("pos <= 9 AND val % 5 < 4").groupBy("cnpj", "dt").agg(F.max("pr").alias("pr_max"), F.sum(F.col("pr") * F.col("pr")).alias("hhi_ced"), F.sum("pr").alias("pr_sum"), F.count("*").alias("n_ced"), F.count_if(F.col("pr") > 60).alias("n_bad"), F.max(F.when(F.col("val") % 7 < 1, F.col("pr"))).alias("pr_person"))
     hold = r.debtors.groupBy("cnpj", "dt").agg(F.count("*").alias("n_hold"))
+    tabs = r.lines.groupBy("cnpj", "dt").agg(*[F.expr(e).alias(n) for n, e in _TABS.items()])
     j = grid
-    for t in (r.assets, r.overdue, ced, hold):
+    for t in (r.assets, r.overdue, ced, hold, tabs):
         j = j.join(t, ["cnpj", "dt"], "left")
+    j = j.join(r.registry.select("cnpj", *[F.expr(e).alias(n) for n, e in _ROLES.items()]), "cnpj", "left")
+    j = T.stagnation(j.withColumns({n: F.expr(e) for n, e in _OWN.items()}), "lots")
     z = F.lit(0.0)
     j = j.withColumns({"dc": F.when(F.col("v_tot").isNotNull(), F.coalesce("dc_risk", z) + F.coalesce("dc_norisk", z)), "prov": F.coalesce("b90", z), "inad_long": F.coalesce("bmax", z), "base": F.coalesce("dcp", z) + F.coalesce("inad", z)})
     w = T.by_month()
+
+    def grown(c: str):
+        return F.ln(F.when(F.lag(c, 12).over(w) > 0, F.when(F.col(c) > 0, F.col(c) / F.lag(c, 12).over(w))))
+
     sub = F.coalesce("v_sub", z) / F.nullif(F.col("v_tot"), z)
     tx = F.col("inad") / F.nullif(F.col("base"), z)
     j = j.withColumns({"tx": tx, "subord": sub})
     return j.withColumns({
         "d_inad_12": F.col("tx") - F.lag("tx", 12).over(w), "d_subord_12": F.col("subord") - F.lag("subord", 12).over(w), "pl_1": F.lag("pl", 1).over(w), "pl_12": F.lag("pl", 12).over(w),
         "aq_12m": T.rolling(F.col("v_sen")), "roll_12m": T.rolling(F.col("v_mez")), "med_12": T.rolling_mean(F.col("v_tot")),
+        "related_12m": T.rolling(F.coalesce("related", z)), "poor_12m": T.rolling(F.coalesce("poor", z)), "shift_12": grown("pl") - grown("book"),
+        "new_admin": (F.col("admin_code") != F.lag("admin_code", 12).over(w)).cast("double"),
     }).withColumn("var_m", F.col("pl") / F.nullif(F.col("pl_1"), z) - 1).where(F.col("dt") >= F.lit("2000-06-30").cast("date"))
 
 
@@ -38,12 +90,14 @@ _WIDE = f"""@mon AS (SELECT DISTINCT dt FROM lines WHERE dt BETWEEN '{GRID_FROM}
 g0 AS (SELECT c.cnpj, m.dt, s.pl, s.pl IS NOT NULL AS obs FROM (SELECT DISTINCT cnpj FROM thin) c CROSS JOIN mon m LEFT JOIN thin s ON s.cnpj=c.cnpj AND s.dt=m.dt),
 g1 AS (SELECT *, min(dt) FILTER (obs) OVER (PARTITION BY cnpj) AS f, max(dt) FILTER (obs) OVER (PARTITION BY cnpj) AS l FROM g0),
 g2 AS (SELECT *, sum(CASE WHEN NOT obs AND dt>f AND dt<l THEN 1 ELSE 0 END) OVER (PARTITION BY cnpj ORDER BY dt) AS gaps FROM g1),
-ced AS (SELECT cnpj, dt, max(pr) AS pr_max, sum(pr*pr) AS hhi_ced FROM assignors WHERE val%5<4 GROUP BY 1,2), hold AS (SELECT cnpj, dt, count(*) AS n_hold FROM debtors GROUP BY 1,2),
-j AS (SELECT g2.cnpj, g2.dt, pl, obs, gaps, v_sen, v_mez, v_sub, v_tot, inad, pr_max, hhi_ced, n_hold, CASE WHEN v_tot IS NOT NULL THEN coalesce(dc_risk,0)+coalesce(dc_norisk,0) END AS dc, coalesce(b90,0) AS prov, coalesce(bmax,0) AS inad_long, coalesce(dcp,0)+coalesce(inad,0) AS base
- FROM g2 LEFT JOIN assets USING (cnpj, dt) LEFT JOIN overdue USING (cnpj, dt) LEFT JOIN ced USING (cnpj, dt) LEFT JOIN hold USING (cnpj, dt)),
-j2 AS (SELECT *, inad/nullif(base,0) AS tx, coalesce(v_sub,0)/nullif(v_tot,0) AS subord FROM j),
+ced AS (SELECT cnpj, dt, max(pr) AS pr_max, sum(pr*pr) AS hhi_ced, sum(pr) AS pr_sum, count(*) AS n_ced, count(*) FILTER (pr>60) AS n_bad, max(pr) FILTER (val%7<1) AS pr_person FROM assignors WHERE val%5<4 GROUP BY 1,2), hold AS (SELECT cnpj, dt, count(*) AS n_hold FROM debtors GROUP BY 1,2),
+tabs AS (SELECT cnpj, dt, {_TABS_SQL} FROM lines GROUP BY 1,2), roles AS (SELECT cnpj, {_ROLES_SQL} FROM registry),
+j AS (SELECT g2.cnpj, g2.dt, pr_sum, n_ced, n_bad, pr_person, tabs.* EXCLUDE (cnpj, dt), roles.* EXCLUDE (cnpj), {_OWN_SQL}, pl, obs, gaps, v_sen, v_mez, v_sub, v_tot, inad, pr_max, hhi_ced, n_hold, dc_risk, CASE WHEN v_tot IS NOT NULL THEN coalesce(dc_risk,0)+coalesce(dc_norisk,0) END AS dc, coalesce(b90,0) AS prov, coalesce(bmax,0) AS inad_long, coalesce(dcp,0)+coalesce(inad,0) AS base
+ FROM g2 LEFT JOIN assets USING (cnpj, dt) LEFT JOIN overdue USING (cnpj, dt) LEFT JOIN ced USING (cnpj, dt) LEFT JOIN hold USING (cnpj, dt) LEFT JOIN tabs USING (cnpj, dt) LEFT JOIN roles USING (cnpj)),
+eq AS (SELECT *, CASE WHEN lots=lag(lots) OVER (PARTITION BY cnpj ORDER BY dt) THEN 1 ELSE 0 END AS eq FROM j), isl AS (SELECT *, sum(1-eq) OVER (PARTITION BY cnpj ORDER BY dt) AS isl FROM eq),
+j2 AS (SELECT * EXCLUDE (eq, isl), sum(eq) OVER (PARTITION BY cnpj, isl ORDER BY dt) AS same, inad/nullif(base,0) AS tx, coalesce(v_sub,0)/nullif(v_tot,0) AS subord FROM isl),
 wide AS (SELECT * FROM (SELECT *, tx-lag(tx,12) OVER w AS d_inad_12, subord-lag(subord,12) OVER w AS d_subord_12, lag(pl,1) OVER w AS pl_1, lag(pl,12) OVER w AS pl_12, pl/nullif(lag(pl,1) OVER w,0)-1 AS var_m,
- {_ROLL.format(c='v_sen')} AS aq_12m, {_ROLL.format(c='v_mez')} AS roll_12m, CASE WHEN count(v_tot) OVER w12>=10 THEN avg(v_tot) OVER w12 END AS med_12 FROM j2
+ {_ROLL.format(c='v_sen')} AS aq_12m, {_ROLL.format(c='v_mez')} AS roll_12m, {_ROLL.format(c='coalesce(related,0)')} AS related_12m, {_ROLL.format(c='coalesce(poor,0)')} AS poor_12m, ln(CASE WHEN lag(pl,12) OVER w>0 AND pl>0 THEN pl/lag(pl,12) OVER w END)-ln(CASE WHEN lag(book,12) OVER w>0 AND book>0 THEN book/lag(book,12) OVER w END) AS shift_12, cast(admin_code<>lag(admin_code,12) OVER w AS double) AS new_admin, CASE WHEN count(v_tot) OVER w12>=10 THEN avg(v_tot) OVER w12 END AS med_12 FROM j2
  WINDOW w AS (PARTITION BY cnpj ORDER BY dt), w12 AS (PARTITION BY cnpj ORDER BY dt ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) WHERE dt>='2000-06-30'),
 lf AS ({' UNION ALL '.join(f"SELECT '{s.id}' AS id, cnpj, dt, cast({s.value} AS double) AS value, coalesce({s.group},false) AS grp, coalesce({s.can()},false) AS evaluable, coalesce({s.material},false) AS material FROM wide" for s in _IDS)}),
 ids AS (SELECT * FROM (VALUES {','.join(f"('{s.id}','{s.kind}',{s.limit},{str(s.up).lower()},{s.weight},{s.months})" for s in _IDS)}) AS t(id, kind, q, up, weight, months)),
@@ -69,8 +123,7 @@ def _at(df: DataFrame) -> DataFrame:
 
 
 def _scores(r: Reports) -> DataFrame:
-    f = _fired(r)
-    return S.score(_at(f), T.trailing_streak(f, ["cnpj", "id"]), _IDS)
+    return S.score(S.settled(_fired(r), CUTOFF), _IDS)
 
 
 @plan(_WIDE + " SELECT id, round(lim,6) AS lim, n FROM lim")
@@ -91,10 +144,8 @@ def signal_catalog_stats(r: Reports) -> DataFrame:
 
 @plan(_WIDE + f" SELECT id, cnpj, streak, streak>=months AS persistent FROM fi JOIN st USING (cnpj, id) JOIN ids USING (id) WHERE dt='{CUTOFF}' AND fired")
 def signals_fired(r: Reports) -> DataFrame:
-    f = _fired(r)
     months = F.create_map(*[x for s in _IDS for x in (F.lit(s.id), F.lit(s.months))])
-    j = _at(f).where("fired").join(T.trailing_streak(f, ["cnpj", "id"]), ["cnpj", "id"])
-    return j.select("id", "cnpj", "streak", (F.col("streak") >= months[F.col("id")]).alias("persistent"))
+    return S.settled(_fired(r), CUTOFF).where("fired").select("id", "cnpj", "streak", (F.col("streak") >= months[F.col("id")]).alias("persistent"))
 
 
 @plan(_WIDE + " SELECT cnpj, score, coverage, n_fired FROM sc")
