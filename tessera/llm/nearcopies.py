@@ -1,0 +1,161 @@
+"""Near copies by the Jaccard similarity of word shingles.
+
+A document's shingles are the distinct XXH64 of ``WIDTH`` words in a row (fewer words make one shingle). Two
+documents are linked at a similarity of ``LEVEL`` or more. Documents with equal shingles are one node. Nodes that
+agree in the ``ROWS`` minima of one of ``BANDS`` bands are candidates: at similarity s a pair is missed with chance
+(1 - s ** ROWS) ** BANDS, 5e-6 at 0.8 and less above. Candidates are verified on the whole shingle sets.
+
+A bucket of up to ``SMALL`` nodes gives all its pairs. In a larger one everything is first compared with one node,
+another in each of ``ROUNDS`` rounds; then what is left are pairs of nodes that are not yet in one component, and
+all of these are compared, dealt out by blocks of the bucket. No pair of candidates that could join two components
+is left out. No words: an empty set, equal to any other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import components, cut, slices
+
+WIDTH, LEVEL, ROWS, BANDS, SEED = 5, 0.8, 6, 40, 42
+SMALL, ROUNDS, MANY = 16, 3, 1024
+
+
+def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    words = text.lower().split()
+    if len(words) < width:
+        parts = [b" ".join(words)] if words else []
+    else:
+        parts = map(b" ".join, zip(*(words[i:] for i in range(width))))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype=np.uint64))
+
+
+def minima(sets: list[np.ndarray]) -> np.ndarray:
+    """ROWS * BANDS minima of each set, none of which is empty."""
+    rng = np.random.default_rng(SEED)
+    flip = rng.integers(0, 1 << 64, ROWS * BANDS, dtype=np.uint64)
+    odd = rng.integers(0, 1 << 64, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
+    every = np.concatenate(sets)
+    starts = np.cumsum([0, *map(len, sets[:-1])])
+    out = np.empty((len(sets), ROWS * BANDS), dtype=np.uint64)
+    for i in range(ROWS * BANDS):
+        x = (every ^ flip[i]) * odd[i]
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        out[:, i] = np.minimum.reduceat(x, starts)
+    return out
+
+
+def sets_of(docs: DataFrame, key: str) -> DataFrame:
+    """Rows (uid, node, bands, hashes): a digest of the shingle set, a value of each band, and the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, "text"):
+            sets = [shingles(t) for t in texts]
+            full = [i for i, s in enumerate(sets) if len(s)]
+            bands: list[list[int]] = [[] for _ in sets]
+            if full:
+                low = minima([sets[i] for i in full])
+                for i, row in zip(full, low):
+                    b = row.reshape(BANDS, ROWS)
+                    bands[i] = [xxhash.xxh64_intdigest(b[k].tobytes(), k) - (1 << 63) for k in range(BANDS)]
+            raw = [s.tobytes() for s in sets]
+            node = [xxhash.xxh64_intdigest(r, SEED) - (1 << 63) for r in raw]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(raw, pa.binary())], names=["uid", "node", "bands", "hashes"])
+
+    return docs.select(F.col(key).alias("uid"), "text").mapInArrow(run, "uid long, node long, bands array<long>, hashes binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, level: float) -> DataFrame:
+    """The pairs (u, v) whose sets have a similarity of ``level`` or more; ``sets`` has a row for each node."""
+    # a node with many pairs is laid out once for each MANY of them
+    heavy = pairs.groupBy("u").count().where(F.col("count") > MANY).select(F.col("u").alias("h"), F.ceil(F.col("count") / MANY).cast("int").alias("copies"))
+    heavy = F.broadcast(cut(heavy, "heavy"))
+    salted = pairs.join(heavy, pairs["u"] == heavy["h"], "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("copies", F.lit(1))).alias("salt"))
+    left = sets.join(heavy, sets["node"] == heavy["h"], "left").select(F.col("node").alias("u"), F.col("hashes").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)).cast("long") - 1)).alias("salt"))
+    right = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(s.as_py(), dtype=np.uint64) for s in (a, b))
+                few, many = sorted((len(x), len(y)))
+                if few < level * many:
+                    keep.append(False)
+                    continue
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(same >= level * (few + many - same))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    both = salted.join(left.hint("merge"), ["u", "salt"]).join(right.hint("merge"), "v").select("u", "v", "a", "b")
+    return both.mapInArrow(run, "u long, v long")
+
+
+def links(nodes: DataFrame, sets: DataFrame, level: float = LEVEL, small: int = SMALL) -> DataFrame:
+    """Edges (u, v) that connect all candidate pairs of ``level`` or more. ``nodes`` has node and bands, ``sets``
+    node and hashes; a row for each node."""
+    filed = nodes.select("node", F.explode("bands").alias("key"))
+    sizes = cut(filed.groupBy("key").count().where("count > 1").withColumnRenamed("count", "n"), "buckets")
+    large = sizes.where(F.col("n") > MANY)
+    filed = cut(filed.join(F.broadcast(large), "key").unionByName(filed.join(F.broadcast(large), "key", "left_anti").join(sizes.hint("merge"), "key")), "filed")
+    # only what has a candidate is compared
+    sets = cut(sets.join(filed.select("node").distinct().hint("merge"), "node", "left_semi"), "sets")
+
+    def pairs_in(groups: DataFrame) -> DataFrame:
+        # (nodes: array) of few rows
+        one = groups.select(F.col("nodes"), F.posexplode("nodes").alias("i", "x"))
+        return one.select(F.col("x"), F.explode(F.slice("nodes", F.col("i") + 2, F.size("nodes"))).alias("y"))
+
+    def ordered(df: DataFrame) -> DataFrame:
+        return df.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+
+    few = filed.where(F.col("n") <= small).groupBy("key").agg(F.collect_list("node").alias("nodes"))
+    edges = cut(verified(cut(ordered(pairs_in(few)), "pairs"), sets, level), "links")
+    open_ = filed.where(F.col("n") > small).select("key", "node")
+    if not open_.head(1):
+        return edges
+    for k in range(ROUNDS + 1):
+        comp = components(edges).withColumnRenamed("node", "c_node")
+        rows = cut(open_.join(comp.hint("merge"), F.col("node") == F.col("c_node"), "left").select("key", "node", F.coalesce("component", "node").alias("c")), "open")
+        left = cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(k))).alias("hub"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1"), "left")
+        if not left.head(1):
+            return edges
+        big = left.where(F.col("n") > MANY)
+        rows = rows.join(F.broadcast(big), "key").unionByName(rows.join(F.broadcast(big), "key", "left_anti").join(left.hint("merge"), "key"))
+        if k < ROUNDS:
+            found = rows.select(F.col("hub").alias("x"), F.col("node").alias("y"))
+            # the hub is u: it is the one with many pairs
+            pairs = found.where("x <> y").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct()
+        else:
+            blocks = F.ceil(F.col("n") / 64)
+            own = F.pmod(F.xxhash64("node", F.lit("block")), blocks)
+            dealt = rows.withColumn("b", own).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+            dealt = dealt.select("key", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), F.struct("b", "c", "node").alias("row"))
+            group = dealt.groupBy("key", "b1", "b2").agg(F.sort_array(F.collect_list("row")).alias("nodes"))
+            two = pairs_in(group).where("x.c <> y.c")
+            pairs = ordered(two.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")))
+        edges = cut(edges.unionByName(verified(cut(pairs, "pairs"), sets, level)), "links")
+        open_ = rows.select("key", "node")
+    return edges
+
+
+def groups(docs: DataFrame, key: str, level: float = LEVEL, small: int = SMALL) -> DataFrame:
+    """Rows (uid, first): each row's ``key`` (a unique long) and the smallest key of its group of near copies."""
+    made = cut(sets_of(docs, key), "shingles")
+    owner = cut(made.groupBy("node").agg(F.min("uid").alias("uid")), "owners")
+    own = made.join(owner.select("uid"), "uid", "left_semi")
+    edges = links(cut(own.select("node", "bands"), "nodes"), own.select("node", "hashes"), level, small)
+    comp = components(edges)
+    named = owner.join(comp.hint("merge"), "node", "left").select("node", "uid", F.coalesce("component", "node").alias("component"))
+    first = named.groupBy("component").agg(F.min("uid").alias("first"))
+    by_node = named.join(first, "component").select("node", "first")
+    return made.select("uid", "node").join(by_node, "node").select("uid", "first")

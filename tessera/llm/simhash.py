@@ -9,8 +9,9 @@ T_i; what meets is verified on the whole fingerprint.
 
 Only distinct fingerprints take part; copies are joined afterwards. Within a group of rows that meet,
 a task compares blocks and gives a spanning forest, never all pairs. Groups above ``cap`` rows are not
-brought together: each of their fingerprints is filed under all its values with two bits blanked
-(tau = 2: all pairs within tau then share a blanked value, at most four distinct fingerprints each).
+brought together: each of their fingerprints is filed under all its values with tau bits blanked (all pairs
+within tau then share a blanked value, at most 2 ** tau distinct fingerprints each; exact for any tau, at a cost
+of 64 over tau rows a fingerprint).
 
 Defined results: null or empty text has fingerprint 0, linked like any other; fewer than three words make
 one shingle of the whole sequence; rows repeat as they are; component_id ignores null doc_ids.
@@ -201,15 +202,12 @@ def links(nodes: DataFrame, tau: int = 2, cap: int = CAP) -> DataFrame:
     found = calm.repartition(partitions(spark), "g", "value").sortWithinPartitions("g", "value").mapInArrow(verify, "u long, v long")
     if not some:
         return found
-    if tau != 2:
-        raise ValueError("groups above cap are only split for tau = 2")
-
     def blank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for a, b in combinations(range(64), 2):
-                mask = np.uint64(1 << a | 1 << b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), 64 * a + b, np.int32)), pa.array((fp & ~mask).view(np.int64)), batch.column(0)], names=["g", "value", "fp"])
+            for g, bits in enumerate(combinations(range(64), tau)):
+                mask = np.uint64(sum(1 << b for b in bits))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), g, np.int32)), pa.array((fp & ~mask).view(np.int64)), batch.column(0)], names=["g", "value", "fp"])
 
     hot = filed.join(crowded, ["g", "value"], "left_semi").select("fp").distinct().mapInArrow(blank, "g int, value long, fp long")
     stars = hot.groupBy("g", "value").agg(F.min("fp").alias("u"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
