@@ -84,3 +84,22 @@ def test_simhash_crowded_groups_for_any_tau(spark, tau):
     for r in components(simhash.links(nodes, tau, 1)).collect():
         out.setdefault(r.component, []).append(r.node)
     assert sorted(map(sorted, out.values())) == want
+
+
+def test_stage_keeps_rows_whatever_their_doc_id(spark):
+    import corpus_pipeline
+
+    texts = varied()[:60]
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 7, i, i]), t) for i, t in enumerate(texts)]
+    rows += [(None, "this stands alone and has no number"), (None, "so does this other one here"), (7, "same number as others but another text"), rows[0]]
+    root = brute([t for _, t in rows])
+    best = {}
+    for (i, t), r in zip(rows, root):
+        best[r] = min(best.get(r, (True, 0)), (i is None, i or 0))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.one_of_each(spark, d, "").collect()
+    assert len(got) == len(best)
+    index = {row: r for row, r in zip(rows, root)}
+    kept = {index[(r.doc_id, r.text)]: (r.doc_id is None, r.doc_id or 0) for r in got}
+    assert kept == best
