@@ -1,16 +1,16 @@
 """Mixing sources to target weights, in blocks of words.
 
-Every source's texts, one after another, make a stream of words that is cut into blocks of ``BLOCK`` words.
-The mixture is a row of output shards with ``SHARD`` slots each. Each shard draws how many of its slots
-each source fills: the whole part of the source's share is sure, the slots that are left are drawn
-multinomially by the fractions. A source's slots are numbered through all shards; number k takes block
-pi(k mod n) of the source's n blocks, pi being a pseudorandom permutation of the block indexes (a swap-or-
-not network, computed row by row for any n), and a new one for each pass over the source. Blocks and slots
-are joined by index, and a document takes the words of its that lie in blocks, as often as those are taken.
+Every source's texts, one after another, make a stream of words that is cut into equal blocks of ``BLOCK`` words
+at most. A source fills as many slots of the mixture as its target holds blocks of its own; of a part of a slot a
+draw decides, so what is taken is within a block of the target, and on average meets it. The mixture is a row of
+output shards with about ``SHARD`` slots each, over which each source's slots are spread evenly, from a drawn offset.
+A source's slots are numbered through all shards; number k takes block pi(k mod n) of the source's n blocks, pi being
+a pseudorandom permutation of the block indexes (a swap-or-not network, computed row by row for any n), and a new one
+for each pass over the source. Blocks and slots are joined by index, and a document takes the words of its that lie
+in blocks, as often as those are taken.
 
 The targets: sources in code point order (null last) weigh 1, 2, 3 in turn and share all words; none gets
-more than ``PASSES`` times its size, and what is over is shared again by weight. Draws that would exceed
-PASSES passes are left out.
+more than ``PASSES`` times its size, and what is over is shared again by weight.
 
 Defined results: null or blank text has size 0 and takes 0; null is a source of its own; rows with null or
 repeated doc_id are rows like any other, ordered by their text's hash; an empty table gives no rows. The
@@ -73,44 +73,44 @@ def streams(sized: DataFrame) -> DataFrame:
     return joined.withColumn("start", F.col("before") + F.col("within")).drop("s", "b", "bucket", "before", "within")
 
 
-def draws(goal: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
-    """Rows (source, shard, first, count): the slots of each output shard that each source fills, numbered
-    from ``first`` through all shards of the source. ``goal`` is a row for each source."""
-    total = F.sum("target").over(Window.partitionBy())
-    slots = F.ceil(total / block)
-    shares = goal.where("target > 0").withColumn("share", F.col("target") / total).withColumn("slots", slots)
-    shares = shares.withColumn("upto", F.sum("share").over(Window.orderBy(F.col("source").isNull(), F.col("source"))))
-    listed = shares.agg(F.first("slots").alias("slots"), F.sort_array(F.collect_list(F.struct("upto", "share", "source", "source_size"))).alias("sources"))
-    shards = listed.select("sources", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("slots") / shard) - 1)).alias("shard"))
-    shards = shards.withColumn("own", F.least(F.lit(shard).cast("long"), F.col("slots") - F.col("shard") * shard))
-    sure = F.transform("sources", lambda s: F.floor(s["share"] * F.col("own")))
-    shards = shards.withColumn("sure", sure)
-    part = F.transform("sources", lambda s: s["share"] * F.col("own") - F.floor(s["share"] * F.col("own")))
-    shards = shards.withColumn("part", part).withColumn("left", F.col("own") - F.aggregate("sure", F.lit(0).cast("long"), lambda a, x: a + x))
-    # cumulative fractions, and for each slot that is left the source whose stretch its draw falls into
-    cumulative = F.aggregate("part", F.array().cast("array<double>"), lambda a, x: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x))
-    shards = shards.withColumn("cumulative", F.when(F.size("part") > 0, cumulative))
-    ends = F.try_element_at("cumulative", F.lit(-1))
-    drawn = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("left"), F.lit(1).cast("long"))), lambda i: F.size(F.filter("cumulative", lambda c: c <= uniform(F.col("shard"), i, F.lit("draw")) * ends)))
-    shards = shards.withColumn("drawn", F.when(F.col("left") > 0, drawn).otherwise(F.array().cast("array<int>")))
-    count = F.transform("sources", lambda s, i: F.struct(s["source"].alias("source"), s["source_size"].alias("source_size"), (F.element_at("sure", i + 1) + F.size(F.filter("drawn", lambda d: F.least(d, F.size("sources") - 1) == i))).alias("count")))
-    flat = shards.select("shard", F.explode(count).alias("x")).select("shard", "x.*").where("count > 0")
-    # shards are the corpus in words / (BLOCK * SHARD): counted up by source in slices of shards
-    flat = flat.withColumn("hundred", F.floor(F.col("shard") / 1024))
-    sums = flat.groupBy("source", "hundred").agg(F.sum("count").alias("c"))
-    over = sums.select(F.col("source").alias("s"), F.col("hundred").alias("h"), (F.sum("c").over(Window.partitionBy("source").orderBy("hundred")) - F.col("c")).alias("before"))
-    within = F.sum("count").over(Window.partitionBy("source", "hundred").orderBy("shard")) - F.col("count")
-    numbered = flat.withColumn("within", within).join(over, F.col("source").eqNullSafe(F.col("s")) & (F.col("hundred") == F.col("h")))
-    return numbered.select("source", "source_size", "shard", (F.col("before") + F.col("within")).alias("first"), "count")
-
-
-def taken_blocks(drawn: DataFrame, block: int = BLOCK) -> DataFrame:
+def blocks_of(size: Column, block: int = BLOCK) -> Column:
+    """How many blocks a source of ``size`` words has: equal ones, but for a word, of ``block`` words at most."""
+    return F.ceil(size / block)
+
+
+def block_start(index: Column, size: Column) -> Column:
+    """The first word of a block: of n blocks the first size mod n have a word more than the others."""
+    n = blocks_of(size)
+    return index * F.floor(size / n) + F.least(index, F.pmod(size, n))
+
+
+def block_at(word: Column, size: Column) -> Column:
+    """The block that holds a word of the stream."""
+    n = blocks_of(size)
+    least, longer = F.floor(size / n), F.pmod(size, n)
+    return F.when(word < longer * (least + 1), F.floor(word / (least + 1))).otherwise(longer + F.floor((word - longer * (least + 1)) / least))
+
+
+def draws(goal: DataFrame, shard: int = SHARD) -> DataFrame:
+    """Rows (source, source_size, slots, shards, offset, first, count): runs of a source's slots, ``shard`` slots at
+    most, numbered from ``first``. ``goal`` is a row for each source."""
+    # a slot gives the words of a block, so the target is counted in the source's own blocks
+    slots = F.col("target") / F.col("source_size") * blocks_of(F.col("source_size"))
+    own = goal.where("target > 0").withColumn("slots", slots).withColumn("shards", F.ceil(F.sum("slots").over(Window.partitionBy()) / shard))
+    own = own.withColumn("offset", uniform(F.coalesce("source", F.lit("\n")), F.lit("draw")))
+    own = own.withColumn("all", F.floor(F.col("slots") + F.col("offset")).cast("long")).where("all > 0")
+    runs = own.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1, F.lit(shard).cast("long"))))
+    return runs.select("source", "source_size", "slots", "shards", "offset", "first", F.least(F.lit(shard).cast("long"), F.col("all") - F.col("first")).alias("count"))
+
+
+def taken_blocks(drawn: DataFrame) -> DataFrame:
     """Rows (source, shard, k, epoch, index): which block fills each slot."""
-    n = F.ceil(F.col("source_size") / block)
+    n = blocks_of(F.col("source_size"))
     # few rows make many: they are dealt out first, and Spark is kept from taking the result for small
-    drawn = drawn.repartition(partitions(drawn.sparkSession), "source", "shard")
+    drawn = drawn.repartition(partitions(drawn.sparkSession), "source", "first")
     slots = drawn.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
-    slots = slots.withColumn("epoch", F.floor(F.col("k") / F.col("n"))).where(F.col("epoch") < PASSES)
+    shard = F.greatest(F.ceil((F.col("k") + 1 - F.col("offset")) * F.col("shards") / F.col("slots")) - 1, F.lit(0))
+    slots = slots.withColumn("shard", F.least(shard, F.col("shards") - 1)).withColumn("epoch", F.floor(F.col("k") / F.col("n"))).where(F.col("epoch") < PASSES)
     return slots.select("source", "shard", "k", "epoch", permuted(F.pmod(F.col("k"), F.col("n")), F.col("n"), F.coalesce("source", F.lit("\n")), F.col("epoch")).alias("index"))
 
 
@@ -121,6 +121,8 @@ def _parts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     placed = cut(streams(sized), "streams")
     goal = cut(targets(placed.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     blocks = taken_blocks(draws(goal)).groupBy("source", "index").agg(F.collect_list("epoch").alias("epochs"))  # PASSES at most
+    of = goal.select(F.col("source").alias("s"), "source_size")
+    placed = placed.join(F.broadcast(of), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     return placed, goal, blocks
 
 
@@ -128,10 +130,11 @@ def _pieces(placed: DataFrame, blocks: DataFrame) -> DataFrame:
     """Rows (uid, source, size, from, upto, epochs): parts of documents in blocks that are taken; word numbers in
     the document."""
     end = F.col("start") + F.col("size")
-    spans = placed.where("size > 0").select("uid", "size", "start", "source", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((end - 1) / BLOCK))).alias("index"))
+    of = F.col("source_size")
+    spans = placed.where("size > 0").select("uid", "size", "start", "source", "source_size", F.explode(F.sequence(block_at(F.col("start"), of), block_at(end - 1, of))).alias("index"))
     joined = spans.join(blocks.select(F.col("source").alias("s"), F.col("index").alias("i"), "epochs").hint("merge"), (F.coalesce("source", F.lit("\n")) == F.coalesce("s", F.lit("\n"))) & (F.col("index") == F.col("i")))
-    begin = F.greatest(F.col("start"), F.col("index") * BLOCK) - F.col("start")
-    stop = F.least(end, (F.col("index") + 1) * BLOCK) - F.col("start")
+    begin = F.greatest(F.col("start"), block_start(F.col("index"), of)) - F.col("start")
+    stop = F.least(end, block_start(F.col("index") + 1, of)) - F.col("start")
     return joined.select("uid", "size", begin.alias("from"), stop.alias("upto"), "epochs")
 
 
@@ -139,7 +142,7 @@ def mix(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken) of every document."""
     placed, goal, blocks = _parts(docs)
     taken = _pieces(placed, blocks).groupBy("uid").agg(F.sum((F.col("upto") - F.col("from")) * F.size("epochs")).alias("taken"))
-    rows = placed.join(taken.hint("merge"), "uid", "left").join(F.broadcast(goal.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
+    rows = placed.join(taken.hint("merge"), "uid", "left").join(F.broadcast(goal.select(F.col("source").alias("s"), "target")), F.col("source").eqNullSafe(F.col("s")))
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
