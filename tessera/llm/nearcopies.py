@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import components, cut, slices
 
 WIDTH, LEVEL, ROWS, BANDS, SEED = 5, 0.8, 6, 40, 42
-SMALL, ROUNDS, MANY = 16, 3, 1024
+SMALL, ROUNDS, MANY = 32, 2, 1024
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
