@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +19,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir; where that is unset, a folder of our own on a local master, as in tests.
+    A cluster without the setting is an error: its machines share no local folder."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-        folder = spark.sparkContext.getCheckpointDir()
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+        folder = context.getCheckpointDir()
     return folder
 
 
@@ -33,6 +39,26 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The column that numbered() adds.
+KEY = "__row_key"
+#: Nodes of a plan that only reads a table's rows, each once.
+_READS = re.compile(r"^[\s:+\-|]*(?:Relation|Project|SubqueryAlias|Filter)\b")
+
+
+def numbered(docs: DataFrame, name: str = KEY) -> DataFrame:
+    """Adds a key of its own for each row, the same however often the table is read: file and row number where
+    ``docs`` is read from Parquet as it lies; any other table is numbered and written first."""
+    lines = docs._jdf.queryExecution().analyzed().toString().strip().splitlines()
+    if all(map(_READS.match, lines)) and lines[-1].rstrip().endswith("parquet"):
+        return docs.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    return cut(docs.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))), "numbered")
+
+
+def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``rows`` rows (they are counted), else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -51,6 +77,35 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = 4 << 20
                 start, size = i + 1, 0
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1 << 16) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups from rows that are sorted by ``keys``, with the group's number of each row. Held at
+    once: the rows of one group, or about ``least``."""
+
+    def marks(table: pa.Table) -> np.ndarray:
+        new = np.zeros(len(table), dtype=bool)
+        for k in keys:
+            c = table.column(k).to_numpy()
+            new[1:] |= c[1:] != c[:-1]
+        return new
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= least:
+            table = pa.Table.from_batches(held).combine_chunks()
+            new = marks(table)
+            end = int(np.flatnonzero(new)[-1]) if new.any() else 0
+            if end:
+                yield table.slice(0, end).combine_chunks(), np.cumsum(new[:end])
+            held, size = table.slice(end).combine_chunks().to_batches(), len(table) - end
+            least = max(least, 2 * size)
+    if size:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, np.cumsum(marks(table))
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of edges (u, v), both long: rows (node, component) with the smallest node
     of each component, for every node that has an edge to another.

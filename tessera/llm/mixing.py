@@ -2,19 +2,21 @@
 
 Every source's texts, one after another, make a stream of words that is cut into equal blocks of ``BLOCK`` words
 at most. A source fills as many slots of the mixture as its target holds blocks of its own; of a part of a slot a
-draw decides, so what is taken is within a block of the target, and on average meets it. The mixture is a row of
-output shards with about ``SHARD`` slots each, over which each source's slots are spread evenly, from a drawn offset.
-A source's slots are numbered through all shards; number k takes block pi(k mod n) of the source's n blocks, pi being
-a pseudorandom permutation of the block indexes (a swap-or-not network, computed row by row for any n), and a new one
-for each pass over the source. Blocks and slots are joined by index, and a document takes the words of its that lie
-in blocks, as often as those are taken.
+draw decides, so what is taken is within a block of the target, and on average meets it. The slots are dealt to
+output shards of ``SHARD`` slots by a pseudorandom permutation of all slots: the counts of the sources in a shard are
+multinomial draws with the targets' weights, given that all shards together meet the targets (free multinomial
+draws would miss those of small sources by their whole size). A source's slots are numbered through all shards;
+number k takes block pi(k mod n) of the source's n blocks, pi being a pseudorandom permutation of the block indexes
+(a swap-or-not network, computed row by row for any n), and a new one for each pass over the source. Blocks and
+slots are joined by index, and a document takes the words of its that lie in blocks, as often as those are taken.
 
 The targets: sources in code point order (null last) weigh 1, 2, 3 in turn and share all words; none gets
 more than ``PASSES`` times its size, and what is over is shared again by weight.
 
 Defined results: null or blank text has size 0 and takes 0; null is a source of its own; rows with null or
 repeated doc_id are rows like any other, ordered by their text's hash; an empty table gives no rows. The
-same table gives the same mixture. All of it is DataFrame functions; texts are only read where they lie.
+same table gives the same mixture. All of it is DataFrame functions; texts are only read where they lie. What grows
+with the number of sources is broadcast up to a counted number of rows and joined by key beyond.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import KEY, bounded, cut, numbered, partitions
 
 BLOCK, SHARD, PASSES, BUCKETS, ROUNDS = 128, 4096, 3, 1024, 12
 
@@ -69,7 +71,7 @@ def streams(sized: DataFrame) -> DataFrame:
     sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = sums.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before")
     within = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("doc_id", "text_hash", "uid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    joined = dealt.withColumn("within", within).join(F.broadcast(before), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    joined = dealt.withColumn("within", within).join(bounded(before), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     return joined.withColumn("start", F.col("before") + F.col("within")).drop("s", "b", "bucket", "before", "within")
 
 
@@ -92,37 +94,44 @@ def block_at(word: Column, size: Column) -> Column:
 
 
 def draws(goal: DataFrame, shard: int = SHARD) -> DataFrame:
-    """Rows (source, source_size, slots, shards, offset, first, count): runs of a source's slots, ``shard`` slots at
-    most, numbered from ``first``. ``goal`` is a row for each source."""
+    """Rows (source, source_size, base, total, first, count): runs of a source's slots, ``shard`` slots at most,
+    numbered from ``first``; ``base`` slots belong to the sources before it, ``total`` to all. ``goal`` is a row for
+    each source."""
     # a slot gives the words of a block, so the target is counted in the source's own blocks
     slots = F.col("target") / F.col("source_size") * blocks_of(F.col("source_size"))
-    own = goal.where("target > 0").withColumn("slots", slots).withColumn("shards", F.ceil(F.sum("slots").over(Window.partitionBy()) / shard))
-    own = own.withColumn("offset", uniform(F.coalesce("source", F.lit("\n")), F.lit("draw")))
-    own = own.withColumn("all", F.floor(F.col("slots") + F.col("offset")).cast("long")).where("all > 0")
+    own = goal.where("target > 0").withColumn("all", F.floor(slots + uniform(F.coalesce("source", F.lit("\n")), F.lit("draw"))).cast("long")).where("all > 0")
+    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
+    own = own.withColumn("base", F.sum("all").over(order) - F.col("all")).withColumn("total", F.sum("all").over(Window.partitionBy()))
     runs = own.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1, F.lit(shard).cast("long"))))
-    return runs.select("source", "source_size", "slots", "shards", "offset", "first", F.least(F.lit(shard).cast("long"), F.col("all") - F.col("first")).alias("count"))
+    return runs.select("source", "source_size", "base", "total", "first", F.least(F.lit(shard).cast("long"), F.col("all") - F.col("first")).alias("count"))
 
 
-def taken_blocks(drawn: DataFrame) -> DataFrame:
-    """Rows (source, shard, k, epoch, index): which block fills each slot."""
+def slots_of(drawn: DataFrame) -> DataFrame:
+    """Rows (source, n, k, epoch, index): which of a source's n blocks fills its slot k."""
     n = blocks_of(F.col("source_size"))
     # few rows make many: they are dealt out first, and Spark is kept from taking the result for small
     drawn = drawn.repartition(partitions(drawn.sparkSession), "source", "first")
     slots = drawn.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
-    shard = F.greatest(F.ceil((F.col("k") + 1 - F.col("offset")) * F.col("shards") / F.col("slots")) - 1, F.lit(0))
-    slots = slots.withColumn("shard", F.least(shard, F.col("shards") - 1)).withColumn("epoch", F.floor(F.col("k") / F.col("n"))).where(F.col("epoch") < PASSES)
-    return slots.select("source", "shard", "k", "epoch", permuted(F.pmod(F.col("k"), F.col("n")), F.col("n"), F.coalesce("source", F.lit("\n")), F.col("epoch")).alias("index"))
+    slots = slots.withColumn("epoch", F.floor(F.col("k") / F.col("n"))).where(F.col("epoch") < PASSES)
+    return slots.withColumn("index", permuted(F.pmod(F.col("k"), F.col("n")), F.col("n"), F.coalesce("source", F.lit("\n")), F.col("epoch")))
+
+
+def layout(goal: DataFrame, shard: int = SHARD) -> DataFrame:
+    """Rows (shard, place, source, epoch, index): the mixture's output shards, slot by slot. The permutation of all
+    slots deals each shard its counts of the sources."""
+    slots = slots_of(draws(goal, shard)).withColumn("slot", permuted(F.col("base") + F.col("k"), F.col("total"), F.lit("shards")))
+    return slots.select(F.floor(F.col("slot") / shard).alias("shard"), F.pmod(F.col("slot"), F.lit(shard)).alias("place"), "source", "epoch", "index")
 
 
 def _parts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents with their place in the streams; targets; blocks taken of each source with their epochs."""
-    uid = F.col("__uid") if "__uid" in docs.columns else F.monotonically_increasing_id()
-    sized = docs.select(uid.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
+    """Documents (with a key of their own) and their place in the streams; targets; blocks taken of each source with
+    their epochs."""
+    sized = docs.select(F.col(KEY).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
     placed = cut(streams(sized), "streams")
     goal = cut(targets(placed.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
-    blocks = taken_blocks(draws(goal)).groupBy("source", "index").agg(F.collect_list("epoch").alias("epochs"))  # PASSES at most
+    blocks = layout(goal).groupBy("source", "index").agg(F.collect_list("epoch").alias("epochs"))  # PASSES at most
     of = goal.select(F.col("source").alias("s"), "source_size")
-    placed = placed.join(F.broadcast(of), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    placed = placed.join(bounded(of), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     return placed, goal, blocks
 
 
@@ -132,7 +141,7 @@ def _pieces(placed: DataFrame, blocks: DataFrame) -> DataFrame:
     end = F.col("start") + F.col("size")
     of = F.col("source_size")
     spans = placed.where("size > 0").select("uid", "size", "start", "source", "source_size", F.explode(F.sequence(block_at(F.col("start"), of), block_at(end - 1, of))).alias("index"))
-    joined = spans.join(blocks.select(F.col("source").alias("s"), F.col("index").alias("i"), "epochs").hint("merge"), (F.coalesce("source", F.lit("\n")) == F.coalesce("s", F.lit("\n"))) & (F.col("index") == F.col("i")))
+    joined = spans.join(blocks.select(F.col("source").alias("s"), F.col("index").alias("i"), "epochs").hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("index") == F.col("i")))
     begin = F.greatest(F.col("start"), block_start(F.col("index"), of)) - F.col("start")
     stop = F.least(end, block_start(F.col("index") + 1, of)) - F.col("start")
     return joined.select("uid", "size", begin.alias("from"), stop.alias("upto"), "epochs")
@@ -140,9 +149,9 @@ def _pieces(placed: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken) of every document."""
-    placed, goal, blocks = _parts(docs)
+    placed, goal, blocks = _parts(numbered(docs))
     taken = _pieces(placed, blocks).groupBy("uid").agg(F.sum((F.col("upto") - F.col("from")) * F.size("epochs")).alias("taken"))
-    rows = placed.join(taken.hint("merge"), "uid", "left").join(F.broadcast(goal.select(F.col("source").alias("s"), "target")), F.col("source").eqNullSafe(F.col("s")))
+    rows = placed.join(taken.hint("merge"), "uid", "left").join(bounded(goal.select(F.col("source").alias("s"), "target")), F.col("source").eqNullSafe(F.col("s")))
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -150,13 +159,13 @@ def mixture(docs: DataFrame) -> DataFrame:
     """The mixture as documents: a row for each document and pass that takes words of it, with the columns
     of ``docs``. The text is whole where all of it is taken, else the taken stretches, joined by line ends;
     n_chars, if there is one, is counted anew."""
-    keyed = cut(docs.withColumn("__uid", F.monotonically_increasing_id()), "keyed")  # numbered once, whatever is read again
+    keyed = numbered(docs)
     placed, _, blocks = _parts(keyed)
     pieces = _pieces(placed, blocks).select("uid", "size", "from", "upto", F.explode("epochs").alias("epoch"))
     passes = pieces.groupBy("uid", "epoch").agg(F.first("size").alias("size"), F.sum(F.col("upto") - F.col("from")).alias("words"), F.sort_array(F.collect_list(F.struct("from", "upto"))).alias("at"))
     passes = passes.withColumn("at", F.when(F.col("words") < F.col("size"), F.col("at"))).select("uid", F.struct("epoch", "at").alias("pass"))
     passes = passes.groupBy("uid").agg(F.sort_array(F.collect_list("pass")).alias("passes"))  # PASSES at most
-    joined = keyed.join(passes.hint("merge"), keyed["__uid"] == passes["uid"]).withColumn("__pass", F.explode("passes"))
+    joined = keyed.join(passes.hint("merge"), keyed[KEY] == passes["uid"]).withColumn("__pass", F.explode("passes"))
     words = F.regexp_extract_all(F.col("text"), F.lit("[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+"), F.lit(0))
     stretches = F.transform(F.col("__pass.at"), lambda x: F.rtrim(F.array_join(F.slice(words, (x["from"] + 1).cast("int"), (x["upto"] - x["from"]).cast("int")), "")))
     text = F.when(F.col("__pass.at").isNull(), F.col("text")).otherwise(F.array_join(stretches, "\n"))

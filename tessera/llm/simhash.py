@@ -24,31 +24,24 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import components, cut, partitions, slices
+from .common import KEY, components, cut, numbered, partitions, slices, whole_groups
 
 SHINGLE, SEED, CAP = 3, 42, 4096
+#: For groups by similarity: words in a shingle, Jaccard similarity, bits that may differ, bands of minima.
+WIDTH, LEVEL, FAR, ROWS, BANDS = 5, 0.8, 22, 6, 40
+#: Sets smaller than this are verified whatever their fingerprints; rows of a tile; pairs of a node in a task.
+FEW, TILE, MANY = 32, 2048, 1024
 
 
-def simhash(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
-    """Fingerprints of UTF-8 texts (uint64): a bit is 1 where over half of the shingles' XXH64 have it."""
-    join, digest = b" ".join, xxhash.xxh64_intdigest
-    sizes, parts = [], []
-    for text in texts:
-        words = text.lower().split()
-        if len(words) < shingle:
-            hashes = [digest(join(words), SEED)] if words else []
-        else:
-            hashes = map(digest, map(join, zip(*(words[i:] for i in range(shingle)))), repeat(SEED))
-        h = np.fromiter(hashes, dtype=np.uint64)
-        sizes.append(len(h))
-        parts.append(h)
-    sizes = np.array(sizes, dtype=np.int64)
-    out = np.zeros(len(texts), dtype=np.uint64)
+def majority(parts: list[np.ndarray]) -> np.ndarray:
+    """Fingerprints (uint64) of lists of hashes: a bit is 1 where over half of them have it."""
+    sizes = np.array([len(h) for h in parts], dtype=np.int64)
+    out = np.zeros(len(parts), dtype=np.uint64)
     full = np.flatnonzero(sizes)
     if len(full):
         bits = np.unpackbits(np.concatenate(parts).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -58,6 +51,21 @@ def simhash(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of each run of ``width`` words of a lower-cased text; fewer words make one, none make none."""
+    words = text.lower().split()
+    if len(words) < width:
+        parts = [b" ".join(words)] if words else []
+    else:
+        parts = map(b" ".join, zip(*(words[i:] for i in range(width))))
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype=np.uint64)
+
+
+def simhash(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """Fingerprints of UTF-8 texts (uint64): a bit is 1 where over half of the shingles' XXH64 have it."""
+    return majority([shingle_hashes(t, shingle) for t in texts])
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Rows (doc_id, fp) of every document; fp is the fingerprint as a signed long."""
 
@@ -178,30 +186,15 @@ def links(nodes: DataFrame, tau: int = 2, cap: int = CAP) -> DataFrame:
     some = bool(crowded.head(1))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(table: pa.Table) -> pa.RecordBatch:
-            # equal keys stand together; one number for each
-            g, value = table.column("g").to_numpy(), table.column("value").to_numpy()
-            key = np.cumsum(np.concatenate(([False], (g[1:] != g[:-1]) | (value[1:] != value[:-1]))))
+        for table, key in whole_groups(batches, ["g", "value"]):  # groups of at most cap rows
             u, v = _forest(key, table.column("fp").to_numpy().view(np.uint64), tau)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
-
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])]).combine_chunks()
-            if not len(table):
-                continue
-            g, value = table.column("g").to_numpy(), table.column("value").to_numpy()
-            end = int(np.flatnonzero((g != g[-1]) | (value != value[-1]))[-1] + 1) if (g[0], value[0]) != (g[-1], value[-1]) else 0
-            if end:
-                yield done(table.slice(0, end).combine_chunks())
-            rest = table.slice(end)  # at most cap rows and one batch
-        if rest is not None and len(rest):
-            yield done(rest.combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
     calm = filed.join(crowded, ["g", "value"], "left_anti") if some else filed
     found = calm.repartition(partitions(spark), "g", "value").sortWithinPartitions("g", "value").mapInArrow(verify, "u long, v long")
     if not some:
         return found
+
     def blank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
@@ -224,3 +217,175 @@ def near_duplicates(docs: DataFrame, tau: int = 2, shingle: int = SHINGLE, cap:
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     by_fp = named.join(smallest, "component").select("fp", "component_id")
     return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def minima(sets: list[np.ndarray]) -> np.ndarray:
+    """ROWS * BANDS minima of each set, none of which is empty."""
+    rng = np.random.default_rng(SEED)
+    flip = rng.integers(0, 1 << 64, ROWS * BANDS, dtype=np.uint64)
+    odd = rng.integers(0, 1 << 64, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
+    every = np.concatenate(sets)
+    starts = np.cumsum([0, *map(len, sets[:-1])])
+    out = np.empty((len(sets), ROWS * BANDS), dtype=np.uint64)
+    for i in range(ROWS * BANDS):
+        out[:, i] = np.minimum.reduceat((every ^ flip[i]) * odd[i], starts)
+    return out
+
+
+def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Rows (uid, rank, node, fp, n, bands) for rows (uid, rank, text): a digest of the set of shingles, its
+    fingerprint, its size and a value of each band of minima."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, "text", 1 << 20):
+            sets = [np.unique(shingle_hashes(t, width)) for t in texts]
+            full = [i for i, s in enumerate(sets) if len(s)]
+            bands: list[list[int]] = [[] for _ in sets]
+            if full:
+                low = minima([sets[i] for i in full])
+                for i, row in zip(full, low):
+                    b = row.reshape(BANDS, ROWS)
+                    bands[i] = [xxhash.xxh64_intdigest(b[k].tobytes(), k) - (1 << 63) for k in range(BANDS)]
+            node = [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node, pa.int64()), pa.array(majority(sets).view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["uid", "rank", "node", "fp", "n", "bands"])
+
+    own = docs.select("uid", "rank", "text")
+    made = {"node": T.LongType(), "fp": T.LongType(), "n": T.IntegerType(), "bands": T.ArrayType(T.LongType())}
+    schema = T.StructType([*own.schema.fields[:2], *[T.StructField(k, t) for k, t in made.items()]])
+    return own.mapInArrow(run, schema)
+
+
+def _alike(fp: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, level: float) -> np.ndarray:
+    """Which pairs of rows may reach ``level``, by their sets' sizes and fingerprints."""
+    few, many = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+    return (few >= level * many) & ((few < FEW) | (np.bitwise_count(fp[i] ^ fp[j]) <= FAR))
+
+
+def _hubs(filed: DataFrame, level: float) -> DataFrame:
+    """Rows (key, node, fp, n, hub, near) of keys that several nodes have: each beside the key's first node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub: tuple | None = None  # the last key's first row, and whether it has gone out
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node, fp, n = (batch.column(i).to_numpy() for i in range(4))
+            gone = np.zeros(len(key) + (hub is not None), dtype=bool)
+            if hub is not None:
+                key, node, fp, n = (np.concatenate(([x], y)) for x, y in zip(hub, (key, node, fp, n)))
+                gone[0] = hub[4]
+            new = np.concatenate(([True], key[1:] != key[:-1]))
+            start = np.flatnonzero(new)
+            first = start[np.cumsum(new) - 1]
+            size = np.diff(np.concatenate((start, [len(key)])))
+            out = np.flatnonzero((np.repeat(size, size) > 1) & ~gone)
+            near = (out != first[out]) & _alike(fp.view(np.uint64), n, first[out], out, level)
+            if len(out):
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[out]) for x in (key, node, fp)), pa.array(n[out].astype(np.int32)), pa.array(node[first[out]]), pa.array(near)], names=["key", "node", "fp", "n", "hub", "near"])
+            k = start[-1]
+            hub = (key[k], node[k], fp[k], n[k], bool(size[-1] > 1 or gone[k]))
+
+    return filed.mapInArrow(run, "key long, node long, fp long, n int, hub long, near boolean")
+
+
+def _crossing(rows: DataFrame, level: float) -> DataFrame:
+    """Pairs (u, v) of rows (key, i, j, block, node, fp, n, c) with equal key and tile but unlike c that may reach
+    ``level``; pairs inside a block belong to its own tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in whole_groups(batches, ["key", "i", "j"]):
+            i, j, block, node, fp, n, c = (table.column(x).to_numpy() for x in ("i", "j", "block", "node", "fp", "n", "c"))
+            fp, size = fp.view(np.uint64), np.bincount(group)
+            left = np.cumsum(size)[group] - np.arange(len(group)) - 1
+            at, step, found = np.flatnonzero(left >= 1), 1, []
+            while len(at):
+                to = at + step
+                ok = (c[at] != c[to]) & ((i[at] == j[at]) | (block[at] != block[to])) & _alike(fp, n, at, to, level)
+                found.append(np.stack((np.minimum(node[at[ok]], node[to[ok]]), np.maximum(node[at[ok]], node[to[ok]]))))
+                step += 1
+                at = at[left[at] >= step]
+            if found:
+                u, v = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return rows.mapInArrow(run, "u long, v long").distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, level: float) -> DataFrame:
+    """The pairs (u, v) whose sets have a similarity of ``level`` or more; ``sets`` has a row for each node."""
+    # a node with many pairs is laid out once for each MANY of them
+    heavy = pairs.groupBy("u").count().where(F.col("count") > MANY).select(F.col("u").alias("h"), F.ceil(F.col("count") / MANY).cast("int").alias("copies"))
+    heavy = cut(heavy, "heavy")
+    salted = pairs.join(heavy, pairs["u"] == heavy["h"], "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("copies", F.lit(1))).alias("salt"))
+    left = sets.join(heavy, sets["node"] == heavy["h"], "left").select(F.col("node").alias("u"), F.col("hashes").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)).cast("long") - 1)).alias("salt"))
+    right = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(s.as_py(), dtype=np.uint64) for s in (a, b))
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(same >= level * (len(x) + len(y) - same))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    both = salted.join(left, ["u", "salt"]).join(right, "v").select("u", "v", "a", "b")
+    return both.mapInArrow(run, "u long, v long")
+
+
+def _sets(docs: DataFrame, owners: DataFrame, width: int) -> DataFrame:
+    """Rows (node, hashes): the shingle sets of the texts with an owner's key (uid, node)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(shingle_hashes(t, width)).tobytes() for t in texts], pa.binary())], names=["node", "hashes"])
+
+    return docs.join(owners, "uid").select("node", "text").mapInArrow(run, "node long, hashes binary")
+
+
+def similar_groups(docs: DataFrame, width: int = WIDTH, level: float = LEVEL, tile: int = TILE) -> DataFrame:
+    """Rows (uid, rank, first) for rows (uid, rank, text) with a unique uid: first is the uid with the least rank in
+    the row's group. Groups are what links of similarity ``level`` connect: the Jaccard similarity of the sets of
+    ``width`` words in a row, as it is on the whole sets.
+
+    Equal sets are one node. Nodes that agree in a band of minima meet (a pair at the level is missed with chance
+    (1 - level ** ROWS) ** BANDS: 5e-6), pairs that fingerprints and sizes leave possible are verified. All that
+    meet in a band are first compared with one of them; then the pairs that are not yet in one component, dealt out
+    in tiles where a band is crowded. None is left out, and no group of like texts costs all its pairs. No words: an
+    empty set, equal to any other such."""
+    made = cut(sketches(docs, width), "sketches")
+    owner = made.groupBy("node").agg(F.min("uid").alias("uid"))
+    filed = made.join(owner.select("uid"), "uid", "left_semi").select(F.explode("bands").alias("key"), "node", "fp", "n")
+    parts = partitions(docs.sparkSession)
+    met = cut(_hubs(filed.repartition(parts, "key").sortWithinPartitions("key", "node"), level), "met")
+    sets = cut(_sets(docs.select("uid", "text"), cut(owner.join(met.select("node").distinct(), "node", "left_semi"), "owners"), width), "sets")
+    edges = cut(_verified(cut(met.where("near").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct(), "pairs"), sets, level), "links")
+    comp = components(edges).withColumnRenamed("node", "c_node")
+    rows = cut(met.join(comp, F.col("node") == F.col("c_node"), "left").select("key", "node", "fp", "n", F.coalesce("component", "node").alias("c")), "open")
+    left = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+    blocks = F.ceil(F.col("size") / tile).cast("int")
+    dealt = rows.join(left.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "fp", "n", "c")
+    crossing = _crossing(dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j"), level)
+    every = edges.union(_verified(cut(crossing, "pairs"), sets, level))
+    comp = components(every)
+    named = made.select("node", "uid", "rank").join(comp, "node", "left").select("uid", "rank", F.coalesce("component", "node").alias("component"))
+    first = named.groupBy("component").agg(F.min_by("uid", "rank").alias("first"))
+    return named.join(first, "component").select("uid", "rank", "first")
+
+
+def near_copies(keyed: DataFrame, width: int = WIDTH, level: float = LEVEL) -> DataFrame:
+    """Rows (key, first) of documents with a key of their own (common.numbered): first is the key of the row that
+    stays of each group, that with the smallest doc_id (null last; of equal ones by the text's hash, then the place
+    in the table)."""
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.xxhash64("text"), F.col(KEY))
+    found = similar_groups(keyed.select(F.col(KEY).alias("uid"), rank.alias("rank"), "text"), width, level)
+    return found.select(F.col("uid").alias(KEY), "first")
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, level: float = LEVEL) -> DataFrame:
+    """The documents without all but one of each group of near copies. Every row counts by itself, whatever its
+    doc_id: one that nothing resembles stays."""
+    keyed = numbered(docs)
+    gone = cut(near_copies(keyed, width, level).where(F.col("first") != F.col(KEY)).select(KEY), "copies")
+    return keyed.join(gone, KEY, "left_anti").select(*docs.columns)

@@ -6,7 +6,9 @@ import re
 import numpy as np
 import pytest
 
-from tessera.llm import nearcopies, simhash
+from pyspark.sql import functions as F
+
+from tessera.llm import simhash
 from tessera.llm.common import components
 
 
@@ -48,12 +50,13 @@ def varied():
     return [" ".join(t) for t in out] + ["", None, " ".join(chain)]
 
 
-@pytest.mark.parametrize("small", [16, 1])
-def test_groups_equal_all_pairs(spark, small):
+@pytest.mark.parametrize("tile", [2048, 3])
+def test_groups_equal_all_pairs(spark, tile):
     texts = varied()
     want = brute(texts)
     d = spark.createDataFrame(list(enumerate(texts)), "k long, text string").repartition(3)
-    got = {r.uid: r.first for r in nearcopies.groups(d, "k", small=small).collect()}
+    rows = d.select(F.struct(F.lit(0).cast("long").alias("file"), F.col("k").alias("row")).alias("uid"), F.struct("k").alias("rank"), "text")
+    got = {r.uid.row: r.first.row for r in simhash.similar_groups(rows, tile=tile).collect()}
     assert [got[i] for i in range(len(texts))] == want
 
 
