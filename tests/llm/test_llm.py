@@ -121,8 +121,76 @@ def test_scoring(docs, plain):
     have = sorted((r.doc_id is None, r.doc_id, r.base_score) for r in got)
     assert [x[:2] for x in want] == [x[:2] for x in have] and all(abs(a[2] - b[2]) < 1e-6 * max(1, abs(a[2])) for a, b in zip(want, have))
     assert all(r.train_tokens == n and r.score < 0 for r in got)
-    tree = scoring.build_tree(scoring.count_corpus(docs))
-    assert np.allclose((10.0 ** tree.table.astype(float)).sum(1), 1, atol=1e-3)
+
+
+def brute_ctw(train, text, depth):
+    """log10 of a text's probability by the definition, a tree for each decision node."""
+    counts = {}
+
+    def steps(t):
+        b = [255] * depth + list(t.lower()) + [255]
+        for i in range(depth, len(b)):
+            for level in range(8):
+                yield (level, b[i] >> (8 - level)), tuple(reversed(b[i - depth : i])), b[i] >> (7 - level) & 1
+
+    for t in train:
+        for node, context, bit in steps(t):
+            for d in range(depth + 1):
+                counts.setdefault((node, context[:d]), [0, 0])[bit] += 1
+    children = {}
+    for node, context in counts:
+        if context:
+            children.setdefault((node, context[:-1]), []).append((node, context))
+
+    def log_kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    weighted, own_share = {}, {}
+    for key in sorted(counts, key=lambda k: -len(k[1])):
+        e = log_kt(*counts[key])
+        if key not in children:
+            weighted[key], own_share[key] = e, 1.0
+        else:
+            below = sum(weighted[c] for c in children[key])
+            weighted[key] = np.logaddexp(e, below) - math.log(2)
+            own_share[key] = math.exp(e - math.log(2) - weighted[key])
+    total = 0.0
+    for node, context, bit in steps(text):
+        one, left, last = 0.0, 1.0, 0.5
+        for d in range(depth + 1):
+            key = (node, context[:d])
+            if key not in counts:
+                break
+            last = (counts[key][1] + 0.5) / (sum(counts[key]) + 1)
+            one, left = one + left * own_share[key] * last, left * (1 - own_share[key])
+        one += left * last
+        total += math.log10(one if bit else 1 - one)
+    return total
+
+
+@pytest.mark.parametrize("block", [16_384, 7])
+def test_context_tree(docs, plain, block):
+    train = [(t or "").encode() for i, t in plain if i is None or zlib.crc32(str(i).encode()) % 10]
+    some = [(i, t) for i, t in plain if len(t or "") < 1000]
+    want = sorted((i is None, i, brute_ctw(train, (t or "").encode(), 4)) for i, t in some)
+    have = sorted((r.doc_id is None, r.doc_id, r.score) for r in scoring.score(docs, depth=4, block=block).collect() if r.doc_id in {i for i, _ in some})
+    assert [x[:2] for x in want] == [x[:2] for x in have] and all(abs(a[2] - b[2]) < 2e-6 * max(1, abs(a[2])) for a, b in zip(want, have))
+
+
+def test_context_tree_to_nine_digits():
+    rng = random.Random(6)
+    train = [bytes(rng.choice(b"abc ") for _ in range(rng.randint(0, 60))) for _ in range(12)]
+    code, n = np.unique(np.concatenate([scoring.grams([t], 5)[0] for t in train]), return_counts=True)
+    nodes = scoring.tree_nodes(code, n, 5, 0)
+    sums = {}
+    for level in range(8):
+        own, _ = scoring.weigh(nodes, 5, scoring.TOP, level)
+        parent = np.searchsorted(nodes[scoring.TOP - 1, level][0], scoring._up(nodes[scoring.TOP, level][0], level))
+        sums[level] = np.bincount(parent, weights=own, minlength=len(nodes[scoring.TOP - 1, level][0]))
+    trunk = scoring.Trunk(nodes, sums, scoring.TOP)
+    for t in [*train, b"abacab", b"new \x00 bytes", b""]:
+        got = scoring.log_probabilities(scoring.grams([t], 5)[0], nodes, trunk, 5).sum()
+        assert abs(got - brute_ctw(train, t, 5)) < 1e-9 * max(1, abs(got))
 
 
 def test_repeats(docs, plain):
