@@ -5,20 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def before_event(series: DataFrame, events: DataFrame, months: int = 12) -> DataFrame:
     """Rows of the months strictly before each event (cnpj, case, event), the last ``months`` of them."""
-    j = series.join(F.broadcast(events), "cnpj")
-    return j.where((F.col("dt") < F.col("event")) & (F.col("dt") >= F.add_months(F.col("event"), -months)))
+    j = series.join(events, "cnpj")
+    return j.where((F.col("dt") < F.col("event")) & (F.col("dt") >= F.last_day(F.add_months(F.col("event"), -months))))
+
+
+def eligible(positives: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(case, cnpj, control, h): controls of a positive's type with a value from half to double of its own, h being
+    their hashed order for the case. They meet by type and power of two of the value, three of which cover the
+    range, so that no type is joined as a whole."""
+    power = F.floor(F.log2(F.when(F.col("pl") > 0, F.col("pl"))))
+    c = candidates.select(F.col("cnpj").alias("control"), "tp", F.col("pl").alias("control_pl"), power.alias("power"))
+    p = positives.select("case", "cnpj", "tp", "pl", F.explode(F.array(power - 1, power, power + 1)).alias("power"))
+    met = p.join(c, ["tp", "power"]).where((F.col("control_pl") >= 0.5 * F.col("pl")) & (F.col("control_pl") <= 2 * F.col("pl")) & (F.col("control") != F.col("cnpj")))
+    return met.select("case", "cnpj", "control", F.md5(F.concat("control", F.col("case").cast("string"))).alias("h"))
 
 
 def matched_controls(positives: DataFrame, candidates: DataFrame, per: int = 3) -> DataFrame:
-    """Up to ``per`` controls of each positive (case, cnpj, tp, pl): same type, pl from half to double, in
-    hashed order; a control may serve several positives."""
-    c = candidates.select(F.col("cnpj").alias("control"), "tp", F.col("pl").alias("control_pl"))
-    near = positives.join(c, "tp").where((F.col("control_pl") >= 0.5 * F.col("pl")) & (F.col("control_pl") <= 2 * F.col("pl")) & (F.col("control") != F.col("cnpj")))
-    w = Window.partitionBy("case", "cnpj").orderBy(F.md5(F.concat("control", F.col("case").cast("string"))))
-    return near.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per).select("case", "cnpj", "control", "k")
+    """Up to ``per`` controls of each positive (case, cnpj, tp, pl), in hashed order; a control may serve several
+    positives."""
+    w = Window.partitionBy("case", "cnpj").orderBy("h")
+    return eligible(positives, candidates).withColumn("k", F.row_number().over(w)).where(F.col("k") <= per).select("case", "cnpj", "control", "k")
+
+
+def matched_without_reuse(positives: DataFrame, candidates: DataFrame, per: int = 3) -> DataFrame:
+    """The same, but within a case each control serves one positive: the one first in order of cnpj that still wants it.
+    Every positive asks its first ``per`` controls, each control keeps the first who asks, and whoever is refused
+    asks further, until none is; this gives what serving the positives one after another gives."""
+    pairs = cut(eligible(positives, candidates))
+    refused = None
+    while True:
+        open_ = pairs if refused is None else pairs.join(refused, ["case", "cnpj", "control"], "left_anti")
+        asked = open_.withColumn("k", F.row_number().over(Window.partitionBy("case", "cnpj").orderBy("h"))).where(F.col("k") <= per)
+        met = cut(asked.withColumn("n", F.row_number().over(Window.partitionBy("case", "control").orderBy("cnpj"))))
+        new = met.where("n > 1").select("case", "cnpj", "control")
+        if new.isEmpty():
+            return met.select("case", "cnpj", "control", F.row_number().over(Window.partitionBy("case", "cnpj").orderBy("h")).alias("k"))
+        refused = cut(new if refused is None else refused.union(new))
 
 
 def check_contamination(positives: DataFrame, controls: DataFrame) -> None:

@@ -20,13 +20,14 @@ def hhi(df: DataFrame, by: list[str], value: str, clip: bool = False) -> DataFra
 
 
 def partial_ranks(debtors: DataFrame, dc: DataFrame) -> DataFrame:
-    """From the largest debtors (cnpj, dt, seq, val) and the full amount (cnpj, dt, dc): shares of the top 1
-    and of the whole list and the floor of the HHI; NULL where the amount is NULL or not positive; lists
+    """From the largest debtors (cnpj, dt, seq, val) and the full amount (cnpj, dt, dc): shares of the top 1, 5, 10 and
+    25 and of the whole list and the floor of the HHI; NULL where the amount is NULL or not positive; lists
     above the amount by 5% are marked, not mended."""
-    lists = debtors.groupBy("cnpj", "dt").agg(F.max(F.when(F.col("seq") == 1, F.col("val"))).alias("top1_val"), F.sum("val").alias("list_val"), F.sum(F.col("val") * F.col("val")).alias("sq"))
+    tops = {k: F.sum(F.when(F.col("seq") <= k, F.col("val"))).alias(f"v{k}") for k in (1, 5, 10, 25)}
+    lists = debtors.groupBy("cnpj", "dt").agg(*tops.values(), F.sum("val").alias("list_val"), F.sum(F.col("val") * F.col("val")).alias("sq"))
     j = dc.join(lists, ["cnpj", "dt"], "left")
     ok = F.col("dc") > 0
-    return j.select("cnpj", "dt", "dc", "list_val", F.when(ok, F.col("top1_val") / F.col("dc")).alias("top1"), F.when(ok, F.col("list_val") / F.col("dc")).alias("listed"), F.when(ok, F.col("sq") / (F.col("dc") * F.col("dc"))).alias("hhi_floor"), F.when(ok, F.col("list_val") / F.col("dc") > 1.05).alias("inconsistent"))
+    return j.select("cnpj", "dt", "dc", "list_val", *[F.when(ok, F.col(f"v{k}") / F.col("dc")).alias(f"top{k}") for k in tops], F.when(ok, F.col("list_val") / F.col("dc")).alias("listed"), F.when(ok, F.col("sq") / (F.col("dc") * F.col("dc"))).alias("hhi_floor"), F.when(ok, F.col("list_val") / F.col("dc") > 1.05).alias("inconsistent"))
 
 
 def coverage_triple(measured: DataFrame) -> DataFrame:

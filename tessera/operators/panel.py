@@ -25,24 +25,36 @@ def class_over_fund(pl: DataFrame) -> DataFrame:
 
 
 def drop_covered_funds(panel: DataFrame, class_map: DataFrame) -> DataFrame:
-    """Funds of which a class reports in the month go; an anti-join, so that nothing fans out."""
-    covered = panel.where("tp = 'Classe'").join(class_map, panel["cnpj"] == class_map["classe"]).select(F.col("fundo").alias("cnpj"), "dt", F.lit("Fundo").alias("tp"))
-    return panel.join(covered, ["cnpj", "dt", "tp"], "left_anti")
+    """Funds of which a class reports in the month go. The map has one fund for each class; classes meet their fund
+    in a window, so that nothing fans out and the panel is computed once."""
+    fund = class_map.select(F.col("classe").alias("cnpj"), F.col("fundo").alias("__fund"))
+    is_class = F.col("tp") == "Classe"
+    met = panel.join(fund, "cnpj", "left").withColumn("__of", F.when(is_class & F.col("__fund").isNotNull(), F.col("__fund")).otherwise(F.col("cnpj")))
+    covered = F.max(is_class & F.col("__fund").isNotNull()).over(Window.partitionBy("__of", "dt"))
+    return met.withColumn("__covered", covered).where((F.col("tp") != "Fundo") | ~F.col("__covered")).drop("__fund", "__of", "__covered")
 
 
 def canonical(pl: DataFrame, class_map: DataFrame) -> DataFrame:
     return drop_covered_funds(class_over_fund(pl), class_map)
 
 
-def outliers(panel: DataFrame, floor: float, times: float = 20.0) -> DataFrame:
-    """Months above ``floor`` and above ``times`` both neighbours, both present."""
+def near(panel: DataFrame) -> DataFrame:
+    """Adds prev and next, the values of the reports before and after."""
     w = Window.partitionBy("cnpj").orderBy("dt")
-    near = panel.withColumn("prev", F.lag("pl").over(w)).withColumn("next", F.lead("pl").over(w))
-    return near.where((F.col("pl") > floor) & F.col("prev").isNotNull() & F.col("next").isNotNull() & (F.col("pl") > times * F.greatest("prev", "next")))
+    return panel.withColumn("prev", F.lag("pl").over(w)).withColumn("next", F.lead("pl").over(w))
+
+
+def is_outlier(floor: float, times: float = 20.0) -> Column:
+    """Above ``floor`` and above ``times`` both neighbours, both present."""
+    return F.coalesce((F.col("pl") > floor) & F.col("prev").isNotNull() & F.col("next").isNotNull() & (F.col("pl") > times * F.greatest("prev", "next")), F.lit(False))
+
+
+def outliers(panel: DataFrame, floor: float, times: float = 20.0) -> DataFrame:
+    return near(panel).where(is_outlier(floor, times))
 
 
 def sane(panel: DataFrame, floor: float, times: float = 20.0) -> DataFrame:
-    return panel.join(outliers(panel, floor, times).select("cnpj", "dt"), ["cnpj", "dt"], "left_anti")
+    return near(panel).where(~is_outlier(floor, times)).drop("prev", "next")
 
 
 def unpivot_pairs(df: DataFrame, keys: list[str], ids: str, shares: str, n: int) -> DataFrame:

@@ -87,17 +87,20 @@ def long_form(wide: DataFrame, signals: list[Signal]) -> DataFrame:
     return wide.select("cnpj", "dt", F.explode(F.array(*each)).alias("x")).select("cnpj", "dt", "x.*")
 
 
-def thresholds(long: DataFrame, signals: list[Signal], cutoff: str, least: int = 30) -> DataFrame:
+def thresholds(wide: DataFrame, signals: list[Signal], cutoff: str, least: int = 30) -> DataFrame:
     """(id, lim, n): quantiles at the cutoff over group, evaluable and material rows, NULL with fewer than
-    ``least``; fixed limits as they stand."""
-    at = long.where((F.col("dt") == F.lit(cutoff).cast("date")) & F.col("grp") & F.col("evaluable") & F.col("material"))
-    aggs = at.groupBy("id").agg(*[F.percentile("value", q).alias(f"q{round(q * 100)}") for q in sorted({s.limit for s in signals if s.kind == "pct"})], F.count("value").alias("n"))
-    lim = F.lit(None).cast("double")
-    for s in signals:
-        own = F.when(F.col("n") >= least, F.col(f"q{round(s.limit * 100)}")) if s.kind == "pct" else F.lit(s.limit)
-        lim = F.when(F.col("id") == s.id, own).otherwise(lim)
-    ids = long.sparkSession.createDataFrame([(s.id,) for s in signals], "id string")
-    return F.broadcast(ids).join(aggs, "id", "left").select("id", lim.alias("lim"), F.coalesce("n", F.lit(0)).alias("n"))
+    ``least``; fixed limits as they stand. One aggregation of the wide rows, a column for each signal."""
+    at = wide.where(F.col("dt") == F.lit(cutoff).cast("date"))
+    counted, rows = [], []
+    for i, s in enumerate(signals):
+        value = F.expr(f"CASE WHEN ({s.group}) AND {s.can()} AND ({s.material}) THEN cast({s.value} AS double) END")
+        counted.append(F.count(value).alias(f"n{i}"))
+        lim = F.lit(float(s.limit))
+        if s.kind == "pct":
+            counted.append(F.percentile(value, s.limit).alias(f"q{i}"))
+            lim = F.when(F.col(f"n{i}") >= least, F.col(f"q{i}"))
+        rows.append(F.struct(F.lit(s.id).alias("id"), lim.alias("lim"), F.col(f"n{i}").alias("n")))
+    return at.agg(*counted).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
 def fired(long: DataFrame, limits: DataFrame, signals: list[Signal]) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Backtest plans: events are vehicles whose panel value falls by more than 80% in a month."""
+"""Backtest plans: events are vehicles whose panel value falls by more than 80% in a month.
+
+S1 hardly anything overdue beside one large assignor; S2 rolled amounts against the portfolio; S3 little
+subordination; S4 a jump of the value; S5 a single interest; S6 one assignor alone. NULL: cannot be evaluated. Limits
+fit the derived tables' amounts.
+"""
 
 from __future__ import annotations
 
@@ -10,79 +15,103 @@ from ..operators import timeseries as T
 from ..sources.analogue import Reports
 from .register import plan
 
-_EV = """@sig AS (SELECT s.cnpj, s.dt, s.tp, s.pl, CASE WHEN inad IS NOT NULL THEN inad<0.2*(coalesce(dcp,0)+inad) END AS s1, CASE WHEN v_sub IS NOT NULL THEN v_sub/nullif(v_tot,0)<0.25 END AS s3, CASE WHEN lag(s.pl) OVER w IS NOT NULL THEN abs(s.pl/lag(s.pl) OVER w-1)>0.3 END AS s4
-FROM sane s LEFT JOIN overdue USING (cnpj, dt) LEFT JOIN assets USING (cnpj, dt) WINDOW w AS (PARTITION BY s.cnpj ORDER BY s.dt)),
-ev AS (SELECT cnpj, min(dt) AS event FROM near WHERE pl<0.2*prev AND dt>='1997-01-31' AND cast(cnpj AS bigint)%3=0 GROUP BY 1)"""
+#: The signals' conditions over a vehicle's month; the same text for Spark and DuckDB.
+SIGNALS = {
+    "s1": "CASE WHEN inad IS NOT NULL AND pr_max IS NOT NULL THEN coalesce(dcp, 0) + inad > 1e3 AND inad < 0.5 * (coalesce(dcp, 0) + inad) AND pr_max >= 50 END",
+    "s2": "CASE WHEN v_tot > 0 THEN coalesce(v_roll, 0) / v_tot > 0.15 END",
+    "s3": "CASE WHEN v_sub IS NOT NULL THEN v_sub / nullif(v_tot, 0) < 0.25 END",
+    "s4": "CASE WHEN prev IS NOT NULL THEN abs(pl / prev - 1) > 0.3 END",
+    "s5": "interest = 'S'",
+    "s6": "CASE WHEN pr_max IS NOT NULL THEN pr_max >= 80 END",
+}
+_EV = f"""@topced AS (SELECT cnpj, dt, max(pr) AS pr_max FROM assignors GROUP BY 1,2), months AS (SELECT *, lag(pl) OVER (PARTITION BY cnpj ORDER BY dt) AS prev FROM sane),
+sig AS MATERIALIZED (SELECT s.cnpj, s.dt, s.tp, s.pl, {", ".join(f"{e} AS {k}" for k, e in SIGNALS.items())} FROM months s LEFT JOIN overdue USING (cnpj, dt) LEFT JOIN assets USING (cnpj, dt) LEFT JOIN topced USING (cnpj, dt) LEFT JOIN registry USING (cnpj)),
+ev AS MATERIALIZED (SELECT cnpj, min(dt) AS event FROM near WHERE pl<0.2*prev AND dt>='1997-01-31' GROUP BY 1)"""
 
 
 def _signals(r: Reports) -> DataFrame:
-    j = r.sane.join(r.overdue, ["cnpj", "dt"], "left").join(r.assets, ["cnpj", "dt"], "left").withColumn("prev", F.lag("pl").over(T.by_month()))
-    return j.select("cnpj", "dt", "tp", "pl", F.expr("CASE WHEN inad IS NOT NULL THEN inad < 0.2 * (coalesce(dcp, 0) + inad) END").alias("s1"), F.expr("CASE WHEN v_sub IS NOT NULL THEN v_sub / nullif(v_tot, 0) < 0.25 END").alias("s3"), F.expr("CASE WHEN prev IS NOT NULL THEN abs(pl / prev - 1) > 0.3 END").alias("s4"))
+    top = r.assignors.groupBy("cnpj", "dt").agg(F.max("pr").alias("pr_max"))
+    j = r.sane.withColumn("prev", F.lag("pl").over(T.by_month()))
+    for t in (r.overdue, r.assets, top):
+        j = j.join(t, ["cnpj", "dt"], "left")
+    j = j.join(r.registry.select("cnpj", "interest"), "cnpj", "left")
+    return j.select("cnpj", "dt", "tp", "pl", *[F.expr(e).alias(k) for k, e in SIGNALS.items()])
 
 
 def _events(r: Reports) -> DataFrame:
-    n = r.panel.withColumn("prev", F.lag("pl").over(T.by_month())).where("pl < 0.2 * prev AND dt >= date'1997-01-31' AND cast(cnpj AS bigint) % 3 = 0")
+    n = r.panel.withColumn("prev", F.lag("pl").over(T.by_month())).where("pl < 0.2 * prev AND dt >= date'1997-01-31'")
     return n.groupBy("cnpj").agg(F.min("dt").alias("event"))
 
 
-@plan(_EV + " SELECT dt, count(s1) AS e1, count(*) FILTER (s1) AS f1, count(s3) AS e3, count(*) FILTER (s3) AS f3, count(s4) AS e4, count(*) FILTER (s4) AS f4 FROM sig GROUP BY 1")
+@plan(_EV + " SELECT dt, " + ", ".join(f"count({k}) AS e{k[1]}, count(*) FILTER ({k}) AS f{k[1]}" for k in SIGNALS) + " FROM sig GROUP BY 1")
 def bt_signals_s1_s6(r: Reports) -> DataFrame:
-    return _signals(r).groupBy("dt").agg(*[x for k in ("1", "3", "4") for x in (F.count(f"s{k}").alias(f"e{k}"), F.count_if(f"s{k}").alias(f"f{k}"))])
+    return _signals(r).groupBy("dt").agg(*[x for k in SIGNALS for x in (F.count(k).alias(f"e{k[1]}"), F.count_if(k).alias(f"f{k[1]}"))])
+
+
+_WINDOW = "dt<event AND dt>=last_day((event - INTERVAL 12 MONTH)::date)"
+
 
+def _before(r: Reports) -> DataFrame:
+    return B.before_event(_signals(r), _events(r))
 
-@plan(_EV + " SELECT cnpj, dt, event FROM sig JOIN ev USING (cnpj) WHERE dt<event AND dt>=last_day((event - INTERVAL 12 MONTH)::date)")
+
+@plan(_EV + f" SELECT cnpj, dt, event FROM sig JOIN ev USING (cnpj) WHERE {_WINDOW}")
 def bt_window_no_leak(r: Reports) -> DataFrame:
-    j = _signals(r).join(F.broadcast(_events(r)), "cnpj")
-    return j.where((F.col("dt") < F.col("event")) & (F.col("dt") >= F.last_day(F.add_months("event", -12)))).select("cnpj", "dt", "event")
+    return _before(r).select("cnpj", "dt", "event")
 
 
-_MATCH = ", po AS (SELECT 1 AS kase, s.cnpj, s.tp, s.pl FROM sig s JOIN (SELECT cnpj, max(dt) AS dt FROM sig JOIN ev USING (cnpj) WHERE dt<event GROUP BY 1) USING (cnpj, dt)), ca AS (SELECT cnpj AS control, tp, pl AS cpl FROM sig WHERE dt='1998-06-30' AND cnpj NOT IN (SELECT cnpj FROM ev)), ma AS (SELECT kase, cnpj, control, row_number() OVER (PARTITION BY kase, cnpj ORDER BY md5(control || '1')) AS k FROM po JOIN ca USING (tp) WHERE cpl>=0.5*pl AND cpl<=2*pl AND control<>cnpj QUALIFY k<=3)"
+_CASES = ", po AS (SELECT 1 AS kase, s.cnpj, s.tp, s.pl FROM sig s JOIN (SELECT cnpj, max(dt) AS dt FROM sig JOIN ev USING (cnpj) WHERE dt<event GROUP BY 1) USING (cnpj, dt)), ca AS (SELECT cnpj AS control, tp, pl AS cpl FROM sig WHERE dt='1998-06-30' AND cnpj NOT IN (SELECT cnpj FROM ev))"
+_MATCH = _CASES + ", ma AS (SELECT kase, cnpj, control, row_number() OVER (PARTITION BY kase, cnpj ORDER BY md5(control || '1')) AS k FROM po JOIN ca USING (tp) WHERE cpl>=0.5*pl AND cpl<=2*pl AND control<>cnpj QUALIFY k<=3)"
 
 
-def _controls(r: Reports) -> DataFrame:
-    s, ev = _signals(r), _events(r)
-    last = s.join(F.broadcast(ev), "cnpj").where("dt < event")
-    po = last.withColumn("n", F.row_number().over(Window.partitionBy("cnpj").orderBy(F.desc("dt")))).where("n = 1").select(F.lit(1).alias("case"), "cnpj", "tp", "pl")
-    ca = s.where("dt = date'1998-06-30'").join(ev, "cnpj", "left_anti")
-    return B.matched_controls(po, ca)
+def _cases(r: Reports) -> tuple[DataFrame, DataFrame]:
+    s, ev = _signals(r).select("cnpj", "dt", "tp", "pl"), _events(r)
+    last = s.join(ev, "cnpj").where("dt < event").groupBy("cnpj").agg(F.max_by(F.struct("tp", "pl"), "dt").alias("x"))
+    return last.select(F.lit(1).alias("case"), "cnpj", "x.tp", "x.pl"), s.where("dt = date'1998-06-30'").join(ev, "cnpj", "left_anti")
 
 
 @plan(_EV + _MATCH + ' SELECT kase AS "case", cnpj, control, k FROM ma')
 def bt_matched_controls(r: Reports) -> DataFrame:
-    return _controls(r)
+    return B.matched_controls(*_cases(r))
+
+
+@plan()
+def bt_matched_without_reuse(r: Reports) -> DataFrame:
+    return B.matched_without_reuse(*_cases(r))
 
 
 @plan(_EV + _MATCH + " SELECT count(*) AS n FROM (SELECT cnpj FROM ev INTERSECT SELECT control FROM ma)")
 def bt_contamination(r: Reports) -> DataFrame:
-    return _events(r).select("cnpj").intersect(_controls(r).select("control")).agg(F.count("*").alias("n"))
+    return _events(r).select("cnpj").intersect(B.matched_controls(*_cases(r)).select("control")).agg(F.count("*").alias("n"))
 
 
-_RATES = _EV + ", pv AS (SELECT cnpj, bool_or(coalesce(s1,false)) AS s1, bool_or(coalesce(s3,false)) AS s3, bool_or(coalesce(s4,false)) AS s4, max(datediff('month', dt, event)) FILTER (s4) AS lead FROM sig JOIN ev USING (cnpj) WHERE dt<event AND dt>=last_day((event - INTERVAL 12 MONTH)::date) GROUP BY 1), cv AS (SELECT cnpj, bool_or(coalesce(s1,false)) AS s1, bool_or(coalesce(s3,false)) AS s3, bool_or(coalesce(s4,false)) AS s4 FROM sig WHERE cnpj NOT IN (SELECT cnpj FROM ev) AND dt BETWEEN '1997-07-31' AND '1998-06-30' GROUP BY 1)"
+_ANY = ", ".join(f"bool_or(coalesce({k},false)) AS {k}" for k in SIGNALS)
+_RATES = _EV + f", pv AS (SELECT cnpj, {_ANY}, max(datediff('month', dt, event)) FILTER (s4) AS lead FROM sig JOIN ev USING (cnpj) WHERE {_WINDOW} GROUP BY 1), cv AS (SELECT cnpj, {_ANY} FROM sig WHERE cnpj NOT IN (SELECT cnpj FROM ev) AND dt BETWEEN '1997-07-31' AND '1998-06-30' GROUP BY 1)"
 
 
-def _groups(r: Reports) -> tuple[DataFrame, DataFrame]:
-    s, ev = _signals(r), _events(r)
-    any_ = [F.max(F.coalesce(c, F.lit(False))).alias(c) for c in ("s1", "s3", "s4")]
-    p = s.join(F.broadcast(ev), "cnpj").where((F.col("dt") < F.col("event")) & (F.col("dt") >= F.last_day(F.add_months("event", -12))))
+def _groups(r: Reports) -> DataFrame:
+    """(grp, cnpj, s1 .. s6, lead): which signals fired in a vehicle's window, positives and controls in one pass."""
+    s = _signals(r).join(_events(r), "cnpj", "left")
+    near = (F.col("dt") < F.col("event")) & (F.col("dt") >= F.last_day(F.add_months("event", -12)))
+    grp = F.when(near, "positive").when(F.col("event").isNull() & F.col("dt").between(F.lit("1997-07-31").cast("date"), F.lit("1998-06-30").cast("date")), "control")
     months = (F.year("event") - F.year("dt")) * 12 + F.month("event") - F.month("dt")
-    p = p.groupBy("cnpj").agg(*any_, F.max(F.when(F.col("s4"), months)).alias("lead"))
-    c = s.join(ev, "cnpj", "left_anti").where("dt BETWEEN date'1997-07-31' AND date'1998-06-30'").groupBy("cnpj").agg(*any_)
-    return p, c
+    return s.withColumn("grp", grp).where("grp IS NOT NULL").groupBy("cnpj", "grp").agg(*[F.max(F.coalesce(k, F.lit(False))).alias(k) for k in SIGNALS], F.max(F.when(F.col("s4"), months)).alias("lead"))
 
 
-@plan(_RATES + " SELECT count(*) AS n, round(count(*) FILTER (s1)/nullif(count(*),0),6) AS r1, round(count(*) FILTER (s3)/nullif(count(*),0),6) AS r3, round(count(*) FILTER (s4)/nullif(count(*),0),6) AS r4, median(lead) AS lead FROM pv")
+@plan(_RATES + " SELECT count(*) AS n, " + ", ".join(f"round(count(*) FILTER ({k})/nullif(count(*),0),6) AS r{k[1]}" for k in SIGNALS) + ", median(lead) AS lead FROM pv")
 def bt_rates_lead(r: Reports) -> DataFrame:
     n = F.nullif(F.count("*"), F.lit(0))
-    return _groups(r)[0].agg(F.count("*").alias("n"), *[F.round(F.count_if(f"s{k}") / n, 6).alias(f"r{k}") for k in (1, 3, 4)], F.median("lead").alias("lead"))
+    return _groups(r).where("grp = 'positive'").agg(F.count("*").alias("n"), *[F.round(F.count_if(k) / n, 6).alias(f"r{k[1]}") for k in SIGNALS], F.median("lead").alias("lead"))
 
 
 def _table(r: Reports) -> DataFrame:
-    p, c = _groups(r)
-    long = [g.select(F.lit(n).alias("grp"), F.explode(F.array(*[F.struct(F.lit(f"s{k}").alias("signal"), F.col(f"s{k}").alias("hit")) for k in (1, 3, 4)])).alias("x")).select("grp", "x.*") for n, g in (("positive", p), ("control", c))]
-    return long[0].union(long[1]).groupBy("signal").pivot("grp", ["positive", "control"]).agg(F.count_if("hit").alias("hit"), F.count(F.lit(1)).alias("n"))
+    hits = F.array(*[F.struct(F.lit(k).alias("signal"), F.col(k).alias("hit")) for k in SIGNALS])
+    long = _groups(r).select("grp", F.explode(hits).alias("x")).select("grp", "x.*")
+    return long.groupBy("signal").pivot("grp", ["positive", "control"]).agg(F.count_if("hit").alias("hit"), F.count(F.lit(1)).alias("n"))
 
 
-_TAB = ", tab AS (SELECT signal, (SELECT count(*) FROM pv WHERE CASE signal WHEN 's1' THEN s1 WHEN 's3' THEN s3 ELSE s4 END) AS a, (SELECT count(*) FROM pv) AS np, (SELECT count(*) FROM cv WHERE CASE signal WHEN 's1' THEN s1 WHEN 's3' THEN s3 ELSE s4 END) AS c, (SELECT count(*) FROM cv) AS nc FROM (VALUES ('s1'),('s3'),('s4')) t(signal))"
+_HIT = "CASE signal " + " ".join(f"WHEN '{k}' THEN {k}" for k in SIGNALS) + " END"
+_TAB = f", tab AS (SELECT signal, (SELECT count(*) FROM pv WHERE {_HIT}) AS a, (SELECT count(*) FROM pv) AS np, (SELECT count(*) FROM cv WHERE {_HIT}) AS c, (SELECT count(*) FROM cv) AS nc FROM (VALUES {', '.join(f"('{k}')" for k in SIGNALS)}) t(signal))"
 
 
 @plan(_RATES + _TAB + " SELECT signal, round(a/nullif(np,0),6) AS rate_pos, round(c/nullif(nc,0),6) AS rate_ctrl, round((a/nullif(np,0))/nullif(c/nullif(nc,0),0),6) AS lift FROM tab")

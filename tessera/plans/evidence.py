@@ -2,42 +2,310 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import panel as P
-from ..sources.analogue import CUTOFF, Reports
-from .market import market_series
+from ..operators import signals as S
+from ..operators import timeseries as T
+from ..sources.analogue import CUTOFF, M12, M36, M60, Reports
+from . import signals
+from .market import DEBTORS_SQL, INDEX_SQL as _INDEX, debtor_metrics, price_levels as _index
+from .panel import FLOWS_SQL, MANAGERS_SQL, flows, managers
 from .register import plan
 
 
-def _indicators(r: Reports) -> DataFrame:
-    at = market_series(r).where(F.col("dt") == F.lit(CUTOFF).cast("date"))
-    return at.select(F.explode(F.array(*[F.struct(F.lit(k).alias("indicator"), F.lit(u).alias("unit"), F.col(k).cast("double").alias("value")) for k, u in (("pl", "brl"), ("n", "int"), ("dc_risk", "brl"), ("inad", "brl"))])).alias("x")).select("x.*")
+#: Months beside the cutoff.
+BEFORE, AFTER, M3, M6, M24 = "2001-05-31", "2001-07-31", "2001-03-31", "2000-12-31", "1999-06-30"
+
+
+@dataclass(frozen=True)
+class Source:
+    """A table that indicators are taken from: as SQL (extra CTEs, then what follows FROM), as a DataFrame, and the
+    expressions over it, the same text for both. Each indicator: unit, status, expression."""
+
+    ctes: str
+    table: str
+    frame: Callable[[Reports], DataFrame]
+    indicators: dict[str, tuple[str, str, str]]
+
+
+def _cut(df: DataFrame, month: str = CUTOFF) -> DataFrame:
+    return df.where(F.col("dt") == F.lit(month).cast("date"))
+
+
+def _whole(r: Reports) -> DataFrame:
+    tabs = _cut(r.lines).groupBy("cnpj", "dt").agg(F.round(F.sum(F.when(F.col("ln").between(5, 6), F.col("v"))), 2).alias("quotas"))
+    hold = _cut(r.debtors).groupBy("cnpj", "dt").agg(F.count("*").alias("n_hold"))
+    j = _cut(r.sane)
+    for t in (r.assets, r.overdue, tabs, hold):
+        j = j.join(t, ["cnpj", "dt"], "left")
+    return j
+
+
+def _real(r: Reports) -> DataFrame:
+    idx = _index(r)
+    last = idx.agg(F.max_by("idx", "dt").alias("base"))
+    return r.sane.groupBy("dt").agg(F.sum("pl").alias("pl")).join(F.broadcast(idx), "dt").crossJoin(F.broadcast(last)).withColumn("real_pl", F.col("pl") / F.col("idx") * F.col("base"))
+
+
+def _present(r: Reports) -> DataFrame:
+    def at(month: str):
+        return F.max(F.when(F.col("dt") == F.lit(month).cast("date"), F.col("pl")))
+
+    own = r.sane.where(F.col("dt").isin(*[F.lit(d).cast("date") for d in (BEFORE, CUTOFF, AFTER)]))
+    return own.groupBy("cnpj").agg(at(BEFORE).alias("was"), at(CUTOFF).alias("now"), at(AFTER).alias("next"))
+
+
+def _on(key: str, month: str) -> str:
+    return f"max({key}) FILTER (WHERE dt = DATE '{month}')"
+
+
+def _linked(r: Reports) -> DataFrame:
+    held = _cut(r.lines).join(_cut(r.sane).select("cnpj"), "cnpj", "left_semi")
+    return held.select("v", F.when(F.col("ln") % 3 == 0, "S").when(F.col("ln") % 3 == 1, "N").alias("linked"))
+
+
+def _judicial(r: Reports) -> DataFrame:
+    j = _cut(r.assignors).where("pr > 0 AND pr <= 100").join(_cut(r.assets).drop("dt"), "cnpj")
+    return j.where("ced LIKE '%1'")
+
+
+SOURCES = {
+    "portfolio": Source(
+        f"q AS (SELECT cnpj, dt, round(sum(v) FILTER (ln BETWEEN 5 AND 6),2) AS quotas FROM lines WHERE dt='{CUTOFF}' GROUP BY 1,2), nh AS (SELECT cnpj, dt, count(*) AS n_hold FROM debtors WHERE dt='{CUTOFF}' GROUP BY 1,2)",
+        f"(SELECT * FROM sane WHERE dt='{CUTOFF}') LEFT JOIN assets USING (cnpj, dt) LEFT JOIN overdue USING (cnpj, dt) LEFT JOIN q USING (cnpj, dt) LEFT JOIN nh USING (cnpj, dt)",
+        _whole,
+        {
+            "pl_total": ("brl", "observed", "sum(pl)"), "pl_liquido": ("brl", "calculated", "sum(pl) - sum(coalesce(quotas, 0))"), "circularidade": ("brl", "observed", "sum(quotas)"), "n_veiculos": ("un", "observed", "count(*)"),
+            "posicoes_cotistas": ("un", "observed", "sum(n_hold)"), "dc_total": ("brl", "calculated", "sum(coalesce(dc_risk, 0) + coalesce(dc_norisk, 0))"), "dc_sem_risco": ("brl", "observed", "sum(dc_norisk)"), "aquisicoes_mes": ("brl", "observed", "sum(v_roll)"),
+            "inadimplencia": ("%", "calculated", "sum(inad) / nullif(sum(coalesce(inad, 0) + coalesce(dcp, 0)), 0)"), "atraso_180": ("%", "calculated", "sum(coalesce(b1080, 0) + coalesce(bmax, 0)) / nullif(sum(coalesce(dc_risk, 0) + coalesce(dc_norisk, 0)), 0)"), "provisionamento": ("%", "calculated", "sum(b90) / nullif(sum(inad), 0)"),
+            "subordinacao": ("%", "calculated", "sum(coalesce(v_mez, 0) + coalesce(v_sub, 0)) / nullif(sum(v_tot), 0)"), "serie_senior": ("brl", "observed", "sum(v_sen)"), "serie_mezanino": ("brl", "observed", "sum(v_mez)"), "serie_subordinada": ("brl", "observed", "sum(v_sub)"),
+            "identidade_contabil": ("un", "calculated", "count(*) FILTER (WHERE abs(v_tot - coalesce(dc_risk, 0) - coalesce(dc_norisk, 0)) > 0.011)"), "series_abaixo_esperado": ("un", "calculated", "count(*) FILTER (WHERE v_sen < 0.5 * v_tot)"), "veiculos_com_garantia": ("un", "calculated", "count(*) FILTER (WHERE v_sub > 0)"),
+        },
+    ),
+    "months": Source(
+        _INDEX[1:] + ", rl AS (SELECT s.dt, pl, pl/idx.idx*(SELECT idx FROM idx ORDER BY dt DESC LIMIT 1) AS real_pl FROM (SELECT dt, sum(pl) AS pl FROM sane GROUP BY 1) s JOIN idx ON s.dt=idx.dt)",
+        "rl",
+        _real,
+        {f"var_{n}m": ("%", "calculated", f"{_on('pl', CUTOFF)} / nullif({_on('pl', d)}, 0) - 1") for n, d in ((1, BEFORE), (3, M3), (6, M6), (12, M12), (24, M24))} | {"cagr_real": ("%", "calculated", f"power({_on('real_pl', CUTOFF)} / nullif({_on('real_pl', M60)}, 0), 0.2) - 1")},
+    ),
+    "flows": Source(
+        FLOWS_SQL.removeprefix("WITH "),
+        f"(SELECT * FROM flows WHERE sane AND last_day(cast(o_orderdate AS date))='{M36}')",
+        lambda r: flows(r).where(F.col("sane") & (F.last_day(F.to_date("o_orderdate")) == F.lit(M36).cast("date"))),
+        {"captacoes_mes": ("brl", "observed", "sum(amt) FILTER (WHERE op = 'O')"), "resgates_mes": ("brl", "observed", "sum(amt) FILTER (WHERE op <> 'O')")},
+    ),
+    "presence": Source(
+        f"pr3 AS (SELECT cnpj, max(pl) FILTER (dt='{BEFORE}') AS was, max(pl) FILTER (dt='{CUTOFF}') AS now, max(pl) FILTER (dt='{AFTER}') AS next FROM sane WHERE dt IN ('{BEFORE}','{CUTOFF}','{AFTER}') GROUP BY 1)",
+        "pr3",
+        _present,
+        {
+            "mudou_entrantes": ("un", "calculated", "count(*) FILTER (WHERE now IS NOT NULL AND was IS NULL)"), "mudou_saintes": ("un", "calculated", "count(*) FILTER (WHERE now IS NULL AND was IS NOT NULL)"), "jul_ausentes": ("un", "calculated", "count(*) FILTER (WHERE now IS NOT NULL AND next IS NULL)"),
+            "jul_same_store": ("%", "calculated", "sum(next) FILTER (WHERE now IS NOT NULL) / nullif(sum(now) FILTER (WHERE next IS NOT NULL), 0) - 1"), "jul_pl_ausente": ("brl", "calculated", "sum(now) FILTER (WHERE next IS NULL)"),
+        },
+    ),
+    "debtors": Source(
+        DEBTORS_SQL[1:],
+        f"(SELECT * FROM dm WHERE dt='{CUTOFF}' AND dc>0)",
+        lambda r: _cut(debtor_metrics(r)).where("dc > 0"),
+        {"sacado_cobertura_dc": ("%", "calculated", "sum(dc) FILTER (WHERE list_val IS NOT NULL) / nullif(sum(dc), 0)"), "sacado_mediana_top1": ("%", "calculated", "median(top1)"), "sacado_n_top1_50": ("un", "calculated", "count(*) FILTER (WHERE top1 > 0.5)")},
+    ),
+    "holders": Source(
+        f"hl AS (SELECT v, CASE ln%3 WHEN 0 THEN 'S' WHEN 1 THEN 'N' END AS linked FROM lines WHERE dt='{CUTOFF}' AND cnpj IN (SELECT cnpj FROM sane WHERE dt='{CUTOFF}'))",
+        "hl",
+        _linked,
+        {"detido_fundos": ("brl", "observed", "sum(v)"), "emissor_ligado": ("brl", "observed", "sum(v) FILTER (WHERE linked = 'S')")},
+    ),
+    "processes": Source("", "orders", lambda r: r.table("orders"), {"rj_processos": ("un", "observed", "count(*) FILTER (WHERE o_orderpriority = '1-URGENT')")}),
+    "judicial": Source(
+        f"jd AS (SELECT a.cnpj, ced, pr, v_tot FROM assignors a JOIN assets s ON a.cnpj=s.cnpj AND a.dt=s.dt WHERE a.dt='{CUTOFF}' AND pr>0 AND pr<=100 AND ced LIKE '%1')",
+        "jd",
+        _judicial,
+        {"rj_vinculos": ("un", "inferred", "count(DISTINCT ced)"), "rj_exposicao": ("brl", "estimated", "sum(pr / 100 * v_tot)"), "rj_casos": ("un", "inferred", "count(DISTINCT CASE WHEN pr >= 20 THEN ced END)")},
+    ),
+}
+#: What the signal engine publishes; "closed" needs a kept snapshot of the run before, so it is NULL.
+ENGINE = {
+    "mudou_sinais_novos": ("un", "calculated", "count(*) FILTER (WHERE streak = 1)"), "mudou_sinais_persistentes": ("un", "calculated", "count(*) FILTER (WHERE streak > 1)"), "mudou_sinais_encerrados": ("un", "calculated", "cast(NULL AS double)"),
+}
+BANDS = {"rf_nao_classificavel": ("un", "calculated", "count(*) FILTER (WHERE coverage < 50 OR score IS NULL)"), "rf_atencao_alta": ("un", "calculated", "count(*) FILTER (WHERE band = 'high')"), "rf_sem_sinal": ("un", "calculated", "count(*) FILTER (WHERE coverage >= 50 AND score = 0)"), "rf_n_sinais": ("un", "observed", "max(n_signals)")}
+
+
+def _stacked(df: DataFrame, found: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """A row for each indicator from one aggregation."""
+    row = df.agg(*[F.round(F.expr(e).cast("double"), 6).alias(k) for k, (*_, e) in found.items()])
+    each = [F.struct(F.lit(k).alias("indicator"), F.lit(u).alias("unit"), F.lit(st).alias("status"), F.col(k).alias("value")) for k, (u, st, _) in found.items()]
+    return row.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+
+
+def _stacked_sql(table: str, found: dict[str, tuple[str, str, str]]) -> str:
+    def several(values: Iterable[str]) -> str:
+        return f"unnest([{', '.join(values)}])"
 
+    names, units, states = (several(f"'{x}'" for x in xs) for xs in (found, [u for u, *_ in found.values()], [t for _, t, _ in found.values()]))
+    return f"SELECT {names} AS indicator, {units} AS unit, {states} AS status, {several(f'round(cast({e} AS double),6)' for *_, e in found.values())} AS value FROM {table}"
 
-_IND = f"@ms AS (SELECT sum(pl) AS pl, count(*) AS n, sum(dc_risk) AS dc_risk, sum(inad) AS inad FROM sane LEFT JOIN assets USING (cnpj, dt) LEFT JOIN overdue USING (cnpj, dt) WHERE dt='{CUTOFF}'), ind AS (SELECT 'pl' AS indicator, 'brl' AS unit, round(pl,2) AS value FROM ms UNION ALL SELECT 'n','int',cast(n AS double) FROM ms UNION ALL SELECT 'dc_risk','brl',round(dc_risk,2) FROM ms UNION ALL SELECT 'inad','brl',round(inad,2) FROM ms)"
 
+def _engine(r: Reports) -> tuple[DataFrame, DataFrame]:
+    """Signals fired at the cutoff with their streaks, and vehicles with their band."""
+    now = S.settled(signals.fired_signals(r), CUTOFF).persist()
+    return now.where("fired").select("streak"), S.bands(S.score(now, S.SIGNALS)).withColumn("n_signals", F.lit(len(S.SIGNALS)))
 
-@plan(_IND + " SELECT indicator, unit, value FROM ind")
+
+_BANDED = f"(SELECT sc.*, {len(S.SIGNALS)} AS n_signals, CASE WHEN coverage<50 OR score IS NULL THEN 'not classifiable' WHEN score>=p99 AND score>0 THEN 'high' WHEN score>=p90 AND score>0 THEN 'medium' WHEN score>0 THEN 'low' ELSE 'none' END AS band FROM sc CROSS JOIN (SELECT quantile_cont(score,0.9) AS p90, quantile_cont(score,0.99) AS p99 FROM sc WHERE coverage>=50 AND score>0))"
+_IND = signals.WIDE_SQL + "".join(f", {s.ctes}" for s in SOURCES.values() if s.ctes) + ", ind AS MATERIALIZED (" + " UNION ALL ".join([*[_stacked_sql(s.table, s.indicators) for s in SOURCES.values()], _stacked_sql(f"(SELECT streak FROM fi JOIN st USING (cnpj, id) WHERE dt='{CUTOFF}' AND fired)", ENGINE), _stacked_sql(_BANDED, BANDS)]) + ")"
+
+
+def _indicators(r: Reports) -> DataFrame:
+    fired, banded = _engine(r)
+    parts = [_stacked(s.frame(r), s.indicators) for s in SOURCES.values()] + [_stacked(fired, ENGINE), _stacked(banded, BANDS)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@plan(_IND + " SELECT indicator, unit, status, value FROM ind")
 def indicator_registry(r: Reports) -> DataFrame:
+    """The 47 published indicators."""
     return _indicators(r)
 
 
-@plan(_IND + f", v AS (SELECT 'pl' AS indicator, sum(pl) AS again FROM panel WHERE dt='{CUTOFF}' UNION ALL SELECT 'n', count(*) FROM sane WHERE dt='{CUTOFF}' UNION ALL SELECT 'dc_risk', sum(v) FROM lines WHERE dt='{CUTOFF}' AND flag<>'R') SELECT indicator, CASE WHEN again IS NULL THEN 'FAIL' WHEN abs(value-again)<=0.001*greatest(abs(value),abs(again)) THEN 'OK' ELSE 'FAIL' END AS status FROM ind LEFT JOIN v USING (indicator)")
+#: The same figures by another way: from the lines and orders themselves, by set operations, or by joins of two months.
+AGAIN_SQL = f"""al AS (SELECT l.*, s.tp AS own, ship - cast(o_orderdate AS date) AS late FROM lines l JOIN sane s ON l.cnpj=s.cnpj AND l.dt=s.dt JOIN orders ON l_orderkey=o_orderkey WHERE l.dt='{CUTOFF}'),
+am AS (SELECT dt, sum(pl) AS pl FROM sane GROUP BY 1), now_ AS (SELECT cnpj, pl FROM sane WHERE dt='{CUTOFF}'), was_ AS (SELECT cnpj, pl FROM sane WHERE dt='{BEFORE}'), next_ AS (SELECT cnpj, pl FROM sane WHERE dt='{AFTER}')"""
+
+
+def _again(r: Reports) -> DataFrame:
+    """(indicator, again)."""
+    at = {"pl_total": "sum(v) FILTER (WHERE tp = own)", "n_veiculos": "count(DISTINCT cnpj)", "circularidade": "sum(v) FILTER (WHERE ln BETWEEN 5 AND 6)", "pl_liquido": "sum(v) FILTER (WHERE tp = own) - sum(v) FILTER (WHERE ln BETWEEN 5 AND 6)", "dc_total": "sum(v)", "dc_sem_risco": "sum(v) FILTER (WHERE flag = 'R')", "aquisicoes_mes": "sum(v) FILTER (WHERE flag = 'A' AND ln >= 3)", "inadimplencia": "sum(v) FILTER (WHERE late > 0) / nullif(sum(v), 0)", "atraso_180": "sum(v) FILTER (WHERE late > 360) / nullif(sum(v), 0)", "provisionamento": "sum(v) FILTER (WHERE late BETWEEN 1 AND 90) / nullif(sum(v) FILTER (WHERE late > 0), 0)", "subordinacao": "sum(v) FILTER (WHERE flag IN ('A', 'R')) / nullif(sum(v), 0)", "serie_senior": "sum(v) FILTER (WHERE flag = 'N')", "serie_mezanino": "sum(v) FILTER (WHERE flag = 'A')", "serie_subordinada": "sum(v) FILTER (WHERE flag = 'R')", "veiculos_com_garantia": "count(DISTINCT CASE WHEN flag = 'R' THEN cnpj END)", "detido_fundos": "sum(v)", "emissor_ligado": "sum(v) FILTER (WHERE ln % 3 = 0)"}
+    lines = _cut(r.late).join(_cut(r.sane).select("cnpj", F.col("tp").alias("own")), "cnpj")
+    parts = [_stacked(lines, {k: ("", "", e) for k, e in at.items()})]
+    months = r.sane.groupBy("dt").agg(F.sum("pl").alias("pl"))
+    now = _cut(months).select(F.col("pl").alias("now"))
+    then = months.where(F.col("dt").isin(*[F.lit(d).cast("date") for d in _THEN])).crossJoin(F.broadcast(now))
+    name = F.create_map(*[x for d, n in _THEN.items() for x in (F.lit(d), F.lit(n))])[F.date_format("dt", "yyyy-MM-dd")]
+    parts.append(then.select(name.alias("indicator"), F.lit("").alias("unit"), F.lit("").alias("status"), F.round(F.col("now") / F.col("pl") - 1, 6).alias("value")))
+    a, b, c = (_cut(r.sane, d).select("cnpj", "pl") for d in (CUTOFF, BEFORE, AFTER))
+    ids = [x.select("cnpj") for x in (a, b, c)]
+
+    def one(k: str, df: DataFrame, value: Column) -> DataFrame:
+        return df.agg(F.lit(k).alias("indicator"), F.lit("").alias("unit"), F.lit("").alias("status"), F.round(value.cast("double"), 6).alias("value"))
+
+    n = F.count("*")
+    parts += [one("mudou_entrantes", ids[0].subtract(ids[1]), n), one("mudou_saintes", ids[1].subtract(ids[0]), n), one("jul_ausentes", ids[0].subtract(ids[2]), n), one("jul_pl_ausente", a.join(c, "cnpj", "left_anti"), F.sum("pl"))]
+    both = a.join(c.withColumnRenamed("pl", "later"), "cnpj")
+    parts.append(one("jul_same_store", both, F.sum("later") / F.nullif(F.sum("pl"), F.lit(0.0)) - 1))
+    parts.append(one("rj_processos", r.table("orders").groupBy("o_orderpriority").count().where("o_orderpriority = '1-URGENT'"), F.sum("count")))
+    parts.append(one("posicoes_cotistas", _cut(r.debtors).join(a, "cnpj", "left_semi"), n))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("indicator", F.col("value").alias("again"))
+
+
+_THEN = {BEFORE: "var_1m", M3: "var_3m", M6: "var_6m", M12: "var_12m", M24: "var_24m"}
+_AGAIN = AGAIN_SQL + """, again AS (SELECT unnest(['pl_total','n_veiculos','circularidade','pl_liquido','dc_total','dc_sem_risco','aquisicoes_mes','inadimplencia','atraso_180','provisionamento','subordinacao','serie_senior','serie_mezanino','serie_subordinada','veiculos_com_garantia','detido_fundos','emissor_ligado']) AS indicator,
+ unnest([sum(v) FILTER (tp=own), count(DISTINCT cnpj), sum(v) FILTER (ln BETWEEN 5 AND 6), sum(v) FILTER (tp=own)-sum(v) FILTER (ln BETWEEN 5 AND 6), sum(v), sum(v) FILTER (flag='R'), sum(v) FILTER (flag='A' AND ln>=3), sum(v) FILTER (late>0)/nullif(sum(v),0), sum(v) FILTER (late>360)/nullif(sum(v),0), sum(v) FILTER (late BETWEEN 1 AND 90)/nullif(sum(v) FILTER (late>0),0), sum(v) FILTER (flag IN ('A','R'))/nullif(sum(v),0), sum(v) FILTER (flag='N'), sum(v) FILTER (flag='A'), sum(v) FILTER (flag='R'), count(DISTINCT CASE WHEN flag='R' THEN cnpj END), sum(v), sum(v) FILTER (ln%3=0)]) AS again FROM al
+ UNION ALL SELECT CASE dt """ + " ".join(f"WHEN DATE '{d}' THEN '{n}'" for d, n in _THEN.items()) + f""" END, round((SELECT pl FROM am WHERE dt='{CUTOFF}')/pl-1,6) FROM am WHERE dt IN ({", ".join(f"'{d}'" for d in _THEN)})
+ UNION ALL SELECT 'mudou_entrantes', count(*) FROM (SELECT cnpj FROM now_ EXCEPT SELECT cnpj FROM was_) UNION ALL SELECT 'mudou_saintes', count(*) FROM (SELECT cnpj FROM was_ EXCEPT SELECT cnpj FROM now_) UNION ALL SELECT 'jul_ausentes', count(*) FROM (SELECT cnpj FROM now_ EXCEPT SELECT cnpj FROM next_)
+ UNION ALL SELECT 'jul_pl_ausente', sum(pl) FROM now_ WHERE cnpj NOT IN (SELECT cnpj FROM next_) UNION ALL SELECT 'jul_same_store', round(sum(n.pl)/nullif(sum(a.pl),0)-1,6) FROM now_ a JOIN next_ n USING (cnpj)
+ UNION ALL SELECT 'rj_processos', count(*) FROM orders WHERE o_orderpriority='1-URGENT' UNION ALL SELECT 'posicoes_cotistas', count(*) FROM debtors WHERE dt='{CUTOFF}' AND cnpj IN (SELECT cnpj FROM now_))"""
+
+
+def _gated(published: DataFrame, again: DataFrame) -> DataFrame:
+    """OK where the second figure is within a thousandth of the first, or both are NULL; FAIL where it is not; an
+    indicator without a second figure is said to be so."""
+    j = published.join(again.withColumn("seen", F.lit(True)), "indicator", "left")
+    close = F.expr("abs(value - again) <= 0.001 * greatest(abs(value), abs(again))")
+    status = F.when(F.col("seen").isNull(), "NO VERIFIER").when(F.col("value").isNull() & F.col("again").isNull(), "OK").when(F.coalesce(close, F.lit(False)), "OK").otherwise("FAIL")
+    return j.select("indicator", status.alias("status"))
+
+
+@plan(_IND + ", " + _AGAIN + " SELECT indicator, CASE WHEN seen IS NULL THEN 'NO VERIFIER' WHEN value IS NULL AND again IS NULL THEN 'OK' WHEN coalesce(abs(value-again)<=0.001*greatest(abs(value),abs(again)),false) THEN 'OK' ELSE 'FAIL' END AS status FROM ind LEFT JOIN (SELECT *, true AS seen FROM again) USING (indicator)")
 def formula_gate(r: Reports) -> DataFrame:
-    at = F.col("dt") == F.lit(CUTOFF).cast("date")
-    again = r.panel.where(at).agg(F.lit("pl").alias("indicator"), F.sum("pl").alias("again")).unionByName(r.sane.where(at).agg(F.lit("n").alias("indicator"), F.count("*").cast("double").alias("again"))).unionByName(r.lines.where(at).where("flag <> 'R'").agg(F.lit("dc_risk").alias("indicator"), F.sum("v").alias("again")))
-    j = _indicators(r).join(again, "indicator", "left")
-    return j.select("indicator", F.when(F.col("again").isNull(), "FAIL").when(F.expr("abs(value - again) <= 0.001 * greatest(abs(value), abs(again))"), "OK").otherwise("FAIL").alias("status"))
+    return _gated(_indicators(r).select("indicator", "value"), _again(r))
 
 
-@plan("SELECT 'duplicates' AS test, count(*) AS found FROM (SELECT cnpj, dt FROM panel GROUP BY 1,2 HAVING count(*)>1) UNION ALL SELECT 'negative_pl', count(*) FROM panel WHERE pl<0 UNION ALL SELECT 'months', count(DISTINCT dt) FROM panel UNION ALL SELECT 'negative_balance', count(*) FROM registry WHERE bal<0")
+#: The audit: a test's name, what it measures, and the condition under which it passes (else it warns or fails).
+_TESTS = {
+    "T1_series": ("abs(pl_lines / pl_panel - 1)", "x < 0.001", "FAIL"), "T2_admins": ("abs(pl_admins / pl_panel - 1)", "x < 0.001", "WARN"), "T2b_managers": ("abs(pl_managers / pl_panel - 1)", "x < 0.001", "WARN"), "T3_duplicates": ("n_duplicates", "x = 0", "FAIL"), "T4_cancelled": ("n_cancelled", "x < 30", "WARN"),
+    "T5_negative_pl": ("n_negative", "x = 0", "WARN"), "T5b_negative_dc": ("n_negative_dc", "x = 0", "WARN"), "T6_months": ("n_missing", "x = 0", "WARN"), "T7_jump": ("jump", "x < 0.3", "WARN"), "T8_top20": ("20 - n_top", "x <= 1", "FAIL"), "T9_admin_again": ("admin_diff", "x < 0.001", "FAIL"),
+    "T10_hhi": ("abs(hhi_a - hhi_b)", "x < 0.000001", "FAIL"), "T11_circular": ("circular / pl_panel", "x < 1", "WARN"), "T12_related": ("n_related", "x >= 0", "WARN"), "T15_series_to_pl": ("abs(series / pl_panel - 1)", "x < 0.01", "WARN"),
+}
+_FACTS_SQL = f"""@cutp AS (SELECT * FROM sane WHERE dt='{CUTOFF}'), cutl AS (SELECT l.* FROM lines l JOIN cutp s ON l.cnpj=s.cnpj AND l.dt=s.dt AND l.tp=s.tp), adm AS (SELECT admin, sum(pl) AS pl FROM cutp JOIN registry USING (cnpj) GROUP BY 1), adl AS (SELECT admin, sum(v) AS v FROM cutl JOIN registry USING (cnpj) GROUP BY 1), {MANAGERS_SQL}, mon AS (SELECT dt, sum(pl) AS pl FROM sane GROUP BY 1), jm AS (SELECT abs(pl/lag(pl) OVER (ORDER BY dt)-1) AS v FROM mon WHERE dt<='{CUTOFF}'),
+ta AS (SELECT cnpj FROM cutp ORDER BY pl DESC, cnpj LIMIT 20), tb AS (SELECT cnpj FROM (SELECT cnpj, sum(v) AS v FROM cutl GROUP BY 1) ORDER BY v DESC, cnpj LIMIT 20),
+facts AS (SELECT (SELECT sum(v) FROM cutl) AS pl_lines, (SELECT sum(pl) FROM cutp) AS pl_panel, (SELECT sum(pl) FROM adm) AS pl_admins, (SELECT sum(pl) FROM cutp JOIN managers USING (cnpj)) AS pl_managers, (SELECT count(*) FROM (SELECT cnpj, dt FROM panel GROUP BY 1,2 HAVING count(*)>1)) AS n_duplicates,
+ (SELECT count(*) FROM cutp JOIN registry USING (cnpj) WHERE bal<0) AS n_cancelled, (SELECT count(*) FROM cutp WHERE pl<0) AS n_negative, (SELECT count(*) FROM assets WHERE dt='{CUTOFF}' AND (dc_risk<0 OR dc_norisk<0)) AS n_negative_dc, (SELECT datediff('month', min(dt), max(dt))+1-count(*) FROM mon) AS n_missing, (SELECT max(v) FROM jm) AS jump, (SELECT count(*) FROM ta JOIN tb USING (cnpj)) AS n_top,
+ (SELECT max(abs(v/pl-1)) FROM adm JOIN adl USING (admin)) AS admin_diff, (SELECT sum(x*x) FROM (SELECT pl/sum(pl) OVER () AS x FROM cutp WHERE pl>0)) AS hhi_a, (SELECT sum(pl*pl)/power(sum(pl),2) FROM cutp WHERE pl>0) AS hhi_b, (SELECT sum(v) FROM cutl WHERE ln BETWEEN 5 AND 6) AS circular, (SELECT count(DISTINCT cnpj) FROM lines WHERE ln=4 AND flag='A' AND dt>'{M12}' AND dt<='{CUTOFF}') AS n_related, (SELECT sum(v_tot) FROM cutp JOIN assets USING (cnpj, dt)) AS series)"""
+
+
+@plan(_FACTS_SQL + " SELECT test, round(x,6) AS found, status FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS test, x, CASE WHEN {ok} THEN 'PASS' ELSE '{bad}' END AS status FROM (SELECT cast({e} AS double) AS x FROM facts)" for k, (e, ok, bad) in _TESTS.items()) + ")")
 def audit_tests(r: Reports) -> DataFrame:
-    def named(n: str, df: DataFrame) -> DataFrame:
-        return df.agg(F.lit(n).alias("test"), F.count("*").alias("found"))
+    """Tests T1 to T12 and T15; T13 (files by their hashes) is sources.files.manifest, T14 compares with a figure from
+    outside."""
+    now = _cut(r.sane)
+    lines = r.lines.join(now.select("cnpj", "dt", "tp"), ["cnpj", "dt", "tp"])
+    by_admin = now.join(r.registry, "cnpj").groupBy("admin").agg(F.sum("pl").alias("pl"), F.count_if(F.col("bal") < 0).alias("bad"))
+    by_lines = lines.join(r.registry, "cnpj").groupBy("admin").agg(F.sum("v").alias("v"))
+    months = r.sane.groupBy("dt").agg(F.sum("pl").alias("pl"))
+    jump = months.where(F.col("dt") <= F.lit(CUTOFF).cast("date")).select(F.abs(F.col("pl") / F.lag("pl").over(Window.orderBy("dt")) - 1).alias("v"))
+    total = now.where("pl > 0").agg(F.sum("pl").alias("total"))
+    per_vehicle = lines.groupBy("cnpj").agg(F.sum("v").alias("v"))
+    top = now.select("cnpj", "pl").orderBy(F.desc("pl"), "cnpj").limit(20).join(per_vehicle.orderBy(F.desc("v"), "cnpj").limit(20), "cnpj")
+    year = (F.col("dt") > F.lit(M12).cast("date")) & (F.col("dt") <= F.lit(CUTOFF).cast("date"))
+    facts = [
+        lines.agg(F.sum("v").alias("pl_lines"), F.sum(F.when(F.col("ln").between(5, 6), F.col("v"))).alias("circular")),
+        now.agg(F.sum("pl").alias("pl_panel"), F.count_if(F.col("pl") < 0).alias("n_negative"), (F.sum(F.when(F.col("pl") > 0, F.col("pl") * F.col("pl"))) / F.pow(F.sum(F.when(F.col("pl") > 0, F.col("pl"))), F.lit(2))).alias("hhi_b")),
+        by_admin.join(by_lines, "admin", "left").agg(F.sum("pl").alias("pl_admins"), F.sum("bad").alias("n_cancelled"), F.max(F.abs(F.col("v") / F.col("pl") - 1)).alias("admin_diff")),
+        now.join(managers(r), "cnpj").agg(F.sum("pl").alias("pl_managers")),
+        r.panel.groupBy("cnpj", "dt").count().where("count > 1").agg(F.count("*").alias("n_duplicates")),
+        _cut(r.assets).agg(F.count_if(F.expr("dc_risk < 0 OR dc_norisk < 0")).alias("n_negative_dc")),
+        months.agg((F.months_between(F.max("dt"), F.min("dt")) + 1 - F.count("*")).alias("n_missing")),
+        jump.agg(F.max("v").alias("jump")),
+        top.agg(F.count("*").alias("n_top")),
+        now.where("pl > 0").crossJoin(F.broadcast(total)).agg(F.sum(F.pow(F.col("pl") / F.col("total"), F.lit(2))).alias("hhi_a")),
+        r.lines.where(year).where("ln = 4 AND flag = 'A'").agg(F.count_distinct("cnpj").alias("n_related")),
+        now.join(r.assets, ["cnpj", "dt"]).agg(F.sum("v_tot").alias("series")),
+    ]
+    row = facts[0]
+    for f in facts[1:]:  # each has one row
+        row = row.crossJoin(F.broadcast(f))
+    each = [F.struct(F.lit(k).alias("test"), F.expr(e).cast("double").alias("x"), F.lit(ok).alias("ok"), F.lit(bad).alias("bad")) for k, (e, ok, bad) in _TESTS.items()]
+    x = row.select(F.explode(F.array(*each)).alias("y")).select("y.*")
+    passed = F.lit(False)
+    for k, (_, ok, _) in _TESTS.items():
+        passed = F.when(F.col("test") == k, F.coalesce(F.expr(ok), F.lit(False))).otherwise(passed)
+    return x.select("test", F.round("x", 6).alias("found"), F.when(passed, "PASS").otherwise(F.col("bad")).alias("status"))
+
+
+#: Claims of the evidence book: what is said, re-derived from the published indicators.
+_CLAIMS = {"A1": ("pl_total", "pl_total > 0"), "A2": ("n_veiculos", "n_veiculos > 0"), "A3": ("circularidade", "circularidade < pl_total"), "A4": ("pl_liquido", "abs(pl_liquido - (pl_total - circularidade)) <= 0.005 * pl_total"), "B1": ("var_12m", "var_12m IS NOT NULL"), "B2": ("cagr_real", "cagr_real < var_24m OR cagr_real >= var_24m"), "C1": ("inadimplencia", "inadimplencia BETWEEN 0 AND 1"), "C2": ("atraso_180", "atraso_180 <= 1"), "C3": ("provisionamento", "provisionamento <= 1"), "D1": ("subordinacao", "abs(subordinacao - (serie_mezanino + serie_subordinada) / (serie_senior + serie_mezanino + serie_subordinada)) <= 0.005"), "E1": ("sacado_cobertura_dc", "sacado_cobertura_dc <= 1"), "E2": ("sacado_n_top1_50", "sacado_n_top1_50 <= n_veiculos"), "F1": ("emissor_ligado", "emissor_ligado <= detido_fundos"), "G1": ("rf_n_sinais", "rf_n_sinais = 46"), "G2": ("rf_nao_classificavel", "rf_nao_classificavel >= 0"), "H1": ("rj_vinculos", "rj_casos <= rj_vinculos")}
+_KEYS = [k for s in SOURCES.values() for k in s.indicators] + [*ENGINE, *BANDS]
+
+
+@plan(_IND + ", wide_ind AS (SELECT " + ", ".join(f"max(value) FILTER (indicator='{k}') AS {k}" for k in _KEYS) + " FROM ind) SELECT claim, subject, value, holds FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS claim, '{c}' AS subject, {c} AS value, coalesce({e},false) AS holds FROM wide_ind" for k, (c, e) in _CLAIMS.items()) + ")")
+def evidence_book(r: Reports) -> DataFrame:
+    """Each claim with its figure and whether it holds among the other indicators."""
+    wide = _indicators(r).groupBy().pivot("indicator", _KEYS).agg(F.max("value"))
+    each = [F.struct(F.lit(k).alias("claim"), F.lit(c).alias("subject"), F.col(c).alias("value"), F.coalesce(F.expr(e), F.lit(False)).alias("holds")) for k, (c, e) in _CLAIMS.items()]
+    return wide.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+
+
+#: Fixed patterns of the linter: process numbers, and words that identify a person by role.
+_PROCESS, _ROLE = r"[0-9]{5}\.[0-9]{6}/[0-9]{4}-[0-9]{2}|RJ ?[0-9]{4}/[0-9]+", r"\b(her|his|their) (directors?|manager)\b"
+
 
-    return named("duplicates", r.panel.groupBy("cnpj", "dt").count().where("count > 1")).unionByName(named("negative_pl", r.panel.where("pl < 0"))).unionByName(named("months", r.panel.select("dt").distinct())).unionByName(named("negative_balance", r.registry.where("bal < 0")))
+@plan(f"SELECT source, count(*) AS n, count(*) FILTER (regexp_matches(lower(coalesce(text,'')), 'condem|convict|condena') AND NOT regexp_matches(coalesce(text,''), '{_PROCESS}')) AS n_unproven, count(*) FILTER (regexp_matches(lower(coalesce(text,'')), '{_ROLE}')) AS n_role, count(*) FILTER (regexp_matches(coalesce(text,''), '^ *Director')) AS n_person FROM documents GROUP BY 1", base=False)
+def legal_linter_text(r: Reports) -> DataFrame:
+    """Texts that speak of a conviction without a process number, identify someone by role, or open with a role."""
+    t = F.coalesce("text", F.lit(""))
+    unproven = F.regexp_like(F.lower(t), F.lit("condem|convict|condena")) & ~F.regexp_like(t, F.lit(_PROCESS))
+    return r.table("documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(unproven).alias("n_unproven"), F.count_if(F.regexp_like(F.lower(t), F.lit(_ROLE))).alias("n_role"), F.count_if(F.regexp_like(t, F.lit("^ *Director"))).alias("n_person"))
 
 
 @plan("@a AS (SELECT cnpj, pl FROM sane WHERE dt='2001-05-31'), b AS (SELECT cnpj, pl FROM sane WHERE dt='2001-06-30') SELECT coalesce(a.cnpj,b.cnpj) AS cnpj, CASE WHEN a.cnpj IS NULL THEN 'entered' WHEN b.cnpj IS NULL THEN 'left' WHEN md5(cast(cast(round(a.pl) AS bigint) AS varchar))<>md5(cast(cast(round(b.pl) AS bigint) AS varchar)) THEN 'changed' ELSE 'same' END AS state FROM a FULL JOIN b ON a.cnpj=b.cnpj")
@@ -49,8 +317,8 @@ def snapshot_diff(r: Reports) -> DataFrame:
 @plan("@m AS (SELECT dt, lag(dt) OVER (ORDER BY dt) AS pv FROM (SELECT DISTINCT dt FROM sane)) SELECT m.dt, count(*) FILTER (NOT EXISTS (SELECT 1 FROM sane p WHERE p.cnpj=s.cnpj AND p.dt=m.pv)) AS entered, count(*) AS n FROM m JOIN sane s ON s.dt=m.dt WHERE pv IS NOT NULL GROUP BY 1")
 def entrants_leavers(r: Reports) -> DataFrame:
     m = r.sane.select("dt").distinct().withColumn("pv", F.lag("dt").over(Window.orderBy("dt"))).where("pv IS NOT NULL")
-    was = r.sane.select("cnpj", F.col("dt").alias("pv"), F.lit(True).alias("was"))
-    return r.sane.join(F.broadcast(m), "dt").join(was, ["cnpj", "pv"], "left").groupBy("dt").agg(F.count_if(F.col("was").isNull()).alias("entered"), F.count("*").alias("n"))
+    was = r.sane.withColumn("before", F.lag("dt").over(T.by_month())).join(F.broadcast(m), "dt")
+    return was.groupBy("dt").agg(F.count_if(~F.coalesce(F.col("before") == F.col("pv"), F.lit(False))).alias("entered"), F.count("*").alias("n"))
 
 
 @plan(" SELECT field, filled, total, round(filled/nullif(total,0),6) AS coverage FROM (SELECT unnest(['dc_risk','dc_norisk','v_sen','v_mez','v_sub']) AS field, unnest([count(dc_risk),count(dc_norisk),count(v_sen),count(v_mez),count(v_sub)]) AS filled, count(*) AS total FROM assets)")
@@ -58,10 +326,10 @@ def field_coverage(r: Reports) -> DataFrame:
     return P.field_coverage(r.assets, ["dc_risk", "dc_norisk", "v_sen", "v_mez", "v_sub"])
 
 
-@plan("@h AS (SELECT year(dt) AS period, list_sort(list(DISTINCT p_brand)) AS cols FROM lines JOIN part ON l_partkey=p_partkey WHERE qty>49 AND ln=1 GROUP BY 1), l AS (SELECT *, lag(cols) OVER (ORDER BY period) AS pv FROM h) SELECT period, list_sort(list_filter(cols, lambda x: NOT list_contains(pv, x))) AS added, list_sort(list_filter(pv, lambda x: NOT list_contains(cols, x))) AS removed FROM l WHERE pv IS NOT NULL")
+@plan("@h AS (SELECT last_day(dt) AS period, list_sort(list(DISTINCT p_brand)) AS cols FROM lines JOIN part ON l_partkey=p_partkey GROUP BY 1), l AS (SELECT *, lag(cols) OVER (ORDER BY period) AS pv FROM h) SELECT period, list_sort(list_filter(cols, lambda x: NOT list_contains(pv, x))) AS added, list_sort(list_filter(pv, lambda x: NOT list_contains(cols, x))) AS removed FROM l WHERE pv IS NOT NULL")
 def schema_drift(r: Reports) -> DataFrame:
     part = r.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    h = r.lines.where("qty > 49 AND ln = 1").join(part, "l_partkey").groupBy(F.year("dt").alias("period")).agg(F.sort_array(F.collect_set("p_brand")).alias("columns"))
+    h = r.lines.join(part, "l_partkey").groupBy(F.col("dt").alias("period")).agg(F.sort_array(F.collect_set("p_brand")).alias("columns"))
     return P.header_changes(h).select("period", F.sort_array("added").alias("added"), F.sort_array("removed").alias("removed"))
 
 

@@ -9,6 +9,7 @@ from ..functions.normalize import ratio
 from ..operators import concentration as C
 from ..operators.timeseries import price_index
 from ..sources.analogue import CUTOFF, M12, M36, M60, Reports
+from .panel import FLOWS_SQL, MANAGERS_SQL, flows, managers
 from .register import plan
 
 
@@ -31,22 +32,22 @@ def market_series(r: Reports) -> DataFrame:
     return j.groupBy("dt").agg(F.count("*").alias("n"), F.count_if(F.col("tp") == "Fundo").alias("n_fund"), F.count_if(F.col("tp") == "Classe").alias("n_class"), *[F.round(F.sum(c), 2).alias(c) for c in ("pl", "dc_risk", "dc_norisk", "inad")], F.count("inad").alias("n_inad"))
 
 
-_INDEX = "@mon AS (SELECT DISTINCT dt FROM lines), rates AS (SELECT dt, ((year(dt)*12+month(dt))*37 % 11)/10.0 AS rate FROM mon), idx AS (SELECT dt, exp(sum(ln(1+rate/100)) OVER (ORDER BY dt)) AS idx FROM rates)"
+INDEX_SQL = "@every AS (SELECT DISTINCT dt FROM lines), rates AS (SELECT dt, ((year(dt)*12+month(dt))*37 % 11)/10.0 AS rate FROM every), idx AS (SELECT dt, exp(sum(ln(1+rate/100)) OVER (ORDER BY dt)) AS idx FROM rates)"
 
 
-def _index(r: Reports) -> DataFrame:
+def price_levels(r: Reports) -> DataFrame:
     months = r.lines.select("dt").distinct()
     return price_index(months.withColumn("rate", ((F.year("dt") * 12 + F.month("dt")) * 37 % 11) / 10.0))
 
 
-@plan(_INDEX + " SELECT dt, round(rate,2) AS rate, round(idx.idx,8) AS idx FROM idx JOIN rates USING (dt)")
+@plan(INDEX_SQL + " SELECT dt, round(rate,2) AS rate, round(idx.idx,8) AS idx FROM idx JOIN rates USING (dt)")
 def cumulative_index(r: Reports) -> DataFrame:
-    return _index(r).select("dt", F.round("rate", 2).alias("rate"), F.round("idx", 8).alias("idx"))
+    return price_levels(r).select("dt", F.round("rate", 2).alias("rate"), F.round("idx", 8).alias("idx"))
 
 
-@plan(_INDEX + ", s AS (SELECT dt, sum(pl) AS pl FROM sane GROUP BY 1) SELECT s.dt, round(pl,2) AS pl, round(pl/idx.idx*(SELECT idx FROM idx ORDER BY dt DESC LIMIT 1),2) AS real_pl FROM s JOIN idx ON s.dt=idx.dt")
+@plan(INDEX_SQL + ", s AS (SELECT dt, sum(pl) AS pl FROM sane GROUP BY 1) SELECT s.dt, round(pl,2) AS pl, round(pl/idx.idx*(SELECT idx FROM idx ORDER BY dt DESC LIMIT 1),2) AS real_pl FROM s JOIN idx ON s.dt=idx.dt")
 def market_series_deflated(r: Reports) -> DataFrame:
-    idx = _index(r)
+    idx = price_levels(r)
     last = idx.agg(F.max_by("idx", "dt").alias("base"))
     return r.sane.groupBy("dt").agg(F.sum("pl").alias("pl")).join(F.broadcast(idx), "dt").crossJoin(F.broadcast(last)).select("dt", F.round("pl", 2).alias("pl"), F.round(F.col("pl") / F.col("idx") * F.col("base"), 2).alias("real_pl"))
 
@@ -63,19 +64,27 @@ def _ranking(role: str):
     return f"SELECT {role} AS provider, count(*) AS n, round(sum(pl),2) AS pl, round(sum(pl)/nullif(sum(sum(pl)) OVER (),0),6) AS share FROM sane JOIN registry USING (cnpj) WHERE dt='{CUTOFF}' GROUP BY 1"
 
 
-def _ranked(r: Reports, role: str) -> DataFrame:
-    g = _at(r.sane).join(r.registry, "cnpj").groupBy(F.col(role).alias("provider")).agg(F.count("*").alias("n"), F.sum("pl").alias("s"))
+def _ranked(r: Reports, role: str, of: DataFrame | None = None) -> DataFrame:
+    g = _at(r.sane).join(r.registry if of is None else of, "cnpj").groupBy(F.col(role).alias("provider")).agg(F.count("*").alias("n"), F.sum("pl").alias("s"))
     return g.select("provider", "n", F.round("s", 2).alias("pl"), _share("s").alias("share"))
 
 
-@plan(_ranking("gestor"))
+@plan(f"@{MANAGERS_SQL} SELECT gestor AS provider, count(*) AS n, round(sum(pl),2) AS pl, round(sum(pl)/nullif(sum(sum(pl)) OVER (),0),6) AS share FROM sane JOIN managers USING (cnpj) WHERE dt='{CUTOFF}' GROUP BY 1")
 def manager_ranking(r: Reports) -> DataFrame:
-    return _ranked(r, "gestor")
+    return _ranked(r, "gestor", managers(r))
 
 
-@plan(_ranking("region"))
+#: Custodian, controller and auditor as the registry's columns give them.
+ROLES = {"custodian": "region", "controller": "admin", "auditor": "cast(gestor AS varchar)"}
+
+
+@plan(" UNION ALL ".join(f"(SELECT '{k}' AS role, cast({c} AS varchar) AS provider, count(*) AS n, round(sum(pl),2) AS pl, round(sum(pl)/nullif(sum(sum(pl)) OVER (),0),6) AS share FROM sane JOIN registry USING (cnpj) WHERE dt='{CUTOFF}' GROUP BY 1,2)" for k, c in ROLES.items()))
 def provider_ranking_by_role(r: Reports) -> DataFrame:
-    return _ranked(r, "region")
+    # one pass: a row for each vehicle and role
+    roles = F.array(*[F.struct(F.lit(k).alias("role"), F.expr(c.replace("varchar", "string")).alias("provider")) for k, c in ROLES.items()])
+    g = _at(r.sane).join(r.registry, "cnpj").select("pl", F.explode(roles).alias("x")).groupBy("x.role", "x.provider").agg(F.count("*").alias("n"), F.sum("pl").alias("s"))
+    share = F.col("s") / F.nullif(F.sum("s").over(Window.partitionBy("role")), F.lit(0.0))
+    return g.select("role", "provider", "n", F.round("s", 2).alias("pl"), F.round(share, 6).alias("share"))
 
 
 @plan(f"SELECT cnpj, pl, share FROM (SELECT cnpj, pl, round(pl/nullif(sum(pl) OVER (),0),6) AS share FROM sane WHERE dt='{CUTOFF}') ORDER BY pl DESC, cnpj LIMIT 30")
@@ -106,12 +115,15 @@ def lens8_operational(r: Reports) -> DataFrame:
     return _hhi(r, "CASE WHEN bal<0 THEN -pl ELSE pl END", True)
 
 
-@plan(f"SELECT dt, p_type AS segment, round(sum(v),2) AS amount FROM lines JOIN part ON l_partkey=p_partkey WHERE (month(dt)=12 OR dt='{CUTOFF}') AND p_type<>(SELECT min(p_type) FROM part) GROUP BY 1,2")
+#: Portfolio segments are the lines' numbers; segment 7 is a subtotal and left out.
+_SEGMENTS = [f"seg{i}" for i in range(1, 7)]
+
+
+@plan("@wide AS (SELECT dt, " + ", ".join(f"round(sum(v) FILTER (ln={i}),2) AS seg{i}" for i in range(1, 7)) + f" FROM lines WHERE month(dt)=12 OR dt='{CUTOFF}' GROUP BY 1) SELECT dt, segment, amount FROM (UNPIVOT wide ON {', '.join(_SEGMENTS)} INTO NAME segment VALUE amount)")
 def segments_unpivot_yearend(r: Reports) -> DataFrame:
-    part = r.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
-    subtotal = part.agg(F.min("p_type").alias("sub"))
-    j = r.lines.where((F.month("dt") == 12) | (F.col("dt") == F.lit(CUTOFF).cast("date"))).join(part, "l_partkey").crossJoin(F.broadcast(subtotal)).where("p_type <> sub")
-    return j.groupBy("dt", F.col("p_type").alias("segment")).agg(F.round(F.sum("v"), 2).alias("amount"))
+    own = r.lines.where((F.month("dt") == 12) | (F.col("dt") == F.lit(CUTOFF).cast("date")))
+    wide = own.groupBy("dt").agg(*[F.round(F.sum(F.when(F.col("ln") == i, F.col("v"))), 2).alias(f"seg{i}") for i in range(1, 7)])
+    return wide.unpivot(["dt"], _SEGMENTS, "segment", "amount").where("amount IS NOT NULL")
 
 
 @plan("SELECT dt, round(sum(b90),2) AS b90, round(sum(b360),2) AS b360, round(sum(b1080),2) AS b1080, round(sum(bmax),2) AS bmax, round(sum(b90+b360+b1080+bmax),2) AS strict_total FROM overdue o WHERE EXISTS (SELECT 1 FROM sane s WHERE s.cnpj=o.cnpj AND s.dt=o.dt) GROUP BY 1")
@@ -190,11 +202,10 @@ def pl_jumps(r: Reports) -> DataFrame:
     return j.where("abs(pl / prev - 1) > 0.3").select("cnpj", "dt", F.round(F.col("pl") / F.col("prev") - 1, 6).alias("jump"))
 
 
-@plan("SELECT year(o_orderdate) AS yr, round(sum(CASE o_orderstatus WHEN 'O' THEN o_totalprice WHEN 'F' THEN -o_totalprice ELSE 0 END),2) AS net FROM orders GROUP BY 1", base=False)
+@plan(FLOWS_SQL + " SELECT year(o_orderdate) AS yr, round(sum(CASE op WHEN 'O' THEN amt WHEN 'F' THEN -amt ELSE 0 END),2) AS net FROM flows WHERE sane GROUP BY 1", base=False)
 def net_flows_yearly(r: Reports) -> DataFrame:
-    s = F.col("o_orderstatus")
-    amount = F.when(s == "O", F.col("o_totalprice")).when(s == "F", -F.col("o_totalprice")).otherwise(0.0)
-    return r.table("orders").groupBy(F.year("o_orderdate").alias("yr")).agg(F.round(F.sum(amount), 2).alias("net"))
+    amount = F.when(F.col("op") == "O", F.col("amt")).when(F.col("op") == "F", -F.col("amt")).otherwise(0.0)
+    return flows(r).where("sane").groupBy(F.year("o_orderdate").alias("yr")).agg(F.round(F.sum(amount), 2).alias("net"))
 
 
 @plan("@b AS (SELECT cnpj, dt, sum(pl) AS x FROM pl GROUP BY 1,2) SELECT count(*) AS n_both, round(sum(pl),2) AS a, round(sum(x),2) AS b, round(sum(x)-sum(pl),2) AS diff FROM panel JOIN b USING (cnpj, dt)")
@@ -259,9 +270,11 @@ def accounting_identity(r: Reports) -> DataFrame:
 # the exposure lenses
 
 
-@plan(_ranking("gestor").replace(" AS provider", " AS gestor"))
+@plan(f"@{MANAGERS_SQL} SELECT round(sum(pl) FILTER (gestor IS NOT NULL),2) AS numerator, round(sum(pl),2) AS denominator, round(sum(pl) FILTER (gestor IS NOT NULL)/nullif(sum(pl),0),6) AS coverage, count(DISTINCT gestor) AS n_managers FROM sane LEFT JOIN managers USING (cnpj) WHERE dt='{CUTOFF}'")
 def lens1_management(r: Reports) -> DataFrame:
-    return _ranked(r, "gestor").withColumnRenamed("provider", "gestor")
+    j = _at(r.sane).join(managers(r), "cnpj", "left")
+    known = F.sum(F.when(F.col("gestor").isNotNull(), F.col("pl")))
+    return j.agg(F.round(known, 2).alias("numerator"), F.round(F.sum("pl"), 2).alias("denominator"), F.round(known / F.nullif(F.sum("pl"), F.lit(0.0)), 6).alias("coverage"), F.count_distinct("gestor").alias("n_managers"))
 
 
 @plan(_ranking("admin").replace(" AS provider", " AS admin"))
@@ -276,51 +289,60 @@ def lens3_portfolio(r: Reports) -> DataFrame:
     return r.sane.join(r.assets, ["cnpj", "dt"]).groupBy("dt").agg(F.round(F.sum(dc), 2).alias("dc"), F.round(F.sum(F.when(ok, dc)) / F.nullif(F.sum(F.when(ok, F.col("pl"))), F.lit(0.0)), 6).alias("dc_pl"))
 
 
-_DEB = "@dl AS (SELECT cnpj, dt, max(val) FILTER (seq=1) AS top1_val, sum(val) AS list_val, sum(val*val) AS sq FROM debtors WHERE val%7<6 GROUP BY 1,2), dm AS (SELECT cnpj, dt, dc_risk+dc_norisk AS dc, list_val, CASE WHEN dc_risk+dc_norisk>0 THEN top1_val/(dc_risk+dc_norisk) END AS top1, CASE WHEN dc_risk+dc_norisk>0 THEN list_val/(dc_risk+dc_norisk) END AS listed, CASE WHEN dc_risk+dc_norisk>0 THEN sq/((dc_risk+dc_norisk)*(dc_risk+dc_norisk)) END AS hhi_floor, CASE WHEN dc_risk+dc_norisk>0 THEN list_val/(dc_risk+dc_norisk)>1.05 END AS inconsistent FROM assets LEFT JOIN dl USING (cnpj, dt))"
+DEBTORS_SQL = "@dl AS (SELECT cnpj, dt, max(val) FILTER (seq=1) AS top1_val, sum(val) FILTER (seq<=5) AS top5_val, sum(val) FILTER (seq<=10) AS top10_val, sum(val) FILTER (seq<=25) AS top25_val, sum(val) AS list_val, sum(val*val) AS sq FROM debtors GROUP BY 1,2), dm AS (SELECT cnpj, dt, dc_risk+dc_norisk AS dc, list_val, CASE WHEN dc_risk+dc_norisk>0 THEN top1_val/(dc_risk+dc_norisk) END AS top1, CASE WHEN dc_risk+dc_norisk>0 THEN top5_val/(dc_risk+dc_norisk) END AS top5, CASE WHEN dc_risk+dc_norisk>0 THEN top10_val/(dc_risk+dc_norisk) END AS top10, CASE WHEN dc_risk+dc_norisk>0 THEN top25_val/(dc_risk+dc_norisk) END AS top25, CASE WHEN dc_risk+dc_norisk>0 THEN list_val/(dc_risk+dc_norisk) END AS listed, CASE WHEN dc_risk+dc_norisk>0 THEN sq/((dc_risk+dc_norisk)*(dc_risk+dc_norisk)) END AS hhi_floor, CASE WHEN dc_risk+dc_norisk>0 THEN list_val/(dc_risk+dc_norisk)>1.05 END AS inconsistent FROM assets LEFT JOIN dl USING (cnpj, dt))"
 
 
-def _debtor_metrics(r: Reports) -> DataFrame:
-    return C.partial_ranks(r.debtors.where("val % 7 < 6"), r.assets.select("cnpj", "dt", (F.col("dc_risk") + F.col("dc_norisk")).alias("dc")))
+def debtor_metrics(r: Reports) -> DataFrame:
+    return C.partial_ranks(r.debtors, r.assets.select("cnpj", "dt", (F.col("dc_risk") + F.col("dc_norisk")).alias("dc")))
 
 
-@plan(_DEB + " SELECT cnpj, dt, round(dc,2) AS dc, round(top1,6) AS top1, round(listed,6) AS listed, round(hhi_floor,6) AS hhi_floor FROM dm")
+@plan(DEBTORS_SQL + " SELECT cnpj, dt, round(dc,2) AS dc, round(top1,6) AS top1, round(top5,6) AS top5, round(top10,6) AS top10, round(top25,6) AS top25, round(listed,6) AS listed, round(hhi_floor,6) AS hhi_floor FROM dm")
 def debtor_metrics_strict_null(r: Reports) -> DataFrame:
-    return _debtor_metrics(r).select("cnpj", "dt", F.round("dc", 2).alias("dc"), *[F.round(c, 6).alias(c) for c in ("top1", "listed", "hhi_floor")])
+    return debtor_metrics(r).select("cnpj", "dt", F.round("dc", 2).alias("dc"), *[F.round(c, 6).alias(c) for c in ("top1", "top5", "top10", "top25", "listed", "hhi_floor")])
 
 
 _TRIPLE = " SELECT dt, round(count(*) FILTER (list_val IS NOT NULL)/count(*),6) AS cov_vehicles, round(sum(dc) FILTER (list_val IS NOT NULL)/nullif(sum(dc),0),6) AS cov_amount, round(sum(least(list_val,dc)) FILTER (list_val IS NOT NULL)/nullif(sum(dc),0),6) AS cov_explained FROM dm WHERE dc>0 GROUP BY 1"
 
 
-@plan(_DEB + _TRIPLE)
+@plan(DEBTORS_SQL + _TRIPLE)
 def coverage_triple_least_filter(r: Reports) -> DataFrame:
-    return C.coverage_triple(_debtor_metrics(r))
+    return C.coverage_triple(debtor_metrics(r))
 
 
-@plan(_DEB + " SELECT dt, count(*) AS n, count(list_val) AS n_listed, round(count(list_val)/count(*),6) AS coverage FROM dm GROUP BY 1")
+@plan(DEBTORS_SQL + " SELECT dt, count(*) AS n, count(list_val) AS n_listed, round(count(list_val)/count(*),6) AS coverage FROM dm GROUP BY 1")
 def debtor_coverage_series(r: Reports) -> DataFrame:
-    return _debtor_metrics(r).groupBy("dt").agg(F.count("*").alias("n"), F.count("list_val").alias("n_listed"), F.round(F.count("list_val") / F.count("*"), 6).alias("coverage"))
+    return debtor_metrics(r).groupBy("dt").agg(F.count("*").alias("n"), F.count("list_val").alias("n_listed"), F.round(F.count("list_val") / F.count("*"), 6).alias("coverage"))
 
 
-@plan(_DEB + " SELECT count(top1) AS n, round(median(top1),6) AS med, round(quantile_cont(top1,0.9),6) AS p90, round(sum(top1*dc)/nullif(sum(dc) FILTER (top1 IS NOT NULL),0),6) AS weighted FROM dm")
+_SHARES = ("top1", "top5", "top10", "top25", "listed", "hhi_floor")
+_SUMMARY = [f"SELECT '{c}' AS measure, count({c}) AS n, round(avg({c}),6) AS mean, round(quantile_cont({c},0.25),6) AS p25, round(median({c}),6) AS med, round(quantile_cont({c},0.75),6) AS p75, round(quantile_cont({c},0.9),6) AS p90, round(max({c}),6) AS most, round(sum({c}*dc)/nullif(sum(dc) FILTER ({c} IS NOT NULL),0),6) AS weighted, count(*) FILTER ({c}>0.1) AS above10, count(*) FILTER ({c}>0.2) AS above20, count(*) FILTER ({c}>0.5) AS above50, round(coalesce(sum(dc) FILTER ({c}>0.5),0),2) AS dc_above50 FROM dm" for c in _SHARES]
+
+
+@plan(DEBTORS_SQL + " " + " UNION ALL ".join(_SUMMARY))
 def debtor_summary_quantiles(r: Reports) -> DataFrame:
-    return _debtor_metrics(r).agg(F.count("top1").alias("n"), F.round(F.percentile("top1", 0.5), 6).alias("med"), F.round(F.percentile("top1", 0.9), 6).alias("p90"), F.round(F.sum(F.col("top1") * F.col("dc")) / F.nullif(F.sum(F.when(F.col("top1").isNotNull(), F.col("dc"))), F.lit(0.0)), 6).alias("weighted"))
+    """Thirteen measures of each of six shares."""
+    long = debtor_metrics(r).select("dc", *_SHARES).unpivot(["dc"], list(_SHARES), "measure", "x")
+    x, has = F.col("x"), F.col("x").isNotNull()
+    quantiles = [F.round(F.percentile("x", q), 6).alias(n) for n, q in (("p25", 0.25), ("med", 0.5), ("p75", 0.75), ("p90", 0.9))]
+    above = [F.count_if(x > q).alias(f"above{round(100 * q)}") for q in (0.1, 0.2, 0.5)]
+    return long.groupBy("measure").agg(F.count("x").alias("n"), F.round(F.avg("x"), 6).alias("mean"), *quantiles, F.round(F.max("x"), 6).alias("most"), F.round(F.sum(x * F.col("dc")) / F.nullif(F.sum(F.when(has, F.col("dc"))), F.lit(0.0)), 6).alias("weighted"), *above, F.round(F.coalesce(F.sum(F.when(x > 0.5, F.col("dc"))), F.lit(0.0)), 2).alias("dc_above50"))
 
 
-@plan(_DEB + ", lim AS (SELECT unnest([0.1,0.25,0.5]) AS lim) SELECT cast(lim AS double) AS lim, count(*) FILTER (top1>lim) AS n_above, round(coalesce(sum(dc) FILTER (top1>lim),0),2) AS dc_above FROM dm CROSS JOIN lim GROUP BY 1")
+@plan(DEBTORS_SQL + ", lim AS (SELECT unnest([0.1,0.25,0.5]) AS lim) SELECT cast(lim AS double) AS lim, count(*) FILTER (top1>lim) AS n_above, round(coalesce(sum(dc) FILTER (top1>lim),0),2) AS dc_above FROM dm CROSS JOIN lim GROUP BY 1")
 def debtor_thresholds(r: Reports) -> DataFrame:
-    m = _debtor_metrics(r).withColumn("lim", F.explode(F.array(F.lit(0.1), F.lit(0.25), F.lit(0.5))))
+    m = debtor_metrics(r).withColumn("lim", F.explode(F.array(F.lit(0.1), F.lit(0.25), F.lit(0.5))))
     above = F.col("top1") > F.col("lim")
     return m.groupBy("lim").agg(F.count_if(above).alias("n_above"), F.round(F.coalesce(F.sum(F.when(above, F.col("dc"))), F.lit(0.0)), 2).alias("dc_above"))
 
 
-@plan(_DEB + " SELECT inconsistent, count(*) AS n FROM dm GROUP BY 1")
+@plan(DEBTORS_SQL + " SELECT inconsistent, count(*) AS n FROM dm GROUP BY 1")
 def inconsistency_flag(r: Reports) -> DataFrame:
-    return _debtor_metrics(r).groupBy("inconsistent").agg(F.count("*").alias("n"))
+    return debtor_metrics(r).groupBy("inconsistent").agg(F.count("*").alias("n"))
 
 
-@plan(f"@c AS (SELECT cnpj, dt, sum(pr) AS pr FROM assignors WHERE pos<=3 AND val%5<4 GROUP BY 1,2) SELECT round(count(pr)/count(*),6) AS cov_vehicles, round(sum(v_tot) FILTER (pr IS NOT NULL)/nullif(sum(v_tot),0),6) AS cov_dc, round(sum(v_tot*pr/100)/nullif(sum(v_tot),0),6) AS cov_value FROM assets LEFT JOIN c USING (cnpj, dt) WHERE dt='{CUTOFF}'")
+@plan(f"@c AS (SELECT cnpj, dt, sum(pr) AS pr FROM assignors WHERE pos<=3 GROUP BY 1,2) SELECT round(count(pr)/count(*),6) AS cov_vehicles, round(sum(v_tot) FILTER (pr IS NOT NULL)/nullif(sum(v_tot),0),6) AS cov_dc, round(sum(v_tot*pr/100)/nullif(sum(v_tot),0),6) AS cov_value FROM assets LEFT JOIN c USING (cnpj, dt) WHERE dt='{CUTOFF}'")
 def lens4_assignor(r: Reports) -> DataFrame:
-    c = r.assignors.where("pos <= 3 AND val % 5 < 4").groupBy("cnpj", "dt").agg(F.sum("pr").alias("pr"))
+    c = r.assignors.where("pos <= 3").groupBy("cnpj", "dt").agg(F.sum("pr").alias("pr"))
     j = _at(r.assets).join(c, ["cnpj", "dt"], "left")
     total = F.nullif(F.sum("v_tot"), F.lit(0.0))
     return j.agg(F.round(F.count("pr") / F.count("*"), 6).alias("cov_vehicles"), F.round(F.sum(F.when(F.col("pr").isNotNull(), F.col("v_tot"))) / total, 6).alias("cov_dc"), F.round(F.sum(F.col("v_tot") * F.col("pr") / 100) / total, 6).alias("cov_value"))

@@ -59,15 +59,23 @@ def class_fund_map(r: Reports) -> DataFrame:
     return r.class_map.where("classe <> fundo").distinct()
 
 
-@plan("""@m AS (SELECT cnpj, 'a' AS regime, gestor, bal FROM registry UNION ALL SELECT fundo, 'b', gestor+10, bal FROM class_map JOIN registry ON classe=cnpj)
-SELECT cnpj, regime, gestor FROM m QUALIFY row_number() OVER (PARTITION BY cnpj ORDER BY CASE regime WHEN 'a' THEN 1 ELSE 0 END, CASE WHEN bal>=0 THEN 0 ELSE 1 END, bal DESC, gestor)=1""")
-def manager_resolution_after_union(r: Reports) -> DataFrame:
+#: A vehicle's manager: that of its class before its own, non-negative balances before others.
+MANAGERS_SQL = """mg AS (SELECT cnpj, 'a' AS regime, gestor, bal FROM registry UNION ALL SELECT fundo, 'b', gestor+10, bal FROM class_map JOIN registry ON classe=cnpj),
+managers AS (SELECT cnpj, regime, gestor FROM mg QUALIFY row_number() OVER (PARTITION BY cnpj ORDER BY CASE regime WHEN 'a' THEN 1 ELSE 0 END, CASE WHEN bal>=0 THEN 0 ELSE 1 END, bal DESC, gestor)=1)"""
+
+
+def managers(r: Reports) -> DataFrame:
     own = r.registry.select("cnpj", F.lit("a").alias("regime"), "gestor", "bal")
     via = r.class_map.join(r.registry, r.class_map["classe"] == r.registry["cnpj"]).select(F.col("fundo").alias("cnpj"), F.lit("b").alias("regime"), (F.col("gestor") + 10).alias("gestor"), "bal")
     w = Window.partitionBy("cnpj").orderBy(F.when(F.col("regime") == "a", 1).otherwise(0), F.when(F.col("bal") >= 0, 0).otherwise(1), F.desc("bal"), "gestor")
     return own.unionByName(via).withColumn("n", F.row_number().over(w)).where("n = 1").select("cnpj", "regime", "gestor")
 
 
+@plan("@" + MANAGERS_SQL + " SELECT cnpj, regime, gestor FROM managers")
+def manager_resolution_after_union(r: Reports) -> DataFrame:
+    return managers(r)
+
+
 @plan("SELECT c_custkey, CASE WHEN length(d)>=12 THEN lpad(d,14,'0') WHEN length(d)>=11 THEN lpad(d,11,'0') END AS doc FROM (SELECT c_custkey, regexp_replace(c_name || cast(c_custkey*7919 AS varchar),'\\D','','g') AS d FROM customer)", base=False)
 def doc_normalize_lpad(r: Reports) -> DataFrame:
     return r.table("customer").select("c_custkey", N.document_id(F.concat("c_name", (F.col("c_custkey") * 7919).cast("string"))).alias("doc"))
@@ -93,14 +101,28 @@ def unpivot_assignors(r: Reports) -> DataFrame:
     return P.unpivot_pairs(wide, ["cnpj", "dt"], "ced", "pr", 9).where("share > 0 AND share <= 100")
 
 
-@plan("""@f AS (SELECT o_custkey, last_day(cast(o_orderdate AS date)) AS dt, o_orderstatus AS op, o_totalprice AS amt FROM orders),
-b AS (SELECT c_custkey, c_acctbal, lag(c_acctbal) OVER (ORDER BY c_custkey) AS prev FROM customer)
-SELECT year(dt) AS yr, count(*) FILTER (amt>3*greatest(coalesce(c_acctbal,0),coalesce(prev,0))+100000) AS n_dropped, round(coalesce(sum(amt) FILTER (amt<=3*greatest(coalesce(c_acctbal,0),coalesce(prev,0))+100000),0),2) AS kept FROM f JOIN b ON o_custkey=c_custkey GROUP BY 1""")
-def flow_sanity_filter(r: Reports) -> DataFrame:
-    b = r.table("customer").select("c_custkey", "c_acctbal", F.lag("c_acctbal").over(Window.orderBy("c_custkey")).alias("prev"))
+#: A flow above three times the larger of balance and the customer's flow before, and a floor, is not believed.
+FLOWS_SQL = """WITH f AS (SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus AS op, o_totalprice AS amt, c_acctbal, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM orders JOIN customer ON o_custkey=c_custkey),
+flows AS (SELECT *, amt<=3*greatest(coalesce(c_acctbal,0),coalesce(prev,0))+100000 AS sane FROM f)"""
+
+
+def flows(r: Reports) -> DataFrame:
+    """Orders as flows (op, amt) with the balance, and whether each is believed."""
+    before = F.lag("o_totalprice").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    o = r.table("orders").withColumn("prev", before).join(r.table("customer").select("c_custkey", "c_acctbal"), F.col("o_custkey") == F.col("c_custkey"))
     limit = 3 * F.greatest(F.coalesce("c_acctbal", F.lit(0.0)), F.coalesce("prev", F.lit(0.0))) + 100000
-    o = r.table("orders").join(b, F.col("o_custkey") == F.col("c_custkey"))
-    return o.groupBy(F.year("o_orderdate").alias("yr")).agg(F.count_if(F.col("o_totalprice") > limit).alias("n_dropped"), F.round(F.coalesce(F.sum(F.when(F.col("o_totalprice") <= limit, F.col("o_totalprice"))), F.lit(0.0)), 2).alias("kept"))
+    return o.select("o_orderdate", F.col("o_orderstatus").alias("op"), F.col("o_totalprice").alias("amt"), (F.col("o_totalprice") <= limit).alias("sane"))
+
+
+@plan(FLOWS_SQL + " SELECT year(o_orderdate) AS yr, count(*) FILTER (NOT sane) AS n_dropped, round(coalesce(sum(amt) FILTER (sane),0),2) AS kept FROM flows GROUP BY 1", base=False)
+def flow_sanity_filter(r: Reports) -> DataFrame:
+    return flows(r).groupBy(F.year("o_orderdate").alias("yr")).agg(F.count_if(~F.col("sane")).alias("n_dropped"), F.round(F.coalesce(F.sum(F.when(F.col("sane"), F.col("amt"))), F.lit(0.0)), 2).alias("kept"))
+
+
+@plan("SELECT cnpj, dt, pos, ced AS id, pr AS share FROM assignors WHERE pr>=0 AND pr<=100")
+def unpivot_assignors_inclusive(r: Reports) -> DataFrame:
+    """The other predicate: a share of zero is a share."""
+    return r.assignors.where("pr >= 0 AND pr <= 100").select("cnpj", "dt", "pos", F.col("ced").alias("id"), F.col("pr").alias("share"))
 
 
 @plan("SELECT cnpj, dt, ced, pr FROM assignors WHERE NOT (pr>0 AND pr<=60)")

@@ -9,14 +9,13 @@ from ..operators import timeseries as T
 from ..sources.analogue import CUTOFF, GRID_FROM, M12, PARTIAL, Reports
 from .register import plan
 
-_GRID = f"@mon AS (SELECT DISTINCT dt FROM lines WHERE dt BETWEEN '{GRID_FROM}' AND '{CUTOFF}'), thin AS (SELECT * FROM sane WHERE dt BETWEEN '{GRID_FROM}' AND '{CUTOFF}' AND (l_hash%17)<>0), grid AS (SELECT c.cnpj, m.dt, s.pl, s.pl IS NOT NULL AS obs FROM (SELECT DISTINCT cnpj FROM thin) c CROSS JOIN mon m LEFT JOIN thin s ON s.cnpj=c.cnpj AND s.dt=m.dt)".replace("(l_hash%17)<>0", "(cast(cnpj AS bigint)*31+year(dt)*12+month(dt))%17<>0")
+_GRID = f"@mon AS (SELECT DISTINCT dt FROM lines WHERE dt BETWEEN '{GRID_FROM}' AND '{CUTOFF}'), thin AS (SELECT * FROM sane WHERE dt BETWEEN '{GRID_FROM}' AND '{CUTOFF}'), grid AS (SELECT c.cnpj, m.dt, s.pl, s.pl IS NOT NULL AS obs FROM (SELECT DISTINCT cnpj FROM thin) c CROSS JOIN mon m LEFT JOIN thin s ON s.cnpj=c.cnpj AND s.dt=m.dt)"
 
 
 def _grid(r: Reports) -> DataFrame:
-    """Vehicles by months, some reports left out so that there are gaps."""
+    """Vehicles by months; where one did not report there is a gap."""
     own = F.col("dt").between(F.lit(GRID_FROM).cast("date"), F.lit(CUTOFF).cast("date"))
-    thin = r.sane.where(own).where((F.col("cnpj").cast("long") * 31 + F.year("dt") * 12 + F.month("dt")) % 17 != 0)
-    return T.densify(thin.select("cnpj", "dt", "pl"), r.lines.where(own).select("dt").distinct())
+    return T.densify(r.sane.where(own).select("cnpj", "dt", "pl"), r.lines.where(own).select("dt").distinct())
 
 
 @plan(_GRID + " SELECT cnpj, dt, pl, obs FROM grid")
@@ -80,10 +79,10 @@ def newcomers(r: Reports) -> DataFrame:
 
 @plan("@m AS (SELECT dt, lead(dt) OVER (ORDER BY dt) AS nx FROM (SELECT DISTINCT dt FROM sane)) SELECT m.dt, count(*) AS n, count(*) FILTER (NOT EXISTS (SELECT 1 FROM sane b WHERE b.cnpj=s.cnpj AND b.dt=m.nx)) AS n_gone, round(coalesce(sum(pl) FILTER (NOT EXISTS (SELECT 1 FROM sane b WHERE b.cnpj=s.cnpj AND b.dt=m.nx)),0),2) AS pl_gone FROM m JOIN sane s ON s.dt=m.dt WHERE nx IS NOT NULL GROUP BY 1")
 def attrition_history(r: Reports) -> DataFrame:
-    s = r.sane.join(F.broadcast(_months(r).where("nx IS NOT NULL")), "dt")
-    there = r.sane.select("cnpj", F.col("dt").alias("nx"), F.lit(True).alias("stays"))
-    j = s.join(there, ["cnpj", "nx"], "left")
-    return j.groupBy("dt").agg(F.count("*").alias("n"), F.count_if(F.col("stays").isNull()).alias("n_gone"), F.round(F.coalesce(F.sum(F.when(F.col("stays").isNull(), F.col("pl"))), F.lit(0.0)), 2).alias("pl_gone"))
+    # a vehicle stays if its own next report is of the next month that anyone reports
+    s = r.sane.withColumn("again", F.lead("dt").over(T.by_month())).join(F.broadcast(_months(r).where("nx IS NOT NULL")), "dt")
+    gone = ~F.coalesce(F.col("again") == F.col("nx"), F.lit(False))
+    return s.groupBy("dt").agg(F.count("*").alias("n"), F.count_if(gone).alias("n_gone"), F.round(F.coalesce(F.sum(F.when(gone, F.col("pl"))), F.lit(0.0)), 2).alias("pl_gone"))
 
 
 @plan("@t AS (SELECT dt, sum(pl) AS pl FROM sane GROUP BY 1), v AS (SELECT pl/nullif(lag(pl) OVER (ORDER BY dt),0)-1 AS x FROM t) SELECT round(max(abs(x)),6) AS jump, count(x) AS n FROM v")
@@ -98,10 +97,25 @@ def latest_before(r: Reports) -> DataFrame:
     return r.sane.select("cnpj", "dt", F.max("dt").over(T.by_month().rowsBetween(Window.unboundedPreceding, -1)).alias("latest"))
 
 
-@plan(_GRID + " SELECT cnpj, dt, round(ln(greatest(pl,1))-ln(greatest(lag(pl,12) OVER (PARTITION BY cnpj ORDER BY dt),1)),6) AS growth FROM grid WHERE true QUALIFY pl IS NOT NULL AND lag(pl,12) OVER (PARTITION BY cnpj ORDER BY dt) IS NOT NULL")
+_GROWN = "CASE WHEN lag({c},12) OVER w>0 AND {c}>0 THEN ln({c}/lag({c},12) OVER w) END"
+
+
+@plan(_GRID + f", j AS (SELECT grid.cnpj, grid.dt, pl, v_tot FROM grid LEFT JOIN assets USING (cnpj, dt)) SELECT cnpj, dt, round({_GROWN.format(c='pl')} - {_GROWN.format(c='v_tot')},6) AS gap FROM j WINDOW w AS (PARTITION BY cnpj ORDER BY dt)")
 def log_growth_gap(r: Reports) -> DataFrame:
-    g = _grid(r).withColumn("p", F.lag("pl", 12).over(T.by_month())).where("pl IS NOT NULL AND p IS NOT NULL")
-    return g.select("cnpj", "dt", F.round(F.log(F.greatest("pl", F.lit(1.0))) - F.log(F.greatest("p", F.lit(1.0))), 6).alias("growth"))
+    j = _grid(r).join(r.assets.select("cnpj", "dt", "v_tot"), ["cnpj", "dt"], "left")
+
+    def grown(c: str):
+        before = F.lag(c, 12).over(T.by_month())
+        return F.when((before > 0) & (F.col(c) > 0), F.log(F.col(c) / before))
+
+    return j.select("cnpj", "dt", F.round(grown("pl") - grown("v_tot"), 6).alias("gap"))
+
+
+@plan(_GRID + ", z AS (SELECT cnpj, dt, coalesce(pl,0) AS v FROM grid) SELECT cnpj, dt, CASE WHEN count(v) OVER w>=10 THEN round(sum(v) OVER w/count(v) OVER w*12,2) END AS pl_12m FROM z WINDOW w AS (PARTITION BY cnpj ORDER BY dt ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)")
+def rolling12_zero_filled(r: Reports) -> DataFrame:
+    """The other reading: an unreported month counts as zero, so a full window is never scaled up."""
+    z = _grid(r).withColumn("v", F.coalesce("pl", F.lit(0.0)))
+    return z.select("cnpj", "dt", F.round(T.rolling(F.col("v")), 2).alias("pl_12m"))
 
 
 @plan("SELECT strftime(ts,'%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value),4) AS total FROM events GROUP BY 1,2", base=False)

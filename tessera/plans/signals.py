@@ -42,7 +42,7 @@ _TABS_SQL = ", ".join(f"{e} AS {n}" for n, e in _TABS.items())
 _ROLES = {
     "name": "name",
     "form": "CASE WHEN gestor % 2 = 0 THEN 'ABERTO' ELSE 'FECHADO' END",
-    "interest": "CASE WHEN name LIKE '%1' THEN 'S' ELSE 'N' END",
+    "interest": "interest",
     "exclusive": "CASE WHEN bal > 5000 THEN 'S' ELSE 'N' END",
     "same_party": "CASE WHEN gestor = length(admin) - 4 THEN 1.0 ELSE 0.0 END",
     "measure": "CASE WHEN name LIKE '%7' THEN 1.0 ELSE 0.0 END",
@@ -58,12 +58,15 @@ _OWN_SQL = ", ".join(f"{e} AS {n}" for n, e in _OWN.items())
 
 def _wide(r: Reports) -> DataFrame:
     own = F.col("dt").between(F.lit(GRID_FROM).cast("date"), F.lit(CUTOFF).cast("date"))
-    grid = T.interior_gaps(T.densify(r.sane.where(own).select("cnpj", "dt", "pl"), r.lines.where(own).select("dt").distinct()))
-    ced = r.assignors.where("pos <= 9 AND val % 5 < 4").groupBy("cnpj", "dt").agg(F.max("pr").alias("pr_max"), F.sum(F.col("pr") * F.col("pr")).alias("hhi_ced"), F.sum("pr").alias("pr_sum"), F.count("*").alias("n_ced"), F.count_if(F.col("pr") > 60).alias("n_bad"), F.max(F.when(F.col("val") % 7 < 1, F.col("pr"))).alias("pr_person"))
-    hold = r.debtors.groupBy("cnpj", "dt").agg(F.count("*").alias("n_hold"))
-    tabs = r.lines.groupBy("cnpj", "dt").agg(*[F.expr(e).alias(n) for n, e in _TABS.items()])
+    lines, late = r.lines.where(own), r.late.where(own)
+    grid = T.interior_gaps(T.densify(r.sane.where(own).select("cnpj", "dt", "pl"), lines.select("dt").distinct()))
+    ced = r.assignors.where(own).groupBy("cnpj", "dt").agg(F.max("pr").alias("pr_max"), F.sum(F.col("pr") * F.col("pr")).alias("hhi_ced"), F.sum("pr").alias("pr_sum"), F.count("*").alias("n_ced"), F.count_if(F.col("pr") > 60).alias("n_bad"), F.max(F.when(F.col("val") % 7 < 1, F.col("pr"))).alias("pr_person"))
+    # amounts overdue and the number of listed debtors from one shuffle of the lines with their orders
+    debts = late.groupBy("cnpj", "dt", "deb").agg(*[F.sum(x).alias(n) for n, x in r.bands().items()])
+    debts = debts.groupBy("cnpj", "dt").agg(*[F.round(F.sum(n), 2).alias(n) for n in r.bands()], F.least(F.count("*"), F.lit(25)).alias("n_hold"))
+    tabs = lines.groupBy("cnpj", "dt").agg(*[x.alias(n) for n, x in r.amounts().items()], *[F.expr(e).alias(n) for n, e in _TABS.items()])
     j = grid
-    for t in (r.assets, r.overdue, ced, hold, tabs):
+    for t in (tabs, debts, ced):
         j = j.join(t, ["cnpj", "dt"], "left")
     j = j.join(r.registry.select("cnpj", *[F.expr(e).alias(n) for n, e in _ROLES.items()]), "cnpj", "left")
     j = T.stagnation(j.withColumns({n: F.expr(e) for n, e in _OWN.items()}), "lots")
@@ -86,24 +89,24 @@ def _wide(r: Reports) -> DataFrame:
 
 
 _ROLL = "CASE WHEN count({c}) OVER w12>=10 THEN sum({c}) OVER w12/count({c}) OVER w12*12 END"
-_WIDE = f"""@mon AS (SELECT DISTINCT dt FROM lines WHERE dt BETWEEN '{GRID_FROM}' AND '{CUTOFF}'), thin AS (SELECT cnpj, dt, pl FROM sane WHERE dt BETWEEN '{GRID_FROM}' AND '{CUTOFF}'),
+WIDE_SQL = f"""@mon AS (SELECT DISTINCT dt FROM lines WHERE dt BETWEEN '{GRID_FROM}' AND '{CUTOFF}'), thin AS (SELECT cnpj, dt, pl FROM sane WHERE dt BETWEEN '{GRID_FROM}' AND '{CUTOFF}'),
 g0 AS (SELECT c.cnpj, m.dt, s.pl, s.pl IS NOT NULL AS obs FROM (SELECT DISTINCT cnpj FROM thin) c CROSS JOIN mon m LEFT JOIN thin s ON s.cnpj=c.cnpj AND s.dt=m.dt),
 g1 AS (SELECT *, min(dt) FILTER (obs) OVER (PARTITION BY cnpj) AS f, max(dt) FILTER (obs) OVER (PARTITION BY cnpj) AS l FROM g0),
 g2 AS (SELECT *, sum(CASE WHEN NOT obs AND dt>f AND dt<l THEN 1 ELSE 0 END) OVER (PARTITION BY cnpj ORDER BY dt) AS gaps FROM g1),
-ced AS (SELECT cnpj, dt, max(pr) AS pr_max, sum(pr*pr) AS hhi_ced, sum(pr) AS pr_sum, count(*) AS n_ced, count(*) FILTER (pr>60) AS n_bad, max(pr) FILTER (val%7<1) AS pr_person FROM assignors WHERE val%5<4 GROUP BY 1,2), hold AS (SELECT cnpj, dt, count(*) AS n_hold FROM debtors GROUP BY 1,2),
+ced AS (SELECT cnpj, dt, max(pr) AS pr_max, sum(pr*pr) AS hhi_ced, sum(pr) AS pr_sum, count(*) AS n_ced, count(*) FILTER (pr>60) AS n_bad, max(pr) FILTER (val%7<1) AS pr_person FROM assignors GROUP BY 1,2), hold AS (SELECT cnpj, dt, count(*) AS n_hold FROM debtors GROUP BY 1,2),
 tabs AS (SELECT cnpj, dt, {_TABS_SQL} FROM lines GROUP BY 1,2), roles AS (SELECT cnpj, {_ROLES_SQL} FROM registry),
 j AS (SELECT g2.cnpj, g2.dt, pr_sum, n_ced, n_bad, pr_person, tabs.* EXCLUDE (cnpj, dt), roles.* EXCLUDE (cnpj), {_OWN_SQL}, pl, obs, gaps, v_sen, v_mez, v_sub, v_tot, inad, pr_max, hhi_ced, n_hold, dc_risk, CASE WHEN v_tot IS NOT NULL THEN coalesce(dc_risk,0)+coalesce(dc_norisk,0) END AS dc, coalesce(b90,0) AS prov, coalesce(bmax,0) AS inad_long, coalesce(dcp,0)+coalesce(inad,0) AS base
  FROM g2 LEFT JOIN assets USING (cnpj, dt) LEFT JOIN overdue USING (cnpj, dt) LEFT JOIN ced USING (cnpj, dt) LEFT JOIN hold USING (cnpj, dt) LEFT JOIN tabs USING (cnpj, dt) LEFT JOIN roles USING (cnpj)),
 eq AS (SELECT *, CASE WHEN lots=lag(lots) OVER (PARTITION BY cnpj ORDER BY dt) THEN 1 ELSE 0 END AS eq FROM j), isl AS (SELECT *, sum(1-eq) OVER (PARTITION BY cnpj ORDER BY dt) AS isl FROM eq),
 j2 AS (SELECT * EXCLUDE (eq, isl), sum(eq) OVER (PARTITION BY cnpj, isl ORDER BY dt) AS same, inad/nullif(base,0) AS tx, coalesce(v_sub,0)/nullif(v_tot,0) AS subord FROM isl),
-wide AS (SELECT * FROM (SELECT *, tx-lag(tx,12) OVER w AS d_inad_12, subord-lag(subord,12) OVER w AS d_subord_12, lag(pl,1) OVER w AS pl_1, lag(pl,12) OVER w AS pl_12, pl/nullif(lag(pl,1) OVER w,0)-1 AS var_m,
+wide AS MATERIALIZED (SELECT * FROM (SELECT *, tx-lag(tx,12) OVER w AS d_inad_12, subord-lag(subord,12) OVER w AS d_subord_12, lag(pl,1) OVER w AS pl_1, lag(pl,12) OVER w AS pl_12, pl/nullif(lag(pl,1) OVER w,0)-1 AS var_m,
  {_ROLL.format(c='v_sen')} AS aq_12m, {_ROLL.format(c='v_mez')} AS roll_12m, {_ROLL.format(c='coalesce(related,0)')} AS related_12m, {_ROLL.format(c='coalesce(poor,0)')} AS poor_12m, ln(CASE WHEN lag(pl,12) OVER w>0 AND pl>0 THEN pl/lag(pl,12) OVER w END)-ln(CASE WHEN lag(book,12) OVER w>0 AND book>0 THEN book/lag(book,12) OVER w END) AS shift_12, cast(admin_code<>lag(admin_code,12) OVER w AS double) AS new_admin, CASE WHEN count(v_tot) OVER w12>=10 THEN avg(v_tot) OVER w12 END AS med_12 FROM j2
  WINDOW w AS (PARTITION BY cnpj ORDER BY dt), w12 AS (PARTITION BY cnpj ORDER BY dt ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) WHERE dt>='2000-06-30'),
-lf AS ({' UNION ALL '.join(f"SELECT '{s.id}' AS id, cnpj, dt, cast({s.value} AS double) AS value, coalesce({s.group},false) AS grp, coalesce({s.can()},false) AS evaluable, coalesce({s.material},false) AS material FROM wide" for s in _IDS)}),
+lf AS MATERIALIZED (SELECT cnpj, dt, x.* FROM (SELECT cnpj, dt, unnest([{', '.join("{'id': '" + s.id + "', 'value': cast(" + s.value + " AS double), 'grp': coalesce(" + s.group + ", false), 'evaluable': coalesce(" + s.can() + ", false), 'material': coalesce(" + s.material + ", false)}" for s in _IDS)}]) AS x FROM wide)),
 ids AS (SELECT * FROM (VALUES {','.join(f"('{s.id}','{s.kind}',{s.limit},{str(s.up).lower()},{s.weight},{s.months})" for s in _IDS)}) AS t(id, kind, q, up, weight, months)),
-lim AS (SELECT ids.id, CASE WHEN kind<>'pct' THEN cast(q AS double) WHEN count(value)>=30 THEN CASE {' '.join(f"WHEN ids.id='{s.id}' THEN quantile_cont(value,{s.limit})" for s in _IDS if s.kind == 'pct')} END END AS lim, count(value) AS n
- FROM ids LEFT JOIN (SELECT * FROM lf WHERE dt='{CUTOFF}' AND grp AND evaluable AND material) x ON x.id=ids.id GROUP BY ids.id, kind, q),
-fi AS (SELECT lf.*, lim.lim, coalesce(evaluable AND grp AND material AND CASE WHEN up THEN value>=lim.lim ELSE value<=lim.lim END,false) AS fired FROM lf JOIN lim USING (id) JOIN ids USING (id)),
+qs AS (SELECT id, count(value) AS n, {', '.join(f"quantile_cont(value, {q}) AS q{round(100 * q)}" for q in sorted({s.limit for s in _IDS if s.kind == 'pct'}))} FROM lf WHERE dt='{CUTOFF}' AND grp AND evaluable AND material GROUP BY 1),
+lim AS MATERIALIZED (SELECT ids.id, CASE WHEN kind<>'pct' THEN cast(q AS double) WHEN n>=30 THEN CASE round(100*q) {' '.join(f"WHEN {round(100 * q)} THEN q{round(100 * q)}" for q in sorted({s.limit for s in _IDS if s.kind == 'pct'}))} END END AS lim, coalesce(n,0) AS n FROM ids LEFT JOIN qs USING (id)),
+fi AS MATERIALIZED (SELECT lf.*, lim.lim, coalesce(evaluable AND grp AND material AND CASE WHEN up THEN value>=lim.lim ELSE value<=lim.lim END,false) AS fired FROM lf JOIN lim USING (id) JOIN ids USING (id)),
 st0 AS (SELECT *, max(dt) FILTER (NOT fired) OVER (PARTITION BY cnpj, id) AS stop FROM fi), st AS (SELECT cnpj, id, count(*) FILTER (stop IS NULL OR dt>stop) AS streak FROM st0 GROUP BY 1,2),
 sc AS (SELECT cnpj, round(100.0*coalesce(sum(weight) FILTER (fired AND streak>=months),0)/nullif(sum(weight) FILTER (evaluable),0),2) AS score, round(100.0*count(*) FILTER (evaluable)/count(*),2) AS coverage, count(*) FILTER (fired AND streak>=months) AS n_fired
  FROM fi JOIN st USING (cnpj, id) JOIN ids USING (id) WHERE dt='{CUTOFF}' GROUP BY 1)"""
@@ -113,9 +116,9 @@ def _long(r: Reports) -> DataFrame:
     return S.long_form(_wide(r), _IDS)
 
 
-def _fired(r: Reports) -> DataFrame:
-    long = _long(r)
-    return S.fired(long, S.thresholds(long, _IDS, CUTOFF), _IDS)
+def fired_signals(r: Reports) -> DataFrame:
+    wide = _wide(r).persist()  # read for the limits and for what they are held against
+    return S.fired(S.long_form(wide, _IDS), S.thresholds(wide, _IDS, CUTOFF), _IDS)
 
 
 def _at(df: DataFrame) -> DataFrame:
@@ -123,45 +126,45 @@ def _at(df: DataFrame) -> DataFrame:
 
 
 def _scores(r: Reports) -> DataFrame:
-    return S.score(S.settled(_fired(r), CUTOFF), _IDS)
+    return S.score(S.settled(fired_signals(r), CUTOFF), _IDS)
 
 
-@plan(_WIDE + " SELECT id, round(lim,6) AS lim, n FROM lim")
+@plan(WIDE_SQL + " SELECT id, round(lim,6) AS lim, n FROM lim")
 def signal_thresholds(r: Reports) -> DataFrame:
-    return S.thresholds(_long(r), _IDS, CUTOFF).select("id", F.round("lim", 6).alias("lim"), "n")
+    return S.thresholds(_wide(r), _IDS, CUTOFF).select("id", F.round("lim", 6).alias("lim"), "n")
 
 
-@plan(_WIDE + f" SELECT id, cnpj, round(value,6) AS value, grp, evaluable, material FROM lf WHERE dt='{CUTOFF}'")
+@plan(WIDE_SQL + f" SELECT id, cnpj, round(value,6) AS value, grp, evaluable, material FROM lf WHERE dt='{CUTOFF}'")
 def signal_long_form(r: Reports) -> DataFrame:
     return _at(_long(r)).select("id", "cnpj", F.round("value", 6).alias("value"), "grp", "evaluable", "material")
 
 
-@plan(_WIDE + f" SELECT id, count(*) FILTER (grp) AS n_group, count(*) AS n_universe, count(*) FILTER (evaluable) AS n_evaluable, count(*) FILTER (evaluable AND material) AS n_material, round(100.0*count(*) FILTER (evaluable)/count(*),2) AS coverage FROM lf WHERE dt='{CUTOFF}' GROUP BY 1")
+@plan(WIDE_SQL + f" SELECT id, count(*) FILTER (grp) AS n_group, count(*) AS n_universe, count(*) FILTER (evaluable) AS n_evaluable, count(*) FILTER (evaluable AND material) AS n_material, round(100.0*count(*) FILTER (evaluable)/count(*),2) AS coverage FROM lf WHERE dt='{CUTOFF}' GROUP BY 1")
 def signal_catalog_stats(r: Reports) -> DataFrame:
     g = _at(_long(r)).groupBy("id")
     return g.agg(F.count_if("grp").alias("n_group"), F.count("*").alias("n_universe"), F.count_if("evaluable").alias("n_evaluable"), F.count_if(F.col("evaluable") & F.col("material")).alias("n_material"), F.round(100.0 * F.count_if("evaluable") / F.count("*"), 2).alias("coverage"))
 
 
-@plan(_WIDE + f" SELECT id, cnpj, streak, streak>=months AS persistent FROM fi JOIN st USING (cnpj, id) JOIN ids USING (id) WHERE dt='{CUTOFF}' AND fired")
+@plan(WIDE_SQL + f" SELECT id, cnpj, streak, streak>=months AS persistent FROM fi JOIN st USING (cnpj, id) JOIN ids USING (id) WHERE dt='{CUTOFF}' AND fired")
 def signals_fired(r: Reports) -> DataFrame:
     months = F.create_map(*[x for s in _IDS for x in (F.lit(s.id), F.lit(s.months))])
-    return S.settled(_fired(r), CUTOFF).where("fired").select("id", "cnpj", "streak", (F.col("streak") >= months[F.col("id")]).alias("persistent"))
+    return S.settled(fired_signals(r), CUTOFF).where("fired").select("id", "cnpj", "streak", (F.col("streak") >= months[F.col("id")]).alias("persistent"))
 
 
-@plan(_WIDE + " SELECT cnpj, score, coverage, n_fired FROM sc")
+@plan(WIDE_SQL + " SELECT cnpj, score, coverage, n_fired FROM sc")
 def score_vehicle(r: Reports) -> DataFrame:
     return _scores(r)
 
 
-@plan(_WIDE + ", cuts AS (SELECT quantile_cont(score,0.9) AS p90, quantile_cont(score,0.99) AS p99 FROM sc WHERE coverage>=50 AND score>0) SELECT cnpj, score, coverage, CASE WHEN coverage<50 OR score IS NULL THEN 'not classifiable' WHEN score>=p99 AND score>0 THEN 'high' WHEN score>=p90 AND score>0 THEN 'medium' WHEN score>0 THEN 'low' ELSE 'none' END AS band FROM sc CROSS JOIN cuts")
+@plan(WIDE_SQL + ", cuts AS (SELECT quantile_cont(score,0.9) AS p90, quantile_cont(score,0.99) AS p99 FROM sc WHERE coverage>=50 AND score>0) SELECT cnpj, score, coverage, CASE WHEN coverage<50 OR score IS NULL THEN 'not classifiable' WHEN score>=p99 AND score>0 THEN 'high' WHEN score>=p90 AND score>0 THEN 'medium' WHEN score>0 THEN 'low' ELSE 'none' END AS band FROM sc CROSS JOIN cuts")
 def score_bands(r: Reports) -> DataFrame:
     return S.bands(_scores(r))
 
 
-@plan("@v AS (SELECT cnpj, dt, inad FROM overdue WHERE dt='2001-06-30'), c AS (SELECT cnpj, dt, max(pr) AS pr FROM assignors WHERE dt='2001-06-30' AND val%5<4 GROUP BY 1,2) SELECT coalesce(v.cnpj,c.cnpj) AS cnpj, round(inad,2) AS inad, pr, coalesce(inad<1,true) AND coalesce(pr>=50,false) AS rf1 FROM v FULL JOIN c ON v.cnpj=c.cnpj")
+@plan("@v AS (SELECT cnpj, dt, inad FROM overdue WHERE dt='2001-06-30'), c AS (SELECT cnpj, dt, max(pr) AS pr FROM assignors WHERE dt='2001-06-30' GROUP BY 1,2) SELECT coalesce(v.cnpj,c.cnpj) AS cnpj, round(inad,2) AS inad, pr, coalesce(inad<1,true) AND coalesce(pr>=50,false) AS rf1 FROM v FULL JOIN c ON v.cnpj=c.cnpj")
 def rf1_full_join(r: Reports) -> DataFrame:
     v = _at(r.overdue).select("cnpj", "inad")
-    c = _at(r.assignors).where("val % 5 < 4").groupBy("cnpj").agg(F.max("pr").alias("pr"))
+    c = _at(r.assignors).groupBy("cnpj").agg(F.max("pr").alias("pr"))
     return v.join(c, "cnpj", "full").select("cnpj", F.round("inad", 2).alias("inad"), "pr", F.expr("coalesce(inad < 1, true) AND coalesce(pr >= 50, false)").alias("rf1"))
 
 
