@@ -33,7 +33,7 @@ from .common import slices
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Fragments and words that a worker keeps.
-KEPT = 400_000
+KEPT = 150_000
 #: The published pattern of the byte-level pretokenizer (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 

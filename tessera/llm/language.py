@@ -29,7 +29,7 @@ from .common import cut, slices
 
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLE, ROUNDS, LONGEST, SMOOTH = 1500, 3, 8, 0.02
-KEPT = 600_000
+KEPT = 200_000
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
