@@ -1,19 +1,24 @@
 """Language identification by unigram pieces with the segmentation summed out.
 
 Each language has a probability for every piece of a fixed public vocabulary (a sentencepiece model, its
-path a parameter; single bytes complete it). A word's probability is the sum over all its segmentations of
+path a parameter; single bytes complete it). All pieces take part that can stand in a word: letters, with a word
+start in front or not. A word's probability is the sum over all its segmentations of
 the product of its pieces' probabilities, by the forward algorithm; a text's is the product over its words
 (runs of letters, in lower case) with a word start in front. The probabilities are fitted by expectation-
 maximisation on the words of a bounded sample: about ``SAMPLE`` texts of each language, chosen by a hash of
-doc_id. Everything else covers all texts, whole.
+doc_id, with all their words, however long. Everything else covers all texts, whole.
+
+Words are taken together in matrices by length; those of more than ``ALONE`` bytes one by one, in logarithms.
 
 Defined results: null text, or text without a letter: language ``und``, score 0; score is the posterior of
 the language (equal priors); ties go to the first language in order; with no labelled rows every text is
-``und``. Repeated rows are scored alike; other columns are never read for a prediction.
+``und``. Repeated rows are scored alike; other columns are never read for a prediction. A row with null doc_id is
+not learned from.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,30 +33,85 @@ from pyspark.sql import types as T
 from .common import cut, slices
 
 VOCABULARY = "piece_bpe_32k.model"
-SAMPLE, ROUNDS, LONGEST, SMOOTH = 1500, 3, 8, 0.02
-KEPT = 200_000
+SAMPLE, ROUNDS, SMOOTH, ALONE = 1500, 3, 0.02, 256
+#: Words that a worker keeps, and their characters at most.
+KEPT, LONG = 200_000, 64
+#: About how much less likely a word is with each byte more.
+_LIFT = 8.0
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-def pieces(path: str) -> np.ndarray:
-    """The vocabulary's pieces of at most ``LONGEST`` bytes and all single bytes, as sorted big-endian
-    numbers; a space stands for the word start."""
-    import sentencepiece
-
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    found = {bytes([b]) for b in range(1, 256)}
-    for i in range(sp.get_piece_size()):
-        if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)):
-            piece = sp.id_to_piece(i).replace("▁", " ").lower().encode()
-            if 0 < len(piece) <= LONGEST:
-                found.add(piece)
-    return np.array(sorted(int.from_bytes(p, "big") for p in found), dtype=np.uint64)
+_PIECE = re.compile(r"▁?[^\W\d_]*", re.UNICODE)
+_BASE = pow(0x9E3779B97F4A7C15, 3, 1 << 64) | 1
+
+
+class Pieces:
+    """The vocabulary's pieces that can stand in a word, and all single bytes, in order; a space stands for the word
+    start. To match them backwards from an end, the tails of all pieces are kept by length as hashes: with the piece
+    that each is, or -1."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        found = {bytes([b]) for b in range(1, 256)}
+        for i in range(sp.get_piece_size()):
+            piece = sp.id_to_piece(i)
+            if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) and piece and _PIECE.fullmatch(piece):
+                found.add(piece.replace("▁", " ").lower().encode())
+        self.names = sorted(found)
+        number = {name: i for i, name in enumerate(self.names)}
+        tails = {name[-n:] for name in self.names for n in range(1, len(name) + 1)}
+        self.tails = {t: number.get(t, -1) for t in tails}
+        self.longest = max(map(len, tails))
+        self.powers = np.array([pow(_BASE, n, 1 << 64) for n in range(self.longest)], dtype=np.uint64)
+        self.by_length: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        for n in range(1, self.longest + 1):
+            own = [t for t in tails if len(t) == n]
+            chars = np.frombuffer(b"".join(own), dtype=np.uint8).reshape(len(own), n).astype(np.uint64) + np.uint64(1)
+            code = (chars[:, ::-1] * self.powers[:n]).sum(axis=1, dtype=np.uint64)
+            order = np.argsort(code)
+            if (np.diff(code[order].view(np.int64)) == 0).any():
+                raise ValueError("two pieces have one hash")
+            self.by_length.append((code[order], np.array([self.tails[t] for t in own], dtype=np.int64)[order]))
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def ending(self, chars: np.ndarray, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For pieces that end at column ``end`` of a matrix of bytes: length, rows and piece numbers."""
+        rows = np.flatnonzero(chars[:, end - 1] > 0)
+        code = np.zeros(len(rows), dtype=np.uint64)
+        for n in range(1, min(self.longest, end) + 1):
+            code = code + (chars[rows, end - n].astype(np.uint64) + np.uint64(1)) * self.powers[n - 1]
+            hashes, piece = self.by_length[n]
+            at = np.minimum(np.searchsorted(hashes, code), len(hashes) - 1)
+            hit = hashes[at] == code
+            rows, code, at = rows[hit], code[hit], at[hit]
+            if not len(rows):
+                return
+            whole = piece[at] >= 0
+            if whole.any():
+                yield n, rows[whole], piece[at[whole]]
+
+    def walk(self, word: bytes) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """For each end in a word: the pieces that end there, as (length, piece number)."""
+        get = self.tails.get
+        for end in range(1, len(word) + 1):
+            found = []
+            for n in range(1, min(self.longest, end) + 1):
+                piece = get(word[end - n : end])
+                if piece is None:
+                    break
+                if piece >= 0:
+                    found.append((n, piece))
+            yield end, found
 
 
 def _matrices(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Words of like lengths as matrices of bytes, each with the words' numbers."""
+    """Words of up to ALONE bytes and like lengths as matrices of bytes, each with the words' numbers."""
     size = np.array([len(w) for w in words])
-    for lo, hi in [(0, 8), (8, 12), (12, 18), (18, 32)] + [(32 << i, 64 << i) for i in range(26)]:
+    for lo, hi in [(0, 8), (8, 12), (12, 18), (18, 32), (32, 64), (64, 128), (128, ALONE)]:
         at = np.flatnonzero((size > lo) & (size <= hi))
         for k in range(0, len(at), 1 << 14):
             own = at[k : k + (1 << 14)]
@@ -60,64 +120,79 @@ def _matrices(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield own, np.frombuffer(flat, dtype=np.uint8).reshape(len(own), width)
 
 
-def _found(table: np.ndarray, chars: np.ndarray, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For pieces that end at column ``end``: length, rows and piece numbers."""
-    code = np.zeros(len(chars), dtype=np.uint64)
-    solid = chars[:, end - 1] > 0
-    for n in range(1, min(LONGEST, end) + 1):
-        code = code | (chars[:, end - n].astype(np.uint64) << np.uint64(8 * (n - 1)))
-        at = np.minimum(np.searchsorted(table, code), len(table) - 1)
-        rows = np.flatnonzero((table[at] == code) & solid)
-        if len(rows):
-            yield n, rows, at[rows]
+def _forward(ends: list[list[tuple[int, int]]], log_prob: list[float]) -> list[float]:
+    """Log forward sums of a word at all its ends, one language."""
+    log = [0.0]
+    for end, found in enumerate(ends, 1):
+        last = log[-1]
+        log.append(last + math.log(sum(math.exp(log[end - n] - last + log_prob[piece]) for n, piece in found)))
+    return log
 
 
-def word_scores(words: list[bytes], table: np.ndarray, prob: np.ndarray) -> np.ndarray:
+def word_scores(words: list[bytes], table: Pieces, prob: np.ndarray) -> np.ndarray:
     """Log probabilities of words under each language (columns of ``prob``)."""
     out = np.zeros((len(words), prob.shape[1]))
     for own, chars in _matrices(words):
         n, width = chars.shape
         size = (chars > 0).sum(1)
-        recent = [np.ones((n, prob.shape[1]))]  # forward sums at the last ends, up to LONGEST
+        recent = [np.ones((n, prob.shape[1]))]  # forward sums at the last ends, as many as the longest piece
         scale = np.zeros((n, prob.shape[1]))
         for end in range(1, width + 1):
             new = np.zeros((n, prob.shape[1]))
-            for k, rows, piece in _found(table, chars, end):
+            for k, rows, piece in table.ending(chars, end):
                 new[rows] += recent[-k][rows] * prob[piece]
-            recent = [*recent[1 - LONGEST :], new]
+            recent = [*recent[1 - table.longest :], new]
             stop = np.flatnonzero(size == end)
             out[own[stop]] = np.log(np.maximum(new[stop], 1e-300)) + scale[stop]
             if end % 8 == 0:
-                top = np.maximum(np.max(recent, axis=0), 1e-300)
+                top = np.maximum(np.max(recent[-8:], axis=0), 1e-300)
                 recent = [r / top for r in recent]
                 scale += np.log(top)
+    for i, word in enumerate(words):
+        if len(word) > ALONE:
+            ends = [found for _, found in table.walk(word)]
+            out[i] = [_forward(ends, np.log(prob[:, j]).tolist())[-1] for j in range(prob.shape[1])]
     return out
 
 
-def expected_counts(words: list[bytes], weight: np.ndarray, table: np.ndarray, prob: np.ndarray) -> np.ndarray:
+def expected_counts(words: list[bytes], weight: np.ndarray, table: Pieces, prob: np.ndarray) -> np.ndarray:
     """Expected number of uses of each piece in the words (``weight`` times each), one language."""
     out = np.zeros(len(table))
     for own, chars in _matrices(words):
         n, width = chars.shape
-        if width > 64:
-            continue  # rare long words add nothing to the fit
         size = (chars > 0).sum(1)
-        hits = [list(_found(table, chars, end)) for end in range(1, width + 1)]
+        hits = [list(table.ending(chars, end)) for end in range(1, width + 1)]
+        # all sums are of probabilities times ``lift`` to the number of bytes, so that long words stay in range
+        lift = _LIFT ** np.arange(table.longest + 1)
         fore = np.zeros((width + 1, n))
         fore[0] = 1
         for end in range(1, width + 1):
             for k, rows, piece in hits[end - 1]:
-                fore[end, rows] += fore[end - k, rows] * prob[piece]
+                fore[end, rows] += fore[end - k, rows] * prob[piece] * lift[k]
         back = np.zeros((width + 1, n))
         back[size, np.arange(n)] = 1
         for end in range(width, 0, -1):
             for k, rows, piece in hits[end - 1]:
-                back[end - k, rows] += back[end, rows] * prob[piece]
+                back[end - k, rows] += back[end, rows] * prob[piece] * lift[k]
         total = np.maximum(fore[size, np.arange(n)], 1e-300)
         for end in range(1, width + 1):
             for k, rows, piece in hits[end - 1]:
-                share = fore[end - k, rows] * prob[piece] * back[end, rows] / total[rows] * weight[own[rows]]
+                share = fore[end - k, rows] * prob[piece] * lift[k] * back[end, rows] / total[rows] * weight[own[rows]]
                 out += np.bincount(piece, weights=share, minlength=len(table))
+    log_prob = np.log(prob).tolist()
+    for word, times in zip(words, weight):
+        if len(word) > ALONE:
+            ends = [found for _, found in table.walk(word)]
+            fore_log = _forward(ends, log_prob)
+            back_log = [-math.inf] * len(word) + [0.0]
+            for end in range(len(word), 0, -1):
+                if back_log[end] == -math.inf:
+                    continue
+                for n, piece in ends[end - 1]:
+                    here = back_log[end] + log_prob[piece]
+                    out[piece] += times * math.exp(min(fore_log[end - n] + here - fore_log[-1], 0.0))
+                    top, low = max(back_log[end - n], here), min(back_log[end - n], here)
+                    back_log[end - n] = top + math.log1p(math.exp(low - top))
     return out
 
 
@@ -144,7 +219,7 @@ def fit(labelled: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUN
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array([w.encode() for w in c], pa.binary()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
 
     words = cut(drawn.select("text", "lang").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    table = pieces(path)
+    table = Pieces(path)
     number = {k: i for i, k in enumerate(langs)}
     prob = np.full((len(table), len(langs)), 1 / len(table))
     for _ in range(rounds):
@@ -177,12 +252,17 @@ def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, path: str, carr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prob, name = held.value
         if _owner[0] != name:
-            _owner[:] = [name, pieces(path), {}, np.zeros((KEPT, len(langs)))]
+            _owner[:] = [name, Pieces(path), {}, np.zeros((KEPT, len(langs)))]
         _, table, known, scores = _owner
         for part, texts in slices(batches, "text", 2 << 20):
             total, solid = np.zeros((len(texts), max(len(langs), 1))), np.zeros(len(texts), dtype=bool)
             every = [text_words(t) for t in texts]
+            solid[:] = [any(c.isalpha() for w in own for c in w) for own in every]
             if langs:
+                for i, own in enumerate(every):  # long words are not kept
+                    if long := [b" " + w.encode() for w in own if len(w) > LONG]:
+                        every[i] = [w for w in own if len(w) <= LONG]
+                        total[i] += word_scores(long, table, prob).sum(0)
                 new = set().union(*every) - known.keys()
                 if len(known) + len(new) > KEPT:
                     known.clear()
@@ -194,9 +274,8 @@ def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, path: str, carr
                     scores[len(known) : len(known) + len(new)] = word_scores([b" " + w.encode() for w in new], table, prob)
                     known.update(zip(new, range(len(known), len(known) + len(new))))
             for i, own in enumerate(every):
-                solid[i] = any(c.isalpha() for w in own for c in w)
                 if own and langs:
-                    total[i] = scores[np.fromiter(map(known.__getitem__, own), dtype=np.int64, count=len(own))].sum(0)
+                    total[i] += scores[np.fromiter(map(known.__getitem__, own), dtype=np.int64, count=len(own))].sum(0)
             best = total.argmax(1)
             post = 1 / np.exp(np.maximum(total - total.max(1, keepdims=True), -700)).sum(1)
             if not langs:

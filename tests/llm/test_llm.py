@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -216,15 +217,41 @@ def test_language(spark):
     assert all(got[i].lang_pred == k for i, _, k in rows[:200]) and all(got[i].lang_pred == "und" for i in (500, 501, 502))
     assert language.identify(d.where("lang = 'zz'")).count() == 0
     # the forward sum against all segmentations
-    table, prob = language.pieces(public_tokenizers.path(language.VOCABULARY)), None
+    table = language.Pieces(public_tokenizers.path(language.VOCABULARY))
+    assert table.longest > 8
     prob = np.random.default_rng(0).random((len(table), 2)) / 50
-    known = dict(zip(table.tolist(), prob))
+    known = dict(zip(table.names, prob))
 
+    @lru_cache(maxsize=None)
     def total(w):
-        return np.ones(2) if not w else sum((known[int.from_bytes(w[:n], "big")] * total(w[n:]) for n in range(1, min(8, len(w)) + 1) if int.from_bytes(w[:n], "big") in known), np.zeros(2))
-
-    for w in (b" thing", " ción".encode(), b" a", b" wordswords"):
-        assert np.allclose(language.word_scores([w], table, prob)[0], np.log(total(w)))
+        return np.ones(2) if not w else sum((known[w[:n]] * total(w[n:]) for n in range(1, len(w) + 1) if w[:n] in known), np.zeros(2))
+
+    words = [b" thing", " ción".encode(), b" a", b" wordswords", b" internationalization", " привет".encode(), b" " + b"abcde" * 30, b" " + b"thing" * 60]
+    got = language.word_scores(words, table, prob)
+    assert all(np.allclose(got[i], np.log(total(w))) for i, w in enumerate(words[:-1]))
+    # expected uses: by bumping each piece's probability (the derivative of the log)
+    small = words[:4] + [b" " + b"ab" * 150]
+    p = prob[:, 0].copy()
+    count = language.expected_counts(small, np.array([1.0, 2.0, 1.0, 3.0, 1.0]), table, p)
+    base = language.word_scores(small, table, p[:, None])[:, 0]
+    for piece in (table.names.index(b" t"), table.names.index(b"s"), table.names.index(b"ab")):
+        q = p.copy()
+        q[piece] *= 1.0001
+        slope = (language.word_scores(small, table, q[:, None])[:, 0] - base) @ np.array([1.0, 2.0, 1.0, 3.0, 1.0]) / math.log(1.0001)
+        assert abs(slope - count[piece]) < 1e-2 * max(1, count[piece])
+
+
+def test_language_odd_rows(spark):
+    words = {"aa": "thing er ou", "bb": "ción ll ado"}
+    rows = [(i, f"{words[k]} {words[k]}", k, "x", i) for i in range(40) for k in [("aa", "bb")[i % 2]]]
+    rows += [(3, rows[3][1], "bb", "x", 1), (None, rows[0][1], "aa", "x", 1), (77, "thing ción", None, "x", 1), (78, "q" * 70_000, None, "x", 2), (79, "thing er ou " * 90_000, None, "x", 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score long")
+    got = language.identify(d).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got if r.doc_id in (3, 5)} == {"bb"}
+    assert [r.lang_pred for r in got if r.doc_id == 79] == ["aa"] and [r.lang_pred for r in got if r.doc_id is None] == ["aa"]
+    assert all(0 <= r.score <= 1 for r in got)
+    none = language.identify(d.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {r.lang_pred for r in none} == {"und"} and len(none) == len(rows)
 
 
 def test_embeddings(spark):
