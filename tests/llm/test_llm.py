@@ -274,6 +274,32 @@ def test_embeddings(spark):
         assert all((got[i].n_links, got[i].component_id) == (n[i], comp[i]) for i, *_ in rows)
 
 
+@pytest.mark.parametrize("per_block", [64, 256, 1024])
+def test_embeddings_recall_at_the_level(spark, per_block):
+    rng = np.random.default_rng(per_block)
+    n, dim = 1000, 64
+    a = rng.standard_normal((n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    r = rng.standard_normal((n, dim))
+    r -= (r * a).sum(1, keepdims=True) * a
+    r /= np.linalg.norm(r, axis=1, keepdims=True)
+    c = rng.uniform(0.931, 0.95, (n, 1))
+    every = np.concatenate((a, c * a + np.sqrt(1 - c * c) * r))
+    cosine = every @ every.T
+    want = int((cosine >= 0.93).sum()) - 2 * n
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(every)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = embeddings.near_duplicates(df, per_block=per_block).collect()
+    links = sum(r.n_links for r in got)
+    assert 0.99 * want <= links <= want
+
+
+def test_embeddings_odd_rows(spark):
+    rows = [(1, [1.0, 0.0], 0, 5), (1, [1.0, 0.0], 0, 6), (None, [1.0, 0.0], 0, 7), (2, [1.0, 0.0, 0.0], 0, 8), (3, [1.0, 0.01], 0, 9), (4, [1.0, 0.0], 1, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rep long")
+    got = sorted(((r.vec_id is None, r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect()))
+    assert got == [(False, 1, 2, 1, True), (False, 1, 2, 1, True), (False, 2, 0, 2, True), (False, 3, 2, 1, False), (False, 4, 0, 4, True), (True, 0, 0, None, False)]
+
+
 def test_sharding(docs, plain):
     got = sharding.shard(docs, shards=4).collect()
     assert Counter(r.size for r in got) == Counter(len((t or "").encode()) + 1 for _, t in plain)
