@@ -2,23 +2,26 @@
 
 A string of ``length`` bytes (200) that starts at two places has the same anchor at both: the leftmost
 smallest hash among the grams of ``GRAM`` bytes inside it. So only the suffixes that start at anchors are
-sorted (about one in eighty), and still every repeat is found:
-
-1. Each text gives its anchors, each with the run of string starts that it stands for, a hash of the
-   bytes that those strings span (the region), the leading 8 bytes of the suffix and its gram's hash.
-2. Sampled splitters over (leading bytes, gram hash) range-partition the suffixes. Each bucket sorts by
-   multikey quicksort, one column after another within ties, and compares neighbours. Equal grams that go
-   on in equal regions: all strings of these runs are repeated. Equal grams with unequal regions: the ends
-   of a repeated passage, one run of each region is compared byte by byte in step 3. The range partitioning
-   keeps equal (leading bytes, gram hash) in one bucket, so that no comparison is lost at a boundary;
-   a task sends a region that it holds twice as one row, so that very common passages stay small.
-3. The few runs at ends of passages fetch their bytes, are sorted by gram and distance from the anchor, and
-   strings that occur twice are marked.
+sorted (about one in eighty; a whole suffix array would ship some 200 bytes for each byte of text), and still every
+repeat is found:
+
+1. Each text gives its anchors, each with the run of string starts that it stands for, the leading ``GRAM`` bytes of
+   the suffix and a hash of the bytes that those strings span (the region).
+2. Sampled splitters range-partition the suffixes by leading bytes and region into buckets of about ``ROWS`` rows. Each
+   bucket sorts by multikey quicksort, one column of eight bytes after another within ties, and compares neighbours.
+   Equal regions: all strings of these runs are repeated. Equal leading bytes with unequal regions: the ends
+   of a repeated passage, one run of each region is compared string by string in step 3. Equal regions share a bucket;
+   leading bytes may go on across a boundary, so those at either end of a bucket count as having other regions beside
+   them. A task sends a region that it holds more than once twice at most, so that very common passages stay small.
+3. The few runs at ends of passages fetch their texts again. Of every string that starts in them a hash, with that of
+   its anchor and the distance from it, goes to a bucket of its own hash, so that no passage, however common, is one
+   group; a task settles what it holds twice and sends one of it. Hashes that meet mark their strings.
 4. Marked strings are merged into spans per text and cut out.
 
 Defined results: null counts as empty; texts shorter than ``length`` stay whole; matches never cross
 documents; strings are judged on the input; copies of a text count as other places. Rows with null or
-repeated doc_id are kept apart by their text. Other columns are passed over.
+repeated doc_id are kept apart by their text. Other columns are passed over. Beyond the leading bytes, strings are equal
+if hashes of 64 bits are.
 """
 
 from __future__ import annotations
@@ -32,9 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, slices
+from .common import cut, partitions, slices, whole_groups
 
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM, ROWS = 200, 32, 200_000
+#: Regions that a task remembers having sent.
+SENT = 1_000_000
+_LEAD = ["w0", "w1", "w2", "w3"]
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -75,8 +81,8 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(block: np.ndarray, starts: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Of texts inside ``block``: text number, anchor, first and last string start (all within the text),
-    leading bytes, gram hash and region hash of each run."""
-    empty = tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int32, np.int32, np.int32, np.int64, np.int64, np.int64))
+    the leading bytes in four numbers that sort as they do, and the region hash of each run."""
+    empty = tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int32, np.int32, np.int32, np.int64, np.int64, np.int64, np.int64, np.int64))
     if len(block) < length:
         return empty
     h = _grams(block, GRAM)
@@ -96,11 +102,14 @@ def anchors(block: np.ndarray, starts: np.ndarray, lengths: np.ndarray, length:
     run = np.concatenate((np.zeros(1, np.uint64), np.cumsum((block.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)))
     region = _mix((run[b + length] - run[a]) * inverse[a])
     region = _mix(region ^ ((p - a).astype(np.uint64) << np.uint64(32)) ^ (b - a).astype(np.uint64))
-    lead = np.zeros(len(p), dtype=np.uint64)
-    for i in range(8):
-        lead = (lead << np.uint64(8)) | block[p + i]
+    lead = []
+    for word in range(GRAM // 8):
+        w = np.zeros(len(p), dtype=np.uint64)
+        for i in range(8):
+            w = (w << np.uint64(8)) | block[p + 8 * word + i]
+        lead.append((w ^ np.uint64(1 << 63)).view(np.int64))
     base = starts[text]
-    return text, (p - base).astype(np.int32), (a - base).astype(np.int32), (b - base).astype(np.int32), lead.view(np.int64), h[p].view(np.int64), region.view(np.int64)
+    return text, (p - base).astype(np.int32), (a - base).astype(np.int32), (b - base).astype(np.int32), *lead, region.view(np.int64)
 
 
 def multikey_order(*columns: np.ndarray) -> np.ndarray:
@@ -120,8 +129,14 @@ def multikey_order(*columns: np.ndarray) -> np.ndarray:
 
 
 def _runs(texts: DataFrame, length: int) -> DataFrame:
+    names = ["k", "p", "a", "b", *_LEAD, "region", "n"]
+
+    def rows(part: pa.RecordBatch, text: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), *map(pa.array, columns)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        sent = np.zeros(0, dtype=np.int64)  # regions that have gone out as repeated, sorted
         for part, blobs in slices(batches, "text"):
             # two copies of a text tell as much as more: each of its strings is repeated
             at = []
@@ -129,6 +144,8 @@ def _runs(texts: DataFrame, length: int) -> DataFrame:
                 seen[k] += 1
                 if seen[k] <= 2:
                     at.append(i)
+            if len(seen) > SENT:
+                seen.clear()
             found, begin = [], 0
             while begin < len(at):  # blocks that stay in the processor's cache
                 stop, size = begin, 0
@@ -141,116 +158,146 @@ def _runs(texts: DataFrame, length: int) -> DataFrame:
                 begin = stop
             if not found or not sum(len(f[0]) for f in found):
                 continue
-            text, p, a, b, lead, gram, region = map(np.concatenate, zip(*found))
-            # a region that these texts hold twice is settled here: its runs go on as such, merged where one
+            text, p, a, b, *lead, region = map(np.concatenate, zip(*found))
+            # a region that is held twice is settled here: its runs go on as such, merged where one
             # follows another, and one row stands for them in the comparison
-            _, first, inverse, count = np.unique(region, return_index=True, return_inverse=True, return_counts=True)
-            whole = count[inverse] >= 2
+            unique, first, inverse, count = np.unique(region, return_index=True, return_inverse=True, return_counts=True)
+            known = np.isin(unique, sent, assume_unique=True)
+            whole = (count >= 2)[inverse] | known[inverse]
             w = np.flatnonzero(whole)
             if len(w):
                 new = np.concatenate(([True], (text[w][1:] != text[w][:-1]) | (a[w][1:] != b[w][:-1] + 1)))
                 head, tail = w[new], w[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(w) - 1]))]
                 spread = _mix(head.astype(np.uint64) + region[head].view(np.uint64)).view(np.int64)
-                yield self_rows(part, text[head], p[head], a[head], b[tail], spread, spread, spread, np.full(len(head), 9, np.int8))
-            yield self_rows(part, text[first], p[first], a[first], b[first], lead[first], gram[first], region[first], np.minimum(count, 2).astype(np.int8))
-
-    def self_rows(part: pa.RecordBatch, text: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), *map(pa.array, columns)], names=["k", "p", "a", "b", "lead", "gram", "region", "n"])
+                yield rows(part, text[head], p[head], a[head], b[tail], *[spread] * 5, np.full(len(head), 9, np.int8))
+            new = first[~known]
+            yield rows(part, text[new], p[new], a[new], b[new], *[x[new] for x in lead], region[new], np.minimum(count[~known], 2).astype(np.int8))
+            twice = unique[(count >= 2) & ~known]
+            sent = np.union1d(sent, twice) if len(sent) + len(twice) <= SENT else twice
 
-    return texts.select("k", "text").mapInArrow(run, "k binary, p int, a int, b int, lead long, gram long, region long, n byte")
+    return texts.select("k", "text").mapInArrow(run, f"k binary, p int, a int, b int, {', '.join(w + ' long' for w in _LEAD)}, region long, n byte")
 
 
 def _compare(bucket: DataFrame) -> DataFrame:
-    """Step 2: rows (k, p, a, b, gram, whole): whole for runs whose strings are all repeated, else a run of
-    a gram that occurs with unequal regions."""
+    """Step 2: rows (k, p, a, b, whole): whole for runs whose strings are all repeated, else a run whose leading
+    bytes occur with unequal regions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = [b for b in batches if b.num_rows]
-        if not whole:
+        every = [b for b in batches if b.num_rows]
+        if not every:
             return
-        t = pa.Table.from_batches(whole).combine_chunks()
+        t = pa.Table.from_batches(every).combine_chunks()
         settled = t.column("n").to_numpy() == 9
         yield from rows(t.filter(pa.array(settled)), True)
         t = t.filter(pa.array(~settled)).combine_chunks()
         if not len(t):
             return
-        lead, gram, region, n = (t.column(c).to_numpy() for c in ("lead", "gram", "region", "n"))
-        order = multikey_order(lead.view(np.uint64), gram, region)
-        lead, gram, region = lead[order], gram[order], region[order]
-        new_gram = np.concatenate(([True], (lead[1:] != lead[:-1]) | (gram[1:] != gram[:-1])))
-        new_region = new_gram | np.concatenate(([True], region[1:] != region[:-1]))
+        *lead, region, n = (t.column(c).to_numpy() for c in (*_LEAD, "region", "n"))
+        order = multikey_order(*lead, region)
+        new_lead = np.ones(len(order), dtype=bool)
+        new_lead[1:] = np.any([c[order][1:] != c[order][:-1] for c in lead], axis=0)
+        new_region = new_lead.copy()
+        new_region[1:] |= region[order][1:] != region[order][:-1]
         at = np.flatnonzero(new_region)
-        whole_run = np.repeat(np.add.reduceat(n[order].astype(np.int64), at) >= 2, np.diff(np.concatenate((at, [len(gram)]))))
-        # one run of each region where a gram has several
-        first = np.flatnonzero(new_gram)
-        several = np.repeat(np.add.reduceat(new_region.astype(np.int64), first) >= 2, np.diff(np.concatenate((first, [len(gram)]))))
+        whole_run = np.repeat(np.add.reduceat(n[order].astype(np.int64), at) >= 2, np.diff(np.concatenate((at, [len(order)]))))
+        # one run of each region where the leading bytes have several; those at the bucket's ends may
+        first = np.flatnonzero(new_lead)
+        many = np.add.reduceat(new_region.astype(np.int64), first) >= 2
+        many[[0, -1]] = True
+        several = np.repeat(many, np.diff(np.concatenate((first, [len(order)]))))
         for mask, flag in ((whole_run, True), (several & new_region, False)):
             yield from rows(t.take(pa.array(order[mask])), flag)
 
     def rows(found: pa.Table, flag: bool) -> Iterator[pa.RecordBatch]:
         for b in found.combine_chunks().to_batches(max_chunksize=20_000):
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("k", "p", "a", "b", "gram")] + [pa.array([flag] * b.num_rows)], names=["k", "p", "a", "b", "gram", "whole"])
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("k", "p", "a", "b")] + [pa.array([flag] * b.num_rows)], names=["k", "p", "a", "b", "whole"])
+
+    return bucket.mapInArrow(run, "k binary, p int, a int, b int, whole boolean")
+
 
-    return bucket.mapInArrow(run, "k binary, p int, a int, b int, gram long, whole boolean")
+def _string_hashes(block: np.ndarray, base: np.ndarray, p: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For runs of texts that start at ``base`` in ``block``: run number and start (in the text) of each string, and a
+    hash of the string, its anchor's place in it and the anchor's gram."""
+    count = (b - a + 1).astype(np.int64)
+    row = np.repeat(np.arange(len(a)), count)
+    offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    s = base[row] + a[row] + offset
+    power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(block), _BASE))), dtype=np.uint64)
+    inverse = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(block), np.uint64(pow(int(_BASE), -1, 1 << 64))))), dtype=np.uint64)
+    acc = np.concatenate((np.zeros(1, np.uint64), np.cumsum((block.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)))
+    h = _mix((acc[s + length] - acc[s]) * inverse[s])
+    gram = _grams(block, GRAM)[base + p][row]
+    return row, a[row] + offset, _mix(h ^ (gram >> np.uint64(1)) ^ ((p[row] - a[row] - offset).astype(np.uint64) << np.uint64(48)))
 
 
-def _strings(edges: DataFrame, length: int) -> DataFrame:
-    """Step 3: of runs with their bytes, the string starts (k, a, b) that occur with another run as well."""
+def _spans_of(k: list[bytes], text: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """Rows (k, a, b) of strings that start one after another in a text (by its number in ``k``)."""
+    order = np.lexsort((start, text))
+    text, start = text[order], start[order]
+    new = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (start[1:] > start[:-1] + 1)))) if len(text) else np.zeros(0, np.int64)
+    last = np.concatenate((new[1:] - 1, [len(text) - 1])) if len(text) else new
+    return pa.RecordBatch.from_arrays([pa.array(k, pa.binary()).take(pa.array(text[new])), pa.array(start[new].astype(np.int32)), pa.array(start[last].astype(np.int32))], names=["k", "a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(t: pa.Table) -> pa.RecordBatch:
-            # one of the copies of a text that other tasks have sent
-            once = t.select(["k", "p"]).to_pandas().duplicated().to_numpy()
-            t = t.filter(pa.array(~once)).combine_chunks()
-            gram, p, a, b = (t.column(c).to_numpy() for c in ("gram", "p", "a", "b"))
-            texts = t.column("part").to_pylist()
-            block = np.frombuffer(b"".join(texts), dtype=np.uint8)
-            sizes = np.array([len(x) for x in texts])
-            base = np.cumsum(sizes) - sizes
-            count = b - a + 1
-            row = np.repeat(np.arange(len(a)), count)
-            offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            s = base[row] + offset
-            power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(block), _BASE))), dtype=np.uint64)
-            inverse = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(block), np.uint64(pow(int(_BASE), -1, 1 << 64))))), dtype=np.uint64)
-            acc = np.concatenate((np.zeros(1, np.uint64), np.cumsum((block.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)))
-            h = _mix((acc[s + length] - acc[s]) * inverse[s])
-            away = p[row] - a[row] - offset
-            order = multikey_order(gram[row], away, h)
-            g, w, x = gram[row][order], away[order], h[order]
-            same = (g[1:] == g[:-1]) & (w[1:] == w[:-1]) & (x[1:] == x[:-1])
-            marked = np.zeros(len(row), dtype=bool)
-            marked[order] = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            # runs of marked starts
-            edge = np.flatnonzero(np.diff(np.concatenate(([False], marked, [False])).astype(np.int8)))
-            lo, hi = edge[0::2], edge[1::2] - 1
-            out = [(i, r) for i, (x, y) in enumerate(zip(lo, hi)) for r in range(row[x], row[y] + 1)]
-            rows = np.array([r for _, r in out], dtype=np.int64)
-            begin = np.array([max(lo[i], np.searchsorted(row, r)) for i, r in out], dtype=np.int64)
-            end = np.array([min(hi[i], np.searchsorted(row, r, side="right") - 1) for i, r in out], dtype=np.int64)
-            return pa.RecordBatch.from_arrays([t.column("k").combine_chunks().take(pa.array(rows)) if len(rows) else pa.array([], pa.binary()), pa.array((a[rows] + offset[begin]).astype(np.int32) if len(rows) else [], pa.int32()), pa.array((a[rows] + offset[end]).astype(np.int32) if len(rows) else [], pa.int32())], names=["k", "a", "b"])
-
-        held, size, last = [], 0, None
-        for batch in batches:
-            gram = batch.column(batch.schema.get_field_index("gram")).to_numpy()
-            if not len(gram):
+
+def _strings(ends: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Step 3: of texts with runs (k, text, runs), the string starts (k, a, b) whose string is in another run too."""
+    schema = "bucket int, k binary, a int, b int, ks array<binary>, hashes binary, texts binary, starts binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, blobs in slices(batches, "text", 1 << 20):
+            seen, ks, runs, texts = set(), [], [], []
+            for k, t, rs in zip(part.column(0).to_pylist(), blobs, part.column(2).to_pylist(), strict=True):
+                if rs and k not in seen:
+                    seen.add(k)
+                    runs += [(len(ks), r["p"], r["a"], r["b"]) for r in rs]
+                    ks.append(k)
+                    texts.append(t)
+            if not runs:
                 continue
-            # a group is compared whole; groups are of the distinct regions around one gram
-            if held and size > 4000 and gram[0] != last:
-                yield done(pa.Table.from_batches(held))
-                held, size = [], 0
-            first = int(np.flatnonzero(gram != gram[-1])[-1] + 1) if gram[0] != gram[-1] else 0
-            if first and size + first > 4000:
-                yield done(pa.Table.from_batches([*held, batch.slice(0, first)]))
-                held, size = [batch.slice(first)], batch.num_rows - first
-            else:
-                held.append(batch)
-                size += batch.num_rows
-            last = gram[-1]
-        if held:
-            yield done(pa.Table.from_batches(held))
-
-    return edges.mapInArrow(run, "k binary, a int, b int")
+            number, p, a, b = np.array(runs, dtype=np.int64).T
+            sizes = np.array([len(t) for t in texts])
+            row, start, h = _string_hashes(np.frombuffer(b"".join(texts), dtype=np.uint8), (np.cumsum(sizes) - sizes)[number], p, a, b, length)
+            text = number[row]
+            unique, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            twice = np.flatnonzero((count >= 2)[inverse])
+            here = _spans_of(ks, text[twice], start[twice])
+            empty = [pa.nulls(here.num_rows, t) for t in (pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.nulls(here.num_rows, pa.int32()), *here.columns, *empty], names=names)
+            own = (unique % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(own, kind="stable")
+            cuts = np.flatnonzero(np.concatenate(([True], own[order][1:] != own[order][:-1])))
+            out = []
+            for x, y in zip(cuts, [*cuts[1:], len(order)]):
+                one = order[x:y]
+                which, local = np.unique(text[first[one]], return_inverse=True)
+                out.append((int(own[one[0]]), [ks[i] for i in which], unique[one].tobytes(), local.astype(np.int32).tobytes(), start[first[one]].astype(np.int32).tobytes()))
+            bucket, kk, hashes, local, starts = zip(*out)
+            none = pa.nulls(len(out), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.nulls(len(out), pa.binary()), none, none, pa.array(kk, pa.list_(pa.binary())), pa.array(hashes, pa.binary()), pa.array(local, pa.binary()), pa.array(starts, pa.binary())], names=names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in whole_groups(batches, ["bucket"], 2048):
+            for g in range(int(group[-1]) + 1):
+                own = table.slice(int(np.searchsorted(group, g)), int((group == g).sum()))
+                ks, shift, texts = [], [], []
+                for k, t in zip(own.column("ks").to_pylist(), own.column("texts").to_pylist()):
+                    texts.append(np.frombuffer(t, dtype=np.int32).astype(np.int64) + len(ks))
+                    ks += k
+                h, start = (np.concatenate([np.frombuffer(x, dtype=d) for x in own.column(c).to_pylist()]) for c, d in (("hashes", np.uint64), ("starts", np.int32)))
+                text = np.concatenate(texts)
+                order = np.argsort(h)
+                same = h[order][1:] == h[order][:-1]
+                # two rows for one text and start are copies of the text, which count as two places
+                marked = np.zeros(len(h), dtype=bool)
+                marked[order] = np.concatenate((same, [False])) | np.concatenate(([False], same))
+                yield _spans_of(ks, text[marked], start[marked])
+
+    cols = "k binary, a int, b int"
+    sent = cut(ends.mapInArrow(fetch, schema), "strings")
+    met = sent.where("bucket IS NOT NULL").select("bucket", "ks", "hashes", "texts", "starts")
+    met = met.repartition(partitions(ends.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, cols)
+    return sent.where("k IS NOT NULL").select("k", "a", "b").union(met)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -262,23 +309,16 @@ def spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     """Rows (k, at array<struct<a, b>>): runs of string starts that are repeated, for each distinct text,
     k being its MD5."""
     n = partitions(keyed.sparkSession)
-    bucket = _runs(keyed, length).repartitionByRange(n, "lead", "gram")
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = 2 * size // (length - GRAM)  # anchors, as expected
+    bucket = _runs(keyed, length).repartitionByRange(max(n, rows // ROWS), *_LEAD, "region")
     found = cut(_compare(bucket), "repeats")
-    ends = found.where("not whole").groupBy("k").agg(F.collect_set(F.struct("p", "a", "b", "gram")).alias("runs"))
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for part, blobs in slices(batches, "text"):
-            rows = []
-            for k, t, rs in zip(part.column(0).to_pylist(), blobs, part.column(3).to_pylist(), strict=True):
-                if rs and k not in seen:
-                    seen.add(k)
-                    rows += [(k, r, t[r["a"] : r["b"] + length]) for r in rs]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, *_ in rows], pa.binary()), *[pa.array([r[c] for _, r, _ in rows], t) for c, t in (("p", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("gram", pa.int64()))], pa.array([x for *_, x in rows], pa.binary())], names=["k", "p", "a", "b", "gram", "part"])
-
+    ends = found.where("not whole")
+    n_ends = ends.count()
+    ends = ends.groupBy("k").agg(F.collect_set(F.struct("p", "a", "b")).alias("runs"))
     # the same left side as in remove_repeats, so that both joins read one shuffle of the texts
-    parts = keyed.join(ends, "k", "left").select("k", "doc_id", "text", "runs").mapInArrow(fetch, "k binary, p int, a int, b int, gram long, part binary")
-    marked = _strings(parts.repartition(n, "gram").sortWithinPartitions("gram"), length)
+    held = keyed.join(ends, "k", "left").select("k", "doc_id", "text", "runs").select("k", "text", "runs")
+    marked = _strings(held, length, max(n, n_ends * (length - GRAM) // 2 // (10 * ROWS) + 1))
     every = found.where("whole").select("k", "a", "b").union(marked)
     return every.groupBy("k").agg(F.collect_set(F.struct("a", "b")).alias("at"))
 

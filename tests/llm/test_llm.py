@@ -194,7 +194,7 @@ def test_context_tree_to_nine_digits():
         assert abs(got - brute_ctw(train, t, 5)) < 1e-9 * max(1, abs(got))
 
 
-def test_repeats(docs, plain):
+def brute_repeats(plain):
     count = Counter(b[i : i + 200] for _, t in plain for b in [(t or "").encode()] for i in range(len(b) - 199))
     want = Counter()
     for i, t in plain:
@@ -204,7 +204,28 @@ def test_repeats(docs, plain):
             if count[b[s : s + 200]] > 1:
                 m[s : s + 200] = b"\1" * 200
         want[i, len(b), sum(m), len(re.findall(rb"\x01+", bytes(m))), hashlib.sha256(bytes(x for x, k in zip(b, m) if not k)).hexdigest()] += 1
-    assert bag(repeats.remove_repeats(docs)) == want
+    return want
+
+
+def test_repeats(docs, plain):
+    assert bag(repeats.remove_repeats(docs)) == brute_repeats(plain)
+
+
+@pytest.mark.parametrize("rows", [200_000, 7])
+def test_repeats_of_common_passages(spark, monkeypatch, rows):
+    """A line in every text with other words around it, passages just over and under 200 bytes, copies, over buckets
+    so small that leading bytes go on across their ends."""
+    monkeypatch.setattr(repeats, "ROWS", rows)
+    rng = random.Random(rows)
+
+    def fresh(n):
+        return "".join(rng.choice("abcdefghij klmno") for _ in range(n))
+
+    line, over, under = fresh(60), fresh(230), fresh(199)
+    texts = [fresh(rng.randint(0, 150)) + rng.choice([line, over, under, over + line, ""]) + fresh(rng.randint(0, 250)) for _ in range(120)]
+    texts += [texts[1], texts[2] + "x", "q" + texts[2], line * 9, over + over, ""]
+    made = [(i % 100, t) for i, t in enumerate(texts)] + [(None, over)]
+    assert bag(repeats.remove_repeats(spark.createDataFrame(made, "doc_id long, text string").repartition(5))) == brute_repeats(made)
 
 
 def test_language(spark):
@@ -352,3 +373,18 @@ def test_pipeline(spark, tmp_path, docs):
     docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id IS NOT NULL").write.parquet(f"{tmp_path}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "personal_data", "mixing", "encoding"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 20
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    """A text and a word of over a million bytes, with columns that the operators use themselves."""
+    rng = random.Random(1)
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(1000)) for _ in range(130_000))
+    assert len(long) > 1_000_000
+    rows = [(1, long, "en", "s", 1, "b", "w", 3), (2, "z" * 1_200_000, "en", "s", 1, "b", "w", 3), (3, "short one", "en", None, 1, "b", "w", 3), (3, "short one", "en", None, 1, "b", "w", 3), (None, None, None, None, None, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, size long, block string, word string, row int").repartition(2)
+    for f in (bpe.round_trip, fingerprints.fingerprint_edits, simhash.near_duplicates, scoring.score, repeats.remove_repeats, language.identify, sharding.shard, mixing.mix, pii.find):
+        assert f(d).count() == len(rows), f
+    for f in (pii.redact, mixing.mixture, simhash.one_of_each):
+        assert f(d).columns == d.columns
+    assert {r.doc_id: r.text for r in pii.redact(d).collect()}[1] == long
+    assert simhash.one_of_each(d).count() == 4
