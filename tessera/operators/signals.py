@@ -125,6 +125,19 @@ def score(now: DataFrame, signals: list[Signal]) -> DataFrame:
     return now.join(F.broadcast(meta), "id").groupBy("cnpj").agg(F.round(100.0 * F.coalesce(F.sum(F.when(hit, F.col("weight"))), F.lit(0)) / F.nullif(weight, F.lit(0)), 2).alias("score"), F.round(100.0 * F.count_if("evaluable") / F.count("*"), 2).alias("coverage"), F.count_if(hit).alias("n_fired"))
 
 
+def dimensions(now: DataFrame, signals: list[Signal]) -> DataFrame:
+    """By vehicle: how many signals can be told, fired, persist, are critical or high, are observed or derived, the
+    strength of evidence (the observed among the fired) and the mean streak; ``now`` as settled gives it."""
+    meta = now.sparkSession.createDataFrame([(s.id, s.weight, s.months, s.observed) for s in signals], "id string, weight int, months int, observed boolean")
+    j = now.join(F.broadcast(meta), "id")
+    counts = F.col("fired") & (F.col("streak") >= F.col("months"))
+    fired, seen = F.col("fired"), F.col("observed")
+    return j.groupBy("cnpj").agg(
+        F.count_if("evaluable").alias("n_evaluable"), F.count_if(fired).alias("n_fired"), F.count_if(counts).alias("n_persistent"), F.count_if(counts & (F.col("weight") == 10)).alias("n_critical"), F.count_if(counts & (F.col("weight") == 6)).alias("n_high"),
+        F.count_if(fired & seen).alias("n_observed"), F.count_if(fired & ~seen).alias("n_derived"), F.round(F.count_if(fired & seen) / F.nullif(F.count_if(fired), F.lit(0)), 3).alias("strength"), F.round(F.avg(F.when(fired, F.col("streak"))), 4).alias("mean_streak"),
+    )
+
+
 def bands(scores: DataFrame) -> DataFrame:
     """Coverage below half is not classifiable, never low; cut points are the p90 and p99 of positive scores."""
     cuts = scores.where("coverage >= 50 AND score > 0").agg(F.percentile("score", 0.9).alias("p90"), F.percentile("score", 0.99).alias("p99"))

@@ -161,6 +161,7 @@ _IND = signals.WIDE_SQL + "".join(f", {s.ctes}" for s in SOURCES.values() if s.c
 
 
 def _indicators(r: Reports) -> DataFrame:
+    r.keep("sane", "assets", "assignors", "debtors")
     fired, banded = _engine(r)
     parts = [_stacked(s.frame(r), s.indicators) for s in SOURCES.values()] + [_stacked(fired, ENGINE), _stacked(banded, BANDS)]
     out = parts[0]
@@ -248,6 +249,7 @@ facts AS (SELECT (SELECT sum(v) FROM cutl) AS pl_lines, (SELECT sum(pl) FROM cut
 def audit_tests(r: Reports) -> DataFrame:
     """Tests T1 to T12 and T15; T13 (files by their hashes) is sources.files.manifest, T14 compares with a figure from
     outside."""
+    r.keep("sane")
     now = _cut(r.sane)
     lines = r.lines.join(now.select("cnpj", "dt", "tp"), ["cnpj", "dt", "tp"])
     by_admin = now.join(r.registry, "cnpj").groupBy("admin").agg(F.sum("pl").alias("pl"), F.count_if(F.col("bal") < 0).alias("bad"))

@@ -72,6 +72,7 @@ def _rf1(r: Reports) -> DataFrame:
 
 def _flagged(r: Reports) -> DataFrame:
     """(rf, cnpj), each once."""
+    r.keep("sane", "assignors")
     found = {"RF1": _rf1, "RF2": _rf2, "RF3": _rf3, "RF4": _rf4, "RF5": _rf5}
     every = [f(r).select(F.lit(k).alias("rf"), "cnpj") for k, f in found.items()]
     out = every[0]

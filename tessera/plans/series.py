@@ -97,16 +97,17 @@ def latest_before(r: Reports) -> DataFrame:
     return r.sane.select("cnpj", "dt", F.max("dt").over(T.by_month().rowsBetween(Window.unboundedPreceding, -1)).alias("latest"))
 
 
-_GROWN = "CASE WHEN lag({c},12) OVER w>0 AND {c}>0 THEN ln({c}/lag({c},12) OVER w) END"
+_GROWN = "CASE WHEN lag({c},12) OVER w IS NOT NULL AND {c} IS NOT NULL THEN ln(greatest({c},1))-ln(greatest(lag({c},12) OVER w,1)) END"
 
 
 @plan(_GRID + f", j AS (SELECT grid.cnpj, grid.dt, pl, v_tot FROM grid LEFT JOIN assets USING (cnpj, dt)) SELECT cnpj, dt, round({_GROWN.format(c='pl')} - {_GROWN.format(c='v_tot')},6) AS gap FROM j WINDOW w AS (PARTITION BY cnpj ORDER BY dt)")
 def log_growth_gap(r: Reports) -> DataFrame:
+    """How much more the value has grown than the portfolio in twelve months, in logs of at least 1."""
     j = _grid(r).join(r.assets.select("cnpj", "dt", "v_tot"), ["cnpj", "dt"], "left")
 
     def grown(c: str):
         before = F.lag(c, 12).over(T.by_month())
-        return F.when((before > 0) & (F.col(c) > 0), F.log(F.col(c) / before))
+        return F.when(before.isNotNull() & F.col(c).isNotNull(), F.log(F.greatest(F.col(c), F.lit(1.0))) - F.log(F.greatest(before, F.lit(1.0))))
 
     return j.select("cnpj", "dt", F.round(grown("pl") - grown("v_tot"), 6).alias("gap"))
 

@@ -103,7 +103,7 @@ wide AS MATERIALIZED (SELECT * FROM (SELECT *, tx-lag(tx,12) OVER w AS d_inad_12
  {_ROLL.format(c='v_sen')} AS aq_12m, {_ROLL.format(c='v_mez')} AS roll_12m, {_ROLL.format(c='coalesce(related,0)')} AS related_12m, {_ROLL.format(c='coalesce(poor,0)')} AS poor_12m, ln(CASE WHEN lag(pl,12) OVER w>0 AND pl>0 THEN pl/lag(pl,12) OVER w END)-ln(CASE WHEN lag(book,12) OVER w>0 AND book>0 THEN book/lag(book,12) OVER w END) AS shift_12, cast(admin_code<>lag(admin_code,12) OVER w AS double) AS new_admin, CASE WHEN count(v_tot) OVER w12>=10 THEN avg(v_tot) OVER w12 END AS med_12 FROM j2
  WINDOW w AS (PARTITION BY cnpj ORDER BY dt), w12 AS (PARTITION BY cnpj ORDER BY dt ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) WHERE dt>='2000-06-30'),
 lf AS MATERIALIZED (SELECT cnpj, dt, x.* FROM (SELECT cnpj, dt, unnest([{', '.join("{'id': '" + s.id + "', 'value': cast(" + s.value + " AS double), 'grp': coalesce(" + s.group + ", false), 'evaluable': coalesce(" + s.can() + ", false), 'material': coalesce(" + s.material + ", false)}" for s in _IDS)}]) AS x FROM wide)),
-ids AS (SELECT * FROM (VALUES {','.join(f"('{s.id}','{s.kind}',{s.limit},{str(s.up).lower()},{s.weight},{s.months})" for s in _IDS)}) AS t(id, kind, q, up, weight, months)),
+ids AS (SELECT * FROM (VALUES {','.join(f"('{s.id}','{s.kind}',{s.limit},{str(s.up).lower()},{s.weight},{s.months},{str(s.observed).lower()})" for s in _IDS)}) AS t(id, kind, q, up, weight, months, observed)),
 qs AS (SELECT id, count(value) AS n, {', '.join(f"quantile_cont(value, {q}) AS q{round(100 * q)}" for q in sorted({s.limit for s in _IDS if s.kind == 'pct'}))} FROM lf WHERE dt='{CUTOFF}' AND grp AND evaluable AND material GROUP BY 1),
 lim AS MATERIALIZED (SELECT ids.id, CASE WHEN kind<>'pct' THEN cast(q AS double) WHEN n>=30 THEN CASE round(100*q) {' '.join(f"WHEN {round(100 * q)} THEN q{round(100 * q)}" for q in sorted({s.limit for s in _IDS if s.kind == 'pct'}))} END END AS lim, coalesce(n,0) AS n FROM ids LEFT JOIN qs USING (id)),
 fi AS MATERIALIZED (SELECT lf.*, lim.lim, coalesce(evaluable AND grp AND material AND CASE WHEN up THEN value>=lim.lim ELSE value<=lim.lim END,false) AS fired FROM lf JOIN lim USING (id) JOIN ids USING (id)),
@@ -161,6 +161,12 @@ def score_bands(r: Reports) -> DataFrame:
     return S.bands(_scores(r))
 
 
+@plan(WIDE_SQL + f""" SELECT cnpj, count(*) FILTER (evaluable) AS n_evaluable, count(*) FILTER (fired) AS n_fired, count(*) FILTER (fired AND streak>=months) AS n_persistent, count(*) FILTER (fired AND streak>=months AND weight=10) AS n_critical, count(*) FILTER (fired AND streak>=months AND weight=6) AS n_high,
+count(*) FILTER (fired AND observed) AS n_observed, count(*) FILTER (fired AND NOT observed) AS n_derived, round(count(*) FILTER (fired AND observed)/nullif(count(*) FILTER (fired),0),3) AS strength, round(avg(streak) FILTER (fired),4) AS mean_streak FROM fi JOIN st USING (cnpj, id) JOIN ids USING (id) WHERE dt='{CUTOFF}' GROUP BY 1""")
+def score_dimensions(r: Reports) -> DataFrame:
+    return S.dimensions(S.settled(fired_signals(r), CUTOFF), _IDS)
+
+
 @plan("@v AS (SELECT cnpj, dt, inad FROM overdue WHERE dt='2001-06-30'), c AS (SELECT cnpj, dt, max(pr) AS pr FROM assignors WHERE dt='2001-06-30' GROUP BY 1,2) SELECT coalesce(v.cnpj,c.cnpj) AS cnpj, round(inad,2) AS inad, pr, coalesce(inad<1,true) AND coalesce(pr>=50,false) AS rf1 FROM v FULL JOIN c ON v.cnpj=c.cnpj")
 def rf1_full_join(r: Reports) -> DataFrame:
     v = _at(r.overdue).select("cnpj", "inad")

@@ -27,6 +27,12 @@ class Reports:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def keep(self, *names: str) -> Reports:
+        """Keeps tables (of a row for each vehicle and month) that a plan reads several times."""
+        for name in names:
+            self.__dict__[name] = getattr(self, name).persist()
+        return self
+
     @cached_property
     def lines(self) -> DataFrame:
         return self.table("lineitem").select(

@@ -93,3 +93,32 @@ def test_drift_and_fisher(spark):
     logs = spark.sql("SELECT n, sum(CASE WHEN n > 0 THEN ln(greatest(n, 1)) ELSE 0 END) OVER (ORDER BY n) AS lf FROM (SELECT explode(sequence(0L, 300L)) AS n)")
     t = spark.createDataFrame([("s", 16, 42, 34, 176)], "signal string, a long, b long, c long, d long")
     assert B.fisher_tail(t, logs).first().p == 0.0407
+
+
+def test_layouts_and_numbers(spark):
+    old = spark.createDataFrame([("12.345", "1.5")], "CNPJ_FUNDO string, VL string")
+    assert N.legacy_keys(old).first().asDict() == {"CNPJ_FUNDO_CLASSE": "12.345", "VL": "1.5", "TP_FUNDO_CLASSE": "Fundo", "CNPJ": "12345"}
+    new = spark.createDataFrame([("12.345", "Classe", "x")], "CNPJ_FUNDO_CLASSE string, TP_FUNDO_CLASSE string, VL string")
+    got = N.numeric(N.legacy_keys(new), ["VL", "OTHER"]).first()
+    assert (got.TP_FUNDO_CLASSE, got.VL, got.OTHER) == ("Classe", None, None)
+
+
+def test_controls_without_reuse(spark):
+    """What serving the positives one after another gives."""
+    import hashlib
+    import random
+
+    rng = random.Random(4)
+    pos = [(1, f"p{i:02d}", rng.choice("AB"), rng.uniform(10, 60)) for i in range(12)]
+    cand = [(f"c{i:02d}", rng.choice("AB"), rng.uniform(5, 90)) for i in range(25)] + [("c90", "A", 0.0), ("c91", "B", None)]
+    used, want = set(), []
+    for case, p, tp, pl in sorted(pos, key=lambda x: x[1]):
+        order = sorted((hashlib.md5(f"{c}{case}".encode()).hexdigest(), c) for c, t, v in cand if t == tp and v is not None and 0.5 * pl <= v <= 2 * pl)
+        take = [c for _, c in order if c not in used][:3]
+        used |= set(take)
+        want += [(case, p, c, k + 1) for k, c in enumerate(take)]
+    positives = spark.createDataFrame(pos, "case int, cnpj string, tp string, pl double")
+    candidates = spark.createDataFrame(cand, "cnpj string, tp string, pl double")
+    assert rows(B.matched_without_reuse(positives, candidates)) == sorted(want, key=repr)
+    reuse = rows(B.matched_controls(positives, candidates))
+    assert len(reuse) >= len(want) and {r[:2] for r in reuse} >= {r[:2] for r in want}
