@@ -240,14 +240,15 @@ def _spans_of(k: list[bytes], text: np.ndarray, start: np.ndarray) -> pa.RecordB
 
 
 def _strings(ends: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Step 3: of texts with runs (k, text, runs), the string starts (k, a, b) whose string is in another run too."""
+    """Step 3: of texts with runs (k, doc_id, text, runs), the string starts (k, a, b) whose string is in another run
+    too."""
     schema = "bucket int, k binary, a int, b int, ks array<binary>, hashes binary, texts binary, starts binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, blobs in slices(batches, "text", 1 << 20):
             seen, ks, runs, texts = set(), [], [], []
-            for k, t, rs in zip(part.column(0).to_pylist(), blobs, part.column(2).to_pylist(), strict=True):
+            for k, t, rs in zip(part.column(0).to_pylist(), blobs, part.column(3).to_pylist(), strict=True):
                 if rs and k not in seen:
                     seen.add(k)
                     runs += [(len(ks), r["p"], r["a"], r["b"]) for r in rs]
@@ -263,7 +264,7 @@ def _strings(ends: DataFrame, length: int, buckets: int) -> DataFrame:
             twice = np.flatnonzero((count >= 2)[inverse])
             here = _spans_of(ks, text[twice], start[twice])
             empty = [pa.nulls(here.num_rows, t) for t in (pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.nulls(here.num_rows, pa.int32()), *here.columns, *empty], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(here.num_rows, dtype=np.int32) % buckets, pa.int32()), *here.columns, *empty], names=names)
             own = (unique % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(own, kind="stable")
             cuts = np.flatnonzero(np.concatenate(([True], own[order][1:] != own[order][:-1])))
@@ -278,9 +279,16 @@ def _strings(ends: DataFrame, length: int, buckets: int) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, group in whole_groups(batches, ["bucket"], 2048):
-            for g in range(int(group[-1]) + 1):
-                own = table.slice(int(np.searchsorted(group, g)), int((group == g).sum()))
-                ks, shift, texts = [], [], []
+            cuts = np.searchsorted(group, np.arange(int(group[-1]) + 2))
+            for x, y in zip(cuts, cuts[1:]):
+                own = table.slice(int(x), int(y - x))
+                done = own.filter(own.column("k").is_valid())  # settled where they were found
+                for b in done.select(["k", "a", "b"]).combine_chunks().to_batches():
+                    yield b
+                own = own.filter(own.column("k").is_null())
+                if not len(own):
+                    continue
+                ks, texts = [], []
                 for k, t in zip(own.column("ks").to_pylist(), own.column("texts").to_pylist()):
                     texts.append(np.frombuffer(t, dtype=np.int32).astype(np.int64) + len(ks))
                     ks += k
@@ -293,11 +301,8 @@ def _strings(ends: DataFrame, length: int, buckets: int) -> DataFrame:
                 marked[order] = np.concatenate((same, [False])) | np.concatenate(([False], same))
                 yield _spans_of(ks, text[marked], start[marked])
 
-    cols = "k binary, a int, b int"
-    sent = cut(ends.mapInArrow(fetch, schema), "strings")
-    met = sent.where("bucket IS NOT NULL").select("bucket", "ks", "hashes", "texts", "starts")
-    met = met.repartition(partitions(ends.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, cols)
-    return sent.where("k IS NOT NULL").select("k", "a", "b").union(met)
+    sent = ends.mapInArrow(fetch, schema)
+    return sent.repartition(partitions(ends.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "k binary, a int, b int")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -317,7 +322,7 @@ def spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     n_ends = ends.count()
     ends = ends.groupBy("k").agg(F.collect_set(F.struct("p", "a", "b")).alias("runs"))
     # the same left side as in remove_repeats, so that both joins read one shuffle of the texts
-    held = keyed.join(ends, "k", "left").select("k", "doc_id", "text", "runs").select("k", "text", "runs")
+    held = keyed.join(ends, "k", "left").select("k", "doc_id", "text", "runs")
     marked = _strings(held, length, max(n, n_ends * (length - GRAM) // 2 // (10 * ROWS) + 1))
     every = found.where("whole").select("k", "a", "b").union(marked)
     return every.groupBy("k").agg(F.collect_set(F.struct("a", "b")).alias("at"))
