@@ -6,7 +6,8 @@ order of paragraphs, and a paragraph is inserted or deleted by adding or subtrac
 (``insert``, ``delete``). The first ``EXACT`` lanes are the paragraph's SHAKE-128 output, so that unequal
 multisets of paragraphs have unequal sums but for chance; the other lanes are sums of signed counts, one
 for each pair of neighbouring words of the paragraph, and so still add up, while the cosine of two
-documents' lanes estimates the share of word pairs that they have in common.
+documents' lanes estimates the share of word pairs that they have in common. (Counts add up modulo 2**16 too: a pair
+that stands more than 32,767 times in a text counts as if it stood 65,536 times less.)
 
 Defined results: null text counts as empty (no paragraph: the zero vector); likeness of two zero vectors
 is 1, of one zero vector and another 0; rows with the same doc_id count as separate documents, ordered by

@@ -6,9 +6,9 @@ Rebalancing edits that table: a new version moves some slots and leaves the othe
 follow their slot. The table is kept in the shared folder, a version beside the other.
 
 A record's slot is the hash of its text, so that equal texts share a slot and a shard; a group of copies
-with more than 1 / ``GROUP_SHARE`` of a shard's bytes is spread by doc_id instead. Within a shard, rows are
-numbered without gaps: slots give the offsets, and the numbering inside a slot is over slices of it, so no
-task sees a whole shard.
+with more than 1 / ``GROUP_SHARE`` of a shard's bytes is spread by doc_id and row number instead. Within a shard,
+rows are numbered without gaps: slots give the offsets, and the numbering inside a slot is over slices of it by
+the same two, so no task sees a whole shard, whatever the doc_ids.
 
 Defined results: null text has no bytes and size 1; rows with null or repeated doc_id are rows like any
 other; an empty table gives no rows; other columns are ignored. All of it is DataFrame functions.
@@ -21,15 +21,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import KEY, cut, shared_dir
+from .common import numbered as with_key
 
 SHARDS, SLOTS, GROUP_SHARE, SLICES = 16, 4096, 2, 64
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, size, text_crc32, text_hash) of every document; the text goes no further."""
+    """Rows (doc_id, row, size, text_crc32, text_hash) of every document; the text goes no further."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
+    return with_key(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"{KEY}.row").alias("row"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
 
 
 def virtual_slot(key: Column, slots: int = SLOTS) -> Column:
@@ -42,7 +43,7 @@ def place(rows: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFram
     large = rows.groupBy("text_hash").agg(F.sum("size").alias("bytes")).join(F.broadcast(total)).where(F.col("bytes") * (shards * GROUP_SHARE) > F.col("total")).select("text_hash", F.lit(True).alias("spread"))
     # fewer than shards * GROUP_SHARE rows, as the sums cannot exceed the total
     marked = rows.join(F.broadcast(large), "text_hash", "left")
-    own = F.xxhash64("text_hash", F.when(F.col("spread"), F.col("doc_id")).otherwise(F.lit(0)))
+    own = F.xxhash64("text_hash", F.when(F.col("spread"), F.xxhash64("doc_id", "row")).otherwise(F.lit(0)))
     return marked.withColumn("vslot", virtual_slot(own, slots)).drop("spread")
 
 
@@ -86,14 +87,19 @@ def store(slot_map: DataFrame, folder: str) -> DataFrame:
     return slot_map.sparkSession.read.schema(slot_map.schema).parquet(folder)
 
 
+def latest(slot_map: DataFrame) -> DataFrame:
+    """The last version of a stored map."""
+    return slot_map.join(F.broadcast(slot_map.agg(F.max("version").alias("version"))), "version")
+
+
 def numbered(placed: DataFrame, slot_map: DataFrame) -> DataFrame:
     """Adds shard and slot, the row's number in its shard: from 0, without gaps."""
-    parts = placed.withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.lit(SLICES)).cast("int"))
+    parts = placed.withColumn("slice", F.pmod(F.xxhash64("doc_id", "row", F.lit("slice")), F.lit(SLICES)).cast("int"))
     counts = parts.groupBy("vslot", "slice").count().join(F.broadcast(slot_map.select("vslot", "shard")), "vslot")
     # at most SLOTS * SLICES counts, summed up within each shard
     before = F.sum("count").over(Window.partitionBy("shard").orderBy("vslot", "slice")) - F.col("count")
     offsets = counts.select("vslot", "slice", "shard", before.alias("before"))
-    within = F.row_number().over(Window.partitionBy("vslot", "slice").orderBy("doc_id", "text_hash")) - 1
+    within = F.row_number().over(Window.partitionBy("vslot", "slice").orderBy("doc_id", "text_hash", "row")) - 1
     return parts.withColumn("within", within).join(offsets, ["vslot", "slice"]).withColumn("slot", F.col("before") + F.col("within"))
 
 

@@ -473,6 +473,27 @@ def test_sharding_law(docs, plain):
     assert Counter((r.size, r.text_crc32) for r in got) == texts_
 
 
+def test_sharding_versions_and_a_hot_group_without_ids(spark, tmp_path):
+    rows = [(None, "the same text again and again", i) for i in range(600)] + [(i, f"text {i} " * (i % 7 + 1), i) for i in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(3)
+    got = sharding.shard(d).collect()
+    bytes_ = Counter()
+    for r in got:
+        bytes_[r.shard] += r.size
+    assert len(got) == len(rows) and max(bytes_.values()) < 1.1 * min(bytes_.values())
+    same = {(r.text_crc32, r.size): set() for r in got}
+    for r in got:
+        same[r.text_crc32, r.size].add(r.shard)
+    assert sorted(map(len, same.values()))[-2] == 1  # only the large group is spread
+    sums = sharding.slot_bytes(sharding.place(sharding.sized(d))).cache()
+    kept = sharding.store(sharding.assign(sums), str(tmp_path / "map"))
+    both = sharding.store(sharding.rebalance(kept, sums, 17), str(tmp_path / "map"))
+    new = {r.vslot: r.shard for r in sharding.latest(both).collect()}
+    old = {r.vslot: r.shard for r in both.where("version = 1").collect()}
+    assert {r.version for r in both.collect()} == {1, 2} and new.keys() == old.keys()
+    assert all(new[k] in (old[k], 16) for k in old) and 16 in new.values()
+
+
 def test_fingerprint_is_a_multiset_hash(spark):
     """Equal texts have equal fingerprints, near_next of a copy is 1, of another text below."""
     rows = [(3, "a b c d e f\n" * 20 + "z"), (2, "a b c d e f\n" * 20 + "z"), (1, "p q r s t\n" * 30), (0, None)]
