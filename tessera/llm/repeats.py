@@ -14,8 +14,9 @@ repeat is found:
    leading bytes may go on across a boundary, so those at either end of a bucket count as having other regions beside
    them. A task sends a region that it holds more than once twice at most, so that very common passages stay small.
 3. The few runs at ends of passages fetch their texts again. Of every string that starts in them a hash, with that of
-   its anchor and the distance from it, goes to a bucket of its own hash, so that no passage, however common, is one
-   group; a task settles what it holds twice and sends one of it. Hashes that meet mark their strings.
+   its anchor and the distance from it, goes to a bucket of the anchor's gram, or where ``HOT`` regions or more share that,
+   of its own hash, so that no passage, however common, is one group; a task settles what it holds twice and sends one
+   of it. Hashes that meet mark their strings.
 4. Marked strings are merged into spans per text and cut out.
 
 Defined results: null counts as empty; texts shorter than ``length`` stay whole; matches never cross
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, partitions, slices, whole_groups
 
-LENGTH, GRAM, ROWS = 200, 32, 200_000
+LENGTH, GRAM, ROWS, HOT = 200, 32, 200_000, 1000
 #: Regions that a task remembers having sent.
 SENT = 1_000_000
 _LEAD = ["w0", "w1", "w2", "w3"]
@@ -179,8 +180,8 @@ def _runs(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _compare(bucket: DataFrame) -> DataFrame:
-    """Step 2: rows (k, p, a, b, whole): whole for runs whose strings are all repeated, else a run whose leading
-    bytes occur with unequal regions."""
+    """Step 2: rows (k, p, a, b, whole, hot): whole for runs whose strings are all repeated, else a run whose leading
+    bytes occur with unequal regions; hot if those are many, or may be as they stand at the bucket's end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = [b for b in batches if b.num_rows]
@@ -202,22 +203,23 @@ def _compare(bucket: DataFrame) -> DataFrame:
         whole_run = np.repeat(np.add.reduceat(n[order].astype(np.int64), at) >= 2, np.diff(np.concatenate((at, [len(order)]))))
         # one run of each region where the leading bytes have several; those at the bucket's ends may
         first = np.flatnonzero(new_lead)
-        many = np.add.reduceat(new_region.astype(np.int64), first) >= 2
-        many[[0, -1]] = True
-        several = np.repeat(many, np.diff(np.concatenate((first, [len(order)]))))
-        for mask, flag in ((whole_run, True), (several & new_region, False)):
-            yield from rows(t.take(pa.array(order[mask])), flag)
-
-    def rows(found: pa.Table, flag: bool) -> Iterator[pa.RecordBatch]:
+        regions = np.add.reduceat(new_region.astype(np.int64), first)
+        regions[[0, -1]] = HOT
+        regions = np.repeat(regions, np.diff(np.concatenate((first, [len(order)]))))
+        yield from rows(t.take(pa.array(order[whole_run])), True)
+        for hot in (False, True):
+            yield from rows(t.take(pa.array(order[new_region & (regions >= 2) & ((regions >= HOT) == hot)])), False, hot)
+
+    def rows(found: pa.Table, flag: bool, hot: bool = False) -> Iterator[pa.RecordBatch]:
         for b in found.combine_chunks().to_batches(max_chunksize=20_000):
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("k", "p", "a", "b")] + [pa.array([flag] * b.num_rows)], names=["k", "p", "a", "b", "whole"])
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("k", "p", "a", "b")] + [pa.array([x] * b.num_rows, pa.bool_()) for x in (flag, hot)], names=["k", "p", "a", "b", "whole", "hot"])
 
-    return bucket.mapInArrow(run, "k binary, p int, a int, b int, whole boolean")
+    return bucket.mapInArrow(run, "k binary, p int, a int, b int, whole boolean, hot boolean")
 
 
-def _string_hashes(block: np.ndarray, base: np.ndarray, p: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For runs of texts that start at ``base`` in ``block``: run number and start (in the text) of each string, and a
-    hash of the string, its anchor's place in it and the anchor's gram."""
+def _string_hashes(block: np.ndarray, base: np.ndarray, p: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For runs of texts that start at ``base`` in ``block``: run number and start (in the text) of each string, a
+    hash of the string, its anchor's place in it and the anchor's gram, and one of the gram."""
     count = (b - a + 1).astype(np.int64)
     row = np.repeat(np.arange(len(a)), count)
     offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
@@ -227,7 +229,7 @@ def _string_hashes(block: np.ndarray, base: np.ndarray, p: np.ndarray, a: np.nda
     acc = np.concatenate((np.zeros(1, np.uint64), np.cumsum((block.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)))
     h = _mix((acc[s + length] - acc[s]) * inverse[s])
     gram = _grams(block, GRAM)[base + p][row]
-    return row, a[row] + offset, _mix(h ^ (gram >> np.uint64(1)) ^ ((p[row] - a[row] - offset).astype(np.uint64) << np.uint64(48)))
+    return row, a[row] + offset, gram, _mix(h ^ (gram >> np.uint64(1)) ^ ((p[row] - a[row] - offset).astype(np.uint64) << np.uint64(48)))
 
 
 def _spans_of(k: list[bytes], text: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
@@ -251,21 +253,21 @@ def _strings(ends: DataFrame, length: int, buckets: int) -> DataFrame:
             for k, t, rs in zip(part.column(0).to_pylist(), blobs, part.column(3).to_pylist(), strict=True):
                 if rs and k not in seen:
                     seen.add(k)
-                    runs += [(len(ks), r["p"], r["a"], r["b"]) for r in rs]
+                    runs += [(len(ks), r["p"], r["a"], r["b"], r["hot"]) for r in rs]
                     ks.append(k)
                     texts.append(t)
             if not runs:
                 continue
-            number, p, a, b = np.array(runs, dtype=np.int64).T
+            number, p, a, b, hot = np.array(runs, dtype=np.int64).T
             sizes = np.array([len(t) for t in texts])
-            row, start, h = _string_hashes(np.frombuffer(b"".join(texts), dtype=np.uint8), (np.cumsum(sizes) - sizes)[number], p, a, b, length)
+            row, start, gram, h = _string_hashes(np.frombuffer(b"".join(texts), dtype=np.uint8), (np.cumsum(sizes) - sizes)[number], p, a, b, length)
             text = number[row]
             unique, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
             twice = np.flatnonzero((count >= 2)[inverse])
             here = _spans_of(ks, text[twice], start[twice])
             empty = [pa.nulls(here.num_rows, t) for t in (pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(here.num_rows, dtype=np.int32) % buckets, pa.int32()), *here.columns, *empty], names=names)
-            own = (unique % np.uint64(buckets)).astype(np.int64)
+            own = (np.where(hot[row[first]] > 0, unique, gram[first]) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(own, kind="stable")
             cuts = np.flatnonzero(np.concatenate(([True], own[order][1:] != own[order][:-1])))
             out = []
@@ -320,7 +322,7 @@ def spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     found = cut(_compare(bucket), "repeats")
     ends = found.where("not whole")
     n_ends = ends.count()
-    ends = ends.groupBy("k").agg(F.collect_set(F.struct("p", "a", "b")).alias("runs"))
+    ends = ends.groupBy("k").agg(F.collect_set(F.struct("p", "a", "b", "hot")).alias("runs"))
     # the same left side as in remove_repeats, so that both joins read one shuffle of the texts
     held = keyed.join(ends, "k", "left").select("k", "doc_id", "text", "runs")
     marked = _strings(held, length, max(n, n_ends * (length - GRAM) // 2 // (10 * ROWS) + 1))

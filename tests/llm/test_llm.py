@@ -216,6 +216,7 @@ def test_repeats_of_common_passages(spark, monkeypatch, rows):
     """A line in every text with other words around it, passages just over and under 200 bytes, copies, over buckets
     so small that leading bytes go on across their ends."""
     monkeypatch.setattr(repeats, "ROWS", rows)
+    monkeypatch.setattr(repeats, "HOT", 1000 if rows > 7 else 3)
     rng = random.Random(rows)
 
     def fresh(n):
