@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, codes, embeddings, fingerprints, hard_negatives, language, mixing, pii, repeats, scoring, sharding, simhash
+from . import bpe, codes, embeddings, extraction, fingerprints, hard_negatives, language, mixing, pii, repeats, scoring, sharding, simhash
 from .common import read_table
 
 
@@ -56,12 +56,16 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.codes(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_texts(read_table(spark, sf_dir, "pages"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(hard_negatives.relabelled(read_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_fingerprint, op3_simhash, op4_scoring, op5_sharding, op6_repeats, op7_bpe, op8_language, op9_embeddings, op10_mixing, op11_codes, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_pii, op2_fingerprint, op3_simhash, op4_scoring, op5_sharding, op6_repeats, op7_bpe, op8_language, op9_embeddings, op10_mixing, op11_codes, op12_main_text, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
