@@ -382,14 +382,14 @@ def main_texts(pages: DataFrame) -> DataFrame:
     rows = keyed.select(F.col("key.file").alias("kf"), F.col("key.row").alias("kr"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
     read = cut(rows.mapInArrow(_read, _READ), "pages-read")
     noisy = cut(style_trees(read).where(F.col("importance") < LEAST).select("host", "key"), "noisy")
-    places = read.where("host is not null").select("kf", "kr", "host", F.explode("keys").alias("key"))
-    goes = bounded(noisy)
-    if goes is noisy:  # too many to be broadcast
+    few = bounded(noisy)
+    if few is not noisy:  # each page takes all that go of its host
+        text = read.join(F.broadcast(few.groupBy("host").agg(F.collect_list("key").alias("gone"))), "host", "left")
+    else:  # too many to be broadcast: each page gets its own
         salted = noisy.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hit = places.withColumn("salt", F.pmod(F.xxhash64("kr", "kf"), F.lit(SALTS)).cast("int")).join(salted, ["host", "key", "salt"], "left_semi")
-    else:
-        hit = places.join(goes, ["host", "key"], "left_semi")
-    gone = hit.groupBy("kf", "kr").agg(F.collect_set("key").alias("gone"))  # at most a page's own nodes
-    text = read.join(gone, ["kf", "kr"], "left").select("page_id", "url", "texts", "at", "keys", "ups", "inside", "gone")
+        places = read.where("host is not null").select("kf", "kr", "host", F.explode("keys").alias("key"), F.pmod(F.xxhash64("kr", "kf"), F.lit(SALTS)).cast("int").alias("salt"))
+        gone = places.join(salted, ["host", "key", "salt"], "left_semi").groupBy("kf", "kr").agg(F.collect_set("key").alias("gone"))
+        text = read.join(gone, ["kf", "kr"], "left")
+    text = text.select("page_id", "url", "texts", "at", "keys", "ups", "inside", "gone")
     out = text.mapInArrow(_written, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -25,7 +25,10 @@ def texts_of(spark, rows):
     return {r.page_id: r for r in extraction.main_texts(df).collect()}
 
 
-def test_site_without_marks(spark):
+@pytest.mark.parametrize("many", [False, True])
+def test_site_without_marks(spark, monkeypatch, many):
+    if many:  # nodes that go are not broadcast
+        monkeypatch.setattr(extraction, "bounded", lambda df: df)
     rng = random.Random(3)
     rows, want = [], {}
     for i in range(30):
