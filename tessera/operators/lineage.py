@@ -1,17 +1,15 @@
-"""Cutting lineage for operators that go round until they settle."""
+"""Cutting lineage for operators that go round until they settle, and the folder for what they write."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes a table to the folder of spark.checkpoint.dir (on a local master a folder of its own, if that is unset)
-    and reads it again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; on a local master a folder of its own, if that is unset."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
@@ -19,6 +17,12 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         folder = context.getCheckpointDir()
-    path = f"{folder}/cut-{uuid.uuid4().hex}"
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes a table to the shared folder and reads it again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

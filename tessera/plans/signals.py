@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import signals as S
 from ..operators import timeseries as T
+from ..operators.lineage import cut
 from ..sources.analogue import CUTOFF, GRID_FROM, Reports
 from .register import plan
 
@@ -56,8 +57,8 @@ _OWN = {"sg_max": "greatest(seg1, seg2, seg3, seg4, seg5, seg6, seg7)", "sg_sum"
 _OWN_SQL = ", ".join(f"{e} AS {n}" for n, e in _OWN.items())
 
 
-def _wide(r: Reports) -> DataFrame:
-    own = F.col("dt").between(F.lit(GRID_FROM).cast("date"), F.lit(CUTOFF).cast("date"))
+def _wide(r: Reports, cutoff: str = CUTOFF) -> DataFrame:
+    own = F.col("dt").between(F.lit(GRID_FROM).cast("date"), F.lit(cutoff).cast("date"))
     lines, late = r.lines.where(own), r.late.where(own)
     grid = T.interior_gaps(T.densify(r.sane.where(own).select("cnpj", "dt", "pl"), lines.select("dt").distinct()))
     ced = r.assignors.where(own).groupBy("cnpj", "dt").agg(F.max("pr").alias("pr_max"), F.sum(F.col("pr") * F.col("pr")).alias("hhi_ced"), F.sum("pr").alias("pr_sum"), F.count("*").alias("n_ced"), F.count_if(F.col("pr") > 60).alias("n_bad"), F.max(F.when(F.col("val") % 7 < 1, F.col("pr"))).alias("pr_person"))
@@ -116,9 +117,14 @@ def _long(r: Reports) -> DataFrame:
     return S.long_form(_wide(r), _IDS)
 
 
-def fired_signals(r: Reports) -> DataFrame:
-    wide = _wide(r).persist()  # read for the limits and for what they are held against
-    return S.fired(S.long_form(wide, _IDS), S.thresholds(wide, _IDS, CUTOFF), _IDS)
+def fired_signals(r: Reports, cutoff: str = CUTOFF) -> DataFrame:
+    wide = cut(_wide(r, cutoff))  # read for the limits and for what they are held against
+    return S.fired(S.long_form(wide, _IDS), S.thresholds(wide, _IDS, cutoff), _IDS)
+
+
+def active_signals(r: Reports, cutoff: str = CUTOFF) -> DataFrame:
+    """What an edition publishes: (id, cnpj, streak) of the signals that fire at its cutoff."""
+    return S.settled(fired_signals(r, cutoff), cutoff).where("fired").select("id", "cnpj", "streak")
 
 
 def _at(df: DataFrame) -> DataFrame:
@@ -145,10 +151,20 @@ def signal_catalog_stats(r: Reports) -> DataFrame:
     return g.agg(F.count_if("grp").alias("n_group"), F.count("*").alias("n_universe"), F.count_if("evaluable").alias("n_evaluable"), F.count_if(F.col("evaluable") & F.col("material")).alias("n_material"), F.round(100.0 * F.count_if("evaluable") / F.count("*"), 2).alias("coverage"))
 
 
-@plan(WIDE_SQL + f" SELECT id, cnpj, streak, streak>=months AS persistent FROM fi JOIN st USING (cnpj, id) JOIN ids USING (id) WHERE dt='{CUTOFF}' AND fired")
+#: Up to the firings, without what only the scores need; then each signal's months since its last stop.
+_FIRED_SQL = WIDE_SQL[: WIDE_SQL.index("st0 AS (")].rstrip().removesuffix(",")
+ACTIVE_SQL = f"(SELECT id, cnpj, count(*) FILTER (stop IS NULL OR dt>stop) AS streak FROM (SELECT id, cnpj, dt, fired, max(dt) FILTER (NOT fired) OVER (PARTITION BY cnpj, id) AS stop FROM fi) GROUP BY 1,2 HAVING bool_or(fired) FILTER (dt='{CUTOFF}'))"
+
+
+@plan(_FIRED_SQL + f" SELECT id, cnpj, streak, streak>=months AS persistent FROM {ACTIVE_SQL} JOIN ids USING (id)")
 def signals_fired(r: Reports) -> DataFrame:
     months = F.create_map(*[x for s in _IDS for x in (F.lit(s.id), F.lit(s.months))])
-    return S.settled(fired_signals(r), CUTOFF).where("fired").select("id", "cnpj", "streak", (F.col("streak") >= months[F.col("id")]).alias("persistent"))
+    return active_signals(r).withColumn("persistent", F.col("streak") >= months[F.col("id")])
+
+
+def edition_sql(cutoff: str) -> str:
+    """The signals active in the edition of another cutoff, as a subquery with CTEs of its own."""
+    return f"(WITH {_FIRED_SQL.removeprefix('@')} SELECT * FROM {ACTIVE_SQL})".replace(f"'{CUTOFF}'", f"'{cutoff}'")
 
 
 @plan(WIDE_SQL + " SELECT cnpj, score, coverage, n_fired FROM sc")
