@@ -10,22 +10,21 @@ from pyspark.sql import functions as F
 
 from ..operators import panel as P
 from ..operators import signals as S
+from ..operators import snapshots as V
 from ..operators import timeseries as T
-from ..sources.analogue import CUTOFF, M12, M36, M60, Reports
+from ..operators.lineage import cut
+from ..sources.analogue import AFTER, BEFORE, CUTOFF, M3, M6, M12, M24, M36, M60, Reports
 from . import signals
 from .market import DEBTORS_SQL, INDEX_SQL as _INDEX, debtor_metrics, price_levels as _index
 from .panel import FLOWS_SQL, MANAGERS_SQL, flows, managers
 from .register import plan
 
 
-#: Months beside the cutoff.
-BEFORE, AFTER, M3, M6, M24 = "2001-05-31", "2001-07-31", "2001-03-31", "2000-12-31", "1999-06-30"
-
-
 @dataclass(frozen=True)
 class Source:
-    """A table that indicators are taken from: as SQL (extra CTEs, then what follows FROM), as a DataFrame, and the
-    expressions over it, the same text for both. Each indicator: unit, status, expression."""
+    """A table that indicators are taken from: as SQL (extra CTEs, then what follows FROM), as a DataFrame (of the reports of
+    the cutoff's month, or of all where it looks at others), and the expressions over it, the same text for both. Each
+    indicator: unit, status, expression."""
 
     ctes: str
     table: str
@@ -128,13 +127,28 @@ SOURCES = {
         {"rj_vinculos": ("un", "inferred", "count(DISTINCT ced)"), "rj_exposicao": ("brl", "estimated", "sum(pr / 100 * v_tot)"), "rj_casos": ("un", "inferred", "count(DISTINCT CASE WHEN pr >= 20 THEN ced END)")},
     ),
 }
-#: What the signal engine publishes; "closed" needs a kept snapshot of the run before, so it is NULL.
-ENGINE = {
-    "mudou_sinais_novos": ("un", "calculated", "count(*) FILTER (WHERE streak = 1)"), "mudou_sinais_persistentes": ("un", "calculated", "count(*) FILTER (WHERE streak > 1)"), "mudou_sinais_encerrados": ("un", "calculated", "cast(NULL AS double)"),
-}
+#: Sources that look at other months than the cutoff's.
+_ALL_MONTHS = ("months", "flows", "presence", "processes")
+#: What the signal engine publishes: of the signals active now, and of those of the edition before.
+ENGINE = {"mudou_sinais_novos": ("un", "calculated", "count(*) FILTER (WHERE streak_now = 1)"), "mudou_sinais_persistentes": ("un", "calculated", "count(*) FILTER (WHERE streak_now > 1)"), "mudou_sinais_encerrados": ("un", "calculated", "count(*) FILTER (WHERE state = 'closed')")}
 BANDS = {"rf_nao_classificavel": ("un", "calculated", "count(*) FILTER (WHERE coverage < 50 OR score IS NULL)"), "rf_atencao_alta": ("un", "calculated", "count(*) FILTER (WHERE band = 'high')"), "rf_sem_sinal": ("un", "calculated", "count(*) FILTER (WHERE coverage >= 50 AND score = 0)"), "rf_n_sinais": ("un", "observed", "max(n_signals)")}
 
 
+class Edition:
+    """What the indicators and their verifiers read, each table written once: the panel, the cutoff's month alone, and the
+    snapshots of the edition before and of this one."""
+
+    def __init__(self, r: Reports):
+        r.__dict__["sane"] = cut(r.sane)
+        self.all, self.month = r, r.only(CUTOFF)
+        self.before, self.now = signals.snapshots(r, BEFORE, CUTOFF)
+
+    def bands(self) -> DataFrame:
+        """Vehicles with their score and band."""
+        settled = S.settled(signals.fired_signals(self.all), CUTOFF)
+        return S.bands(S.score(settled, S.SIGNALS)).withColumn("n_signals", F.lit(len(S.SIGNALS)))
+
+
 def _stacked(df: DataFrame, found: dict[str, tuple[str, str, str]]) -> DataFrame:
     """A row for each indicator from one aggregation."""
     row = df.agg(*[F.round(F.expr(e).cast("double"), 6).alias(k) for k, (*_, e) in found.items()])
@@ -150,20 +164,13 @@ def _stacked_sql(table: str, found: dict[str, tuple[str, str, str]]) -> str:
     return f"SELECT {names} AS indicator, {units} AS unit, {states} AS status, {several(f'round(cast({e} AS double),6)' for *_, e in found.values())} AS value FROM {table}"
 
 
-def _engine(r: Reports) -> tuple[DataFrame, DataFrame]:
-    """Signals fired at the cutoff with their streaks, and vehicles with their band."""
-    now = S.settled(signals.fired_signals(r), CUTOFF).persist()
-    return now.where("fired").select("streak"), S.bands(S.score(now, S.SIGNALS)).withColumn("n_signals", F.lit(len(S.SIGNALS)))
-
-
 _BANDED = f"(SELECT sc.*, {len(S.SIGNALS)} AS n_signals, CASE WHEN coverage<50 OR score IS NULL THEN 'not classifiable' WHEN score>=p99 AND score>0 THEN 'high' WHEN score>=p90 AND score>0 THEN 'medium' WHEN score>0 THEN 'low' ELSE 'none' END AS band FROM sc CROSS JOIN (SELECT quantile_cont(score,0.9) AS p90, quantile_cont(score,0.99) AS p99 FROM sc WHERE coverage>=50 AND score>0))"
-_IND = signals.WIDE_SQL + "".join(f", {s.ctes}" for s in SOURCES.values() if s.ctes) + ", ind AS MATERIALIZED (" + " UNION ALL ".join([*[_stacked_sql(s.table, s.indicators) for s in SOURCES.values()], _stacked_sql(f"(SELECT streak FROM fi JOIN st USING (cnpj, id) WHERE dt='{CUTOFF}' AND fired)", ENGINE), _stacked_sql(_BANDED, BANDS)]) + ")"
+_IND = signals.WIDE_SQL + "".join(f", {s.ctes}" for s in SOURCES.values() if s.ctes) + ", ind AS MATERIALIZED (" + " UNION ALL ".join([*[_stacked_sql(s.table, s.indicators) for s in SOURCES.values()], _stacked_sql(f"(SELECT n.streak AS streak_now, CASE WHEN n.id IS NULL THEN 'closed' END AS state FROM {signals.edition_sql(BEFORE)} b FULL JOIN {signals.ACTIVE_SQL} n ON b.id=n.id AND b.cnpj=n.cnpj)", ENGINE), _stacked_sql(_BANDED, BANDS)]) + ")"
 
 
-def _indicators(r: Reports) -> DataFrame:
-    r.keep("sane", "assets", "assignors", "debtors")
-    fired, banded = _engine(r)
-    parts = [_stacked(s.frame(r), s.indicators) for s in SOURCES.values()] + [_stacked(fired, ENGINE), _stacked(banded, BANDS)]
+def _indicators(e: Edition) -> DataFrame:
+    parts = [_stacked(s.frame(e.all if name in _ALL_MONTHS else e.month), s.indicators) for name, s in SOURCES.items()]
+    parts += [_stacked(V.compared(e.before, e.now, ["id", "cnpj"]), ENGINE), _stacked(e.bands(), BANDS)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -173,63 +180,7 @@ def _indicators(r: Reports) -> DataFrame:
 @plan(_IND + " SELECT indicator, unit, status, value FROM ind")
 def indicator_registry(r: Reports) -> DataFrame:
     """The 47 published indicators."""
-    return _indicators(r)
-
-
-#: The same figures by another way: from the lines and orders themselves, by set operations, or by joins of two months.
-AGAIN_SQL = f"""al AS (SELECT l.*, s.tp AS own, ship - cast(o_orderdate AS date) AS late FROM lines l JOIN sane s ON l.cnpj=s.cnpj AND l.dt=s.dt JOIN orders ON l_orderkey=o_orderkey WHERE l.dt='{CUTOFF}'),
-am AS (SELECT dt, sum(pl) AS pl FROM sane GROUP BY 1), now_ AS (SELECT cnpj, pl FROM sane WHERE dt='{CUTOFF}'), was_ AS (SELECT cnpj, pl FROM sane WHERE dt='{BEFORE}'), next_ AS (SELECT cnpj, pl FROM sane WHERE dt='{AFTER}')"""
-
-
-def _again(r: Reports) -> DataFrame:
-    """(indicator, again)."""
-    at = {"pl_total": "sum(v) FILTER (WHERE tp = own)", "n_veiculos": "count(DISTINCT cnpj)", "circularidade": "sum(v) FILTER (WHERE ln BETWEEN 5 AND 6)", "pl_liquido": "sum(v) FILTER (WHERE tp = own) - sum(v) FILTER (WHERE ln BETWEEN 5 AND 6)", "dc_total": "sum(v)", "dc_sem_risco": "sum(v) FILTER (WHERE flag = 'R')", "aquisicoes_mes": "sum(v) FILTER (WHERE flag = 'A' AND ln >= 3)", "inadimplencia": "sum(v) FILTER (WHERE late > 0) / nullif(sum(v), 0)", "atraso_180": "sum(v) FILTER (WHERE late > 360) / nullif(sum(v), 0)", "provisionamento": "sum(v) FILTER (WHERE late BETWEEN 1 AND 90) / nullif(sum(v) FILTER (WHERE late > 0), 0)", "subordinacao": "sum(v) FILTER (WHERE flag IN ('A', 'R')) / nullif(sum(v), 0)", "serie_senior": "sum(v) FILTER (WHERE flag = 'N')", "serie_mezanino": "sum(v) FILTER (WHERE flag = 'A')", "serie_subordinada": "sum(v) FILTER (WHERE flag = 'R')", "veiculos_com_garantia": "count(DISTINCT CASE WHEN flag = 'R' THEN cnpj END)", "detido_fundos": "sum(v)", "emissor_ligado": "sum(v) FILTER (WHERE ln % 3 = 0)"}
-    lines = _cut(r.late).join(_cut(r.sane).select("cnpj", F.col("tp").alias("own")), "cnpj")
-    parts = [_stacked(lines, {k: ("", "", e) for k, e in at.items()})]
-    months = r.sane.groupBy("dt").agg(F.sum("pl").alias("pl"))
-    now = _cut(months).select(F.col("pl").alias("now"))
-    then = months.where(F.col("dt").isin(*[F.lit(d).cast("date") for d in _THEN])).crossJoin(F.broadcast(now))
-    name = F.create_map(*[x for d, n in _THEN.items() for x in (F.lit(d), F.lit(n))])[F.date_format("dt", "yyyy-MM-dd")]
-    parts.append(then.select(name.alias("indicator"), F.lit("").alias("unit"), F.lit("").alias("status"), F.round(F.col("now") / F.col("pl") - 1, 6).alias("value")))
-    a, b, c = (_cut(r.sane, d).select("cnpj", "pl") for d in (CUTOFF, BEFORE, AFTER))
-    ids = [x.select("cnpj") for x in (a, b, c)]
-
-    def one(k: str, df: DataFrame, value: Column) -> DataFrame:
-        return df.agg(F.lit(k).alias("indicator"), F.lit("").alias("unit"), F.lit("").alias("status"), F.round(value.cast("double"), 6).alias("value"))
-
-    n = F.count("*")
-    parts += [one("mudou_entrantes", ids[0].subtract(ids[1]), n), one("mudou_saintes", ids[1].subtract(ids[0]), n), one("jul_ausentes", ids[0].subtract(ids[2]), n), one("jul_pl_ausente", a.join(c, "cnpj", "left_anti"), F.sum("pl"))]
-    both = a.join(c.withColumnRenamed("pl", "later"), "cnpj")
-    parts.append(one("jul_same_store", both, F.sum("later") / F.nullif(F.sum("pl"), F.lit(0.0)) - 1))
-    parts.append(one("rj_processos", r.table("orders").groupBy("o_orderpriority").count().where("o_orderpriority = '1-URGENT'"), F.sum("count")))
-    parts.append(one("posicoes_cotistas", _cut(r.debtors).join(a, "cnpj", "left_semi"), n))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("indicator", F.col("value").alias("again"))
-
-
-_THEN = {BEFORE: "var_1m", M3: "var_3m", M6: "var_6m", M12: "var_12m", M24: "var_24m"}
-_AGAIN = AGAIN_SQL + """, again AS (SELECT unnest(['pl_total','n_veiculos','circularidade','pl_liquido','dc_total','dc_sem_risco','aquisicoes_mes','inadimplencia','atraso_180','provisionamento','subordinacao','serie_senior','serie_mezanino','serie_subordinada','veiculos_com_garantia','detido_fundos','emissor_ligado']) AS indicator,
- unnest([sum(v) FILTER (tp=own), count(DISTINCT cnpj), sum(v) FILTER (ln BETWEEN 5 AND 6), sum(v) FILTER (tp=own)-sum(v) FILTER (ln BETWEEN 5 AND 6), sum(v), sum(v) FILTER (flag='R'), sum(v) FILTER (flag='A' AND ln>=3), sum(v) FILTER (late>0)/nullif(sum(v),0), sum(v) FILTER (late>360)/nullif(sum(v),0), sum(v) FILTER (late BETWEEN 1 AND 90)/nullif(sum(v) FILTER (late>0),0), sum(v) FILTER (flag IN ('A','R'))/nullif(sum(v),0), sum(v) FILTER (flag='N'), sum(v) FILTER (flag='A'), sum(v) FILTER (flag='R'), count(DISTINCT CASE WHEN flag='R' THEN cnpj END), sum(v), sum(v) FILTER (ln%3=0)]) AS again FROM al
- UNION ALL SELECT CASE dt """ + " ".join(f"WHEN DATE '{d}' THEN '{n}'" for d, n in _THEN.items()) + f""" END, round((SELECT pl FROM am WHERE dt='{CUTOFF}')/pl-1,6) FROM am WHERE dt IN ({", ".join(f"'{d}'" for d in _THEN)})
- UNION ALL SELECT 'mudou_entrantes', count(*) FROM (SELECT cnpj FROM now_ EXCEPT SELECT cnpj FROM was_) UNION ALL SELECT 'mudou_saintes', count(*) FROM (SELECT cnpj FROM was_ EXCEPT SELECT cnpj FROM now_) UNION ALL SELECT 'jul_ausentes', count(*) FROM (SELECT cnpj FROM now_ EXCEPT SELECT cnpj FROM next_)
- UNION ALL SELECT 'jul_pl_ausente', sum(pl) FROM now_ WHERE cnpj NOT IN (SELECT cnpj FROM next_) UNION ALL SELECT 'jul_same_store', round(sum(n.pl)/nullif(sum(a.pl),0)-1,6) FROM now_ a JOIN next_ n USING (cnpj)
- UNION ALL SELECT 'rj_processos', count(*) FROM orders WHERE o_orderpriority='1-URGENT' UNION ALL SELECT 'posicoes_cotistas', count(*) FROM debtors WHERE dt='{CUTOFF}' AND cnpj IN (SELECT cnpj FROM now_))"""
-
-
-def _gated(published: DataFrame, again: DataFrame) -> DataFrame:
-    """OK where the second figure is within a thousandth of the first, or both are NULL; FAIL where it is not; an
-    indicator without a second figure is said to be so."""
-    j = published.join(again.withColumn("seen", F.lit(True)), "indicator", "left")
-    close = F.expr("abs(value - again) <= 0.001 * greatest(abs(value), abs(again))")
-    status = F.when(F.col("seen").isNull(), "NO VERIFIER").when(F.col("value").isNull() & F.col("again").isNull(), "OK").when(F.coalesce(close, F.lit(False)), "OK").otherwise("FAIL")
-    return j.select("indicator", status.alias("status"))
-
-
-@plan(_IND + ", " + _AGAIN + " SELECT indicator, CASE WHEN seen IS NULL THEN 'NO VERIFIER' WHEN value IS NULL AND again IS NULL THEN 'OK' WHEN coalesce(abs(value-again)<=0.001*greatest(abs(value),abs(again)),false) THEN 'OK' ELSE 'FAIL' END AS status FROM ind LEFT JOIN (SELECT *, true AS seen FROM again) USING (indicator)")
-def formula_gate(r: Reports) -> DataFrame:
-    return _gated(_indicators(r).select("indicator", "value"), _again(r))
+    return _indicators(Edition(r))
 
 
 #: The audit: a test's name, what it measures, and the condition under which it passes (else it warns or fails).
@@ -293,7 +244,7 @@ _KEYS = [k for s in SOURCES.values() for k in s.indicators] + [*ENGINE, *BANDS]
 @plan(_IND + ", wide_ind AS (SELECT " + ", ".join(f"max(value) FILTER (indicator='{k}') AS {k}" for k in _KEYS) + " FROM ind) SELECT claim, subject, value, holds FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS claim, '{c}' AS subject, {c} AS value, coalesce({e},false) AS holds FROM wide_ind" for k, (c, e) in _CLAIMS.items()) + ")")
 def evidence_book(r: Reports) -> DataFrame:
     """Each claim with its figure and whether it holds among the other indicators."""
-    wide = _indicators(r).groupBy().pivot("indicator", _KEYS).agg(F.max("value"))
+    wide = _indicators(Edition(r)).groupBy().pivot("indicator", _KEYS).agg(F.max("value"))
     each = [F.struct(F.lit(k).alias("claim"), F.lit(c).alias("subject"), F.col(c).alias("value"), F.coalesce(F.expr(e), F.lit(False)).alias("holds")) for k, (c, e) in _CLAIMS.items()]
     return wide.select(F.explode(F.array(*each)).alias("x")).select("x.*")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.analogue import Reports
-from . import backtest, catalog, evidence, flags, market, panel, release, series, signals  # noqa: F401  they register their plans
+from . import backtest, catalog, evidence, flags, market, panel, release, series, signals, verifiers  # noqa: F401  they register their plans
 from .register import PLANS
 
 

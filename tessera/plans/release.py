@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import panel as P
 from ..operators import release as L
 from ..operators import snapshots as V
-from ..operators.lineage import shared_folder
-from ..sources.analogue import CUTOFF, OUTLIER_FLOOR, OUTLIER_TIMES, Reports
+from ..sources.analogue import BEFORE, CUTOFF, OUTLIER_FLOOR, OUTLIER_TIMES, Reports
 from . import signals
-from .evidence import BEFORE
 from .register import plan
 
 
@@ -107,19 +103,8 @@ def release_stopped(r: Reports) -> DataFrame:
     return _manifest(r, stages(r, least_balance=True))
 
 
-_SIGNALS = "id string, cnpj string, streak long"
-
-
-def editions(r: Reports, *cutoffs: str) -> tuple[DataFrame, DataFrame]:
-    """The active signals of the editions at the cutoffs, each stored as a snapshot, and of these the latest two."""
-    folder = f"{shared_folder(r.spark)}/snapshots-{uuid.uuid4().hex}"
-    for cutoff in cutoffs:
-        V.append(signals.active_signals(r, cutoff), folder, cutoff)
-    return V.latest_two(r.spark, folder, _SIGNALS)
-
-
 @plan(f"SELECT coalesce(n.id, b.id) AS id, coalesce(n.cnpj, b.cnpj) AS cnpj, CASE WHEN b.id IS NULL THEN 'new' WHEN n.id IS NULL THEN 'closed' ELSE 'persisting' END AS state, b.streak AS streak_before, n.streak AS streak_now FROM {signals.edition_sql(BEFORE)} b FULL JOIN {signals.edition_sql(CUTOFF)} n ON b.id=n.id AND b.cnpj=n.cnpj")
 def closed_signals(r: Reports) -> DataFrame:
     """Signals of the edition before and of this one: new, persisting or closed."""
-    before, now = editions(r, BEFORE, CUTOFF)
+    before, now = signals.snapshots(r, BEFORE, CUTOFF)
     return V.compared(before, now, ["id", "cnpj"])

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import signals as S
+from ..operators import snapshots as V
 from ..operators import timeseries as T
-from ..operators.lineage import cut
+from ..operators.lineage import cut, shared_folder
 from ..sources.analogue import CUTOFF, GRID_FROM, Reports
 from .register import plan
 
@@ -57,18 +60,32 @@ _OWN = {"sg_max": "greatest(seg1, seg2, seg3, seg4, seg5, seg6, seg7)", "sg_sum"
 _OWN_SQL = ", ".join(f"{e} AS {n}" for n, e in _OWN.items())
 
 
-def _wide(r: Reports, cutoff: str = CUTOFF) -> DataFrame:
-    own = F.col("dt").between(F.lit(GRID_FROM).cast("date"), F.lit(cutoff).cast("date"))
+def _facts(r: Reports) -> DataFrame:
+    """What a vehicle's reports of a month say, from the grid's first month on; every edition takes its months from it."""
+    if "facts" in r.__dict__:
+        return r.__dict__["facts"]
+    own = F.col("dt") >= F.lit(GRID_FROM).cast("date")
+    own = own & (F.col("dt") <= F.lit(CUTOFF).cast("date"))
     lines, late = r.lines.where(own), r.late.where(own)
-    grid = T.interior_gaps(T.densify(r.sane.where(own).select("cnpj", "dt", "pl"), lines.select("dt").distinct()))
     ced = r.assignors.where(own).groupBy("cnpj", "dt").agg(F.max("pr").alias("pr_max"), F.sum(F.col("pr") * F.col("pr")).alias("hhi_ced"), F.sum("pr").alias("pr_sum"), F.count("*").alias("n_ced"), F.count_if(F.col("pr") > 60).alias("n_bad"), F.max(F.when(F.col("val") % 7 < 1, F.col("pr"))).alias("pr_person"))
     # amounts overdue and the number of listed debtors from one shuffle of the lines with their orders
     debts = late.groupBy("cnpj", "dt", "deb").agg(*[F.sum(x).alias(n) for n, x in r.bands().items()])
     debts = debts.groupBy("cnpj", "dt").agg(*[F.round(F.sum(n), 2).alias(n) for n in r.bands()], F.least(F.count("*"), F.lit(25)).alias("n_hold"))
     tabs = lines.groupBy("cnpj", "dt").agg(*[x.alias(n) for n, x in r.amounts().items()], *[F.expr(e).alias(n) for n, e in _TABS.items()])
-    j = grid
-    for t in (tabs, debts, ced):
-        j = j.join(t, ["cnpj", "dt"], "left")
+    return tabs.join(debts, ["cnpj", "dt"], "left").join(ced, ["cnpj", "dt"], "left")
+
+
+def editions_of(r: Reports) -> Reports:
+    """The reports with the engine's facts written once, for several editions."""
+    r.__dict__.setdefault("facts", cut(_facts(r)))
+    return r
+
+
+def _wide(r: Reports, cutoff: str = CUTOFF) -> DataFrame:
+    own = F.col("dt").between(F.lit(GRID_FROM).cast("date"), F.lit(cutoff).cast("date"))
+    facts = _facts(r).where(own)
+    grid = T.interior_gaps(T.densify(r.sane.where(own).select("cnpj", "dt", "pl"), facts.select("dt").distinct()))
+    j = grid.join(facts, ["cnpj", "dt"], "left")
     j = j.join(r.registry.select("cnpj", *[F.expr(e).alias(n) for n, e in _ROLES.items()]), "cnpj", "left")
     j = T.stagnation(j.withColumns({n: F.expr(e) for n, e in _OWN.items()}), "lots")
     z = F.lit(0.0)
@@ -117,8 +134,16 @@ def _long(r: Reports) -> DataFrame:
     return S.long_form(_wide(r), _IDS)
 
 
+def kept_wide(r: Reports, cutoff: str = CUTOFF) -> DataFrame:
+    """The edition's months, written once: read for the limits and for what they are held against."""
+    kept = r.__dict__.setdefault("kept_wide", {})
+    if cutoff not in kept:
+        kept[cutoff] = cut(_wide(r, cutoff))
+    return kept[cutoff]
+
+
 def fired_signals(r: Reports, cutoff: str = CUTOFF) -> DataFrame:
-    wide = cut(_wide(r, cutoff))  # read for the limits and for what they are held against
+    wide = kept_wide(r, cutoff)
     return S.fired(S.long_form(wide, _IDS), S.thresholds(wide, _IDS, cutoff), _IDS)
 
 
@@ -167,6 +192,18 @@ def edition_sql(cutoff: str) -> str:
     return f"(WITH {_FIRED_SQL.removeprefix('@')} SELECT * FROM {ACTIVE_SQL})".replace(f"'{CUTOFF}'", f"'{cutoff}'")
 
 
+_SNAPSHOT = "id string, cnpj string, streak long"
+
+
+def snapshots(r: Reports, *cutoffs: str) -> tuple[DataFrame, DataFrame]:
+    """The active signals of the editions at the cutoffs, each stored as a snapshot, and of these the latest two."""
+    folder = f"{shared_folder(r.spark)}/snapshots-{uuid.uuid4().hex}"
+    editions_of(r)
+    for cutoff in cutoffs:
+        V.append(active_signals(r, cutoff), folder, cutoff)
+    return V.latest_two(r.spark, folder, _SNAPSHOT)
+
+
 @plan(WIDE_SQL + " SELECT cnpj, score, coverage, n_fired FROM sc")
 def score_vehicle(r: Reports) -> DataFrame:
     return _scores(r)

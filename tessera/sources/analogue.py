@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import panel as P
+from ..operators.lineage import cut
 
+#: Months beside the cutoff.
+BEFORE, AFTER, M3, M6, M24 = "2001-05-31", "2001-07-31", "2001-03-31", "2000-12-31", "1999-06-30"
 CUTOFF, M12, M36, M60, PARTIAL = "2001-06-30", "2000-06-30", "1998-06-30", "1996-06-30", "2001-11-30"
 GRID_FROM = "1999-06-30"
 OUTLIER_FLOOR, OUTLIER_TIMES = 1e5, 5.0
@@ -21,12 +24,23 @@ OUTLIER_FLOOR, OUTLIER_TIMES = 1e5, 5.0
 class Reports:
     """Lazily built tables over one folder of Parquet tables."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, month: str | None = None):
+        self.spark, self.folder, self.month = spark, folder, month
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def only(self, month: str) -> Reports:
+        """The reports of one month (its last day) alone, the scan cut to it; lines with their orders are written once. The panel, which
+        looks at the months around, stays that of all."""
+        own = Reports(self.spark, self.folder, month)
+        orders = self._orders().withColumn("has_order", F.lit(True))
+        lines = cut(own.lines.join(orders, "l_orderkey", "left"))
+        own.__dict__["lines"] = lines.drop("ordered", "deb", "has_order")
+        own.__dict__["late"] = lines.where("has_order").withColumn("late", F.datediff("ship", "ordered")).drop("has_order")
+        own.__dict__["panel"], own.__dict__["sane"] = self.panel, self.sane
+        return own
+
     def keep(self, *names: str) -> Reports:
         """Keeps tables (of a row for each vehicle and month) that a plan reads several times."""
         for name in names:
@@ -35,7 +49,11 @@ class Reports:
 
     @cached_property
     def lines(self) -> DataFrame:
-        return self.table("lineitem").select(
+        t = self.table("lineitem")
+        if self.month:
+            end = F.lit(self.month).cast("timestamp_ntz")
+            t = t.where((F.col("l_shipdate") >= F.trunc(F.lit(self.month).cast("date"), "month").cast("timestamp_ntz")) & (F.col("l_shipdate") < end + F.expr("INTERVAL 1 DAY")))
+        return t.select(
             F.lpad(F.col("l_suppkey").cast("string"), 14, "0").alias("cnpj"), F.last_day(F.to_date("l_shipdate")).alias("dt"), F.when(F.col("l_linestatus") == "F", "Fundo").otherwise("Classe").alias("tp"),
             (F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100 + 0.5) / 100).alias("v"), F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("qty"), F.col("l_tax").alias("tax"), F.col("l_linenumber").alias("ln"),
             "l_suppkey", "l_partkey", "l_orderkey", F.to_date("l_shipdate").alias("ship"),
@@ -82,8 +100,10 @@ class Reports:
     @cached_property
     def late(self) -> DataFrame:
         """Lines with their order: days late and the customer."""
-        o = self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("ordered"), F.col("o_custkey").alias("deb"))
-        return self.lines.join(o, "l_orderkey").withColumn("late", F.datediff("ship", "ordered"))
+        return self.lines.join(self._orders(), "l_orderkey").withColumn("late", F.datediff("ship", "ordered"))
+
+    def _orders(self) -> DataFrame:
+        return self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("ordered"), F.col("o_custkey").alias("deb"))
 
     @staticmethod
     def bands() -> dict[str, Column]:
