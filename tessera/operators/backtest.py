@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
@@ -17,11 +19,12 @@ def before_event(series: DataFrame, events: DataFrame, months: int = 12) -> Data
 def eligible(positives: DataFrame, candidates: DataFrame) -> DataFrame:
     """(case, cnpj, control, h): controls of a positive's type with a value from half to double of its own, h being
     their hashed order for the case. They meet by type and power of two of the value, three of which cover the
-    range, so that no type is joined as a whole."""
+    range, so that no type is joined as a whole. Candidates with a case are those of that case alone."""
     power = F.floor(F.log2(F.when(F.col("pl") > 0, F.col("pl"))))
-    c = candidates.select(F.col("cnpj").alias("control"), "tp", F.col("pl").alias("control_pl"), power.alias("power"))
+    own = ["case"] if "case" in candidates.columns else []
+    c = candidates.select(*own, F.col("cnpj").alias("control"), "tp", F.col("pl").alias("control_pl"), power.alias("power"))
     p = positives.select("case", "cnpj", "tp", "pl", F.explode(F.array(power - 1, power, power + 1)).alias("power"))
-    met = p.join(c, ["tp", "power"]).where((F.col("control_pl") >= 0.5 * F.col("pl")) & (F.col("control_pl") <= 2 * F.col("pl")) & (F.col("control") != F.col("cnpj")))
+    met = p.join(c, [*own, "tp", "power"]).where((F.col("control_pl") >= 0.5 * F.col("pl")) & (F.col("control_pl") <= 2 * F.col("pl")) & (F.col("control") != F.col("cnpj")))
     return met.select("case", "cnpj", "control", F.md5(F.concat("control", F.col("case").cast("string"))).alias("h"))
 
 
@@ -54,13 +57,64 @@ def check_contamination(positives: DataFrame, controls: DataFrame) -> None:
         raise ValueError("a positive is among the controls")
 
 
-def fisher_tail(rates: DataFrame, log_factorial: DataFrame) -> DataFrame:
-    """One-sided p of rows (signal, a, b, c, d) by the hypergeometric tail; NULL where a margin is zero.
-    log_factorial holds (n, lf) up to the largest total."""
+#: ln n! below ten, where the series is not exact enough.
+_SMALL = [math.lgamma(n + 1) for n in range(10)]
+
+
+def log_factorial(n: Column) -> Column:
+    """ln n! of a whole number: to ten digits and more, without a table that grows with the rows."""
+    x = n.cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(n < 10, F.element_at(F.array(*map(F.lit, _SMALL)), n.cast("int") + 1)).otherwise(series)
+
+
+def fisher_tail(rates: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One-sided p of rows (keys, a, b, c, d) by the hypergeometric tail, to four places; NULL where a margin is zero."""
+    keys = [*(keys or ["signal"]), "a", "b", "c", "d"]
     tail = rates.withColumn("x", F.explode(F.sequence(F.col("a"), F.least(F.col("a") + F.col("b"), F.col("a") + F.col("c")))))
-    terms = {"r1": "a + b", "r2": "c + d", "c1": "a + c", "c2": "b + d", "t": "a + b + c + d", "x1": "x", "x2": "a + b - x", "x3": "a + c - x", "x4": "d - a + x"}
-    for name, e in terms.items():
-        tail = tail.withColumn("n", F.expr(e)).join(F.broadcast(log_factorial.withColumnRenamed("lf", f"l_{name}")), "n").drop("n")
-    p = F.exp(sum((F.col(f"l_{k}") for k in ("r1", "r2", "c1", "c2")), F.lit(0.0)) - sum((F.col(f"l_{k}") for k in ("t", "x1", "x2", "x3", "x4")), F.lit(0.0)))
+    up, down = ("a + b", "c + d", "a + c", "b + d"), ("a + b + c + d", "x", "a + b - x", "a + c - x", "d - a + x")
+    p = F.exp(sum((log_factorial(F.expr(e)) for e in up), F.lit(0.0)) - sum((log_factorial(F.expr(e)) for e in down), F.lit(0.0)))
     ok = F.expr("(a + b) * (c + d) * (a + c) * (b + d) > 0")
-    return tail.groupBy("signal", "a", "b", "c", "d").agg(F.sum(p).alias("p")).select("signal", "a", "b", "c", "d", F.when(ok, F.round("p", 4)).alias("p"))
+    return tail.groupBy(*keys).agg(F.sum(p).alias("p")).select(*keys, F.when(ok, F.round("p", 4)).alias("p"))
+
+
+def linked(events: DataFrame, panel: DataFrame, registry: DataFrame) -> DataFrame:
+    """(case, cnpj, event, ref): the vehicles of each event (case, day, kind, mark), as they stand in the last month before that of its
+    day: with kind ``admin`` those of the administrator ``mark``, with kind ``name`` those with ``mark`` in their name, in capitals. The events
+    are a list kept by hand."""
+    dated = F.broadcast(events.select("case", "kind", "mark", F.last_day("day").alias("event")))
+    ref = panel.select("dt").distinct().join(dated, F.col("dt") < F.col("event")).groupBy("case", "kind", "mark", "event").agg(F.max("dt").alias("ref"))
+    named = panel.select("cnpj", "dt").join(registry.select("cnpj", "admin", "name"), "cnpj", "left")
+    own = ((F.col("kind") == "admin") & (F.col("admin") == F.col("mark"))) | ((F.col("kind") == "name") & F.contains(F.upper("name"), F.col("mark")))
+    return named.join(F.broadcast(ref), (F.col("dt") == F.col("ref")) & own).select("case", "cnpj", "event", "ref").distinct()
+
+
+def of_cases(positives: DataFrame, panel: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Positives (case, cnpj, tp, pl) as they stand in their reference month, and who may be a control in it (case, cnpj, tp, pl): no vehicle that is a
+    positive of any case."""
+    at = panel.select("cnpj", F.col("dt").alias("ref"), "tp", "pl")
+    own = positives.join(at, ["cnpj", "ref"]).select("case", "cnpj", "tp", "pl")
+    months = positives.select("case", "ref").distinct()
+    free = at.join(positives.select("cnpj").distinct(), "cnpj", "left_anti").join(F.broadcast(months), "ref")
+    return own, free.select("case", "cnpj", "tp", "pl")
+
+
+def case_rates(detail: DataFrame, signals: list[str]) -> DataFrame:
+    """By case, signal and group: vehicles that can be evaluated, that fired in any month, and that cannot be, the rate, coverage and
+    the median of the most months ahead. ``detail``: (case, grp, cnpj, ahead, signals), a month a row; NULL is not evaluated, never not fired."""
+    each = F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).alias("hit")) for s in signals])
+    long = detail.select("case", "grp", "cnpj", "ahead", F.explode(each).alias("x")).select("case", "grp", "cnpj", "ahead", "x.*")
+    vehicle = long.groupBy("case", "grp", "cnpj", "signal").agg(F.max("hit").alias("fired"), F.max(F.when(F.col("hit"), F.col("ahead"))).alias("lead"))
+    n, every = F.count("fired"), F.count(F.lit(1))
+    rates = vehicle.groupBy("case", "signal", "grp").agg(n.alias("n"), F.count_if("fired").alias("n_fired"), (every - n).alias("n_not_evaluable"), F.round(F.count_if("fired") / F.nullif(n, F.lit(0)), 6).alias("rate"), F.round(n / every, 6).alias("coverage"), F.median("lead").alias("lead"))
+    return rates.where("n > 0")
+
+
+def case_contrast(rates: DataFrame) -> DataFrame:
+    """By case and signal: the rate among positives over that among controls (NULL where that is 0), and Fisher's one-sided p."""
+    wide = rates.groupBy("case", "signal").pivot("grp", ["positive", "control"]).agg(F.first("n").alias("n"), F.first("n_fired").alias("hit"))
+    both = wide.where("positive_n IS NOT NULL AND control_n IS NOT NULL")
+    table = both.select("case", "signal", F.col("positive_hit").alias("a"), (F.col("positive_n") - F.col("positive_hit")).alias("b"), F.col("control_hit").alias("c"), (F.col("control_n") - F.col("control_hit")).alias("d"))
+    p = fisher_tail(table, ["case", "signal"])
+    lift = (F.col("a") / (F.col("a") + F.col("b"))) / F.nullif(F.col("c") / (F.col("c") + F.col("d")), F.lit(0.0))
+    return p.select("case", "signal", F.round(lift, 6).alias("lift"), "p")

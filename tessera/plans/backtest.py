@@ -7,11 +7,12 @@ fit the derived tables' amounts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import backtest as B
 from ..operators import timeseries as T
+from ..operators.lineage import cut
 from ..sources.analogue import Reports
 from .register import plan
 
@@ -75,11 +76,6 @@ def bt_matched_controls(r: Reports) -> DataFrame:
     return B.matched_controls(*_cases(r))
 
 
-@plan()
-def bt_matched_without_reuse(r: Reports) -> DataFrame:
-    return B.matched_without_reuse(*_cases(r))
-
-
 @plan(_EV + _MATCH + " SELECT count(*) AS n FROM (SELECT cnpj FROM ev INTERSECT SELECT control FROM ma)")
 def bt_contamination(r: Reports) -> DataFrame:
     return _events(r).select("cnpj").intersect(B.matched_controls(*_cases(r)).select("control")).agg(F.count("*").alias("n"))
@@ -124,7 +120,67 @@ def bt_lift_pivot(r: Reports) -> DataFrame:
 @plan(_RATES + _TAB + ", f AS (SELECT signal, a, np-a AS b, c, nc-c AS d FROM tab), x AS (SELECT *, unnest(range(a, least(a+b,a+c)+1)) AS x FROM f) SELECT signal, a, b, c, d, CASE WHEN (a+b)*(c+d)*(a+c)*(b+d)>0 THEN round(sum(exp(lgamma(a+b+1)+lgamma(c+d+1)+lgamma(a+c+1)+lgamma(b+d+1)-lgamma(a+b+c+d+1)-lgamma(x+1)-lgamma(a+b-x+1)-lgamma(a+c-x+1)-lgamma(d-a+x+1))),4) END AS p FROM x GROUP BY 1,2,3,4,5")
 def bt_fisher(r: Reports) -> DataFrame:
     t = _table(r).select("signal", F.col("positive_hit").alias("a"), (F.col("positive_n") - F.col("positive_hit")).alias("b"), F.col("control_hit").alias("c"), (F.col("control_n") - F.col("control_hit")).alias("d"))
-    n = r.table("supplier").agg((F.count("*") + 1).alias("m"))
-    numbers = n.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"))).alias("n"))
-    logs = numbers.select("n", F.sum(F.when(F.col("n") > 0, F.log(F.greatest(F.col("n"), F.lit(1)))).otherwise(0.0)).over(Window.orderBy("n")).alias("lf"))
-    return B.fisher_tail(t, logs)
+    return B.fisher_tail(t)
+
+
+#: Known events: the day, and the vehicles by their administrator or by a mark in their name.
+EVENTS = [("K1", "2000-03-15", "admin", "NATION_7"), ("K2", "1999-08-20", "name", "07"), ("K3", "1998-05-18", "name", "03"), ("K4", "2001-02-10", "admin", "NATION_3")]
+_KNOWN_SQL = _EV.replace("@topced", "@known(kase, day, kind, mark) AS (VALUES " + ", ".join(f"('{c}', DATE '{d}', '{k}', '{m}')" for c, d, k, m in EVENTS) + "), topced") + """,
+ref AS (SELECT kase, kind, mark, last_day(day) AS event, (SELECT max(dt) FROM sane WHERE dt<last_day(day)) AS ref FROM known),
+pos AS MATERIALIZED (SELECT DISTINCT kase, s.cnpj, event, ref, tp, pl FROM ref JOIN sane s ON s.dt=ref LEFT JOIN registry g ON g.cnpj=s.cnpj WHERE CASE kind WHEN 'admin' THEN admin=mark ELSE contains(upper(name), mark) END),
+el AS (SELECT p.kase, p.cnpj, list(s.cnpj ORDER BY md5(s.cnpj || p.kase)) AS e FROM pos p JOIN sane s ON s.dt=p.ref AND s.tp=p.tp AND s.pl>=0.5*p.pl AND s.pl<=2*p.pl WHERE s.cnpj NOT IN (SELECT cnpj FROM pos) GROUP BY 1,2),
+turn AS (SELECT *, row_number() OVER (PARTITION BY kase ORDER BY cnpj) AS i FROM el),
+ctl AS MATERIALIZED (WITH RECURSIVE g(kase, i, cnpj, take, used) AS (SELECT kase, CAST(0 AS BIGINT), '', CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) FROM known UNION ALL
+  SELECT t.kase, t.i, t.cnpj, list_filter(t.e, lambda x: NOT list_contains(g.used, x))[1:3], list_concat(g.used, list_filter(t.e, lambda x: NOT list_contains(g.used, x))[1:3]) FROM g JOIN turn t ON t.kase=g.kase AND t.i=g.i+1)
+  SELECT kase, cnpj, unnest(take) AS control, unnest(range(1,len(take)+1)) AS k FROM g)"""
+
+
+def _known(r: Reports) -> DataFrame:
+    """(case, cnpj, event, ref): the vehicles of the known events."""
+    events = r.spark.createDataFrame(EVENTS, "case string, day string, kind string, mark string").withColumn("day", F.to_date("day"))
+    return B.linked(events, r.sane, r.registry)
+
+
+@plan(_KNOWN_SQL + ' SELECT kase AS "case", cnpj, event, ref FROM pos')
+def bt_events_linked(r: Reports) -> DataFrame:
+    return _known(r)
+
+
+def _controls(r: Reports, known: DataFrame) -> DataFrame:
+    return B.matched_without_reuse(*B.of_cases(known, r.sane))
+
+
+@plan(_KNOWN_SQL + ' SELECT kase AS "case", cnpj, control, k FROM ctl')
+def bt_matched_without_reuse(r: Reports) -> DataFrame:
+    """The controls of each known event's vehicles; within a case a control serves one of them, and no vehicle of any event serves."""
+    return _controls(r, _known(r))
+
+
+_DETAIL_SQL = _KNOWN_SQL + f""", who AS (SELECT kase, 'positive' AS grp, cnpj FROM pos UNION ALL SELECT kase, 'control', control FROM ctl),
+det AS MATERIALIZED (SELECT who.kase, grp, s.cnpj, datediff('month', s.dt, ref) AS ahead, {", ".join(SIGNALS)} FROM who JOIN ref ON ref.kase=who.kase JOIN sig s ON s.cnpj=who.cnpj AND s.dt<event AND s.dt>=last_day((event - INTERVAL 12 MONTH)::date)),
+veh AS (SELECT kase, grp, cnpj, signal, bool_or(hit) AS fired, max(ahead) FILTER (hit) AS lead FROM (SELECT kase, grp, cnpj, ahead, unnest([{", ".join(f"'{s}'" for s in SIGNALS)}]) AS signal, unnest([{", ".join(SIGNALS)}]) AS hit FROM det) GROUP BY 1,2,3,4),
+rat AS (SELECT kase, signal, grp, count(fired) AS n, count(*) FILTER (fired) AS n_fired, count(*)-count(fired) AS n_not_evaluable, round(count(*) FILTER (fired)/nullif(count(fired),0),6) AS rate, round(count(fired)/count(*),6) AS coverage, median(lead) AS lead FROM veh GROUP BY 1,2,3 HAVING count(fired)>0)"""
+
+
+def _detail(r: Reports) -> DataFrame:
+    """(case, grp, cnpj, ahead, signals): the months before each event, of its vehicles and their controls. A positive among the controls stops the run."""
+    known = cut(_known(r))
+    controls = cut(_controls(r, known))
+    B.check_contamination(known, controls)
+    dates = F.broadcast(known.select("case", "event", "ref").distinct())
+    who = known.select("case", F.lit("positive").alias("grp"), "cnpj").unionByName(controls.select("case", F.lit("control").alias("grp"), F.col("control").alias("cnpj"))).join(dates, "case")
+    months = B.before_event(_signals(r), who)
+    ahead = (F.year("ref") - F.year("dt")) * 12 + F.month("ref") - F.month("dt")
+    return months.select("case", "grp", "cnpj", ahead.alias("ahead"), *SIGNALS)
+
+
+@plan(_DETAIL_SQL + ' SELECT kase AS "case", signal, grp, n, n_fired, n_not_evaluable, rate, coverage, lead FROM rat')
+def bt_case_rates(r: Reports) -> DataFrame:
+    return B.case_rates(_detail(r), list(SIGNALS))
+
+
+@plan(_DETAIL_SQL + """, f AS (SELECT p.kase, p.signal, p.n_fired AS a, p.n-p.n_fired AS b, c.n_fired AS c, c.n-c.n_fired AS d FROM rat p JOIN rat c ON p.kase=c.kase AND p.signal=c.signal WHERE p.grp='positive' AND c.grp='control'), x AS (SELECT *, unnest(range(a, least(a+b,a+c)+1)) AS x FROM f)
+SELECT kase AS "case", signal, round((a/(a+b))/nullif(c/(c+d),0),6) AS lift, CASE WHEN (a+b)*(c+d)*(a+c)*(b+d)>0 THEN round(sum(exp(lgamma(a+b+1)+lgamma(c+d+1)+lgamma(a+c+1)+lgamma(b+d+1)-lgamma(a+b+c+d+1)-lgamma(x+1)-lgamma(a+b-x+1)-lgamma(a+c-x+1)-lgamma(d-a+x+1))),4) END AS p FROM x GROUP BY kase, signal, a, b, c, d""")
+def bt_case_contrast(r: Reports) -> DataFrame:
+    """Lift and Fisher's p of each signal before each known event."""
+    return B.case_contrast(B.case_rates(_detail(r), list(SIGNALS)))

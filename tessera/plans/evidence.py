@@ -286,17 +286,6 @@ def schema_drift(r: Reports) -> DataFrame:
     return P.header_changes(h).select("period", F.sort_array("added").alias("added"), F.sort_array("removed").alias("removed"))
 
 
-@plan(f"SELECT s.cnpj, name, admin, pl, string_agg(ced || ':' || pos, '; ' ORDER BY pos) AS assignors FROM sane s JOIN registry USING (cnpj) JOIN assignors a ON a.cnpj=s.cnpj AND a.dt=s.dt WHERE s.dt='{CUTOFF}' GROUP BY 1,2,3,4")
-def vehicle_xray(r: Reports) -> DataFrame:
-    a = r.assignors.groupBy("cnpj", "dt").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ced"))), lambda x: F.concat(x["ced"], F.lit(":"), x["pos"].cast("string"))), "; ").alias("assignors"))
-    return r.sane.where(F.col("dt") == F.lit(CUTOFF).cast("date")).join(r.registry, "cnpj").join(a, ["cnpj", "dt"]).select("cnpj", "name", "admin", "pl", "assignors")
-
-
-@plan(f"SELECT ced, list_sort(list(cnpj)) AS vehicles, round(max(pr),6) AS top_share FROM assignors WHERE dt='{CUTOFF}' GROUP BY 1")
-def company_xray(r: Reports) -> DataFrame:
-    return r.assignors.where(F.col("dt") == F.lit(CUTOFF).cast("date")).groupBy("ced").agg(F.sort_array(F.collect_list("cnpj")).alias("vehicles"), F.round(F.max("pr"), 6).alias("top_share"))
-
-
 @plan("SELECT doc_id, len(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)?%')) AS n_percent, regexp_matches(lower(text), 'stupid|pathetic') AS flagged FROM documents", base=False)
 def extract_percentages(r: Reports) -> DataFrame:
     t = F.col("text")

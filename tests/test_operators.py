@@ -1,6 +1,7 @@
 """Operators on the micro-tables whose results are known by hand."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,9 +91,36 @@ def test_debtors(spark):
 def test_drift_and_fisher(spark):
     h = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c"])], "period int, columns array<string>")
     assert rows(P.header_changes(h)) == [(2, ["c"], ["a"])]
-    logs = spark.sql("SELECT n, sum(CASE WHEN n > 0 THEN ln(greatest(n, 1)) ELSE 0 END) OVER (ORDER BY n) AS lf FROM (SELECT explode(sequence(0L, 300L)) AS n)")
     t = spark.createDataFrame([("s", 16, 42, 34, 176)], "signal string, a long, b long, c long, d long")
-    assert B.fisher_tail(t, logs).first().p == 0.0407
+    assert B.fisher_tail(t).first().p == 0.0407
+
+
+def test_log_factorial(spark):
+    for n, got in spark.range(0, 3000, 7).select("id", B.log_factorial(F.col("id"))).collect():
+        assert abs(got - math.lgamma(n + 1)) <= 1e-9 * max(1.0, math.lgamma(n + 1))
+
+
+def test_known_events(spark):
+    d, e = months(4), "case string, day date, kind string, mark string"
+    events = spark.createDataFrame([("A", dt.date(2025, 4, 2), "admin", "bank"), ("N", dt.date(2025, 3, 31), "name", "MULTI"), ("0", dt.date(2025, 1, 1), "name", "X")], e)
+    panel = spark.createDataFrame([(c, m, "Fundo", 10.0 + i) for i, c in enumerate("pqrstu") for m in d if (c, m) != ("q", d[2])], "cnpj string, dt date, tp string, pl double")
+    registry = spark.createDataFrame([("p", "bank", "one"), ("q", "bank", "two"), ("r", "other", "a Multi fund"), ("s", None, None)], "cnpj string, admin string, name string")
+    known = B.linked(events, panel, registry)
+    assert rows(known) == sorted([("A", "p", d[3], d[2]), ("N", "r", d[2], d[1])])  # q did not report before the event, no month is before 2025
+    own, free = B.of_cases(known, panel)
+    assert {r.cnpj for r in free.collect()} == set("qstu") and free.where("case = 'A' AND cnpj = 'q'").isEmpty()
+    met = B.matched_without_reuse(own, free)
+    assert met.groupBy("case").count().orderBy("case").collect() == [("A", 3), ("N", 3)]
+    B.check_contamination(known, met)
+    with pytest.raises(ValueError):
+        B.check_contamination(known, met.withColumn("control", F.lit("p")))
+
+
+def test_rates_by_case(spark):
+    detail = spark.createDataFrame([("K", "positive", "a", 2, True, None), ("K", "positive", "a", 1, False, None), ("K", "positive", "b", 0, None, None), ("K", "control", "c", 3, False, True)], "case string, grp string, cnpj string, ahead int, s1 boolean, s2 boolean")
+    rates = B.case_rates(detail, ["s1", "s2"])
+    assert rows(rates) == sorted([("K", "s1", "positive", 1, 1, 1, 1.0, 0.5, 2.0), ("K", "s1", "control", 1, 0, 0, 0.0, 1.0, None), ("K", "s2", "control", 1, 1, 0, 1.0, 1.0, 3.0)], key=repr)
+    assert rows(B.case_contrast(rates)) == [("K", "s1", None, 0.5)]
 
 
 def test_layouts_and_numbers(spark):
