@@ -236,19 +236,6 @@ def audit_tests(r: Reports) -> DataFrame:
     return x.select("test", F.round("x", 6).alias("found"), F.when(passed, "PASS").otherwise(F.col("bad")).alias("status"))
 
 
-#: Claims of the evidence book: what is said, re-derived from the published indicators.
-_CLAIMS = {"A1": ("pl_total", "pl_total > 0"), "A2": ("n_veiculos", "n_veiculos > 0"), "A3": ("circularidade", "circularidade < pl_total"), "A4": ("pl_liquido", "abs(pl_liquido - (pl_total - circularidade)) <= 0.005 * pl_total"), "B1": ("var_12m", "var_12m IS NOT NULL"), "B2": ("cagr_real", "cagr_real < var_24m OR cagr_real >= var_24m"), "C1": ("inadimplencia", "inadimplencia BETWEEN 0 AND 1"), "C2": ("atraso_180", "atraso_180 <= 1"), "C3": ("provisionamento", "provisionamento <= 1"), "D1": ("subordinacao", "abs(subordinacao - (serie_mezanino + serie_subordinada) / (serie_senior + serie_mezanino + serie_subordinada)) <= 0.005"), "E1": ("sacado_cobertura_dc", "sacado_cobertura_dc <= 1"), "E2": ("sacado_n_top1_50", "sacado_n_top1_50 <= n_veiculos"), "F1": ("emissor_ligado", "emissor_ligado <= detido_fundos"), "G1": ("rf_n_sinais", "rf_n_sinais = 46"), "G2": ("rf_nao_classificavel", "rf_nao_classificavel >= 0"), "H1": ("rj_vinculos", "rj_casos <= rj_vinculos")}
-_KEYS = [k for s in SOURCES.values() for k in s.indicators] + [*ENGINE, *BANDS]
-
-
-@plan(_IND + ", wide_ind AS (SELECT " + ", ".join(f"max(value) FILTER (indicator='{k}') AS {k}" for k in _KEYS) + " FROM ind) SELECT claim, subject, value, holds FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS claim, '{c}' AS subject, {c} AS value, coalesce({e},false) AS holds FROM wide_ind" for k, (c, e) in _CLAIMS.items()) + ")")
-def evidence_book(r: Reports) -> DataFrame:
-    """Each claim with its figure and whether it holds among the other indicators."""
-    wide = _indicators(Edition(r)).groupBy().pivot("indicator", _KEYS).agg(F.max("value"))
-    each = [F.struct(F.lit(k).alias("claim"), F.lit(c).alias("subject"), F.col(c).alias("value"), F.coalesce(F.expr(e), F.lit(False)).alias("holds")) for k, (c, e) in _CLAIMS.items()]
-    return wide.select(F.explode(F.array(*each)).alias("x")).select("x.*")
-
-
 #: Fixed patterns of the linter: process numbers, and words that identify a person by role.
 _PROCESS, _ROLE = r"[0-9]{5}\.[0-9]{6}/[0-9]{4}-[0-9]{2}|RJ ?[0-9]{4}/[0-9]+", r"\b(her|his|their) (directors?|manager)\b"
 

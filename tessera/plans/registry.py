@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.analogue import Reports
-from . import backtest, catalog, court, evidence, flags, market, notes, panel, release, series, signals, verifiers, xray  # noqa: F401  they register their plans
+from . import backtest, book, catalog, court, evidence, flags, market, notes, panel, release, series, signals, verifiers, xray  # noqa: F401  they register their plans
 from .register import PLANS
 
 
