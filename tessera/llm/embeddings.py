@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, cut, partitions
+from .common import bounded, components, cut, partitions
 
 COSINE, SHARED, ROTATIONS, LEAST, CAP, SEED = 0.93, 16.0, 4, 4, 2048, 7
 #: Vectors whose filters a task remembers.
@@ -114,7 +114,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cap: int = CAP,
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(blobs, pa.binary())], names=["vec_id", "label", "blob"])
 
     packed = cut(base.mapInArrow(pack, "vec_id long, label string, blob binary"), "vectors")
-    nodes = cut(packed.where("blob is not null").groupBy("label", "blob").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "nodes")
+    distinct = packed.where("blob is not null").groupBy("label", "blob").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    nodes = cut(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbered as written: unlike vectors may share a vec_id
     n = nodes.count()
     per_block = per_block or (64 if n < 1_000_000 else 256 if n < 100_000_000 else 1024)
     z = threshold(ROTATIONS * per_block * per_block, cosine)
@@ -131,38 +132,38 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cap: int = CAP,
                     for i, f in zip(own, decode(_unit([blobs[i] for i in own], kind), per_block, z)):
                         filters[i] = f
                 at = np.repeat(np.arange(len(blobs)), [len(f) for f in filters])
-                label, rep, copies = (b.column(b.schema.get_field_index(c)).take(pa.array(at)) for c in ("label", "rep", "copies"))
+                label, node, copies = (b.column(b.schema.get_field_index(c)).take(pa.array(at)) for c in ("label", "node", "copies"))
                 dims = pa.array(sizes[at].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([label, dims, pa.array(np.concatenate(filters).astype(np.int32)), rep, copies, pa.array(blobs, pa.binary()).take(pa.array(at))], names=["label", "dim", "f", "rep", "copies", "blob"])
+                yield pa.RecordBatch.from_arrays([label, dims, pa.array(np.concatenate(filters).astype(np.int32)), node, copies, pa.array(blobs, pa.binary()).take(pa.array(at))], names=["label", "dim", "f", "node", "copies", "blob"])
 
-    filed = nodes.mapInArrow(file, "label string, dim int, f int, rep long, copies long, blob binary")
+    filed = nodes.mapInArrow(file, "label string, dim int, f int, node long, copies long, blob binary")
     crowded = cut(filed.groupBy("label", "dim", "f").count().where(F.col("count") > cap).select("label", "dim", "f", F.ceil(F.col("count") / (cap // 2)).cast("int").alias("blocks")), "crowded")
     blocked = filed.join(crowded, ["label", "dim", "f"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     tiled = blocked.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = tiled.select("label", "dim", "f", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "blob")
+    tiled = tiled.select("label", "dim", "f", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "blob")
     key = ["label", "dim", "f", "i", "j"]
 
     def compare(rows: dict[str, list], f: int, i: int, j: int, known: dict[int, np.ndarray]) -> Iterator[tuple]:
         unit = _unit(rows["blob"], kind)
         near = unit @ unit.T >= cosine
-        rep, copies, block = (np.array(rows[c]) for c in ("rep", "copies", "block"))
-        near &= rep[:, None] != rep[None, :]
+        node, copies, block = (np.array(rows[c]) for c in ("node", "copies", "block"))
+        near &= node[:, None] != node[None, :]
         if i != j:  # pairs inside a block belong to its own tile
             near &= block[:, None] != block[None, :]
         at = np.flatnonzero(near.any(1))
         if not len(at):
             return
         near = near[np.ix_(at, at)]
-        rep, copies = rep[at], copies[at]
+        node, copies = node[at], copies[at]
         # which of them share an earlier filter
-        new = [k for k in range(len(at)) if int(rep[k]) not in known]
+        new = [k for k in range(len(at)) if int(node[k]) not in known]
         if new:
             if len(known) > KEPT:
                 known.clear()
                 new = list(range(len(at)))
-            known.update(zip(rep[new].tolist(), decode(unit[at[new]], per_block, z)))
-        before = [own[own < f].tolist() for own in (known[k] for k in rep.tolist())]
+            known.update(zip(node[new].tolist(), decode(unit[at[new]], per_block, z)))
+        before = [own[own < f].tolist() for own in (known[k] for k in node.tolist())]
         number = {x: k for k, x in enumerate(sorted(set().union(*before)))}
         if number:
             member = np.zeros((len(at), len(number)), dtype=np.float32)
@@ -171,7 +172,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cap: int = CAP,
             fresh = near & (member @ member.T == 0)
         else:
             fresh = near
-        for r, w in zip(rep.tolist(), (fresh * copies[None, :]).sum(1).tolist()):
+        for r, w in zip(node.tolist(), (fresh * copies[None, :]).sum(1).tolist()):
             if w:
                 yield r, None, w
         seen = np.zeros(len(at), dtype=bool)
@@ -185,13 +186,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cap: int = CAP,
                 seen[new] = True
                 front += new.tolist()
                 for x in new:
-                    yield int(rep[k]), int(rep[x]), None
+                    yield int(node[k]), int(node[x]), None
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
         known: dict[int, np.ndarray] = {}
         now, found = None, []
-        names = ["block", "rep", "copies", "blob"]
+        names = ["block", "node", "copies", "blob"]
 
         def flush() -> pa.RecordBatch:
             u, v, w = zip(*found) if found else ((), (), ())
@@ -203,22 +204,25 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cap: int = CAP,
             for k in range(b.num_rows):
                 here = tuple(columns[c][k] for c in key)
                 if here != now:
-                    if now and len(held["rep"]) > 1:
+                    if now and len(held["node"]) > 1:
                         found.extend(compare(held, *now[2:], known))
                     now, held = here, {c: [] for c in names}
                 for c in names:
                     held[c].append(columns[c][k])
             if len(found) > 10_000:
                 yield flush()
-        if now and len(held["rep"]) > 1:
+        if now and len(held["node"]) > 1:
             found.extend(compare(held, *now[2:], known))
         yield flush()
 
     links = cut(tiled.repartition(partitions(spark), *key).sortWithinPartitions(*key).mapInArrow(meet, "u long, v long, w long"), "links")
     counted = links.where("w is not null").groupBy("u").agg(F.sum("w").alias("w"))
-    comp = components(links.where("v is not null").select("u", "v"))
-    named = nodes.join(counted, nodes.rep == counted.u, "left").join(comp, nodes.rep == comp.node, "left")
-    named = named.select("label", "blob", (F.coalesce("w", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
+    comp = components(links.where("v is not null").select("u", "v")).withColumnRenamed("node", "member")
+    # a component is called by the smallest vec_id of all its nodes
+    first = comp.join(nodes.select(F.col("node").alias("member"), "rep"), "member").groupBy("component").agg(F.min("rep").alias("c"))
+    called = comp.join(bounded(first), "component").select("member", "c")
+    named = nodes.join(counted, nodes.node == counted.u, "left").join(called, nodes.node == called.member, "left")
+    named = named.select("label", "blob", (F.coalesce("w", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("c", "rep").alias("c"))
     joined = packed.join(named, ["label", "blob"], "left")
     component = F.coalesce("c", "vec_id")
     return joined.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))

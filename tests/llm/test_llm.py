@@ -296,10 +296,32 @@ def test_embeddings(spark):
         assert all((got[i].n_links, got[i].component_id) == (n[i], comp[i]) for i, *_ in rows)
 
 
-@pytest.mark.parametrize("per_block", [64, 256, 1024])
-def test_embeddings_recall_at_the_level(spark, per_block):
+def test_embeddings_with_one_id_for_unlike_vectors(spark):
+    """Rows are told apart by what they are, not by their vec_id."""
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.1], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect())
+    assert got == Counter({(1, 1, 1, True): 1, (1, 0, 1, True): 1, (2, 1, 1, False): 1})
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((30, 12))
+    rows = [(int(rng.integers(0, 60)), [float(x) for x in base[i % 30] + 0.15 * (i // 30) * rng.standard_normal(12)], i % 2) for i in range(180)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    unit = np.array([v for _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.93) & (np.array([k for *_, k in rows])[:, None] == np.array([k for *_, k in rows])[None, :])
+    component = np.arange(180)
+    for _ in range(180):
+        component = np.where(near, component[None, :], 999).min(1)
+    smallest = [min(rows[j][0] for j in range(180) if component[j] == component[i]) for i in range(180)]
+    want = Counter((rows[i][0], int(near[i].sum()) - 1, smallest[i]) for i in range(180))
+    for cap in (2048, 4):
+        assert Counter((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(df, cap=cap).collect()) == want
+
+
+@pytest.mark.parametrize("per_block,dim", [(64, 64), (256, 64), (1024, 64), (64, 256)])
+def test_embeddings_recall_at_the_level(spark, per_block, dim):
     rng = np.random.default_rng(per_block)
-    n, dim = 1000, 64
+    n = 1000
     a = rng.standard_normal((n, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     r = rng.standard_normal((n, dim))
