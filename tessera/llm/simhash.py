@@ -340,6 +340,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, level: float) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose ends are not in one component (node, component)."""
+    of_u, of_v = (comp.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in "uv")
+    j = pairs.join(of_u, "u", "left").join(of_v, "v", "left")
+    return j.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v")
+
+
 def _packed(hashes: np.ndarray) -> bytes:
     """A set of hashes, cut to 32 bits, as differences byte by byte, which compress well."""
     low = np.unique(hashes.astype(np.uint32))
@@ -368,7 +375,7 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, level: float = LEVEL, ti
 
     Equal sets are one node. Nodes that agree in a band of minima meet (a pair at the level is missed with chance
     (1 - level ** ROWS) ** BANDS: 5e-6), pairs that fingerprints, sizes and minima leave possible are verified. All that
-    meet in a band are first compared with one of them; then the pairs that are not yet in one component, dealt out
+    meet in a band are first compared with one of them, each with the one that it meets most before any other; then the pairs that are not yet in one component, dealt out
     in tiles where a band is crowded. None is left out, and no group of like texts costs all its pairs. No words: an
     empty set, equal to any other such."""
     made = cut(sketches(docs, width), "sketches")
@@ -377,7 +384,12 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, level: float = LEVEL, ti
     parts = partitions(docs.sparkSession)
     met = cut(_hubs(filed.repartition(parts, "key").sortWithinPartitions("key", "node"), level), "met")
     sets = cut(_sets(docs.select("uid", "text"), cut(owner.join(met.select("node").distinct(), "node", "left_semi"), "owners"), width), "sets")
-    edges = cut(_verified(cut(met.where("near").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct(), "pairs"), sets, level), "links")
+    # a node is verified beside the first node that it meets most often; beside others only where that has not brought them together
+    beside = cut(met.where("near").groupBy(F.col("hub").alias("u"), F.col("node").alias("v")).agg(F.count("*").alias("often")), "pairs")
+    best = beside.groupBy("v").agg(F.max(F.struct("often", "u"))["u"].alias("u")).select("u", "v")
+    likely = cut(_verified(cut(best, "pairs"), sets, level), "links")
+    apart = _apart(beside.select("u", "v"), components(likely))
+    edges = cut(likely.union(_verified(cut(apart, "pairs"), sets, level)), "links")
     comp = components(edges).withColumnRenamed("node", "c_node")
     rows = cut(met.join(comp, F.col("node") == F.col("c_node"), "left").select("key", "node", "fp", "n", F.coalesce("component", "node").alias("c")), "open")
     left = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
