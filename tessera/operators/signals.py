@@ -81,6 +81,34 @@ SIGNALS = [
 ]
 
 
+def _no_less_than_zero(x: str) -> str:
+    return f"CASE WHEN {x} > 0 THEN {x} WHEN {x} <= 0 THEN 0.0 END"
+
+
+#: The amount at stake where a signal fires, over the wide panel.
+STAKES = {
+    "QA-01": "inad", "QA-02": f"({_no_less_than_zero('d_inad_12')}) * base", "QA-03": _no_less_than_zero("inad - prov"), "QA-04": "dc", "QA-05": "inad_long", "QA-06": "dc_risk",
+    "ES-01": "coalesce(v_sen, 0)", "ES-02": f"({_no_less_than_zero('-d_subord_12')}) * coalesce(v_tot, 0)", "ES-03": _no_less_than_zero("inad - prov - coalesce(v_sub, 0)"), "ES-04": "abs(pl)", "ES-05": "coalesce(v_sen, 0)",
+    "CN-01": "pr_max / 100 * dc", "CN-02": "dc", "CN-03": "pl", "CN-04": "sg_max", "CN-05": "coalesce(quotas, 0)",
+    "GV-01": "pl", "GV-02": "pl", "GV-03": "pl", "GV-04": "pl", "GV-05": "pl",
+    "DI-01": "dc", "DI-02": "abs(dc - base)", "DI-03": "dc", "DI-04": "abs(v_tot - pl)", "DI-05": "pl", "DI-06": "book", "DI-07": _no_less_than_zero("coalesce(dc, 0) + coalesce(in_court, 0) - book"),
+    "JR-01": "in_court", "JR-02": "sg_court", "JR-03": "rated_low", "JR-04": "pl", "JR-05": "tax_debt",
+    "IC-01": _no_less_than_zero("greatest(book, pl) - total"), "IC-02": "coalesce(v_sen, 0)", "IC-03": "inad", "IC-04": _no_less_than_zero("pl_1 - pl"), "IC-05": _no_less_than_zero("pl - pl_12"), "IC-06": _no_less_than_zero("pl - book"),
+    "PO-01": "aq_12m", "PO-02": "roll_12m", "PO-03": "related_12m", "PO-04": _no_less_than_zero("coalesce(sold_book, 0) - coalesce(sold, 0)"), "PO-05": "coalesce(pr_person, 0) / 100 * dc", "PO-06": "poor_12m", "PO-07": "pl",
+}
+
+
+def stakes(wide: DataFrame, fired: DataFrame, cutoff: str) -> DataFrame:
+    """By vehicle, of the signals that fire at the cutoff (cnpj, id, fired, streak; as settled gives them): the largest amount at stake, their sum, and
+    the month that they are of. Amounts of several signals overlap, so the sum is no loss. Nothing fires: NULL, 0 and NULL."""
+    end = F.lit(cutoff).cast("date")
+    each = F.array(*[F.struct(F.lit(k).alias("id"), F.expr(f"cast({e} AS double)").alias("stake")) for k, e in STAKES.items()])
+    amounts = wide.where(F.col("dt") == end).select("cnpj", F.explode(each).alias("x")).select("cnpj", "x.*")
+    j = fired.join(amounts, ["cnpj", "id"], "left")
+    own = F.when(F.col("fired"), F.col("stake"))
+    return j.groupBy("cnpj").agg(F.round(F.max(own), 2).alias("stake_max"), F.round(F.coalesce(F.sum(own), F.lit(0.0)), 2).alias("stake_sum"), F.max(F.when(F.col("fired"), end)).alias("current"))
+
+
 def long_form(wide: DataFrame, signals: list[Signal]) -> DataFrame:
     """A row for each vehicle, month and signal: (id, cnpj, dt, value, grp, evaluable, material)."""
     each = [F.struct(F.lit(s.id).alias("id"), F.expr(f"cast({s.value} AS double)").alias("value"), F.expr(f"coalesce({s.group}, false)").alias("grp"), F.expr(f"coalesce({s.can()}, false)").alias("evaluable"), F.expr(f"coalesce({s.material}, false)").alias("material")) for s in signals]

@@ -40,6 +40,34 @@ def price_levels(r: Reports) -> DataFrame:
     return price_index(months.withColumn("rate", ((F.year("dt") * 12 + F.month("dt")) * 37 % 11) / 10.0))
 
 
+@plan(INDEX_SQL + f""", hd AS (SELECT cnpj, dt, count(*) AS n_hold FROM debtors GROUP BY 1,2), ci AS (SELECT cnpj, dt, round(sum(v) FILTER (ln BETWEEN 5 AND 6),2) AS circular FROM lines GROUP BY 1,2),
+m AS (SELECT s.dt, count(*) AS n, count(*) FILTER (tp='Classe') AS n_class, count(*) FILTER (tp='Fundo') AS n_fund, sum(pl) AS pl, sum(dc_risk) AS dc_risk, sum(dc_norisk) AS dc_norisk, sum(circular) AS circular, count(circular) AS n_circular, sum(pl) FILTER (bal>5000) AS pl_exclusive, sum(pl) FILTER (interest='S') AS pl_single, sum(inad) AS inad, count(inad) AS n_inad, sum(n_hold) AS n_holders
+ FROM sane s LEFT JOIN assets USING (cnpj, dt) LEFT JOIN overdue USING (cnpj, dt) LEFT JOIN ci USING (cnpj, dt) LEFT JOIN hd USING (cnpj, dt) LEFT JOIN registry USING (cnpj) GROUP BY 1)
+SELECT m.dt, n, n_class, n_fund, round(pl,2) AS pl, round(dc_risk,2) AS dc_risk, round(dc_norisk,2) AS dc_norisk, round(circular,2) AS circular, n_circular, round(pl-circular,2) AS pl_net, round(pl_exclusive,2) AS pl_exclusive, round(pl_single,2) AS pl_single, round(inad,2) AS inad, n_inad, n_holders, round(pl*(SELECT idx FROM idx WHERE dt='{CUTOFF}')/idx.idx,2) AS pl_real FROM m JOIN idx ON m.dt=idx.dt""")
+def market_series_whole(r: Reports) -> DataFrame:
+    """The market by month with all its columns: what is held inside the universe and how many tell of it, exclusive vehicles and those of a single interest,
+    holders, and the value in money of the cutoff. Amounts, bands and debtors come from one shuffle of the lines with their orders."""
+    orders = r._orders()
+    lines = r.lines.join(orders, "l_orderkey", "left").withColumn("late", F.datediff("ship", "ordered"))
+    band = r.bands()["inad"]
+
+    def of(c: str, *flags: str):
+        return F.sum(F.when(F.col("flag").isin(*flags), F.col("v"))).alias(c)
+
+    debtor = lines.groupBy("cnpj", "dt", "deb").agg(of("risk", "N", "A"), of("norisk", "R"), F.sum(F.when(F.col("ln").between(5, 6), F.col("v"))).alias("circ"), F.sum(band).alias("late_v"))
+    month = debtor.groupBy("cnpj", "dt").agg(*[F.round(F.sum(a), 2).alias(b) for a, b in (("risk", "dc_risk"), ("norisk", "dc_norisk"), ("circ", "circular"), ("late_v", "inad"))], F.least(F.count("deb"), F.lit(25)).alias("n_hold"))
+    j = r.sane.join(month, ["cnpj", "dt"], "left").join(r.registry.select("cnpj", "bal", "interest"), "cnpj", "left")
+    g = j.groupBy("dt").agg(
+        F.count("*").alias("n"), F.count_if(F.col("tp") == "Classe").alias("n_class"), F.count_if(F.col("tp") == "Fundo").alias("n_fund"), *[F.sum(c).alias(c) for c in ("pl", "dc_risk", "dc_norisk", "circular", "inad")], F.count("circular").alias("n_circular"), F.count("inad").alias("n_inad"),
+        F.sum(F.when(F.col("bal") > 5000, F.col("pl"))).alias("pl_exclusive"), F.sum(F.when(F.col("interest") == "S", F.col("pl"))).alias("pl_single"), F.sum("n_hold").alias("n_holders"),
+    )
+    idx = price_levels(r)
+    base = idx.where(F.col("dt") == F.lit(CUTOFF).cast("date")).select(F.col("idx").alias("base"))
+    j = g.join(F.broadcast(idx), "dt").crossJoin(F.broadcast(base))
+    money = {"pl": F.col("pl"), "dc_risk": F.col("dc_risk"), "dc_norisk": F.col("dc_norisk"), "circular": F.col("circular"), "pl_net": F.col("pl") - F.col("circular"), "pl_exclusive": F.col("pl_exclusive"), "pl_single": F.col("pl_single"), "inad": F.col("inad"), "pl_real": F.col("pl") * F.col("base") / F.col("idx")}
+    return j.select("dt", "n", "n_class", "n_fund", "n_circular", "n_inad", "n_holders", *[F.round(c, 2).alias(k) for k, c in money.items()])
+
+
 @plan(INDEX_SQL + " SELECT dt, round(rate,2) AS rate, round(idx.idx,8) AS idx FROM idx JOIN rates USING (dt)")
 def cumulative_index(r: Reports) -> DataFrame:
     return price_levels(r).select("dt", F.round("rate", 2).alias("rate"), F.round("idx", 8).alias("idx"))
@@ -245,6 +273,34 @@ def holders_by_manager_null_group(r: Reports) -> DataFrame:
     return _holdings(r).join(r.registry, "cnpj").groupBy(F.nullif(F.col("gestor"), F.lit(0)).alias("gestor")).agg(F.round(F.sum("v"), 2).alias("amount"))
 
 
+_POSITIONS = f"@pos AS (SELECT lpad(cast(o_custkey AS varchar),14,'0') AS holder, l.cnpj, v, CASE ln%3 WHEN 0 THEN 'S' WHEN 1 THEN 'N' END AS linked FROM lines l JOIN orders ON l_orderkey=o_orderkey WHERE dt='{CUTOFF}' AND l.cnpj IN (SELECT cnpj FROM sane WHERE dt='{CUTOFF}')), held AS (SELECT *, holder IN (SELECT cnpj FROM sane WHERE dt='{CUTOFF}') AS inside FROM pos)"
+
+
+def _positions(r: Reports) -> DataFrame:
+    """Positions in the universe's units at the cutoff: holder, vehicle, value, whether the issuer is linked (or it is not told), and whether the holder is of the universe itself."""
+    universe = _at(r.sane).select("cnpj").distinct()
+    own = _at(r.late).join(universe, "cnpj", "left_semi").select(F.lpad(F.col("deb").cast("string"), 14, "0").alias("holder"), "cnpj", "v", F.when(F.col("ln") % 3 == 0, "S").when(F.col("ln") % 3 == 1, "N").alias("linked"))
+    return own.join(universe.select(F.col("cnpj").alias("holder"), F.lit(True).alias("inside")), "holder", "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+
+
+@plan(_POSITIONS + " SELECT count(*) AS n, round(sum(v),2) AS total, round(sum(v) FILTER (NOT inside),2) AS outside, round(coalesce(sum(v) FILTER (inside),0),2) AS inside, count(DISTINCT holder) FILTER (NOT inside) AS n_outside, round(sum(v) FILTER (linked='S'),2) AS linked, round(sum(v) FILTER (linked IS NULL),2) AS unknown, count(*) FILTER (linked IS NULL) AS n_unknown FROM held")
+def holders_summary(r: Reports) -> DataFrame:
+    """What is held by whom: outside and inside the universe, of linked issuers, and where that is not told, which is not the same as not linked."""
+    v, out = F.col("v"), ~F.col("inside")
+
+    def of(c):
+        return F.round(F.coalesce(F.sum(F.when(c, v)), F.lit(0.0)), 2)
+
+    none = F.col("linked").isNull()
+    return _positions(r).agg(F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("total"), of(out).alias("outside"), of(F.col("inside")).alias("inside"), F.count_distinct(F.when(out, F.col("holder"))).alias("n_outside"), of(F.col("linked") == "S").alias("linked"), of(none).alias("unknown"), F.count_if(none).alias("n_unknown"))
+
+
+@plan(_POSITIONS + " SELECT holder, round(sum(v),2) AS amount, count(DISTINCT cnpj) AS n_vehicles, count(*) FILTER (linked='S') AS n_linked, count(*) FILTER (linked IS NULL) AS n_unknown FROM held WHERE NOT inside GROUP BY 1")
+def holders_outside(r: Reports) -> DataFrame:
+    """Each holder outside the universe: its value, in how many vehicles, and how many positions are linked or not told."""
+    return _positions(r).where("NOT inside").groupBy("holder").agg(F.round(F.sum("v"), 2).alias("amount"), F.count_distinct("cnpj").alias("n_vehicles"), F.count_if(F.col("linked") == "S").alias("n_linked"), F.count_if(F.col("linked").isNull()).alias("n_unknown"))
+
+
 @plan(_HOLD + " SELECT holder, count(*) FILTER (linked='S') AS n_linked, count(*) FILTER (linked IS NULL) AS n_unknown, count(*) AS n FROM h GROUP BY 1")
 def linked_flag_tristate(r: Reports) -> DataFrame:
     return _holdings(r).groupBy("holder").agg(F.count_if(F.col("linked") == "S").alias("n_linked"), F.count_if(F.col("linked").isNull()).alias("n_unknown"), F.count("*").alias("n"))

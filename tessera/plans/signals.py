@@ -220,6 +220,16 @@ def score_dimensions(r: Reports) -> DataFrame:
     return S.dimensions(S.settled(fired_signals(r), CUTOFF), _IDS)
 
 
+_STAKES_SQL = f"stk AS (SELECT cnpj, unnest([{', '.join(repr(k) for k in S.STAKES)}]) AS id, unnest([{', '.join(f'cast({e} AS double)' for e in S.STAKES.values())}]) AS stake FROM wide WHERE dt='{CUTOFF}')"
+
+
+@plan(WIDE_SQL + f", {_STAKES_SQL} SELECT cnpj, round(max(stake) FILTER (fired),2) AS stake_max, round(coalesce(sum(stake) FILTER (fired),0),2) AS stake_sum, max(dt) FILTER (fired) AS current FROM fi LEFT JOIN stk USING (cnpj, id) WHERE dt='{CUTOFF}' GROUP BY 1")
+def score_stakes(r: Reports) -> DataFrame:
+    """The amounts at stake of each vehicle's signals, and how current they are."""
+    settled = S.settled(fired_signals(r), CUTOFF)
+    return S.stakes(kept_wide(r), settled, CUTOFF)
+
+
 @plan("@v AS (SELECT cnpj, dt, inad FROM overdue WHERE dt='2001-06-30'), c AS (SELECT cnpj, dt, max(pr) AS pr FROM assignors WHERE dt='2001-06-30' GROUP BY 1,2) SELECT coalesce(v.cnpj,c.cnpj) AS cnpj, round(inad,2) AS inad, pr, coalesce(inad<1,true) AND coalesce(pr>=50,false) AS rf1 FROM v FULL JOIN c ON v.cnpj=c.cnpj")
 def rf1_full_join(r: Reports) -> DataFrame:
     v = _at(r.overdue).select("cnpj", "inad")
