@@ -31,11 +31,12 @@ UNION ALL SELECT 5, sum(least(list_val,dc)) FILTER (list_val IS NOT NULL), sum(d
 SELECT lens, measure, does_not_mean, round(numerator,2) AS numerator, round(denominator,2) AS denominator, round(numerator/nullif(denominator,0),6) AS coverage FROM names LEFT JOIN vals USING (lens)""")
 def lens_catalog(r: Reports) -> DataFrame:
     """Numerator, denominator and coverage of each lens; NULL where the list is curated."""
-    r.keep("sane", "assets")
+    r.keep("sane")
+    month = r.only(CUTOFF)
     z = F.lit(0.0)
     now = _at(r.sane)
     roles = now.join(r.registry.select("cnpj", "admin", "region"), "cnpj", "left").join(managers(r).select("cnpj", "gestor"), "cnpj", "left")
-    listed = r.assignors.where("pos <= 3").groupBy("cnpj", "dt").agg(F.sum("pr").alias("pr"))
+    listed = month.assignors.where("pos <= 3").groupBy("cnpj", "dt").agg(F.sum("pr").alias("pr"))
 
     def of(lens: int, df: DataFrame, numerator, denominator) -> DataFrame:
         return df.agg(F.lit(lens).alias("lens"), F.sum(numerator).alias("numerator"), F.sum(denominator).alias("denominator"))
@@ -43,11 +44,11 @@ def lens_catalog(r: Reports) -> DataFrame:
     def known(c: str):
         return F.when(F.col(c).isNotNull(), F.col("pl"))
 
-    assets = _at(r.assets)
-    debt = _at(debtor_metrics(r)).where("dc > 0")
+    assets = month.assets
+    debt = debtor_metrics(month).where("dc > 0")
     parts = [
         of(1, roles, known("gestor"), F.col("pl")), of(2, roles, known("admin"), F.col("pl")), of(8, roles, known("region"), F.col("pl")),
-        of(3, now.where("pl > 0").join(r.assets, ["cnpj", "dt"]), F.coalesce("dc_risk", z) + F.coalesce("dc_norisk", z), F.col("pl")),
+        of(3, now.where("pl > 0").join(month.assets, ["cnpj", "dt"]), F.coalesce("dc_risk", z) + F.coalesce("dc_norisk", z), F.col("pl")),
         of(4, assets.join(listed, ["cnpj", "dt"], "left"), F.when(F.col("pr").isNotNull(), F.col("v_tot") * F.least("pr", F.lit(100.0)) / 100), F.col("v_tot")),
         of(5, debt, F.when(F.col("list_val").isNotNull(), F.least("list_val", "dc")), F.col("dc")),
         of(6, assets, F.coalesce("v_sen", z) + F.coalesce("v_mez", z) + F.coalesce("v_sub", z), F.col("v_tot")),

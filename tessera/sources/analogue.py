@@ -42,9 +42,9 @@ class Reports:
         return own
 
     def keep(self, *names: str) -> Reports:
-        """Keeps tables (of a row for each vehicle and month) that a plan reads several times."""
+        """Writes tables (of a row for each vehicle and month) that a plan reads several times to the shared folder."""
         for name in names:
-            self.__dict__[name] = getattr(self, name).persist()
+            self.__dict__[name] = cut(getattr(self, name))
         return self
 
     @cached_property
