@@ -60,11 +60,11 @@ def lens_catalog(r: Reports) -> DataFrame:
     return names.join(vals, "lens", "left").select("lens", "measure", "does_not_mean", F.round("numerator", 2).alias("numerator"), F.round("denominator", 2).alias("denominator"), F.round(F.col("numerator") / F.nullif("denominator", z), 6).alias("coverage"))
 
 
-@plan("SELECT dt, round(avg(b90+b360+b1080),4) AS strict_mean, round(avg(coalesce(b90,0)+coalesce(b360,0)+coalesce(b1080,0)),4) AS lenient_mean FROM overdue GROUP BY 1")
+@plan("SELECT dt, round(avg(b90+b360+b1080),6) AS strict_mean, round(avg(coalesce(b90,0)+coalesce(b360,0)+coalesce(b1080,0)),6) AS lenient_mean FROM overdue GROUP BY 1")
 def mean_of_sums(r: Reports) -> DataFrame:
     """A mean of sums where an absent part makes the sum absent, beside the one that reads it as zero."""
     parts = [F.col(c) for c in ("b90", "b360", "b1080")]
-    return r.overdue.groupBy("dt").agg(F.round(F.avg(N.strict_sum(*parts)), 4).alias("strict_mean"), F.round(F.avg(N.lenient_sum(*parts)), 4).alias("lenient_mean"))
+    return r.overdue.groupBy("dt").agg(F.round(F.avg(N.strict_sum(*parts)), 6).alias("strict_mean"), F.round(F.avg(N.lenient_sum(*parts)), 6).alias("lenient_mean"))
 
 
 @plan("@f AS (SELECT cnpj, ced, min(dt) AS first FROM assignors WHERE pos=1 GROUP BY 1,2) SELECT cnpj, string_agg(ced, ',' ORDER BY first) AS leaders FROM f GROUP BY 1")
