@@ -6,7 +6,7 @@ written-out signs, loosely written IP numbers. Boosted trees score each proposal
 and a threshold for each kind, calibrated on rows that the trees did not see, selects those to add. Base
 spans always stay; an added span never overlaps one, of added ones that overlap the likeliest stays.
 
-The trees are fitted on spans of at most about ``SAMPLE`` documents, drawn by a hash. Nobody has labelled the
+The trees and thresholds are fitted on the spans of all documents. Nobody has labelled the
 proposals of a corpus, so they are not taken for clean. Positive rows are base spans, rewritten as someone would
 who avoids the rules, in their own context. Known negative ones are the same with a fault (a digit that breaks the
 checksum, a part above 255, too few or too many digits). A first fit sets the positives apart from the faults and all
@@ -30,10 +30,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, cut, numbered
+from .common import cut
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, LEAST, PRECISION, SEED = 20_000, 40, 0.99, 11
+LEAST, PRECISION, SEED = 40, 0.99, 11
+#: Rows of a task of the fit.
+ROWS = 50_000
 #: Code points of a block of text.
 BLOCK = 4096
 
@@ -221,14 +223,10 @@ def faulty(kind: Column, s: Column, way: Column) -> Column:
     return F.when(kind == "phone", phone).when(kind == "ip", F.rtrim(ip)).when(kind == "card", card)
 
 
-def labelled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Rows (kind, s, before, after, label, spy, fold) of about ``sample`` documents: label 1 for rewritten base spans,
+def labelled(docs: DataFrame) -> DataFrame:
+    """Rows (kind, s, before, after, label, spy, fold) of all documents: label 1 for rewritten base spans,
     0 for those with a fault, null for proposals."""
-    n = docs.count()
-    # by the row's own number, so that a text with many copies is not drawn as a whole
-    lot = F.pmod(F.xxhash64(F.col(f"{KEY}.row"), "doc_id"), F.lit(1_000_000))
-    drawn = numbered(docs).where(lot < int(1_000_000 * min(1.0, sample / max(n, 1))) + 1).select(F.coalesce("text", F.lit("")).alias("t"))
-    found = scan(drawn, "t")
+    found = scan(docs.select(F.coalesce("text", F.lit("")).alias("t")), "t")
     known = F.concat(*[F.transform(F.col(f"__{k}"), named(k, "s", "before", "after")) for k in KINDS])
     context = F.transform(known, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["before"].alias("before"), x["after"].alias("after")))
     open_ = F.transform("__proposed", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["before"].alias("before"), x["after"].alias("after")))
@@ -243,15 +241,16 @@ def labelled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return every.withColumn("fold", F.pmod(key, F.lit(4))).withColumn("spy", (F.pmod(F.shiftright(key, 8), F.lit(5)) == 0) & (F.coalesce("label", F.lit(0.0)) == 1))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[GBTClassificationModel, dict[str, float]] | None:
+def fit(docs: DataFrame) -> tuple[GBTClassificationModel, dict[str, float]] | None:
     """The trees and a threshold for each kind that can be had with PRECISION; None without enough rows."""
-    ready = cut(with_features(labelled(docs, sample)), "pii-rows")
+    ready = cut(with_features(labelled(docs)), "pii-rows")
     sizes = {r.label: r.n for r in ready.where("fold > 0").groupBy("label").agg(F.count_if(~F.col("spy")).alias("n")).collect()}  # three rows
     if min(sizes.get(1.0, 0), sizes.get(0.0, 0) + sizes.get(None, 0)) < LEAST:
         return None
+    tasks = max(4, sum(sizes.values()) // ROWS)
 
     def boosted(rows: DataFrame) -> GBTClassificationModel:
-        return GBTClassifier(labelCol="y", maxIter=10, maxDepth=3, stepSize=0.3, maxBins=32, seed=SEED).fit(rows.where("fold > 0").select("y", "features").coalesce(4))
+        return GBTClassifier(labelCol="y", maxIter=10, maxDepth=3, stepSize=0.3, maxBins=32, seed=SEED).fit(rows.where("fold > 0").select("y", "features").coalesce(tasks))
 
     def scored(rows: DataFrame, model: GBTClassificationModel) -> DataFrame:
         return rows.withColumn("p", probability(model, vector_to_array("features")))
@@ -321,10 +320,10 @@ def _bounds(spans: Column) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
 
-def find(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def find(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) of every document; the n of
     kinds count base spans."""
-    fitted = fit(docs, sample)
+    fitted = fit(docs)
     scanned = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("__t")), "__t")
     joined = with_added(scanned, fitted)
     base = F.array_join(F.concat(*[_listed(k, F.col(f"__{k}")) for k in KINDS]), ",")
@@ -332,10 +331,10 @@ def find(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return joined.select("doc_id", *[F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(base.cast("binary"), 256).alias("base_sha256"), both.alias("spans"), F.size("__added").cast("long").alias("n_added"))
 
 
-def redact(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def redact(docs: DataFrame) -> DataFrame:
     """The documents, each span replaced by its kind in brackets; all columns are kept, n_chars is counted
     anew if there is one. Overlapping spans become one."""
-    fitted = fit(docs, sample)
+    fitted = fit(docs)
     scanned = with_added(scan(docs.withColumn("__t", F.coalesce("text", F.lit(""))), "__t"), fitted)
     every = F.concat(*[F.transform(f"__{k}", named(k)) for k in KINDS], F.col("__added"))
     spans = F.array_sort(F.transform(every, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))

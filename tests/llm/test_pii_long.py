@@ -88,3 +88,9 @@ def test_overlapping_choices_are_settled_by_likelihood(spark):
             taken.append((kind, a, b))
     assert taken
     assert sorted(tuple(x) for x in pii.with_added(df, (model, thresholds)).first()["__added"]) == sorted(taken)
+
+
+def test_fit_reads_all_documents(spark):
+    """The rows that the trees and thresholds come from are those of every document."""
+    docs = spark.range(25_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("write to user"), F.col("id"), F.lit("@example.org today")).alias("text"))
+    assert pii.labelled(docs).where("label = 1").count() == 25_000
