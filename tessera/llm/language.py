@@ -35,7 +35,7 @@ from .common import cut, slices
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLE, ROUNDS, SMOOTH, ALONE = 1500, 3, 0.02, 256
 #: Words that a worker keeps, and their characters at most.
-KEPT, LONG = 200_000, 64
+KEPT, LONG = 120_000, 64
 #: About how much less likely a word is with each byte more.
 _LIFT = 8.0
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -108,6 +108,17 @@ class Pieces:
             yield end, found
 
 
+_pieces: dict[str, Pieces] = {}
+
+
+def pieces(path: str) -> Pieces:
+    """A worker's table of a vocabulary: one for all fits and predictions, never shipped with a task."""
+    if path not in _pieces:
+        _pieces.clear()
+        _pieces[path] = Pieces(path)
+    return _pieces[path]
+
+
 def _matrices(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Words of up to ALONE bytes and like lengths as matrices of bytes, each with the words' numbers."""
     size = np.array([len(w) for w in words])
@@ -219,13 +230,13 @@ def fit(labelled: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUN
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array([w.encode() for w in c], pa.binary()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
 
     words = cut(drawn.select("text", "lang").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    table = Pieces(path)
+    size = len(pieces(path))
     number = {k: i for i, k in enumerate(langs)}
-    prob = np.full((len(table), len(langs)), 1 / len(table))
+    prob = np.full((size, len(langs)), 1 / size)
     for _ in range(rounds):
 
         def expect(batches: Iterator[pa.RecordBatch], prob: np.ndarray = prob) -> Iterator[pa.RecordBatch]:
-            total = np.zeros_like(prob)
+            total, table = np.zeros_like(prob), pieces(path)
             for b in batches:
                 of, word, n = (b.column(i).to_pylist() for i in range(3))
                 for lang in set(of):
@@ -252,9 +263,10 @@ def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, path: str, carr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prob, name = held.value
         if _owner[0] != name:
-            _owner[:] = [name, Pieces(path), {}, np.zeros((KEPT, len(langs)))]
-        _, table, known, scores = _owner
-        for part, texts in slices(batches, "text", 2 << 20):
+            _owner[:] = [name, None, None]  # the last fit's words go before the new ones come
+            _owner[1:] = [{}, np.zeros((KEPT, len(langs)))]
+        table, (_, known, scores) = pieces(path), _owner
+        for part, texts in slices(batches, "text", 1 << 20):
             total, solid = np.zeros((len(texts), max(len(langs), 1))), np.zeros(len(texts), dtype=bool)
             every = [text_words(t) for t in texts]
             solid[:] = [any(c.isalpha() for w in own for c in w) for own in every]
@@ -268,7 +280,7 @@ def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, path: str, carr
                     known.clear()
                     new = set().union(*every)
                 if len(new) > len(scores):
-                    _owner[3] = scores = np.zeros((len(new), len(langs)))
+                    _owner[2] = scores = np.zeros((len(new), len(langs)))
                 new = sorted(new)
                 if new:
                     scores[len(known) : len(known) + len(new)] = word_scores([b" " + w.encode() for w in new], table, prob)

@@ -609,3 +609,16 @@ def test_very_long_texts_and_clashing_columns(spark):
         assert f(d).columns == d.columns
     assert {r.doc_id: r.text for r in pii.redact(d).collect()}[1] == long
     assert simhash.one_of_each(d).count() == 4
+
+
+def test_language_fit_ships_no_vocabulary(spark, monkeypatch):
+    """A task of the fit takes its worker's table of pieces; the table does not travel with it."""
+    rows = [(i, "the house is on the hill" if i % 2 else "das haus steht auf dem berg", "en" if i % 2 else "de") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def refuse(self):
+        raise RuntimeError("the table travels")
+
+    monkeypatch.setattr(language.Pieces, "__reduce__", refuse)
+    langs, prob = language.fit(docs, public_tokenizers.path(language.VOCABULARY))
+    assert langs == ["de", "en"] and abs(prob.sum() - 2) < 1e-6
