@@ -27,21 +27,24 @@ def rolling_mean(c: Column, least: int = 10, width: int = 12) -> Column:
     return F.when(F.count(c).over(w) >= least, F.avg(c).over(w))
 
 
-def interior_gaps(grid: DataFrame) -> DataFrame:
-    """Adds gaps: months missed so far between the first and the last report."""
+def interior_gaps(grid: DataFrame, until: str | None = None) -> DataFrame:
+    """Adds gaps: months missed so far between the first and the last report; with ``until`` as they were told then, for the
+    months up to it."""
     w = Window.partitionBy("cnpj")
-    first, last = (f(F.when(F.col("obs"), F.col("dt"))).over(w) for f in (F.min, F.max))
+    told = F.col("obs") if until is None else F.col("obs") & (F.col("dt") <= F.lit(until).cast("date"))
+    first, last = (f(F.when(told, F.col("dt"))).over(w) for f in (F.min, F.max))
     flagged = grid.withColumn("gap", F.when(~F.col("obs") & (F.col("dt") > first) & (F.col("dt") < last), 1).otherwise(0))
     return flagged.withColumn("gaps", F.sum("gap").over(by_month().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def stagnation(grid: DataFrame, value: str) -> DataFrame:
     """Adds same: how many months in a row the value has equalled the month before."""
-    equal = F.coalesce((F.col(value) == F.lag(value).over(by_month())).cast("int"), F.lit(0))
-    marked = grid.withColumn("__eq", equal)
-    island = marked.withColumn("__island", F.sum(1 - F.col("__eq")).over(by_month().rowsBetween(Window.unboundedPreceding, 0)))
-    w = Window.partitionBy("cnpj", "__island").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
-    return island.withColumn("same", F.sum("__eq").over(w)).drop("__eq", "__island")
+    w = by_month()
+    equal = F.coalesce(F.col(value) == F.lag(value).over(w), F.lit(False))
+    marked = grid.withColumns({"__eq": equal, "__at": F.row_number().over(w).cast("long")})
+    # months since the last that did not equal the one before; the first never does
+    last = F.max(F.when(~F.col("__eq"), F.col("__at"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("same", F.col("__at") - last).drop("__eq", "__at")
 
 
 def trailing_streak(fired: DataFrame, keys: list[str]) -> DataFrame:

@@ -145,8 +145,7 @@ class Edition:
 
     def bands(self) -> DataFrame:
         """Vehicles with their score and band."""
-        settled = S.settled(signals.fired_signals(self.all), CUTOFF)
-        return S.bands(S.score(settled, S.SIGNALS)).withColumn("n_signals", F.lit(len(S.SIGNALS)))
+        return S.bands(S.score(signals.settled_signals(self.all), S.SIGNALS)).withColumn("n_signals", F.lit(len(S.SIGNALS)))
 
 
 def _stacked(df: DataFrame, found: dict[str, tuple[str, str, str]]) -> DataFrame:

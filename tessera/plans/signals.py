@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import signals as S
@@ -59,38 +59,44 @@ _ROLES_SQL = ", ".join(f"{e} AS {n}" for n, e in _ROLES.items())
 _OWN = {"sg_max": "greatest(seg1, seg2, seg3, seg4, seg5, seg6, seg7)", "sg_sum": "seg1 + seg2 + seg3 + seg4 + seg5 + seg6 + seg7"}
 _OWN_SQL = ", ".join(f"{e} AS {n}" for n, e in _OWN.items())
 
+#: What the windows over a vehicle's months read.
+_MOVING = ["cnpj", "dt", "pl", "book", "lots", "admin_code", "inad", "base", "v_sub", "v_tot", "v_sen", "v_mez", "related", "poor"]
+
 
 def _facts(r: Reports) -> DataFrame:
-    """What a vehicle's reports of a month say, from the grid's first month on; every edition takes its months from it."""
-    if "facts" in r.__dict__:
-        return r.__dict__["facts"]
+    """What a vehicle's reports of a month say, from the grid's first month on."""
     own = F.col("dt") >= F.lit(GRID_FROM).cast("date")
     own = own & (F.col("dt") <= F.lit(CUTOFF).cast("date"))
     lines, late = r.lines.where(own), r.late.where(own)
     ced = r.assignors.where(own).groupBy("cnpj", "dt").agg(F.max("pr").alias("pr_max"), F.sum(F.col("pr") * F.col("pr")).alias("hhi_ced"), F.sum("pr").alias("pr_sum"), F.count("*").alias("n_ced"), F.count_if(F.col("pr") > 60).alias("n_bad"), F.max(F.when(F.col("val") % 7 < 1, F.col("pr"))).alias("pr_person"))
-    # amounts overdue and the number of listed debtors from one shuffle of the lines with their orders
-    debts = late.groupBy("cnpj", "dt", "deb").agg(*[F.sum(x).alias(n) for n, x in r.bands().items()])
+    # amounts overdue and the number of listed debtors from one shuffle of the lines with their orders; a vehicle's few lines of a
+    # month lie in all files, so that sums by file would be as many rows and wider
+    by = ["cnpj", "dt"]
+    debts = late.select(*by, "deb", "late", "v").repartition(*by).groupBy(*by, "deb").agg(*[F.sum(x).alias(n) for n, x in r.bands().items()])
     debts = debts.groupBy("cnpj", "dt").agg(*[F.round(F.sum(n), 2).alias(n) for n in r.bands()], F.least(F.count("*"), F.lit(25)).alias("n_hold"))
-    tabs = lines.groupBy("cnpj", "dt").agg(*[x.alias(n) for n, x in r.amounts().items()], *[F.expr(e).alias(n) for n, e in _TABS.items()])
+    tabs = lines.select(*by, "v", "flag", "qty", "tax", "ln", "l_orderkey").repartition(*by).groupBy(*by).agg(*[x.alias(n) for n, x in r.amounts().items()], *[F.expr(e).alias(n) for n, e in _TABS.items()])
     return tabs.join(debts, ["cnpj", "dt"], "left").join(ced, ["cnpj", "dt"], "left")
 
 
-def editions_of(r: Reports) -> Reports:
-    """The reports with the engine's facts written once, for several editions."""
-    r.__dict__.setdefault("facts", cut(_facts(r)))
-    return r
-
-
-def _wide(r: Reports, cutoff: str = CUTOFF) -> DataFrame:
+def _wide(r: Reports, cutoff: str = CUTOFF, earlier: tuple[str, ...] = ()) -> DataFrame:
+    """The months that signals look at; for each earlier cutoff also gaps_<i> and told_<i>, the gaps as they were then and whether the
+    vehicle had reported: all else of a month is the same in every edition that holds it, as windows look back."""
     own = F.col("dt").between(F.lit(GRID_FROM).cast("date"), F.lit(cutoff).cast("date"))
     facts = _facts(r).where(own)
-    grid = T.interior_gaps(T.densify(r.sane.where(own).select("cnpj", "dt", "pl"), facts.select("dt").distinct()))
+    grid = T.densify(r.sane.where(own).select("cnpj", "dt", "pl"), r.lines.where(own).select("dt").distinct())
+    for i, c in enumerate(earlier):
+        then = F.max(F.col("obs") & (F.col("dt") <= F.lit(c).cast("date"))).over(Window.partitionBy("cnpj"))
+        grid = T.interior_gaps(grid, c).drop("gap").withColumnRenamed("gaps", f"gaps_{i}").withColumn(f"told_{i}", then)
+    grid = T.interior_gaps(grid).drop("gap")
     j = grid.join(facts, ["cnpj", "dt"], "left")
     j = j.join(r.registry.select("cnpj", *[F.expr(e).alias(n) for n, e in _ROLES.items()]), "cnpj", "left")
-    j = T.stagnation(j.withColumns({n: F.expr(e) for n, e in _OWN.items()}), "lots")
     z = F.lit(0.0)
+    j = j.withColumns({n: F.expr(e) for n, e in _OWN.items()})
     j = j.withColumns({"dc": F.when(F.col("v_tot").isNotNull(), F.coalesce("dc_risk", z) + F.coalesce("dc_norisk", z)), "prov": F.coalesce("b90", z), "inad_long": F.coalesce("bmax", z), "base": F.coalesce("dcp", z) + F.coalesce("inad", z)})
     w = T.by_month()
+    # what no window reads goes through them as one column
+    moved = [c for c in j.columns if c not in _MOVING]
+    j = T.stagnation(j.select(*_MOVING, F.struct(*moved).alias("rest")), "lots")
 
     def grown(c: str):
         return F.ln(F.when(F.lag(c, 12).over(w) > 0, F.when(F.col(c) > 0, F.col(c) / F.lag(c, 12).over(w))))
@@ -103,7 +109,7 @@ def _wide(r: Reports, cutoff: str = CUTOFF) -> DataFrame:
         "aq_12m": T.rolling(F.col("v_sen")), "roll_12m": T.rolling(F.col("v_mez")), "med_12": T.rolling_mean(F.col("v_tot")),
         "related_12m": T.rolling(F.coalesce("related", z)), "poor_12m": T.rolling(F.coalesce("poor", z)), "shift_12": grown("pl") - grown("book"),
         "new_admin": (F.col("admin_code") != F.lag("admin_code", 12).over(w)).cast("double"),
-    }).withColumn("var_m", F.col("pl") / F.nullif(F.col("pl_1"), z) - 1).where(F.col("dt") >= F.lit("2000-06-30").cast("date"))
+    }).withColumn("var_m", F.col("pl") / F.nullif(F.col("pl_1"), z) - 1).where(F.col("dt") >= F.lit("2000-06-30").cast("date")).select("*", "rest.*").drop("rest")
 
 
 _ROLL = "CASE WHEN count({c}) OVER w12>=10 THEN sum({c}) OVER w12/count({c}) OVER w12*12 END"
@@ -142,14 +148,26 @@ def kept_wide(r: Reports, cutoff: str = CUTOFF) -> DataFrame:
     return kept[cutoff]
 
 
-def fired_signals(r: Reports, cutoff: str = CUTOFF) -> DataFrame:
+def keep_editions(r: Reports, *cutoffs: str) -> None:
+    """Writes the months of several editions once: an earlier one is a part of the latest."""
+    *earlier, last = sorted(set(cutoffs))
+    every = cut(_wide(r, last, tuple(earlier)))
+    extra = [f"{k}_{i}" for i in range(len(earlier)) for k in ("gaps", "told")]
+    kept = r.__dict__.setdefault("kept_wide", {})
+    kept[last] = every.drop(*extra)
+    for i, c in enumerate(earlier):
+        kept[c] = every.where((F.col("dt") <= F.lit(c).cast("date")) & F.col(f"told_{i}")).withColumn("gaps", F.col(f"gaps_{i}")).drop(*extra)
+
+
+def settled_signals(r: Reports, cutoff: str = CUTOFF) -> DataFrame:
+    """Each vehicle's signals at the cutoff: (cnpj, id, fired, evaluable, streak)."""
     wide = kept_wide(r, cutoff)
-    return S.fired(S.long_form(wide, _IDS), S.thresholds(wide, _IDS, cutoff), _IDS)
+    return S.state(wide, S.thresholds(wide, _IDS, cutoff), _IDS, cutoff)
 
 
 def active_signals(r: Reports, cutoff: str = CUTOFF) -> DataFrame:
     """What an edition publishes: (id, cnpj, streak) of the signals that fire at its cutoff."""
-    return S.settled(fired_signals(r, cutoff), cutoff).where("fired").select("id", "cnpj", "streak")
+    return settled_signals(r, cutoff).where("fired").select("id", "cnpj", "streak")
 
 
 def _at(df: DataFrame) -> DataFrame:
@@ -157,7 +175,7 @@ def _at(df: DataFrame) -> DataFrame:
 
 
 def _scores(r: Reports) -> DataFrame:
-    return S.score(S.settled(fired_signals(r), CUTOFF), _IDS)
+    return S.score(settled_signals(r), _IDS)
 
 
 @plan(WIDE_SQL + " SELECT id, round(lim,6) AS lim, n FROM lim")
@@ -198,7 +216,7 @@ _SNAPSHOT = "id string, cnpj string, streak long"
 def snapshots(r: Reports, *cutoffs: str) -> tuple[DataFrame, DataFrame]:
     """The active signals of the editions at the cutoffs, each stored as a snapshot, and of these the latest two."""
     folder = f"{shared_folder(r.spark)}/snapshots-{uuid.uuid4().hex}"
-    editions_of(r)
+    keep_editions(r, *cutoffs)
     for cutoff in cutoffs:
         V.append(active_signals(r, cutoff), folder, cutoff)
     return V.latest_two(r.spark, folder, _SNAPSHOT)
@@ -217,7 +235,7 @@ def score_bands(r: Reports) -> DataFrame:
 @plan(WIDE_SQL + f""" SELECT cnpj, count(*) FILTER (evaluable) AS n_evaluable, count(*) FILTER (fired) AS n_fired, count(*) FILTER (fired AND streak>=months) AS n_persistent, count(*) FILTER (fired AND streak>=months AND weight=10) AS n_critical, count(*) FILTER (fired AND streak>=months AND weight=6) AS n_high,
 count(*) FILTER (fired AND observed) AS n_observed, count(*) FILTER (fired AND NOT observed) AS n_derived, round(count(*) FILTER (fired AND observed)/nullif(count(*) FILTER (fired),0),3) AS strength, round(avg(streak) FILTER (fired),4) AS mean_streak FROM fi JOIN st USING (cnpj, id) JOIN ids USING (id) WHERE dt='{CUTOFF}' GROUP BY 1""")
 def score_dimensions(r: Reports) -> DataFrame:
-    return S.dimensions(S.settled(fired_signals(r), CUTOFF), _IDS)
+    return S.dimensions(settled_signals(r), _IDS)
 
 
 _STAKES_SQL = f"stk AS (SELECT cnpj, unnest([{', '.join(repr(k) for k in S.STAKES)}]) AS id, unnest([{', '.join(f'cast({e} AS double)' for e in S.STAKES.values())}]) AS stake FROM wide WHERE dt='{CUTOFF}')"
@@ -226,7 +244,7 @@ _STAKES_SQL = f"stk AS (SELECT cnpj, unnest([{', '.join(repr(k) for k in S.STAKE
 @plan(WIDE_SQL + f", {_STAKES_SQL} SELECT cnpj, round(max(stake) FILTER (fired),2) AS stake_max, round(coalesce(sum(stake) FILTER (fired),0),2) AS stake_sum, max(dt) FILTER (fired) AS current FROM fi LEFT JOIN stk USING (cnpj, id) WHERE dt='{CUTOFF}' GROUP BY 1")
 def score_stakes(r: Reports) -> DataFrame:
     """The amounts at stake of each vehicle's signals, and how current they are."""
-    settled = S.settled(fired_signals(r), CUTOFF)
+    settled = settled_signals(r)
     return S.stakes(kept_wide(r), settled, CUTOFF)
 
 

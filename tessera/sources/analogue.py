@@ -113,10 +113,13 @@ class Reports:
     @cached_property
     def assignors(self) -> DataFrame:
         p = self.table("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ced"))
-        v = self.lines.join(p, "l_partkey").groupBy("cnpj", "dt", "ced").agg(F.round(F.sum("v"), 2).alias("val"))
-        w = Window.partitionBy("cnpj", "dt")
-        v = v.withColumn("pr", F.round(100 * F.col("val") / F.nullif(F.sum("val").over(w), F.lit(0.0)), 6))
-        return v.withColumn("pos", F.row_number().over(w.orderBy(F.desc("val"), "ced"))).where("pos <= 9")
+        # by vehicle and month at once, and ranks and sums over one order: one shuffle, one sort and one window
+        lines = self.lines.join(p, "l_partkey").select("cnpj", "dt", "ced", "v").repartition("cnpj", "dt")
+        v = lines.groupBy("cnpj", "dt", "ced").agg(F.round(F.sum("v"), 2).alias("val"))
+        w = Window.partitionBy("cnpj", "dt").orderBy(F.desc("val"), "ced")
+        whole = F.sum("val").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        ranked = v.select("cnpj", "dt", "ced", "val", whole.alias("whole"), F.row_number().over(w).alias("pos")).where("pos <= 9")
+        return ranked.select("cnpj", "dt", "ced", "val", F.round(100 * F.col("val") / F.nullif("whole", F.lit(0.0)), 6).alias("pr"), "pos")
 
     @cached_property
     def debtors(self) -> DataFrame:

@@ -6,6 +6,8 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tessera.operators import signals as S
+from tessera.plans import signals as plans
+from tessera.sources.analogue import BEFORE, CUTOFF, Reports
 
 MONTHS = [date(2001, 4, 30), date(2001, 5, 31), date(2001, 6, 30)]
 ROWS = "cnpj string, id string, dt date, fired boolean, evaluable boolean"
@@ -72,3 +74,31 @@ def test_stakes_of_what_fires(spark):
     fired = spark.createDataFrame([("a", "ES-04", True, 1), ("a", "QA-04", True, 1), ("a", "QA-01", True, 1), ("a", "GV-01", False, 0), ("b", "ES-04", False, 0)], "cnpj string, id string, fired boolean, streak int")
     got = {r.cnpj: (r.stake_max, r.stake_sum, r.current) for r in S.stakes(wide, fired, "2001-06-30").collect()}
     assert got == {"a": (7.0, 12.0, MONTHS[-1]), "b": (None, 0.0, None)}
+
+
+def test_state_is_settled_of_the_long_form(spark):
+    wide = _panel(spark, {"a": {"pl": -5.0, "dc": 7.0}, "b": {"pl": 3.0, "name": "x", "measure": 1.0}})
+    wide = wide.union(wide.where("cnpj = 'a'").withColumn("dt", F.lit(MONTHS[1]))).union(wide.where("cnpj = 'b'").withColumn("dt", F.lit(MONTHS[1])).withColumn("measure", F.lit(0.0)))
+    wide = wide.union(wide.where("cnpj = 'a'").limit(1).withColumn("cnpj", F.lit("gone")).withColumn("dt", F.lit(MONTHS[0])))
+    limits = S.thresholds(wide, S.SIGNALS, "2001-06-30")
+    long = S.settled(S.fired(S.long_form(wide, S.SIGNALS), limits, S.SIGNALS), "2001-06-30")
+    now = S.state(wide, limits, S.SIGNALS, "2001-06-30")
+    columns = ["cnpj", "id", "fired", "evaluable", "streak"]
+    assert sorted(map(tuple, now.select(columns).collect()), key=str) == sorted(map(tuple, long.select(columns).collect()), key=str)
+    assert {(r.cnpj, r.streak) for r in now.where("fired").collect() if r.id in ("ES-04", "GV-04")} == {("a", 2), ("b", 1)}
+
+
+def test_an_earlier_edition_is_part_of_the_latest(spark):
+    """One table of months serves both; the gaps before a vehicle's last report then are not those of now."""
+    folder = "/root/testdata/sf0.001"
+    r, own = Reports(spark, folder), Reports(spark, folder)
+    plans.keep_editions(r, BEFORE, CUTOFF)
+    for month in (BEFORE, CUTOFF):
+        a, b = plans.kept_wide(r, month), plans.kept_wide(own, month)
+        assert a.count() == b.count() > 0
+        assert a.select(sorted(b.columns)).exceptAll(b.select(sorted(b.columns))).count() == 0
+
+
+def test_assignors_take_one_window(spark):
+    plan = Reports(spark, "/root/testdata/sf0.001").assignors._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1
