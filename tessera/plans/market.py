@@ -379,7 +379,9 @@ def debtor_summary_quantiles(r: Reports) -> DataFrame:
     """Thirteen measures of each of six shares."""
     long = debtor_metrics(r).select("dc", *_SHARES).unpivot(["dc"], list(_SHARES), "measure", "x")
     x, has = F.col("x"), F.col("x").isNotNull()
-    quantiles = [F.round(F.percentile("x", q), 6).alias(n) for n, q in (("p25", 0.25), ("med", 0.5), ("p75", 0.75), ("p90", 0.9))]
+    cuts = {"p25": 0.25, "med": 0.5, "p75": 0.75, "p90": 0.9}
+    every = F.percentile("x", list(cuts.values()))  # one aggregate, which holds and ships a measure's values once for all four
+    quantiles = [F.round(every[i], 6).alias(n) for i, n in enumerate(cuts)]
     above = [F.count_if(x > q).alias(f"above{round(100 * q)}") for q in (0.1, 0.2, 0.5)]
     return long.groupBy("measure").agg(F.count("x").alias("n"), F.round(F.avg("x"), 6).alias("mean"), *quantiles, F.round(F.max("x"), 6).alias("most"), F.round(F.sum(x * F.col("dc")) / F.nullif(F.sum(F.when(has, F.col("dc"))), F.lit(0.0)), 6).alias("weighted"), *above, F.round(F.coalesce(F.sum(F.when(x > 0.5, F.col("dc"))), F.lit(0.0)), 2).alias("dc_above50"))
 

@@ -123,7 +123,8 @@ class Reports:
 
     @cached_property
     def debtors(self) -> DataFrame:
-        v = self.late.groupBy("cnpj", "dt", "deb").agg(F.round(F.sum("v"), 2).alias("val"))
+        lines = self.late.select("cnpj", "dt", "deb", "v").repartition("cnpj", "dt")  # one shuffle for the sums and the ranks
+        v = lines.groupBy("cnpj", "dt", "deb").agg(F.round(F.sum("v"), 2).alias("val"))
         return v.withColumn("seq", F.row_number().over(Window.partitionBy("cnpj", "dt").orderBy(F.desc("val"), "deb"))).where("seq <= 25")
 
     @cached_property

@@ -176,3 +176,14 @@ def test_controls_of_crowded_types(spark):
     assert time.time() - began < 60  # a round for each positive took minutes
     assert rows(B.matched_without_reuse(positives, candidates, block=150)) == sorted(want, key=repr)
     assert rows(B.matched_controls(positives, candidates)) == sorted(reuse, key=repr)
+
+
+def test_debtor_quantiles_hold_the_values_once(spark):
+    from tessera.plans.market import debtor_summary_quantiles
+    from tessera.sources.analogue import Reports
+
+    df = debtor_summary_quantiles(Reports(spark, "/root/testdata/sf0.001"))
+    aggregate = next(x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "percentile" in x)
+    assert aggregate.count("percentile(") == 1
+    rows = {r.measure: r for r in df.collect()}
+    assert len(rows) == 6 and all(r.p25 <= r.med <= r.p75 <= r.p90 <= r.most for r in rows.values())
