@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +80,51 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = 4 << 20
                 start, size = i + 1, 0
 
 
+_tables: dict[tuple, Any] = {}
+
+
+def worker_table(*key: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, which a worker keeps for its later tasks: one thing at a time, that asked for last."""
+    if key not in _tables:
+        _tables.clear()
+        _tables[key] = make()
+    return _tables[key]
+
+
+@cache
+def _trim() -> Callable[[int], int] | None:
+    """The C library's call that gives free memory back to the machine, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Run, keep: bool = False) -> Run:
+    """``run`` for mapInArrow, in a worker that serves many stages and lies idle between them: at its beginning the
+    table of another operator goes (unless ``keep``), and at its end the memory that it no longer holds."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep:
+            _drop()
+        yield from run(batches)
+        _free()
+
+    return whole
+
+
+def _drop() -> None:
+    if _tables:
+        _tables.clear()
+        _free()
+
+
+def _free() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1 << 16) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups from rows that are sorted by ``keys``, with the group's number of each row. Held at
     once: the rows of one group, or about ``least``."""

@@ -35,16 +35,15 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, cut, numbered, partitions, slices, whole_groups
+from .common import KEY, cut, numbered, partitions, slices, tidy, whole_groups
 
 DEPTH, TOP, HEAD, LONG = 6, 3, 200_000, 64
-#: Documents of a block; codes that a task sorts at once.
-BLOCK, FLUSH = 16_384, 6_000_000
+#: Documents of a block; codes that a task sorts at once, bytes of text that it takes together.
+BLOCK, FLUSH, SLICE = 16_384, 1_500_000, 1 << 20
 #: Stands for the end token; no word holds a line end.
 END = "\n"
 #: Byte of the end mark, and of what stands before a text.
@@ -99,6 +98,29 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return codes[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
+def stacked(done: list[tuple[np.ndarray, np.ndarray]], new: tuple[np.ndarray, np.ndarray]) -> None:
+    """Adds a list of codes and counts to others, which it is merged with while they are less than twice as long: a
+    code is merged a logarithmic number of times, and the longest list is copied last."""
+    done.append(new)
+    while len(done) > 1 and len(done[-2][0]) < 2 * len(done[-1][0]):
+        done[-2:] = [merged(done[-2:])]
+
+
+def looked_up(codes: np.ndarray, table: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The value of each code in a sorted table that holds them all. The codes are sorted too, so that the table is
+    walked through in one direction."""
+    order = np.argsort(codes)
+    ranked = codes[order]
+    at = _starts(ranked)
+    unique = ranked[at]
+    k = np.searchsorted(table, unique)
+    if len(unique) and (k[-1] >= len(table) or (table[k] != unique).any()):
+        raise RuntimeError("the texts are not those that were counted")
+    out = np.empty(len(codes), dtype=value.dtype)
+    out[order] = np.repeat(value[k], np.diff(np.concatenate((at, [len(ranked)]))))
+    return out
+
+
 def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log of the estimate's probability of that many zeros and ones."""
 
@@ -242,7 +264,7 @@ def count_corpus(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
         def blocks() -> Iterator[pa.RecordBatch]:
             nonlocal codes, size, done
             if codes:
-                done.append(reduced(codes))
+                stacked(done, reduced(codes))
             if done:
                 code, n = merged(done)
                 own = bucket_of(code, depth, buckets)
@@ -259,14 +281,14 @@ def count_corpus(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
                 yield rows(word=pa.array(list(words), pa.binary()).cast(pa.string()), n=list(words.values()))
                 words.clear()
 
-        for part, texts in slices(batches, "text"):
+        for part, texts in slices(batches, "text", SLICE):
             low = [t.lower() for t in texts]
             file, block, held = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             for t, h in zip(low, held):
                 if not h:
                     words.update(t.split())
             words[END.encode()] += int((~held).sum())
-            if len(words) > 1_000_000:
+            if len(words) > 300_000:
                 yield from tally()
             cuts = [0, *(np.flatnonzero((file[1:] != file[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), len(low)]
             for a, b in zip(cuts, cuts[1:]):
@@ -277,14 +299,12 @@ def count_corpus(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
                 codes.append((code << U(1)) | np.repeat(~held[a:b], n).astype(U))
                 size += len(code)
                 if size >= FLUSH:
-                    done.append(reduced(codes))
+                    stacked(done, reduced(codes))
                     codes, size = [], 0
-                    if len(done) > 4:
-                        done = [merged(done)]
         yield from blocks()
         yield from tally()
 
-    return docs.select("file", "block", "held", "text").mapInArrow(run, "word string, n long, bucket int, file long, block long, grams binary, counts binary")
+    return docs.select("file", "block", "held", "text").mapInArrow(tidy(run), "word string, n long, bucket int, file long, block long, grams binary, counts binary")
 
 
 def bucket_of(codes: np.ndarray, depth: int, buckets: int) -> np.ndarray:
@@ -299,7 +319,7 @@ def _gathered(counted: DataFrame, tasks: int) -> DataFrame:
     held = pa.list_(pa.struct([("file", pa.int64()), ("block", pa.int64()), ("held", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, group in whole_groups(batches, ["bucket"], 512):
+        for table, group in whole_groups(batches, ["bucket"], 64):
             cuts = [*_starts(group).tolist(), len(group)]
             for a, b in zip(cuts, cuts[1:]):
                 own = table.slice(a, b - a)
@@ -312,7 +332,7 @@ def _gathered(counted: DataFrame, tasks: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([int(own.column("bucket")[0].as_py())], pa.int32()), pa.array([pack(code)]), pa.array([n.tobytes()]), pa.array([blocks], held)], names=["bucket", "grams", "counts", "blocks"])
 
     own = counted.where("bucket IS NOT NULL").select("bucket", "file", "block", "grams", "counts")
-    return own.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return own.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), schema)
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[np.ndarray, Nodes, list | None]]:
@@ -339,7 +359,7 @@ def build_trunk(gathered: DataFrame, depth: int) -> Trunk:
                     sums = [np.add.reduceat(x[order], at) for x in (own, zeros, ones)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), level, np.int32)), pa.array(up[order][at].view(np.int64)), *map(pa.array, sums)], names=["level", "code", "own", "zeros", "ones"])
 
-    found = gathered.select("grams", "counts").mapInArrow(run, "level int, code long, own double, zeros double, ones double")
+    found = gathered.select("grams", "counts").mapInArrow(tidy(run), "level int, code long, own double, zeros double, ones double")
     rows = found.groupBy("level", "code").agg(*[F.sum(c).alias(c) for c in ("own", "zeros", "ones")]).orderBy("level", "code").toPandas()
     nodes: Nodes = {}
     sums: dict[int, np.ndarray] = {}
@@ -368,7 +388,7 @@ def gram_scores(gathered: DataFrame, trunk: Trunk, depth: int) -> DataFrame:
                 some = [(b["file"], b["block"], unpack(b["held"]).astype(np.int64)) for b in blocks[k : k + 64]]
                 yield pa.RecordBatch.from_arrays([pa.array([f for f, *_ in some], pa.int64()), pa.array([b for _, b, _ in some], pa.int64()), pa.array([pack(code[i]) for *_, i in some], pa.binary()), pa.array([value[i].tobytes() for *_, i in some], pa.binary())], names=["file", "block", "grams", "scores"])
 
-    return gathered.select("grams", "counts", "blocks").mapInArrow(run, "file long, block long, grams binary, scores binary")
+    return gathered.select("grams", "counts", "blocks").mapInArrow(tidy(run), "file long, block long, grams binary, scores binary")
 
 
 def score(docs: DataFrame, depth: int = DEPTH, head: int = HEAD, block: int = BLOCK) -> DataFrame:
@@ -404,11 +424,7 @@ def score(docs: DataFrame, depth: int = DEPTH, head: int = HEAD, block: int = BL
         get = known.get
         low = [t.lower() for t in texts]
         code, size = grams(low, depth)
-        number, unique = pd.factorize(code)
-        k = np.minimum(np.searchsorted(table, unique), len(table) - 1)
-        if (table[k] != unique).any():
-            raise RuntimeError("the texts are not those that were counted")
-        total = np.add.reduceat(value[k][number].astype(float), np.cumsum(size) - size)
+        total = np.add.reduceat(looked_up(code, table, value).astype(float), np.cumsum(size) - size)
         n, sure, base_score, words, times, row = [], [], [], [], [], []
         for i, t in enumerate(low):
             found = t.split()
@@ -431,7 +447,7 @@ def score(docs: DataFrame, depth: int = DEPTH, head: int = HEAD, block: int = BL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, pieces, table, value = None, [], None, None
-        for part, texts in slices(batches, "text"):
+        for part, texts in slices(batches, "text", SLICE):
             file, block = part.column(0).to_numpy(), part.column(1).to_numpy()
             sent = part.column(5).is_valid().to_numpy(zero_copy_only=False)
             new = (file[1:] != file[:-1]) | (block[1:] != block[:-1]) | (sent[1:] != sent[:-1])
@@ -450,7 +466,7 @@ def score(docs: DataFrame, depth: int = DEPTH, head: int = HEAD, block: int = BL
 
     met = own.select("file", "block", "row", "doc_id", "text").unionByName(sent.withColumnRenamed("grams", "g").withColumnRenamed("scores", "v"), allowMissingColumns=True)
     met = met.repartition(max(partitions(spark), n_docs // block + 1), "file", "block").sortWithinPartitions("file", "block", F.col("g").isNull())
-    rows = met.mapInArrow(run, "file long, row long, doc_id long, word string, times long, own boolean, n_tokens long, sure long, total double, score double, size long")
+    rows = met.mapInArrow(tidy(run), "file long, row long, doc_id long, word string, times long, own boolean, n_tokens long, sure long, total double, score double, size long")
     rare = vocabulary.where(~common).withColumnRenamed("c", "rare")
     joined = rows.join(rare, "word", "left")
     c = F.coalesce("rare", F.lit(0))
