@@ -19,7 +19,6 @@ import heapq
 import json
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -29,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy, worker_table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Fragments and words that a worker keeps.
@@ -178,9 +177,8 @@ class Encoder:
         return raw.decode("utf-8", errors="replace").encode()
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return worker_table("encoder", path, make=lambda: Encoder(path))
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -192,7 +190,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         for part, texts in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([enc.encode(t) for t in texts], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run, keep=True), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -204,7 +202,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.decode(i or []).decode() for i in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(tidy(run, keep=True), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -223,4 +221,4 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 text_sha.append(hashlib.sha256(enc.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run, keep=True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, slices
+from .common import cut, slices, tidy, worker_table
 
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLE, ROUNDS, SMOOTH, ALONE = 1500, 3, 0.02, 256
@@ -108,15 +108,9 @@ class Pieces:
             yield end, found
 
 
-_pieces: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
     """A worker's table of a vocabulary: one for all fits and predictions, never shipped with a task."""
-    if path not in _pieces:
-        _pieces.clear()
-        _pieces[path] = Pieces(path)
-    return _pieces[path]
+    return worker_table("pieces", path, make=lambda: Pieces(path))
 
 
 def _matrices(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -229,7 +223,7 @@ def fit(labelled: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUN
             for lang, c in found.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array([w.encode() for w in c], pa.binary()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
 
-    words = cut(drawn.select("text", "lang").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    words = cut(drawn.select("text", "lang").mapInArrow(tidy(count, keep=True), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     size = len(pieces(path))
     number = {k: i for i, k in enumerate(langs)}
     prob = np.full((size, len(langs)), 1 / size)
@@ -246,7 +240,7 @@ def fit(labelled: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUN
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], names=["i", "j", "n"])
 
         counts = np.full_like(prob, SMOOTH)
-        for r in words.mapInArrow(expect, "i long, j long, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():  # pieces times languages at most
+        for r in words.mapInArrow(tidy(expect, keep=True), "i long, j long, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():  # pieces times languages at most
             counts[r.i, r.j] += r.n
         prob = counts / counts.sum(0)
     return langs, prob
@@ -297,7 +291,7 @@ def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, path: str, carr
 
     names = [c for c in docs.columns if c != "text" or carried]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run, keep=True), schema)
 
 
 def held_out() -> Column:

@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import KEY, components, cut, numbered, partitions, slices, whole_groups
+from .common import KEY, components, cut, numbered, partitions, slices, tidy, whole_groups
 
 SHINGLE, SEED, CAP = 3, 42, 4096
-#: For groups by similarity: words in a shingle, Jaccard similarity, bits that may differ, bands of minima.
+#: For groups by similarity: words in a shingle, Jaccard similarity, bits that may differ, rows and bands of minima.
 WIDTH, LEVEL, FAR, ROWS, BANDS = 5, 0.8, 22, 6, 40
+#: Bits within which the pigeonhole brings all fingerprints together.
+TAU = 2
 #: Sets smaller than this are verified whatever their fingerprints; rows of a tile; pairs of a node in a task.
 FEW, TILE, MANY = 32, 2048, 1024
 #: How far the estimate from the minima's last bytes may lie below the level: five standard deviations at 0.8.
@@ -75,7 +77,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for part, texts in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(simhash(texts, shingle).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def bit_statistics(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -90,7 +92,7 @@ def bit_statistics(nodes: DataFrame) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(i * 64 + j), pa.array(total[i, j].astype(np.int64))], names=["cell", "n"])
 
     together = np.zeros(64 * 64)
-    for r in nodes.select("fp").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in nodes.select("fp").mapInArrow(tidy(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         together[r.cell] = r.n
     return nodes.count(), together.reshape(64, 64)
 
@@ -256,7 +258,7 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     own = docs.select("uid", "rank", "text")
     made = {"node": T.LongType(), "fp": T.LongType(), "n": T.IntegerType(), "bands": T.ArrayType(T.LongType()), "sig": T.BinaryType()}
     schema = T.StructType([*own.schema.fields[:2], *[T.StructField(k, t) for k, t in made.items()]])
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(tidy(run), schema)
 
 
 def _alike(fp: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, level: float) -> np.ndarray:
@@ -289,7 +291,7 @@ def _hubs(filed: DataFrame, level: float) -> DataFrame:
             k = start[-1]
             hub = (key[k], node[k], fp[k], n[k], bool(size[-1] > 1 or gone[k]))
 
-    return filed.mapInArrow(run, "key long, node long, fp long, n int, hub long, near boolean")
+    return filed.mapInArrow(tidy(run), "key long, node long, fp long, n int, hub long, near boolean")
 
 
 def _crossing(rows: DataFrame, level: float) -> DataFrame:
@@ -314,7 +316,7 @@ def _crossing(rows: DataFrame, level: float) -> DataFrame:
                 u, v = np.unique(np.concatenate(found, axis=1), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long").distinct()
+    return rows.mapInArrow(tidy(run), "u long, v long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, level: float) -> DataFrame:
@@ -337,7 +339,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, level: float) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     both = salted.join(left, ["u", "salt"]).join(right, "v").select("u", "v", "a", "b")
-    return both.mapInArrow(run, "u long, v long")
+    return both.mapInArrow(tidy(run), "u long, v long")
 
 
 def _packed(hashes: np.ndarray) -> bytes:
@@ -358,26 +360,47 @@ def _sets(docs: DataFrame, owners: DataFrame, width: int) -> DataFrame:
         for part, texts in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_packed(shingle_hashes(t, width)) for t in texts], pa.binary())], names=["node", "hashes"])
 
-    return docs.join(owners, "uid").select("node", "text").mapInArrow(run, "node long, hashes binary")
+    return docs.join(owners, "uid").select("node", "text").mapInArrow(tidy(run), "node long, hashes binary")
 
 
-def similar_groups(docs: DataFrame, width: int = WIDTH, level: float = LEVEL, tile: int = TILE) -> DataFrame:
+def _close_prints(made: DataFrame, level: float, tau: int) -> DataFrame:
+    """Pairs (u, v) of nodes by their fingerprints: one node of each of two that the pigeonhole links within ``tau``
+    bits, and all nodes of a fingerprint beside its first; without those whose sizes leave no such similarity."""
+    nodes = made.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"))
+    prints = cut(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("x")).select("fp", "x.node", "x.n"), "prints")
+    one, two = (prints.select(F.col("fp").alias(k), F.col("node").alias(f"node_{k}"), F.col("n").alias(f"n_{k}")) for k in "uv")
+    apart = links(prints.select("fp"), tau).distinct().join(one, "u").join(two, "v").select("node_u", "n_u", "node_v", "n_v")
+    alike = nodes.select("fp", F.col("node").alias("node_v"), F.col("n").alias("n_v")).join(one.withColumnRenamed("u", "fp"), "fp").where("node_u <> node_v").select("node_u", "n_u", "node_v", "n_v")
+    possible = F.least("n_u", "n_v") >= level * F.greatest("n_u", "n_v")
+    return apart.union(alike).where(possible).select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct()
+
+
+def similar_groups(docs: DataFrame, width: int = WIDTH, level: float = LEVEL, tile: int = TILE, tau: int = TAU) -> DataFrame:
     """Rows (uid, rank, first) for rows (uid, rank, text) with a unique uid: first is the uid with the least rank in
     the row's group. Groups are what links of similarity ``level`` connect: the Jaccard similarity of the sets of
     ``width`` words in a row, as it is on the whole sets.
 
-    Equal sets are one node. Nodes that agree in a band of minima meet (a pair at the level is missed with chance
-    (1 - level ** ROWS) ** BANDS: 5e-6), pairs that fingerprints, sizes and minima leave possible are verified. All that
-    meet in a band are first compared with one of them; then the pairs that are not yet in one component, dealt out
-    in tiles where a band is crowded. None is left out, and no group of like texts costs all its pairs. No words: an
+    Equal sets are one node. The pigeonhole groups bring together all fingerprints within ``tau`` bits, whose nodes are
+    verified first. A pair at the level may lie farther apart, so nodes that agree in a band of minima meet too (a pair is
+    missed with chance (1 - level ** ROWS) ** BANDS: 5e-6), and pairs that fingerprints, sizes and minima leave possible
+    are verified unless one component holds both. All that meet in a band are first compared with one of them; then the
+    pairs that are not yet in one component, dealt out in tiles where a band is crowded. None is left out, and no group of like texts costs all its pairs. No words: an
     empty set, equal to any other such."""
     made = cut(sketches(docs, width), "sketches")
     owner = made.groupBy("node").agg(F.min("uid").alias("uid"))
     filed = made.join(owner.select("uid"), "uid", "left_semi").select(F.explode("bands").alias("key"), "node", "fp", "n")
     parts = partitions(docs.sparkSession)
     met = cut(_hubs(filed.repartition(parts, "key").sortWithinPartitions("key", "node"), level), "met")
-    sets = cut(_sets(docs.select("uid", "text"), cut(owner.join(met.select("node").distinct(), "node", "left_semi"), "owners"), width), "sets")
-    edges = cut(_verified(cut(met.where("near").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct(), "pairs"), sets, level), "links")
+    close = cut(_close_prints(made, level, tau), "close")
+    asked = met.select("node").union(close.select("u")).union(close.select("v")).distinct()
+    sets = cut(_sets(docs.select("uid", "text"), cut(owner.join(asked, "node", "left_semi"), "owners"), width), "sets")
+    edges = cut(_verified(close, sets, level), "links")
+    comp = cut(components(edges), "together")
+    pairs = met.where("near").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+    for k in "uv":
+        pairs = pairs.join(comp.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")), k, "left")
+    pairs = pairs.where(~F.coalesce(F.col("cu") == F.col("cv"), F.lit(False))).select("u", "v")
+    edges = edges.union(cut(_verified(cut(pairs, "pairs"), sets, level), "links"))
     comp = components(edges).withColumnRenamed("node", "c_node")
     rows = cut(met.join(comp, F.col("node") == F.col("c_node"), "left").select("key", "node", "fp", "n", F.coalesce("component", "node").alias("c")), "open")
     left = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")

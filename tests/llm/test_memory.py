@@ -5,9 +5,10 @@ from __future__ import annotations
 import tracemalloc
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 
-from tessera.llm import scoring
+from tessera.llm import bpe, common, language, scoring
 
 
 class Captured:
@@ -53,3 +54,13 @@ def test_merging_and_looking_up_agree_with_the_plain_way():
         except RuntimeError:
             continue
         raise AssertionError("a code that was not counted has a value")
+
+
+def test_a_worker_keeps_the_table_of_one_operator():
+    bpe.encoder(public_tokenizers.path(bpe.VOCABULARY))
+    first = language.pieces(public_tokenizers.path(language.VOCABULARY))
+    assert list(common._tables.values()) == [first]
+    assert list(common.tidy(lambda batches: batches, keep=True)(iter([1, 2]))) == [1, 2]
+    assert language.pieces(public_tokenizers.path(language.VOCABULARY)) is first
+    assert list(common.tidy(lambda batches: batches)(iter([1, 2]))) == [1, 2]
+    assert not common._tables

@@ -106,3 +106,29 @@ def test_stage_keeps_rows_whatever_their_doc_id(spark):
     index = {row: r for row, r in zip(rows, root)}
     kept = {index[(r.doc_id, r.text)]: (r.doc_id is None, r.doc_id or 0) for r in got}
     assert kept == best
+
+
+def test_pigeonhole_brings_near_prints_together(spark, monkeypatch):
+    rng = random.Random(11)
+
+    def print_of(words):
+        return simhash.majority([np.unique(simhash.shingle_hashes(" ".join(words).encode(), 5))])[0]
+
+    texts = []
+    for _ in range(6):  # a text and its copies with one other word whose prints differ in one or two bits, or in none
+        base = [f"w{rng.randrange(5000)}" for _ in range(800)]
+        mine, copies = print_of(base), []
+        while len(copies) < 2:
+            copy = list(base)
+            copy[rng.randrange(800)] = f"x{rng.randrange(5000)}"
+            if int(np.bitwise_count(print_of(copy) ^ mine)) <= 2:
+                copies.append(copy)
+        texts += [" ".join(t) for t in (base, *copies)]
+    texts += [" ".join(f"w{rng.randrange(5000)}" for _ in range(40)) for _ in range(10)]
+    want = brute(texts)
+    whole = simhash._hubs
+    monkeypatch.setattr(simhash, "_hubs", lambda filed, level: whole(filed, level).where("false"))  # no band at all
+    d = spark.createDataFrame(list(enumerate(texts)), "k long, text string").repartition(3)
+    rows = d.select(F.col("k").alias("uid"), F.struct("k").alias("rank"), "text")
+    got = {r.uid: r.first for r in simhash.similar_groups(rows).collect()}
+    assert len(set(want)) == 16 and [got[i] for i in range(len(texts))] == want
