@@ -19,13 +19,13 @@ one shingle of the whole sequence; rows repeat as they are; component_id ignores
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,8 +36,8 @@ SHINGLE, SEED, CAP = 3, 42, 4096
 WIDTH, LEVEL, FAR, ROWS, BANDS = 5, 0.8, 22, 6, 40
 #: Bits within which the pigeonhole brings all fingerprints together.
 TAU = 2
-#: Sets smaller than this are verified whatever their fingerprints; rows of a tile; pairs of a node in a task.
-FEW, TILE, MANY = 32, 2048, 1024
+#: Sets smaller than this are verified whatever their fingerprints; rows and shingles of a tile's block.
+FEW, TILE, HELD = 32, 2048, 1 << 20
 #: How far the estimate from the minima's last bytes may lie below the level: five standard deviations at 0.8.
 SLACK = 0.13
 
@@ -268,7 +268,7 @@ def _alike(fp: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, level: f
 
 
 def _hubs(filed: DataFrame, level: float) -> DataFrame:
-    """Rows (key, node, fp, n, hub, near) of keys that several nodes have: each beside the key's first node."""
+    """Rows (key, node, fp, n) of keys that several nodes have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub: tuple | None = None  # the last key's first row, and whether it has gone out
@@ -280,66 +280,104 @@ def _hubs(filed: DataFrame, level: float) -> DataFrame:
             if hub is not None:
                 key, node, fp, n = (np.concatenate(([x], y)) for x, y in zip(hub, (key, node, fp, n)))
                 gone[0] = hub[4]
-            new = np.concatenate(([True], key[1:] != key[:-1]))
-            start = np.flatnonzero(new)
-            first = start[np.cumsum(new) - 1]
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.concatenate((start, [len(key)])))
             out = np.flatnonzero((np.repeat(size, size) > 1) & ~gone)
-            near = (out != first[out]) & _alike(fp.view(np.uint64), n, first[out], out, level)
             if len(out):
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[out]) for x in (key, node, fp)), pa.array(n[out].astype(np.int32)), pa.array(node[first[out]]), pa.array(near)], names=["key", "node", "fp", "n", "hub", "near"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[out]) for x in (key, node, fp)), pa.array(n[out].astype(np.int32))], names=["key", "node", "fp", "n"])
             k = start[-1]
             hub = (key[k], node[k], fp[k], n[k], bool(size[-1] > 1 or gone[k]))
 
-    return filed.mapInArrow(tidy(run), "key long, node long, fp long, n int, hub long, near boolean")
+    return filed.mapInArrow(tidy(run), "key long, node long, fp long, n int")
 
 
-def _crossing(rows: DataFrame, level: float) -> DataFrame:
-    """Pairs (u, v) of rows (key, i, j, block, node, fp, n, c, sig) with equal key and tile but unlike c that may reach
+def _blocks(rows: DataFrame, tile: str, number: Column) -> DataFrame:
+    """Adds ``blocks``: the ``number``, rounded up, of blocks into which the rows of a ``tile`` go."""
+    several = cut(rows.groupBy(tile).agg(F.ceil(number).cast("int").alias("blocks")).where("blocks > 1"), "blocks")
+    return rows.join(several, tile, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+
+
+def _dealt(rows: DataFrame, tile: str) -> DataFrame:
+    """Rows (..., block, i, j) for rows with ``blocks``: each in a block of its ``tile``'s, laid out beside every block."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o")).drop("o", "blocks")
+    return rows.repartition(partitions(rows.sparkSession), tile, "i", "j").sortWithinPartitions(tile, "i", "j")
+
+
+def _spanning(start: int, end: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of the rows from ``start`` to ``end``, which are fewer than the rows; ``linked`` gives
+    those of the rows asked for that link with a row, and is not asked for rows which the forest connects already."""
+    label, lo, hi = np.arange(start, end), [], []
+    for a in range(start, end - 1):
+        own = label[a - start]
+        to = a + 1 + np.flatnonzero(label[a + 1 - start :] != own)
+        to = linked(a, to) if len(to) else to
+        if len(to):
+            other, one = np.unique(label[to - start], return_index=True)
+            lo.append(np.full(len(one), a)), hi.append(to[one])
+            label[np.isin(label, other)] = own
+    return (np.concatenate(lo), np.concatenate(hi)) if lo else (label[:0], label[:0])
+
+
+def _loose(rows: DataFrame, level: float) -> DataFrame:
+    """Edges (u, v) of a spanning forest of each tile of rows (key, i, j, block, node, fp, n, sig): pairs that may reach
     ``level``, by the last bytes of their minima too; pairs inside a block belong to its own tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, group in whole_groups(batches, ["key", "i", "j"]):
-            i, j, block, node, fp, n, c = (table.column(x).to_numpy() for x in ("i", "j", "block", "node", "fp", "n", "c"))
-            fp, size = fp.view(np.uint64), np.bincount(group)
+            i, j, block, node, fp, n = (table.column(x).to_numpy() for x in ("i", "j", "block", "node", "fp", "n"))
+            fp, inside = fp.view(np.uint64), i == j
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint8).reshape(len(group), -1)
-            left = np.cumsum(size)[group] - np.arange(len(group)) - 1
-            at, step, found = np.flatnonzero(left >= 1), 1, []
-            while len(at):
-                to = at + step
-                ok = (c[at] != c[to]) & ((i[at] == j[at]) | (block[at] != block[to])) & _alike(fp, n, at, to, level)
-                ok[ok] = (sig[at[ok]] == sig[to[ok]]).mean(axis=1) >= level - SLACK
-                found.append(np.stack((np.minimum(node[at[ok]], node[to[ok]]), np.maximum(node[at[ok]], node[to[ok]]))))
-                step += 1
-                at = at[left[at] >= step]
-            if found:
-                u, v = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    return rows.mapInArrow(tidy(run), "u long, v long").distinct()
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, level: float) -> DataFrame:
-    """The pairs (u, v) whose sets have a similarity of ``level`` or more; ``sets`` has a row for each node."""
-    # a node with many pairs is laid out once for each MANY of them
-    heavy = pairs.groupBy("u").count().where(F.col("count") > MANY).select(F.col("u").alias("h"), F.ceil(F.col("count") / MANY).cast("int").alias("copies"))
-    heavy = cut(heavy, "heavy")
-    salted = pairs.join(heavy, pairs["u"] == heavy["h"], "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("copies", F.lit(1))).alias("salt"))
-    left = sets.join(heavy, sets["node"] == heavy["h"], "left").select(F.col("node").alias("u"), F.col("hashes").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)).cast("long") - 1)).alias("salt"))
-    right = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                x, y = (_unpacked(s.as_py()) for s in (a, b))
-                both = np.sort(np.concatenate((x, y)), kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(same >= level * (len(x) + len(y) - same))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            def possible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                ok = (inside[b] | (block[a] != block[b])) & _alike(fp, n, a, b, level)
+                ok[ok] = (sig[a[ok]] == sig[b[ok]]).mean(axis=1) >= level - SLACK
+                return ok
+
+            size = np.bincount(group)
+            start = np.cumsum(size) - size
+            two = start[size == 2]
+            two = two[possible(two, two + 1)]
+            found = [(two, two + 1)]
+            found += [_spanning(s, s + k, lambda a, b: b[possible(np.full(len(b), a), b)]) for s, k in zip(start[size > 2].tolist(), size[size > 2].tolist())]
+            u, v = (node[np.concatenate(x)] for x in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return rows.mapInArrow(tidy(run), "u long, v long")
 
-    both = salted.join(left, ["u", "salt"]).join(right, "v").select("u", "v", "a", "b")
-    return both.mapInArrow(tidy(run), "u long, v long")
+
+def _linked(rows: DataFrame, level: float) -> DataFrame:
+    """Edges (u, v) of a spanning forest of each tile of rows (component, i, j, block, node, fp, n, hashes): pairs whose
+    sets have a similarity of ``level`` or more; pairs inside a block belong to its own tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in whole_groups(batches, ["component", "i", "j"], 1 << 11):
+            i, j, block, node, fp, n = (table.column(x).to_numpy() for x in ("i", "j", "block", "node", "fp", "n"))
+            fp, inside, found = fp.view(np.uint64), i == j, []
+            size = np.bincount(group)
+            for s, k in zip((np.cumsum(size) - size).tolist(), size.tolist()):
+                sets = [_unpacked(x) for x in table.column("hashes").slice(s, k).to_pylist()]
+                many = np.array([len(x) for x in sets])
+                at = np.cumsum(many) - many
+                words, own = np.unique(np.concatenate(sets), return_inverse=True)
+                mark = np.zeros(len(words), dtype=bool)
+
+                def similar(a: int, b: np.ndarray) -> np.ndarray:
+                    b = b[(inside[b] | (block[a] != block[b])) & _alike(fp, n, a, b, level)]
+                    if len(b):
+                        mine, x, y = own[at[a - s] : at[a - s] + many[a - s]], many[a - s], many[b - s]
+                        mark[mine] = True
+                        first = np.cumsum(y) - y
+                        same = np.add.reduceat(mark[own[np.repeat(at[b - s] - first, y) + np.arange(y.sum())]], first, dtype=np.int64)
+                        mark[mine] = False
+                        b = b[same >= level * (x + y - same)]
+                    return b
+
+                found.append(_spanning(s, s + k, similar))
+            u, v = (node[np.concatenate(x)] for x in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return rows.mapInArrow(tidy(run), "u long, v long")
 
 
 def _packed(hashes: np.ndarray) -> bytes:
@@ -352,27 +390,27 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(blob, dtype=np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.uint32)
 
 
-def _sets(docs: DataFrame, owners: DataFrame, width: int) -> DataFrame:
-    """Rows (node, hashes): the shingle sets of the texts with an owner's key (uid, node), as hashes of 32 bits (of
-    20,000 shingles one in twenty sets has two alike, which moves a similarity by 0.00005)."""
+def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """Rows (component, blocks, node, fp, n, hashes): the shingle sets of the texts of ``members`` (uid, component, blocks,
+    node, fp, n), as hashes of 32 bits (of 20,000 shingles one in twenty sets has two alike, which moves a similarity by
+    0.00005)."""
+    names = ["component", "blocks", "node", "fp", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_packed(shingle_hashes(t, width)) for t in texts], pa.binary())], names=["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array([_packed(shingle_hashes(t, width)) for t in texts], pa.binary())], names=[*names, "hashes"])
 
-    return docs.join(owners, "uid").select("node", "text").mapInArrow(tidy(run), "node long, hashes binary")
+    return docs.join(members, "uid").select(*names, "text").mapInArrow(tidy(run), "component long, blocks int, node long, fp long, n int, hashes binary")
 
 
-def _close_prints(made: DataFrame, level: float, tau: int) -> DataFrame:
-    """Pairs (u, v) of nodes by their fingerprints: one node of each of two that the pigeonhole links within ``tau``
-    bits, and all nodes of a fingerprint beside its first; without those whose sizes leave no such similarity."""
-    nodes = made.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"))
-    prints = cut(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("x")).select("fp", "x.node", "x.n"), "prints")
-    one, two = (prints.select(F.col("fp").alias(k), F.col("node").alias(f"node_{k}"), F.col("n").alias(f"n_{k}")) for k in "uv")
-    apart = links(prints.select("fp"), tau).distinct().join(one, "u").join(two, "v").select("node_u", "n_u", "node_v", "n_v")
-    alike = nodes.select("fp", F.col("node").alias("node_v"), F.col("n").alias("n_v")).join(one.withColumnRenamed("u", "fp"), "fp").where("node_u <> node_v").select("node_u", "n_u", "node_v", "n_v")
-    possible = F.least("n_u", "n_v") >= level * F.greatest("n_u", "n_v")
-    return apart.union(alike).where(possible).select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct()
+def _close_prints(nodes: DataFrame, tau: int) -> DataFrame:
+    """Pairs (u, v) of nodes (node, fp) by their fingerprints: one node of each of two that the pigeonhole links within
+    ``tau`` bits, and all nodes of a fingerprint beside its first."""
+    prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("node")), "prints")
+    one, two = (prints.select(F.col("fp").alias(k), F.col("node").alias(f"node_{k}")) for k in "uv")
+    apart = links(prints.select("fp"), tau).distinct().join(one, "u").join(two, "v").select("node_u", "node_v")
+    alike = nodes.select("fp", F.col("node").alias("node_v")).join(one.withColumnRenamed("u", "fp"), "fp").where("node_u <> node_v").select("node_u", "node_v")
+    return apart.union(alike).toDF("u", "v")
 
 
 def similar_groups(docs: DataFrame, width: int = WIDTH, level: float = LEVEL, tile: int = TILE, tau: int = TAU) -> DataFrame:
@@ -380,39 +418,23 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, level: float = LEVEL, ti
     the row's group. Groups are what links of similarity ``level`` connect: the Jaccard similarity of the sets of
     ``width`` words in a row, as it is on the whole sets.
 
-    Equal sets are one node. The pigeonhole groups bring together all fingerprints within ``tau`` bits, whose nodes are
-    verified first. A pair at the level may lie farther apart, so nodes that agree in a band of minima meet too (a pair is
-    missed with chance (1 - level ** ROWS) ** BANDS: 5e-6), and pairs that fingerprints, sizes and minima leave possible
-    are verified unless one component holds both. All that meet in a band are first compared with one of them; then the
-    pairs that are not yet in one component, dealt out in tiles where a band is crowded. None is left out, and no group of like texts costs all its pairs. No words: an
-    empty set, equal to any other such."""
+    Equal sets are one node. Nodes come together that the pigeonhole groups link within ``tau`` bits, or that agree in a
+    band of minima (a pair is missed with chance (1 - level ** ROWS) ** BANDS: 5e-6) and that fingerprints, sizes and
+    minima leave possible. What such pairs connect holds every pair at the level, so its sets meet in one task, each
+    sent once (where there are more than ``tile`` nodes or ``HELD`` shingles: once for each block of them), and are
+    compared on the whole sets. Tasks give spanning forests, never all pairs. No words: an empty set, equal to any other
+    such."""
     made = cut(sketches(docs, width), "sketches")
-    owner = made.groupBy("node").agg(F.min("uid").alias("uid"))
-    filed = made.join(owner.select("uid"), "uid", "left_semi").select(F.explode("bands").alias("key"), "node", "fp", "n")
-    parts = partitions(docs.sparkSession)
-    met = cut(_hubs(filed.repartition(parts, "key").sortWithinPartitions("key", "node"), level), "met")
-    close = cut(_close_prints(made, level, tau), "close")
-    asked = met.select("node").union(close.select("u")).union(close.select("v")).distinct()
-    sets = cut(_sets(docs.select("uid", "text"), cut(owner.join(asked, "node", "left_semi"), "owners"), width), "sets")
-    edges = cut(_verified(close, sets, level), "links")
-    comp = cut(components(edges), "together")
-    pairs = met.where("near").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    for k in "uv":
-        pairs = pairs.join(comp.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")), k, "left")
-    pairs = pairs.where(~F.coalesce(F.col("cu") == F.col("cv"), F.lit(False))).select("u", "v")
-    edges = edges.union(cut(_verified(cut(pairs, "pairs"), sets, level), "links"))
-    comp = components(edges).withColumnRenamed("node", "c_node")
-    rows = cut(met.join(comp, F.col("node") == F.col("c_node"), "left").select("key", "node", "fp", "n", F.coalesce("component", "node").alias("c")), "open")
-    left = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
-    blocks = F.ceil(F.col("size") / tile).cast("int")
-    dealt = rows.join(left.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "fp", "n", "c")
-    signed = made.select("node", "sig").join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    dealt = dealt.join(signed, "node")
-    crossing = _crossing(dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j"), level)
-    every = edges.union(_verified(cut(crossing, "pairs"), sets, level))
-    comp = components(every)
-    named = made.select("node", "uid", "rank").join(comp, "node", "left").select("uid", "rank", F.coalesce("component", "node").alias("component"))
+    nodes = cut(made.groupBy("node").agg(F.min("uid").alias("uid"), F.first("fp").alias("fp"), F.first("n").alias("n")), "nodes")
+    filed = made.join(nodes.select("uid"), "uid", "left_semi").select(F.explode("bands").alias("key"), "node", "fp", "n")
+    met = cut(_hubs(filed.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "node"), level), "met")
+
+    signed = made.select("node", "sig").join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    near = _loose(_dealt(_blocks(met, "key", F.count("*") / tile).join(signed, "node"), "key"), level)
+    coarse = cut(components(near.union(_close_prints(nodes, tau))), "coarse")
+    members = _blocks(nodes.join(coarse, "node"), "component", F.greatest(F.count("*") / tile, F.sum("n") / HELD))
+    edges = _linked(_dealt(_sets(docs.select("uid", "text"), cut(members, "members"), width), "component"), level)
+    named = made.select("node", "uid", "rank").join(components(edges), "node", "left").select("uid", "rank", F.coalesce("component", "node").alias("component"))
     first = named.groupBy("component").agg(F.min_by("uid", "rank").alias("first"))
     return named.join(first, "component").select("uid", "rank", "first")
 

@@ -8,7 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tessera.llm import simhash
+from tessera.llm import common, simhash
 from tessera.llm.common import components
 
 
@@ -132,3 +132,25 @@ def test_pigeonhole_brings_near_prints_together(spark, monkeypatch):
     rows = d.select(F.col("k").alias("uid"), F.struct("k").alias("rank"), "text")
     got = {r.uid: r.first for r in simhash.similar_groups(rows).collect()}
     assert len(set(want)) == 16 and [got[i] for i in range(len(texts))] == want
+
+
+@pytest.mark.parametrize("held", [1 << 20, 4000])
+def test_texts_under_the_level_do_not_cost_their_pairs(spark, monkeypatch, held):
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(5000)}" for _ in range(100)]
+    texts = [" ".join([*base[:89], *(f"x{i}y{k}" for k in range(11))]) for i in range(240)]  # each two: 85 of 107 shingles
+    texts += [" ".join([*base[:91], *(f"z{i}y{k}" for k in range(9))]) for i in range(3)]  # these three: 87 of 105
+    rows, cut = [], simhash.cut
+
+    def counted(df, name="cut"):
+        out = cut(df, name)
+        rows.append((out.count(), name))
+        return out
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    monkeypatch.setattr(common, "cut", counted)
+    monkeypatch.setattr(simhash, "HELD", held, raising=False)
+    d = spark.createDataFrame(list(enumerate(texts)), "k long, text string").repartition(3)
+    got = {r.uid: r.first for r in simhash.similar_groups(d.select(F.col("k").alias("uid"), F.struct("k").alias("rank"), "text")).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts) == [*range(240), 240, 240, 240]
+    assert max(rows)[0] <= simhash.BANDS * len(texts)  # all pairs are 29,403
