@@ -400,7 +400,8 @@ def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
         for part, texts in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array([_packed(shingle_hashes(t, width)) for t in texts], pa.binary())], names=[*names, "hashes"])
 
-    return docs.join(members, "uid").select(*names, "text").mapInArrow(tidy(run), "component long, blocks int, node long, fp long, n int, hashes binary")
+    # texts go through the shuffle at any size: members grow with them, and their broadcast would pass the driver
+    return docs.join(members.hint("merge"), "uid").select(*names, "text").mapInArrow(tidy(run), "component long, blocks int, node long, fp long, n int, hashes binary")
 
 
 def _close_prints(nodes: DataFrame, tau: int) -> DataFrame:
